@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analysed system has no streaming input, watermarks, windows or state: its tables are
+refreshed by a daily batch that replaces each table whole (see ``innsight.sources.ingest``).
+A scheduled batch ingest followed by the view swap is the Spark equivalent, so nothing in
+this package wraps ``readStream``.
+"""
