@@ -14,17 +14,29 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def round_value(c: str | Column, digits: int = 2) -> Column:
+    """Round a double at its binary value, half away from zero.
+
+    ``F.round`` rounds the shortest decimal text of the double (2.675 → 2.68), while the
+    analysed system rounds the binary value (2.675 is 2.67499… → 2.67). Scaling, adding one
+    half and flooring reproduces the latter with built-in expressions.
+    """
+    x = _col(c).cast("double")
+    p = float(10 ** digits)
+    return F.signum(x) * F.floor(F.abs(x) * p + F.lit(0.5)) / p
+
+
 def safe_ratio(num: str | Column, den: str | Column, scale: float = 100.0, digits: int = 2,
                when_zero: float = 0.0) -> Column:
-    """``round(num / den * scale, digits)`` when ``den > 0``, else ``when_zero``."""
+    """``round(num / den * scale, digits)`` when ``den > 0``, else ``when_zero``."""
     n, d = _col(num).cast("double"), _col(den).cast("double")
-    return F.when(d > 0, F.round(n / d * F.lit(scale), digits)).otherwise(F.lit(when_zero))
+    return F.when(d > 0, round_value(n / d * F.lit(scale), digits)).otherwise(F.lit(float(when_zero)))
 
 
 def percent_columns(df, columns):
     """Scale rate columns by 100 (2 decimals) where the column is numeric in the schema."""
     numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)}
-    return df.withColumns({c: F.round(F.col(c) * 100, 2) for c in columns if c in numeric})
+    return df.withColumns({c: round_value(F.col(c) * 100, 2) for c in columns if c in numeric})
 
 
 def money(c: str | Column) -> Column:
