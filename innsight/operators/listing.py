@@ -39,7 +39,7 @@ def rename(df: DataFrame, mapping: Mapping[str, str], keep: Sequence[str] | None
 
     ``keep`` restricts and orders the output (P2); ``__key`` twins never leak into output.
     """
-    cols = list(keep) if keep is not None else [c for c in df.columns if not c.endswith("__key")]
+    cols = list(keep) if keep is not None else [c for c in df.columns if not c.endswith(("__key", "__date"))]
     lowered = {k.lower(): v for k, v in mapping.items()}
     return df.select(*[F.col(c).alias(lowered.get(c.lower(), snake_name(c))) for c in cols])
 

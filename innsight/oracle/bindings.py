@@ -46,7 +46,7 @@ SQL: dict[str, str] = {}
 SQL["daily_occupancy"] = f"""
 SELECT concat_ws(':', {pick(RESORT_LABELS, '_ridx')}, strftime(_d, '%Y-%m-%d')) AS id,
        {pick(RESORT_LABELS, '_ridx')} AS resort, {pick(COMPANIES, '_ridx')} AS empresa,
-       strftime(_d, '%Y-%m-%d') AS data, _d AS data_d,
+       strftime(_d, '%Y-%m-%d') AS data, _d AS data__date,
        CAST(hosptotal AS BIGINT) AS hosptotal, CAST(lazer AS BIGINT) AS lazer, CAST(eventos AS BIGINT) AS eventos,
        CAST(month(_d) AS BIGINT) AS mes, CAST(year(_d) AS BIGINT) AS ano, CAST(day(_d) AS BIGINT) AS dia
 FROM (
@@ -102,7 +102,7 @@ SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)
        {pick(RESORT_LABELS, '_ridx')} AS resort, CAST(month(_d) AS BIGINT) AS mes,
        CASE WHEN l_linenumber % 2 = 0 THEN upper(p_brand) ELSE p_brand END AS pdv,
        {CATEGORY} AS categoria, CAST(year(_d) AS BIGINT) AS ano, strftime(_d, '%Y-%m-%d') AS data,
-       _d AS data_d, CAST(l_quantity AS BIGINT) AS hospedes, l_extendedprice AS vendatotalpdv,
+       _d AS data__date, CAST(l_quantity AS BIGINT) AS hospedes, l_extendedprice AS vendatotalpdv,
        CAST(day(_d) AS BIGINT) AS dia
 FROM {LINES_X} lx JOIN part ON l_partkey = p_partkey"""
 

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from innsight.oracle.bindings import with_tables as W
 
-# key -> (analysis name, filters, page, limit)
-REQUESTS: dict[str, tuple[str, dict, int, int]] = {}
+# key -> (analysis name, filters, page, limit, shape); shape "long" explodes a nested indicator map
+REQUESTS: dict[str, tuple[str, dict, int, int, str | None]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def register(key: str, analysis: str, filters: dict, sql: str | None, page: int = 1, limit: int = 50):
-    REQUESTS[key] = (analysis, filters, page, limit)
+def register(key: str, analysis: str, filters: dict, sql: str | None, page: int = 1, limit: int = 50,
+             shape: str | None = None):
+    REQUESTS[key] = (analysis, filters, page, limit, shape)
     if sql is not None:
         ORACLE[key] = sql
 
@@ -30,7 +31,7 @@ SELECT resort AS resort_code, empresa AS company, data AS date, hosptotal AS tot
        eventos AS events_guests, mes AS month, ano AS year, dia AS day
 FROM daily_occupancy
 WHERE {fold('resort')} = 'resort_beta' AND CAST(ano AS INTEGER) = 1997
-ORDER BY data_d DESC NULLS FIRST, id ASC NULLS LAST
+ORDER BY data__date DESC NULLS FIRST, id ASC NULLS LAST
 LIMIT 50""", "daily_occupancy"))
 
 register("q02_summarize_guests_by_month", "summarize_guests_by_month", {"ano": "1998"}, W("""
@@ -109,3 +110,117 @@ SELECT datapreenchimento AS submission_date, hotel AS resort_code, cr AS cost_ce
 FROM guest_feedback
 WHERE ano = 2024 AND mes = 1 AND {fold('palavrachave')} = 'tema 42'
 ORDER BY datapreenchimento DESC NULLS FIRST, id LIMIT 50""", "guest_feedback"))
+
+# --- business indicators (long form of the nested map) ---------------------------------------
+from innsight.plans.indicators import INDICATOR_NAMES  # noqa: E402
+
+
+def _indicators_long(where: str) -> str:
+    parts = [f"SELECT ano AS year, hotel AS resort_code, periodo AS period, 'closed' AS status, "
+             f"'{name}' AS indicator, {stem}real AS actual, {stem}meta AS target FROM p"
+             for stem, name in INDICATOR_NAMES.items()]
+    return W(f"""WITH p AS (SELECT * FROM business_indicators WHERE {where}
+               ORDER BY ano, periodo, id LIMIT 50)
+""" + "\nUNION ALL\n".join(parts), "business_indicators")
+
+
+register("q08_get_closed_period_indicators", "get_closed_period_indicators",
+         {"resort_code": "Resort Beta (resort_beta)", "ano": "1998"},
+         _indicators_long(f"{fold('hotel')} = 'resort_beta' AND CAST(ano AS INTEGER) = 1998"), shape="long")
+register("q08b_indicators_semester", "get_closed_period_indicators",
+         {"hotel": "resort_gamma", "year": "1999", "period": "1st Semester"},
+         _indicators_long(f"{fold('hotel')} = 'resort_gamma' AND CAST(ano AS INTEGER) = 1999 AND periodo = 'H1'"),
+         shape="long")
+
+# --- extra revenue ---------------------------------------------------------------------------
+register("q09_list_extra_revenue_records", "list_extra_revenue_records",
+         {"hotel": "resort_delta", "ano": "1996", "mes": "março"}, W(f"""
+SELECT id, resort AS resort_code, mes AS month, pdv AS point_of_sale, categoria AS category, ano AS year,
+       data AS date, hospedes AS guests, vendatotalpdv AS total_pos_sales, dia AS day
+FROM extra_revenue WHERE {fold('resort')} = 'resort_delta' AND ano = 1996 AND mes = 3
+ORDER BY data__date ASC NULLS LAST, dia ASC NULLS LAST, id ASC NULLS LAST LIMIT 50""", "extra_revenue"))
+
+_D = "DECIMAL(38,4)"
+register("q10_calculate_revenue_share", "calculate_revenue_share",
+         {"hotel": "resort_alpha", "ano": "1998", "mes": "1,2,março", "pdv": "brand#2, BRAND#7,Brand#13"}, W(f"""
+WITH a AS (SELECT sum(coalesce(CAST(lazer AS {_D}), 0)) AS al, sum(coalesce(CAST(eventos AS {_D}), 0)) AS ae
+           FROM accommodation_revenue WHERE {fold('hotel')} = 'resort_alpha' AND ano = 1998 AND mes IN (1, 2, 3)),
+e AS (SELECT sum(CASE WHEN categoria = 'Lazer' THEN coalesce(CAST(vendatotalpdv AS {_D}), 0) END) AS el,
+             sum(CASE WHEN categoria = 'Eventos' THEN coalesce(CAST(vendatotalpdv AS {_D}), 0) END) AS ee
+      FROM extra_revenue WHERE {fold('resort')} = 'resort_alpha' AND ano = 1998 AND mes IN (1, 2, 3)
+        AND {fold('pdv')} IN ('brand#2', 'brand#7', 'brand#13')),
+c AS (SELECT 'Leisure' AS category, coalesce(al, 0) AS acc, coalesce(el, 0) AS ex FROM a, e
+      UNION ALL SELECT 'Events', coalesce(ae, 0), coalesce(ee, 0) FROM a, e)
+SELECT category, round(CAST(acc AS DOUBLE), 2) AS accommodation_revenue, round(CAST(ex AS DOUBLE), 2) AS extra_revenue,
+       CASE WHEN acc > 0 THEN round(CAST(ex AS DOUBLE) / CAST(acc AS DOUBLE) * 100, 2) ELSE 0.0 END
+         AS extra_revenue_share_percentage
+FROM c""", "accommodation_revenue", "extra_revenue"))
+
+_R2 = "('resort_alpha', 'resort_beta')"
+register("q11a_compare_extra_revenue_per_guest", "compare_extra_revenue_per_guest",
+         {"hotel": "Resort_Alpha, resort_béta", "ano": "1999", "mes": "6,4,5"}, W(f"""
+WITH g AS (SELECT sum(coalesce(lazer, 0)) AS gl, sum(coalesce(eventos, 0)) AS ge FROM daily_occupancy
+           WHERE {fold('resort')} IN {_R2} AND ano = 1999 AND mes IN (4, 5, 6)),
+gl AS (SELECT 'Lazer' AS categoria, gl AS guests FROM g UNION ALL SELECT 'Eventos', ge FROM g),
+r AS (SELECT categoria, sum(coalesce(CAST(vendatotalpdv AS {_D}), 0)) AS revenue FROM extra_revenue
+      WHERE {fold('resort')} IN {_R2} AND ano = 1999 AND mes IN (4, 5, 6) GROUP BY 1),
+actual AS (SELECT gl.categoria, guests, revenue FROM gl LEFT JOIN r ON gl.categoria = r.categoria),
+mt AS (SELECT mes, resort, categoria, sum(CAST(meta AS {_D})) AS stm FROM monthly_extra_revenue_targets
+       WHERE ano = 1999 AND {fold('resort')} IN {_R2} AND mes IN (4, 5, 6) GROUP BY 1, 2, 3),
+t AS (SELECT mt.categoria, sum(stm * hm.hospmeta) AS sp, sum(hm.hospmeta) AS sw
+      FROM mt JOIN guest_targets hm ON mt.mes = hm.mes AND mt.resort = hm.resort AND mt.categoria = hm.categoria
+      WHERE hm.ano = 1999 AND {fold('hm.resort')} IN {_R2} AND hm.mes IN (4, 5, 6) GROUP BY 1)
+SELECT coalesce(actual.categoria, t.categoria) AS category,
+       CASE WHEN coalesce(guests, 0) > 0
+            THEN round(coalesce(CAST(revenue AS DOUBLE) / CAST(guests AS DOUBLE), 0), 2) ELSE 0.0 END
+         AS revenue_per_guest_actual,
+       CASE WHEN coalesce(sw, 0) > 0 THEN round(CAST(sp AS DOUBLE) / CAST(sw AS DOUBLE), 2) ELSE 0.0 END
+         AS revenue_per_guest_target
+FROM actual FULL OUTER JOIN t ON actual.categoria = t.categoria""",
+    "daily_occupancy", "extra_revenue", "monthly_extra_revenue_targets", "guest_targets"))
+
+_P5 = "('brand#1', 'brand#2', 'brand#3', 'brand#4', 'brand#5')"
+register("q11b_extra_revenue_per_guest_by_pos", "compare_extra_revenue_per_guest",
+         {"hotel": "resort_gamma", "ano": "2000", "mes": "jan,fev,3", "pdv": "Brand#1,brand#2,BRAND#3,brand#4,brand#5"},
+         W(f"""
+WITH mg AS (SELECT CAST(mes AS BIGINT) AS mes, sum(coalesce(lazer, 0)) AS gl, sum(coalesce(eventos, 0)) AS ge
+            FROM daily_occupancy WHERE ano = 2000 AND {fold('resort')} IN ('resort_gamma') AND mes IN (1, 2, 3)
+            GROUP BY 1),
+g AS (SELECT mes, 'Lazer' AS categoria, gl AS guests FROM mg UNION ALL SELECT mes, 'Eventos', ge FROM mg),
+s AS (SELECT CAST(mes AS BIGINT) AS mes, {fold('pdv')} AS pdv_key, categoria,
+             sum(coalesce(CAST(vendatotalpdv AS {_D}), 0)) AS sales, min(pdv) AS pdv_name
+      FROM extra_revenue WHERE ano = 2000 AND {fold('resort')} IN ('resort_gamma') AND mes IN (1, 2, 3)
+        AND {fold('pdv')} IN {_P5} GROUP BY 1, 2, 3),
+j AS (SELECT s.*, g.guests FROM s JOIN g ON s.mes = g.mes AND s.categoria = g.categoria WHERE g.guests > 0)
+SELECT upper(left(min(pdv_name), 1)) || lower(substr(min(pdv_name), 2)) AS point_of_sale, categoria AS category,
+       {", ".join(f"coalesce(max(CASE WHEN mes = {m} THEN round(CAST(sales AS DOUBLE) / CAST(guests AS DOUBLE), 2) END), 0.0) AS actual_month_{m}" for m in (1, 2, 3))},
+       CASE WHEN sum(guests) > 0 THEN round(CAST(sum(sales) AS DOUBLE) / CAST(sum(guests) AS DOUBLE), 2) ELSE 0.0 END
+         AS total
+FROM j GROUP BY pdv_key, categoria""", "daily_occupancy", "extra_revenue"))
+
+register("q12_analyze_item_sales", "analyze_item_sales",
+         {"hotel": "resort_gamma", "ano": "1999", "mes": "3,4", "categoria": "Lazer"}, W(f"""
+WITH g AS (SELECT coalesce(sum(coalesce(lazer, 0)), 0) AS tg FROM daily_occupancy
+           WHERE {fold('resort')} = 'resort_gamma' AND ano = 1999 AND mes IN (3, 4)),
+i AS (SELECT itemcomanda AS item, sum(coalesce(CAST(valorcomanda AS {_D}), 0)) AS tv,
+             sum(coalesce(qtdeitemcomanda, 0)) AS tq
+      FROM pos_item_sales WHERE ano = 1999 AND {fold('hotel')} = 'resort_gamma' AND mes IN (3, 4)
+        AND {fold('categoria')} IN ('lazer') GROUP BY 1 HAVING sum(coalesce(CAST(valorcomanda AS {_D}), 0)) > 0)
+SELECT item, CAST(tq AS BIGINT) AS total_quantity, round(CAST(tv AS DOUBLE), 2) AS total_sales,
+       round(CAST(tv AS DOUBLE) / CAST(tg AS DOUBLE), 2) AS sales_per_guest
+FROM i, g WHERE tg > 0 ORDER BY tv DESC, item LIMIT 50""", "daily_occupancy", "pos_item_sales"))
+
+register("q12b_item_sales_ascending_filtered", "analyze_item_sales",
+         {"resort": "resort_beta", "ano": "2000", "mes": "5,6,7", "classe": "small, Promo",
+          "pdv": "brand#3,brand#9,brand#11,brand#20", "ordenacao": "menor"}, W(f"""
+WITH g AS (SELECT coalesce(sum(coalesce(lazer, 0) + coalesce(eventos, 0)), 0) AS tg FROM daily_occupancy
+           WHERE {fold('resort')} = 'resort_beta' AND ano = 2000 AND mes IN (5, 6, 7)),
+i AS (SELECT itemcomanda AS item, sum(coalesce(CAST(valorcomanda AS {_D}), 0)) AS tv,
+             sum(coalesce(qtdeitemcomanda, 0)) AS tq
+      FROM pos_item_sales WHERE ano = 2000 AND {fold('hotel')} = 'resort_beta' AND mes IN (5, 6, 7)
+        AND {fold('categoria')} IN ('lazer', 'eventos') AND {fold('pdv')} IN ('brand#3', 'brand#9', 'brand#11', 'brand#20')
+        AND {fold('classe')} IN ('small', 'promo')
+      GROUP BY 1 HAVING sum(coalesce(CAST(valorcomanda AS {_D}), 0)) > 0)
+SELECT item, CAST(tq AS BIGINT) AS total_quantity, round(CAST(tv AS DOUBLE), 2) AS total_sales,
+       round(CAST(tv AS DOUBLE) / CAST(tg AS DOUBLE), 2) AS sales_per_guest
+FROM i, g WHERE tg > 0 ORDER BY tv ASC, item LIMIT 50""", "daily_occupancy", "pos_item_sales"))

@@ -8,9 +8,18 @@ from pyspark.sql import functions as F
 from innsight.operators.listing import iso_date
 
 
+DATE_SUFFIX = "__date"
+DERIVED_SUFFIXES = ("__key", DATE_SUFFIX)
+
+
 def date_col(df: DataFrame, name: str) -> str:
-    """The typed twin ``<name>_d`` when the table has one (ingest adds it), else ``name``."""
-    return f"{name}_d" if f"{name}_d" in df.columns else name
+    """The typed twin ``<name>__date`` when the table has one (ingest adds it), else ``name``."""
+    return name + DATE_SUFFIX if name + DATE_SUFFIX in df.columns else name
+
+
+def source_columns(df: DataFrame) -> list[str]:
+    """Columns of a ``SELECT *`` listing: everything but the derived ``__key``/``__date`` twins."""
+    return [c for c in df.columns if not c.endswith(DERIVED_SUFFIXES)]
 
 
 def max_iso(df: DataFrame, name: str) -> Column:

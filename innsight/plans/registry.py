@@ -5,7 +5,7 @@ from __future__ import annotations
 from typing import Callable, Mapping
 
 from innsight.errors import AnalysisError
-from innsight.plans import feedback, occupancy
+from innsight.plans import feedback, indicators, occupancy, revenue
 from innsight.plans.spec import AnalysisResult, Page
 from innsight.sources.catalog import Catalog
 
@@ -19,6 +19,11 @@ REGISTRY: dict[str, Analysis] = {
     "count_feedback_by_type": feedback.count_feedback_by_type,
     "rank_by_keyword": feedback.rank_by_keyword,
     "search_feedback_by_keyword": feedback.search_feedback_by_keyword,
+    "get_closed_period_indicators": indicators.get_closed_period_indicators,
+    "list_extra_revenue_records": revenue.list_extra_revenue_records,
+    "calculate_revenue_share": revenue.calculate_revenue_share,
+    "compare_extra_revenue_per_guest": revenue.compare_extra_revenue_per_guest,
+    "analyze_item_sales": revenue.analyze_item_sales,
 }
 
 

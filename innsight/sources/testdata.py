@@ -82,7 +82,7 @@ class Bindings:
         data = F.date_format("_d", "yyyy-MM-dd")
         return both.select(
             F.concat_ws(":", resort, data).alias("id"), resort.alias("resort"),
-            _pick(COMPANIES, F.col("_ridx")).alias("empresa"), data.alias("data"), F.col("_d").alias("data_d"),
+            _pick(COMPANIES, F.col("_ridx")).alias("empresa"), data.alias("data"), F.col("_d").alias("data__date"),
             F.col("hosptotal").cast("bigint").alias("hosptotal"), F.col("lazer").cast("bigint").alias("lazer"),
             F.col("eventos").cast("bigint").alias("eventos"),
             F.month("_d").cast("bigint").alias("mes"), F.year("_d").cast("bigint").alias("ano"),
@@ -150,7 +150,7 @@ class Bindings:
             F.month("_d").cast("bigint").alias("mes"),
             F.when(F.col("l_linenumber") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand")).alias("pdv"),
             self._category().alias("categoria"),
-            F.year("_d").cast("bigint").alias("ano"), data.alias("data"), F.col("_d").alias("data_d"),
+            F.year("_d").cast("bigint").alias("ano"), data.alias("data"), F.col("_d").alias("data__date"),
             F.col("l_quantity").cast("bigint").alias("hospedes"),
             F.col("l_extendedprice").alias("vendatotalpdv"),
             F.dayofmonth("_d").cast("bigint").alias("dia"))
