@@ -100,10 +100,12 @@ class Filters:
             out.append(m)
         return list(dict.fromkeys(out))
 
-    def resort(self, *keys: str) -> str | None:
+    def resort(self, *keys: str, codes: tuple[str, ...] | None = None) -> str | None:
         """Canonical resort code when the value contains one (``all_resorts`` included)."""
         v = self.text(*keys)
-        return None if v is None else canonical_code_py(v)
+        if v is None:
+            return None
+        return canonical_code_py(v) if codes is None else canonical_code_py(v, codes)
 
     def resorts(self, *keys: str) -> list[str]:
         return list(dict.fromkeys(canonical_code_py(v) for v in self.items(*keys)))

@@ -224,3 +224,144 @@ i AS (SELECT itemcomanda AS item, sum(coalesce(CAST(valorcomanda AS {_D}), 0)) A
 SELECT item, CAST(tq AS BIGINT) AS total_quantity, round(CAST(tv AS DOUBLE), 2) AS total_sales,
        round(CAST(tv AS DOUBLE) / CAST(tg AS DOUBLE), 2) AS sales_per_guest
 FROM i, g WHERE tg > 0 ORDER BY tv ASC, item LIMIT 50""", "daily_occupancy", "pos_item_sales"))
+
+# --- infirmary -------------------------------------------------------------------------------
+_ATT_COLS = """id, data AS attendance_date, horario AS attendance_time, hospedeouemocionador AS patient_type,
+       cr AS cost_center, nomecompleto AS patient_name, ocorrenciaqueixa AS chief_complaint,
+       partedocorpodosintoma AS affected_body_part, houvetransferenciaparaohospital AS hospital_transfer,
+       enfermeiroaresponsavel AS attending_nurse, localocorrencia AS occurrence_location, hotel AS resort_code,
+       dia, mes AS month, ano AS year"""
+register("q13_list_medical_attendances", "list_medical_attendances",
+         {"hotel": "Resort Alpha resort_alpha", "ano": "2024", "mes": "1", "queixa": "náusea", "transfer": "não"}, W(f"""
+SELECT {_ATT_COLS} FROM medical_attendances
+WHERE contains({fold('ocorrenciaqueixa')}, 'nausea') AND {fold('hotel')} = 'resort_alpha'
+  AND {fold('houvetransferenciaparaohospital')} = 'nao' AND ano = 2024 AND mes = 1
+ORDER BY data DESC NULLS FIRST, horario DESC NULLS FIRST, id LIMIT 50""", "medical_attendances"))
+
+register("q13b_attendances_contains_filters", "list_medical_attendances",
+         {"enfermeiro": "enf. j", "parte do corpo": "CABECA", "cr": "recep", "year": "2024"}, W(f"""
+SELECT {_ATT_COLS} FROM medical_attendances
+WHERE contains({fold('cr')}, 'recep') AND contains({fold('partedocorpodosintoma')}, 'cabeca')
+  AND contains({fold('enfermeiroaresponsavel')}, 'enf. j') AND ano = 2024
+ORDER BY data DESC NULLS FIRST, horario DESC NULLS FIRST, id LIMIT 50""", "medical_attendances"))
+
+register("q14_rank_medical_occurrences", "rank_medical_occurrences",
+         {"hotel": "resort_beta", "ano": "2024", "mes": "janeiro"}, W(f"""
+SELECT ocorrenciaqueixa AS chief_complaint, count(*) AS total_attendances FROM medical_attendances
+WHERE ocorrenciaqueixa IS NOT NULL AND ocorrenciaqueixa <> '' AND {fold('hotel')} = 'resort_beta'
+  AND ano = 2024 AND mes = 1
+GROUP BY 1 ORDER BY total_attendances DESC, chief_complaint LIMIT 50""", "medical_attendances"))
+
+register("q15_calculate_attendance_per_guest_index", "calculate_attendance_per_guest_index",
+         {"hotel": "RESORT_GAMMA", "ano": "2024", "mes": "1"}, W(f"""
+WITH a AS (SELECT count(*) AS n FROM medical_attendances
+           WHERE {fold('hotel')} = 'resort_gamma' AND ano = 2024 AND mes = 1
+             AND (contains({fold('hospedeouemocionador')}, 'lazer') OR contains({fold('hospedeouemocionador')}, 'eventos'))),
+g AS (SELECT CAST(coalesce(sum(hosptotal), 0) AS BIGINT) AS g FROM daily_occupancy
+      WHERE {fold('resort')} = 'resort_gamma' AND ano = 2024 AND mes = 1)
+SELECT 'resort_gamma' AS resort_code, CAST(2024 AS BIGINT) AS year, CAST(1 AS BIGINT) AS month,
+       n AS total_attendances_leisure_events_guests, g AS total_guests_in_month,
+       CASE WHEN g > 0 THEN round(n / CAST(g AS DOUBLE) * 100, 2) ELSE 0.0 END AS attendance_per_100_guests_index
+FROM a, g""", "medical_attendances", "daily_occupancy"))
+
+register("q16_count_attendances_by_patient_type", "count_attendances_by_patient_type",
+         {"hotel": "all_resorts", "ano": "2024", "mes": "1", "cr": "recep"}, W(f"""
+WITH f AS (SELECT * FROM medical_attendances
+           WHERE hospedeouemocionador IS NOT NULL AND hospedeouemocionador <> '' AND ano = 2024 AND mes = 1
+             AND contains({fold('cr')}, 'recep')),
+g AS (SELECT hospedeouemocionador AS patient_type, count(*) AS total_attendances FROM f GROUP BY 1)
+(SELECT * FROM g ORDER BY total_attendances DESC, patient_type LIMIT 50)
+UNION ALL
+SELECT 'Total', count(*) FROM f HAVING count(*) > 0""", "medical_attendances"))
+
+# --- overtime --------------------------------------------------------------------------------
+register("q17_get_employee_overtime_balance", "get_employee_overtime_balance",
+         {"hotel": "nation_1", "ano": "1997", "mes": "mar"}, W(f"""
+SELECT hotel AS resort_code, ano AS year, mes AS month, cr AS department, nome AS employee_name,
+       horas AS balance_hours
+FROM employee_overtime_balance
+WHERE contains(trim({fold('hotel')}), 'nation_1') AND ano = 1997 AND mes = 3
+ORDER BY nome, ano, mes, id LIMIT 50""", "employee_overtime_balance"))
+
+register("q17b_overtime_debt_threshold", "get_employee_overtime_balance",
+         {"hotel": "NATION_2", "ano": "1998", "employee": "customer#0000001", "horas": "-50"}, W(f"""
+SELECT hotel AS resort_code, ano AS year, mes AS month, cr AS department, nome AS employee_name,
+       horas AS balance_hours
+FROM employee_overtime_balance
+WHERE contains(trim({fold('hotel')}), 'nation_2') AND contains(trim({fold('nome')}), 'customer#0000001')
+  AND ano = 1998 AND CAST(round(horas) AS BIGINT) <= -50
+ORDER BY horas ASC, nome ASC, id LIMIT 50""", "employee_overtime_balance"))
+
+
+def _dept_balance(where: str, tail: str) -> str:
+    side = """SELECT trim({f}) AS k, min(cr) AS c, sum({m}) AS v FROM {t} WHERE {w} GROUP BY 1"""
+    return W(f"""
+WITH p AS ({side.format(f=fold('cr'), m='horaspositiva', t='overtime_positive', w=where)}),
+n AS ({side.format(f=fold('cr'), m='horasnegativas', t='overtime_negative', w=where)}),
+j AS (SELECT coalesce(p.c, n.c) AS department, coalesce(p.v, 0) AS positive_hours, coalesce(n.v, 0) AS negative_hours
+      FROM p FULL OUTER JOIN n ON p.k = n.k)
+SELECT * FROM j {tail}""", "overtime_positive", "overtime_negative")
+
+
+register("q18a_get_department_overtime_balance", "get_department_overtime_balance",
+         {"hotel": "NATION_3", "ano": "1997", "mes": "5"},
+         _dept_balance(f"trim({fold('hotel')}) = 'nation_3' AND ano = 1997 AND mes = 5", ""))
+register("q18a2_department_overtime_threshold", "get_department_overtime_balance",
+         {"resort": " nation_7 ", "ano": "1998", "horas": "-100"},
+         _dept_balance(f"trim({fold('hotel')}) = 'nation_7' AND ano = 1998", "WHERE negative_hours >= 100"))
+
+register("q18b_resort_overtime_ranking", "get_department_overtime_balance", {"ano": "1999", "mes": "junho"}, W("""
+WITH p AS (SELECT hotel, sum(horaspositiva) AS v FROM overtime_positive WHERE ano = 1999 AND mes = 6 GROUP BY 1),
+n AS (SELECT hotel, sum(horasnegativas) AS v FROM overtime_negative WHERE ano = 1999 AND mes = 6 GROUP BY 1),
+d AS (SELECT coalesce(p.hotel, n.hotel) AS resort_code, coalesce(p.v, 0) AS positive_hours,
+             coalesce(n.v, 0) AS negative_hours FROM p FULL OUTER JOIN n ON p.hotel = n.hotel)
+SELECT * FROM d
+UNION ALL
+SELECT 'Group', sum(positive_hours), sum(negative_hours) FROM d HAVING count(*) > 1""",
+    "overtime_positive", "overtime_negative"))
+
+# --- employee sentiment ----------------------------------------------------------------------
+_RES_COLS = """id, hotel AS resort_code, ano AS year, mes AS month, dimensaonova AS dimension,
+       round(taxageraldeadesao * 100, 2) AS overall_adherence_rate, score, scorehotelsituacao AS score_status,
+       notas AS scores"""
+register("q19_get_resort_adherence", "get_resort_adherence", {"hotel": "src1", "ano": "2024"}, W(f"""
+SELECT {_RES_COLS} FROM employee_sentiment_by_resort
+WHERE contains({fold('hotel')}, 'src1') AND ano = 2024
+ORDER BY ano DESC, mes DESC, taxageraldeadesao DESC, id LIMIT 50""", "employee_sentiment_by_resort"))
+
+register("q20_get_department_adherence", "get_department_adherence",
+         {"hotel": "src2", "ano": "2024", "mes": "fev", "setor": "recep"}, W(f"""
+SELECT {_RES_COLS}, lideresdiretos AS direct_leader, cr AS department, nivel AS level, lideranca AS leadership
+FROM employee_sentiment_by_department
+WHERE contains({fold('hotel')}, 'src2') AND contains({fold('cr')}, 'recep') AND ano = 2024 AND mes = 2
+ORDER BY ano DESC, mes DESC, taxageraldeadesao DESC, cr ASC, id LIMIT 50""", "employee_sentiment_by_department"))
+
+register("q21_get_survey_status", "get_survey_status",
+         {"hotel": "nation_1", "ano": "1997", "mes": "julho", "status": "aberto", "cargo": "garç"}, W(f"""
+SELECT id, hotel AS resort_code, ano AS year, mes AS month, cr AS department, destinatario AS employee_name,
+       cargo AS position, grupos AS groups, lideres AS leader, status, dataehora AS timestamp, egerente AS is_manager
+FROM employee_sentiment_surveys
+WHERE contains({fold('hotel')}, 'nation_1') AND contains({fold('status')}, 'aberto')
+  AND contains({fold('cargo')}, 'garc') AND ano = 1997 AND mes = 7
+ORDER BY dataehora DESC, id LIMIT 50""", "employee_sentiment_surveys"))
+
+
+def _survey_rank(where: str, k: int) -> str:
+    return W(f"""
+WITH a AS (SELECT ano, destinatario, cr, string_agg(DISTINCT hotel, ', ' ORDER BY hotel) AS hotel,
+                  count(*) AS total_ocorrencias,
+                  string_agg(DISTINCT CAST(mes AS VARCHAR), ', ' ORDER BY CAST(mes AS VARCHAR)) AS meses
+           FROM employee_sentiment_surveys WHERE {where} GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY ano ORDER BY total_ocorrencias DESC, destinatario, cr) AS rank_num
+      FROM a)
+SELECT ano AS year, rank_num, destinatario AS employee_name, cr AS department, hotel AS resort_code,
+       total_ocorrencias, meses AS months_of_occurrence
+FROM r WHERE rank_num <= {k}""", "employee_sentiment_surveys")
+
+
+register("q22_rank_by_survey_status", "rank_by_survey_status", {"ano": "1998", "status": "não respondido"},
+         _survey_rank("ano = 1998 AND status IN ('Enviado', 'Em Aberto')", 5))
+register("q22b_survey_rank_named_employee", "rank_by_survey_status",
+         {"ano": "1999", "status": "Respondido", "nome": "customer#00000012", "mes": "1,2,3,mar"},
+         _survey_rank(f"ano = 1999 AND status IN ('Respondido') AND contains({fold('destinatario')}, "
+                      f"'customer#00000012') AND mes IN (1, 2, 3)", 100))

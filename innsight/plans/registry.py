@@ -5,7 +5,7 @@ from __future__ import annotations
 from typing import Callable, Mapping
 
 from innsight.errors import AnalysisError
-from innsight.plans import feedback, indicators, occupancy, revenue
+from innsight.plans import feedback, indicators, infirmary, occupancy, overtime, revenue, sentiment
 from innsight.plans.spec import AnalysisResult, Page
 from innsight.sources.catalog import Catalog
 
@@ -24,6 +24,16 @@ REGISTRY: dict[str, Analysis] = {
     "calculate_revenue_share": revenue.calculate_revenue_share,
     "compare_extra_revenue_per_guest": revenue.compare_extra_revenue_per_guest,
     "analyze_item_sales": revenue.analyze_item_sales,
+    "list_medical_attendances": infirmary.list_medical_attendances,
+    "rank_medical_occurrences": infirmary.rank_medical_occurrences,
+    "calculate_attendance_per_guest_index": infirmary.calculate_attendance_per_guest_index,
+    "count_attendances_by_patient_type": infirmary.count_attendances_by_patient_type,
+    "get_employee_overtime_balance": overtime.get_employee_overtime_balance,
+    "get_department_overtime_balance": overtime.get_department_overtime_balance,
+    "get_resort_adherence": sentiment.get_resort_adherence,
+    "get_department_adherence": sentiment.get_department_adherence,
+    "get_survey_status": sentiment.get_survey_status,
+    "rank_by_survey_status": sentiment.rank_by_survey_status,
 }
 
 
