@@ -5,7 +5,7 @@ Pipeline (driver handles metadata only):
 
     read (all string + exact row position)        S1/S2, H1
     header normalise + duplicate removal          I1, I2   (driver, on column names)
-    type inference + blank-row count              I4, I6   (ONE aggregate job, 2 booleans per column)
+    type inference + blank-row count              I4, I6   (ONE aggregate job, one class code per cell)
     coerce, clean, drop blank rows, ids, twins    I5-I8    (one projection, codegen)
     write versioned table, count check, swap view K1, K4, K2, K5
 
@@ -108,15 +108,34 @@ def dedupe_headers(raw: Sequence) -> tuple[list[str], list[int], list[str]]:
 
 # --- S1 / S2 / H1: reading with exact positions ------------------------------------------------
 
+MAX_BROADCAST_SPLITS = 100_000   # one offsets row per split (~100 bytes): at most ~10 MB broadcast
+
+
+def estimated_splits(df: DataFrame) -> int:
+    """Upper estimate of the input splits of a file scan, from its size and file count."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b") or 134217728)
+    return size // max(split, 1) + len(df.inputFiles()) + 1
+
+
 def with_positions(df: DataFrame) -> DataFrame:
-    """Add ``_file`` and ``_pos`` (0-based line within its file) to a file-source DataFrame."""
+    """Add ``_file`` and ``_pos`` (0-based line within its file) to a file-source DataFrame.
+
+    The offsets table has one row per input split. It is broadcast when the estimated split
+    count is bounded (``MAX_BROADCAST_SPLITS``); beyond that the join is left to AQE (a shuffle
+    on file and split, each split's rows going to one task, so no key is larger than a split).
+    """
     meta = df.select("*", F.col("_metadata.file_path").alias(FILE),
                      F.col("_metadata.file_block_start").alias("_block"),
                      F.monotonically_increasing_id().alias("_mid"))
     blocks = meta.groupBy(FILE, "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     before = Window.partitionBy(FILE).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    joined = meta.join(offsets.select(FILE, "_block", "_offset", "_first"), [FILE, "_block"])
+    offsets = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))) \
+        .select(FILE, "_block", "_offset", "_first")
+    if estimated_splits(df) <= MAX_BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
+    joined = meta.join(offsets, [FILE, "_block"])
     return joined.withColumn(POS, F.col("_offset") + F.col("_mid") - F.col("_first")) \
         .drop("_block", "_mid", "_offset", "_first")
 
@@ -150,39 +169,49 @@ def _blank(c: Column, null_tokens: Sequence[str] = ()) -> Column:
     return blank
 
 
-def inference_aggregate(df: DataFrame, columns: Sequence[str], null_tokens: Sequence[str] = ()) -> list[Column]:
-    """Per column: any non-numeric non-blank value; any numeric value with ``.`` or ``,``."""
-    aggs = []
-    for c in columns:
-        col = F.col(c)
-        present = ~_blank(col, null_tokens)
-        numeric = col.rlike(NUMBER_PATTERN)
-        aggs.append(F.max(present & ~numeric).alias(f"{c}__text"))
-        aggs.append(F.max(present & numeric & (col.contains(".") | col.contains(","))).alias(f"{c}__real"))
-    all_blank = F.lit(True)
-    for c in columns:
-        all_blank = all_blank & _blank(F.col(c), null_tokens)
-    aggs.append(F.count(F.lit(1)).alias("__rows"))
-    aggs.append(F.count_if(all_blank).alias("__blank_raw"))
-    return aggs
+def cell_class(c: Column, null_tokens: Sequence[str] = ()) -> Column:
+    """0 blank, 1 number without separator, 2 number with ``.``/``,``, 3 anything else.
+
+    The column type is then ``max`` of the classes: 3 → TEXT, 2 → REAL, otherwise INTEGER
+    (an all-blank column is INTEGER). One regex evaluation per cell.
+    """
+    return (F.when(_blank(c, null_tokens), F.lit(0))
+            .when(~c.rlike(NUMBER_PATTERN), F.lit(3))
+            .when(c.contains(".") | c.contains(","), F.lit(2))
+            .otherwise(F.lit(1)))
+
+
+def _classified(df: DataFrame, columns: Sequence[str], null_tokens: Sequence[str]) -> DataFrame:
+    return df.select(*[cell_class(F.col(c), null_tokens).alias(c) for c in columns])
+
+
+def _class_aggs(columns: Sequence[str]) -> list[Column]:
+    row_max = F.greatest(*[F.col(c) for c in columns]) if len(columns) > 1 else F.col(columns[0])
+    return [F.max(c).alias(c) for c in columns] + \
+        [F.count(F.lit(1)).alias("__rows"), F.count_if(row_max == 0).alias("__blank_raw")]
+
+
+def _type_of(code) -> str:
+    return TEXT if code == 3 else REAL if code == 2 else INTEGER
 
 
 def infer_types(df: DataFrame, columns: Sequence[str], null_tokens: Sequence[str] = ()) -> tuple[dict, int, int]:
     """I4: TEXT if any non-blank value is not a number; else REAL if any has a separator; else
-    INTEGER (also for an all-blank column). Returns (types, data rows, rows blank in the source)."""
+    INTEGER (also for an all-blank column). Returns (types, data rows, rows blank in the source).
+    One aggregate job with a partial (map-side) aggregate: one small row per task is shuffled."""
     if not columns:
         n = df.count()
         return {}, n, n
-    row = df.agg(*inference_aggregate(df, columns, null_tokens)).first()
-    types = {c: TEXT if row[f"{c}__text"] else REAL if row[f"{c}__real"] else INTEGER for c in columns}
+    row = _classified(df, columns, null_tokens).agg(*_class_aggs(columns)).first()
+    types = {c: _type_of(row[c]) for c in columns}
     return types, int(row["__rows"]), int(row["__blank_raw"] or 0)
 
 
 def types_frame(df: DataFrame, columns: Sequence[str], null_tokens: Sequence[str] = ()) -> DataFrame:
-    """I4 as a lazy DataFrame: one row per column (``column``, ``type``)."""
-    agg = df.agg(*inference_aggregate(df, columns, null_tokens))
+    """I4 as a lazy DataFrame: one row per column (``position``, ``column``, ``type``)."""
+    agg = _classified(df, columns, null_tokens).agg(*[F.max(c).alias(c) for c in columns])
     rows = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
-                     F.when(F.col(f"{c}__text"), F.lit(TEXT)).when(F.col(f"{c}__real"), F.lit(REAL))
+                     F.when(F.col(c) == 3, F.lit(TEXT)).when(F.col(c) == 2, F.lit(REAL))
                      .otherwise(F.lit(INTEGER)).alias("type")) for i, c in enumerate(columns)]
     return agg.select(F.inline(F.array(*rows)))
 

@@ -55,9 +55,14 @@ def _dec(col: str, p: str = "decimal(18,2)") -> Column:
 class Bindings:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """The raw table, read once per binding set (a lazy plan: the file listing and footer
+        are reused, the data is read by every query that runs)."""
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._raw[name]
 
     # -- orders-based -----------------------------------------------------------------
     def _orders(self) -> DataFrame:
@@ -72,11 +77,14 @@ class Bindings:
             F.count(F.lit(1)).alias("hosptotal"),
             F.count_if(F.col("o_orderstatus") == "F").alias("lazer"),
             F.count_if(F.col("o_orderstatus") == "O").alias("eventos"))
+        # distinct guests per resort and day: first one row per (resort, day, user), then count;
+        # two plain aggregates instead of three DISTINCT aggregates (which expand every row 3×)
         e = self.raw("events").withColumns({"_ridx": F.col("user_id") % 5, "_d": F.to_date("ts")})
-        from_events = e.groupBy("_ridx", "_d").agg(
-            F.count_distinct("user_id").alias("hosptotal"),
-            F.count_distinct(F.when(F.col("event_type").isin("view", "click"), F.col("user_id"))).alias("lazer"),
-            F.count_distinct(F.when(F.col("event_type") == "purchase", F.col("user_id"))).alias("eventos"))
+        per_user = e.groupBy("_ridx", "_d", "user_id").agg(
+            F.max(F.col("event_type").isin("view", "click").cast("int")).alias("_l"),
+            F.max((F.col("event_type") == "purchase").cast("int")).alias("_e"))
+        from_events = per_user.groupBy("_ridx", "_d").agg(
+            F.count(F.lit(1)).alias("hosptotal"), F.sum("_l").alias("lazer"), F.sum("_e").alias("eventos"))
         both = from_orders.unionByName(from_events)
         resort = _pick(RESORT_LABELS, F.col("_ridx"))
         data = F.date_format("_d", "yyyy-MM-dd")
@@ -306,8 +314,19 @@ class Bindings:
             F.lit("Operacional").alias("nivel"), F.lit("Direta").alias("lideranca"))
 
 
+_CATALOGS: dict[tuple, Catalog] = {}
+
+
 def testdata_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """Catalog whose tables are the bindings above over ``sf_dir``."""
+    """Catalog whose tables are the bindings above over ``sf_dir`` (one per session and folder,
+    so the lazy binding plans are built once and shared by every query)."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _CATALOGS:
+        _CATALOGS[key] = _new_catalog(spark, sf_dir)
+    return _CATALOGS[key]
+
+
+def _new_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     b = Bindings(spark, sf_dir)
     names = ("daily_occupancy", "guest_feedback", "department_complaint_targets", "business_indicators",
              "extra_revenue", "accommodation_revenue", "monthly_extra_revenue_targets", "guest_targets",
@@ -315,3 +334,45 @@ def testdata_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
              "employee_overtime_balance", "employee_sentiment_by_resort", "employee_sentiment_by_department",
              "employee_sentiment_surveys")
     return Catalog(spark, {n: getattr(b, n) for n in names})
+
+
+# --- raw string sheets for the ingest operators -----------------------------------------------
+# A spreadsheet export as the ingest job receives it: every cell text, a dirty header, decimal
+# commas, padded text, a tab inside some cells and fully blank rows; line 0 is the header.
+CUSTOMER_SHEET_HEADER = (" Código ", "Nome", "País", "Saldo (R$)", "Segmento", "NOME")
+CUSTOMER_SHEET_SOURCE, CUSTOMER_SHEET_TAB = "testdata-customers", "Clientes"
+
+
+def customer_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``customer`` as a raw sheet (``_c0``…``_c5``, ``_file``, ``_pos``); the position is the
+    dense customer key + 1, and every 97th customer's line is blank."""
+    c = spark.read.parquet(f"{sf_dir.rstrip('/')}/customer.parquet")
+    blank = (F.col("c_custkey") % 97) == 0
+
+    def cell(expr):
+        return F.when(blank, F.lit("")).otherwise(expr)
+
+    return c.select(
+        cell(F.col("c_custkey").cast("string")).alias("_c0"),
+        cell(F.concat(F.lit("  "), F.col("c_name"), F.lit(" "))).alias("_c1"),
+        cell(F.col("c_nationkey").cast("string")).alias("_c2"),
+        cell(F.replace(F.col("c_acctbal").cast("decimal(12,2)").cast("string"), F.lit("."), F.lit(","))).alias("_c3"),
+        cell(F.when(F.col("c_custkey") % 13 == 0, F.concat(F.col("c_mktsegment"), F.lit("\textra")))
+             .otherwise(F.col("c_mktsegment"))).alias("_c4"),
+        cell(F.lower("c_name")).alias("_c5"),
+        F.lit("customer.parquet").alias("_file"), (F.col("c_custkey") + 1).alias("_pos"))
+
+
+def lineitem_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` with every column rendered as text the way sheets hold it (for inference)."""
+    l = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet")
+    return l.select(
+        F.col("l_orderkey").cast("string").alias("pedido"),
+        F.col("l_quantity").cast("bigint").cast("string").alias("quantidade"),
+        F.replace(F.col("l_extendedprice").cast("decimal(12,2)").cast("string"), F.lit("."), F.lit(",")).alias("preco"),
+        F.col("l_discount").cast("decimal(4,2)").cast("string").alias("desconto"),
+        F.col("l_returnflag").alias("flag"),
+        F.date_format("l_shipdate", "dd/MM/yyyy").alias("envio"),
+        F.when(F.col("l_linenumber") == 1, F.lit(" ")).otherwise(F.col("l_linenumber").cast("string")).alias("linha"),
+        F.lit("").alias("vazia"),
+        F.when(F.col("l_linenumber") == 7, F.lit("n/a")).otherwise(F.lit("1")).alias("misto"))
