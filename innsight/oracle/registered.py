@@ -362,6 +362,6 @@ FROM r WHERE rank_num <= {k}""", "employee_sentiment_surveys")
 register("q22_rank_by_survey_status", "rank_by_survey_status", {"ano": "1998", "status": "não respondido"},
          _survey_rank("ano = 1998 AND status IN ('Enviado', 'Em Aberto')", 5))
 register("q22b_survey_rank_named_employee", "rank_by_survey_status",
-         {"ano": "1999", "status": "Respondido", "nome": "customer#00000012", "mes": "1,2,3,mar"},
+         {"ano": "1999", "status": "Respondido", "nome": "customer#0000001", "mes": "1,2,3,mar"},
          _survey_rank(f"ano = 1999 AND status IN ('Respondido') AND contains({fold('destinatario')}, "
-                      f"'customer#00000012') AND mes IN (1, 2, 3)", 100))
+                      f"'customer#0000001') AND mes IN (1, 2, 3)", 100))
