@@ -365,3 +365,17 @@ register("q22b_survey_rank_named_employee", "rank_by_survey_status",
          {"ano": "1999", "status": "Respondido", "nome": "customer#0000001", "mes": "1,2,3,mar"},
          _survey_rank(f"ano = 1999 AND status IN ('Respondido') AND contains({fold('destinatario')}, "
                       f"'customer#0000001') AND mes IN (1, 2, 3)", 100))
+
+# --- edge cases: an empty result and a page beyond the last ----------------------------------
+register("q05b_feedback_types_unknown_resort", "count_feedback_by_type",
+         {"hotel": "Resort Zeta", "ano": "2024", "mes": "1"}, W(f"""
+SELECT tipocomentario AS feedback_type, count(*) AS total
+FROM guest_feedback WHERE {fold('hotel')} = 'resort zeta' AND ano = 2024 AND mes = 1
+GROUP BY 1 ORDER BY total DESC, feedback_type LIMIT 50""", "guest_feedback"))
+
+register("q14b_occurrences_page_beyond_last", "rank_medical_occurrences",
+         {"ano": "2024", "mes": "1"}, W(f"""
+SELECT ocorrenciaqueixa AS chief_complaint, count(*) AS total_attendances FROM medical_attendances
+WHERE ocorrenciaqueixa IS NOT NULL AND ocorrenciaqueixa <> '' AND ano = 2024 AND mes = 1
+GROUP BY 1 ORDER BY total_attendances DESC, chief_complaint LIMIT 10 OFFSET 990""", "medical_attendances"),
+         page=100, limit=10)

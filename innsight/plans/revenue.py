@@ -17,6 +17,7 @@ from innsight.operators.combine import scalar_ratio, wide_to_long
 from innsight.operators.listing import page, page_stats, rename
 from innsight.plans.common import date_col, source_columns
 from innsight.plans.spec import AnalysisResult, Page
+from innsight.sources.ingest import require_partition
 from innsight.sources.catalog import Catalog
 
 EXTRA_REVENUE_NAMES = {
@@ -191,13 +192,16 @@ def analyze_item_sales(catalog: Catalog, filters: dict, pg: Page) -> AnalysisRes
 
     if not catalog.has("pos_item_sales"):
         raise AnalysisError(f"item sales for year {year} are not available")
+    items = catalog.table("pos_item_sales")
+    # A year with no item sales at all is missing data, not an empty ranking. The probe reads
+    # at most one row of the year's partition (partition pruning), before the analysis runs.
+    require_partition(items, "ano", year)
     occ = catalog.table("daily_occupancy")
     guest_expr = sum((F.coalesce(F.col(c), F.lit(0)) for c in guest_cols[1:]), F.coalesce(F.col(guest_cols[0]), F.lit(0)))
     guests = flt.where(occ, [flt.resort_pred(occ, "resort", resort), flt.eq(occ, "ano", year),
                              flt.int_in(occ, "mes", months), flt.int_in(occ, "dia", days) if days else None]) \
         .agg(F.coalesce(F.sum(guest_expr), F.lit(0)).alias("total_guests"))
 
-    items = catalog.table("pos_item_sales")
     preds = [flt.eq(items, "ano", year), flt.resort_pred(items, "hotel", resort), flt.int_in(items, "mes", months),
              flt.fold_in(items, "categoria", categories),
              flt.int_in(items, "dia", days) if days else None,

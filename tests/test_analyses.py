@@ -86,3 +86,8 @@ def test_q08_nested_indicator_map(catalog):
     row = run("get_closed_period_indicators", {"hotel": "resort_alpha", "year": "1997", "period": "annual"},
               catalog).rows.first()
     assert row.status == "closed" and row.period == "Annual" and set(row.indicators) >= {"complaint", "fb_cogs"}
+
+
+def test_item_sales_for_a_year_without_data_is_an_error(catalog):
+    with pytest.raises(AnalysisError):
+        run("analyze_item_sales", {"hotel": "resort_alpha", "ano": "1980", "mes": "1"}, catalog)
