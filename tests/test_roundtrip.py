@@ -39,14 +39,16 @@ def export_as_sheet(df, path):
 def ingested(spark, tmp_path_factory):
     bound = bound_catalog(spark, SF_SMALL)
     folder = tmp_path_factory.mktemp("landing")
+    spark.sql("CREATE DATABASE IF NOT EXISTS roundtrip")
     specs = []
     for name, extra in TABLES.items():
         path = f"{folder}/{name}"
         export_as_sheet(bound.table(name), path)
-        specs.append(ing.IngestSpec(f"src-{name}", f"rt_{name}", path, tab=name, **extra))
+        specs.append(ing.IngestSpec(f"src-{name}", name, path, tab=name, database="roundtrip", **extra))
     results = ing.ingest_all(spark, specs, max_workers=2)
     assert all(r.ok and r.action == "published" for r in results), [r.error for r in results]
-    served = Catalog(spark, {name: spark.table(f"rt_{name}") for name in TABLES})
+    served = Catalog.from_metastore(spark, "roundtrip")
+    assert all(served.has(name) for name in TABLES)
     return bound, served, results
 
 
