@@ -127,6 +127,14 @@ def month_number(c: str | Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), key.try_cast("int"))
 
 
+def classes_of(c: str | Column, classes: dict) -> Column:
+    """N8 as a column: the names of every class (``name → values``) whose values hold ``c``;
+    a value may belong to several classes. Pure expressions, no join."""
+    col = _col(c)
+    hits = [F.when(col.isin(list(values)), F.lit(name)) for name, values in classes.items()]
+    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+
+
 def clean_cell(c: str | Column) -> Column:
     """Tab, CR and LF become one space each."""
     return F.regexp_replace(_col(c), r"[\t\r\n]", " ")

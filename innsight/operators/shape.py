@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 
 def month_pivot(df: DataFrame, keys: Sequence[str], month_col: str, months: Sequence[int],
-                aggs: Sequence[Column]) -> DataFrame:
-    """One column group per month; months are an argument, so the output schema is known
-    before execution (no distinct-values job) and missing months exist as NULL columns."""
-    return df.groupBy(*keys).pivot(month_col, list(months)).agg(*aggs)
+                agg: Column, prefix: str = "month_", fill=None) -> DataFrame:
+    """One column per month (``<prefix><m>``); months are an argument, so the output schema
+    is known before execution (no distinct-values job). Months without rows are NULL, or
+    ``fill`` when given. Spark aggregates per (keys, month) with a partial aggregate before the
+    shuffle and only then spreads the months into columns."""
+    months = list(months)
+    out = df.groupBy(*keys).pivot(month_col, months).agg(agg)
+    renamed = out.select(*keys, *[F.col(str(m)).alias(f"{prefix}{m}") for m in months])
+    return renamed.fillna(fill, subset=[f"{prefix}{m}" for m in months]) if fill is not None else renamed
 
 
 def nest_pairs(pairs: Sequence[str], actual_suffix: str = "_actual", target_suffix: str = "_target") -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from innsight.sources import ingest as ing
 from innsight.sources.testdata import (
@@ -24,6 +25,16 @@ def prepared_sheet_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ing.prepare(customer_sheet(spark, sf_dir), CUSTOMER_SHEET_HEADER, spec).frame
 
 
+def blank_rows_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data rows, rows blank in every column and rows kept, of the customer sheet."""
+    spec = ing.IngestSpec(CUSTOMER_SHEET_SOURCE, "customers", "customer.parquet", tab=CUSTOMER_SHEET_TAB,
+                          fmt="table")
+    names, kept, _ = ing.dedupe_headers(CUSTOMER_SHEET_HEADER)
+    sheet = customer_sheet(spark, sf_dir)
+    cells = sheet.select(*[F.col(f"_c{i}").alias(n) for n, i in zip(names, kept)])
+    return ing.row_counts(cells, names, ing.WORKBOOK_NULLS if spec.profile == "workbook" else ())
+
+
 _TEXT = """
 WITH t AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS pedido, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS quantidade,
@@ -57,7 +68,12 @@ SELECT sha256(concat_ws(':', '{CUSTOMER_SHEET_SOURCE}', '{CUSTOMER_SHEET_TAB}',
        CASE WHEN c_custkey % 13 = 0 THEN c_mktsegment || ' extra' ELSE c_mktsegment END AS segmento
 FROM customer WHERE c_custkey % 97 <> 0"""
 
+BLANK_SQL = """
+SELECT count(*) AS data_rows, count_if(c_custkey % 97 = 0) AS blank_rows, count_if(c_custkey % 97 <> 0) AS kept_rows
+FROM customer"""
+
 CHECKS = {
     "i04_infer_types": (infer_types_check, _infer_sql()),
+    "i06_blank_rows": (blank_rows_check, BLANK_SQL),
     "i05_prepare_sheet_rows": (prepared_sheet_check, PREPARED_SQL),
 }

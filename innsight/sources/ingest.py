@@ -216,6 +216,14 @@ def types_frame(df: DataFrame, columns: Sequence[str], null_tokens: Sequence[str
     return agg.select(F.inline(F.array(*rows)))
 
 
+def row_counts(df: DataFrame, columns: Sequence[str], null_tokens: Sequence[str] = ()) -> DataFrame:
+    """I6 as a lazy frame: data rows, rows blank in every column (dropped at load) and rows kept,
+    from the same per-cell classes as inference (one aggregate, partial per task)."""
+    agg = _classified(df, columns, null_tokens).agg(*_class_aggs(columns))
+    return agg.select(F.col("__rows").alias("data_rows"), F.col("__blank_raw").alias("blank_rows"),
+                      (F.col("__rows") - F.col("__blank_raw")).alias("kept_rows"))
+
+
 # --- I5 / I8: coercion ----------------------------------------------------------------------
 
 def coerce(c: Column, type_: str, null_tokens: Sequence[str] = ()) -> Column:
