@@ -1,10 +1,13 @@
 from pyspark.sql import functions as F
 
+from innsight.functions.text import classes_of
+from innsight.sources.ingest import row_counts
+
 from innsight.operators.aggregate import distinct_text, weighted_mean, with_total
 from innsight.operators.combine import full_balance, wide_to_long
 from innsight.operators.listing import order_keys, page, rename
 from innsight.operators.rank import top_rank
-from innsight.operators.shape import explode_pairs, nest_pairs
+from innsight.operators.shape import explode_pairs, month_pivot, nest_pairs
 from innsight.plans.spec import Page
 
 
@@ -72,3 +75,25 @@ def test_wide_to_long(spark):
     df = spark.createDataFrame([(1, 10, 20)], "mes int, lazer int, eventos int")
     got = sorted(tuple(r) for r in wide_to_long(df, ["mes"], {"lazer": "Lazer", "eventos": "Eventos"}, "cat", "g").collect())
     assert got == [(1, "Eventos", 20), (1, "Lazer", 10)]
+
+
+def test_month_pivot_fixed_columns_and_fill(spark):
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 3.0), ("a", 3, 1.0), ("b", 2, 4.0)], "k string, m int, v double")
+    out = month_pivot(df, ["k"], "m", [1, 2, 3, 4], F.sum("v"), prefix="m_", fill=0)
+    assert out.columns == ["k", "m_1", "m_2", "m_3", "m_4"]
+    assert sorted(tuple(r) for r in out.collect()) == [("a", 5.0, 0.0, 1.0, 0.0), ("b", 0.0, 4.0, 0.0, 0.0)]
+    unfilled = month_pivot(df, ["k"], "m", [2], F.sum("v"))
+    assert sorted(tuple(r) for r in unfilled.collect()) == [("a", None), ("b", 4.0)]
+
+
+def test_status_classes_may_overlap_and_miss(spark):
+    classes = {"answered": ("Respondido",), "open": ("Em Aberto",), "not answered": ("Enviado", "Em Aberto")}
+    df = spark.createDataFrame([("Em Aberto",), ("Respondido",), ("Cancelado",), (None,)], "s string")
+    got = [r.c for r in df.select(classes_of("s", classes).alias("c")).collect()]
+    assert got == [["open", "not answered"], ["answered"], [], []]
+
+
+def test_row_counts_blank_rows(spark):
+    df = spark.createDataFrame([("1", "a"), ("", " "), (None, None), ("2", None), ("nan", "NaT")], "x string, y string")
+    assert tuple(row_counts(df, ["x", "y"]).first()) == (5, 2, 3)
+    assert tuple(row_counts(df, ["x", "y"], ("nan", "NaT")).first()) == (5, 3, 2)

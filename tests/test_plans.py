@@ -52,3 +52,19 @@ def test_partition_pruning_on_item_sales(spark, scratch):
     served = Catalog(spark, {"pos_item_sales": spark.read.parquet(path), "daily_occupancy": cat.table("daily_occupancy")})
     df = run("analyze_item_sales", {"hotel": "resort_alpha", "ano": "1998", "mes": "1"}, served).rows
     assert "PartitionFilters: [isnotnull(ano" in plan(df) and "(ano#" in plan(df)
+
+
+def test_total_row_is_one_aggregate_over_one_scan(spark):
+    p = plan(entry.queries()["a11_total_row"](spark, SF_SMALL))
+    assert p.count("FileScan parquet") == 1 and "Expand" in p
+
+
+def test_month_pivot_aggregates_partially_before_the_shuffle(spark):
+    p = plan(entry.queries()["a17_month_pivot"](spark, SF_SMALL))
+    assert "partial_sum" in p and "pivotfirst" in p.lower()
+
+
+def test_status_classes_need_no_join(spark):
+    p = plan(entry.queries()["n08_status_class"](spark, SF_SMALL))
+    bound = plan(bound_catalog(spark, SF_SMALL).table("employee_sentiment_surveys"))
+    assert p.count("HashJoin") == bound.count("HashJoin") and "Generate" in p
