@@ -62,14 +62,15 @@ def _infer_sql() -> str:
 
 
 PREPARED_SQL = f"""
-SELECT sha256(concat_ws(':', '{CUSTOMER_SHEET_SOURCE}', '{CUSTOMER_SHEET_TAB}', CAST(c_custkey + 2 AS VARCHAR))) AS id,
+SELECT sha256(concat_ws(':', '{CUSTOMER_SHEET_SOURCE}', '{CUSTOMER_SHEET_TAB}', CAST(c_custkey + 2 + c_custkey // 97 AS VARCHAR))) AS id,
        c_custkey AS codigo, trim(c_name) AS nome, CAST(c_nationkey AS BIGINT) AS pais,
        CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS DOUBLE) AS saldor,
        CASE WHEN c_custkey % 13 = 0 THEN c_mktsegment || ' extra' ELSE c_mktsegment END AS segmento
-FROM customer WHERE c_custkey % 97 <> 0"""
+FROM customer"""
 
 BLANK_SQL = """
-SELECT count(*) AS data_rows, count_if(c_custkey % 97 = 0) AS blank_rows, count_if(c_custkey % 97 <> 0) AS kept_rows
+SELECT count(*) + count_if(c_custkey % 97 = 96) AS data_rows, count_if(c_custkey % 97 = 96) AS blank_rows,
+       count(*) AS kept_rows
 FROM customer"""
 
 CHECKS = {

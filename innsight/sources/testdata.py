@@ -338,29 +338,31 @@ def _new_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
 
 # --- raw string sheets for the ingest operators -----------------------------------------------
 # A spreadsheet export as the ingest job receives it: every cell text, a dirty header, decimal
-# commas, padded text, a tab inside some cells and fully blank rows; line 0 is the header.
+# commas, padded text, a tab inside some cells and fully blank lines; line 0 is the header.
 CUSTOMER_SHEET_HEADER = (" Código ", "Nome", "País", "Saldo (R$)", "Segmento", "NOME")
 CUSTOMER_SHEET_SOURCE, CUSTOMER_SHEET_TAB = "testdata-customers", "Clientes"
 
 
 def customer_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``customer`` as a raw sheet (``_c0``…``_c5``, ``_file``, ``_pos``); the position is the
-    dense customer key + 1, and every 97th customer's line is blank."""
+    """``customer`` as a raw sheet (``_c0``…``_c5``, ``_file``, ``_pos``): every customer is one
+    line, in key order, and after every 97 customers the export holds one fully blank line. The
+    position is closed-form (key + 1 + blank lines before it), so no ordering job is needed."""
     c = spark.read.parquet(f"{sf_dir.rstrip('/')}/customer.parquet")
-    blank = (F.col("c_custkey") % 97) == 0
-
-    def cell(expr):
-        return F.when(blank, F.lit("")).otherwise(expr)
-
-    return c.select(
-        cell(F.col("c_custkey").cast("string")).alias("_c0"),
-        cell(F.concat(F.lit("  "), F.col("c_name"), F.lit(" "))).alias("_c1"),
-        cell(F.col("c_nationkey").cast("string")).alias("_c2"),
-        cell(F.replace(F.col("c_acctbal").cast("decimal(12,2)").cast("string"), F.lit("."), F.lit(","))).alias("_c3"),
-        cell(F.when(F.col("c_custkey") % 13 == 0, F.concat(F.col("c_mktsegment"), F.lit("\textra")))
-             .otherwise(F.col("c_mktsegment"))).alias("_c4"),
-        cell(F.lower("c_name")).alias("_c5"),
-        F.lit("customer.parquet").alias("_file"), (F.col("c_custkey") + 1).alias("_pos"))
+    key = F.col("c_custkey")
+    pos = key + 1 + F.expr("c_custkey div 97")
+    lines = c.select(
+        key.cast("string").alias("_c0"),
+        F.concat(F.lit("  "), F.col("c_name"), F.lit(" ")).alias("_c1"),
+        F.col("c_nationkey").cast("string").alias("_c2"),
+        F.replace(F.col("c_acctbal").cast("decimal(12,2)").cast("string"), F.lit("."), F.lit(",")).alias("_c3"),
+        F.when(key % 13 == 0, F.concat(F.col("c_mktsegment"), F.lit("\textra")))
+        .otherwise(F.col("c_mktsegment")).alias("_c4"),
+        F.lower("c_name").alias("_c5"),
+        F.lit("customer.parquet").alias("_file"), pos.alias("_pos"))
+    blank = c.where(key % 97 == 96).select(
+        *[F.lit("").alias(f"_c{i}") for i in range(6)], F.lit("customer.parquet").alias("_file"),
+        (pos + 1).alias("_pos"))
+    return lines.unionByName(blank)
 
 
 def lineitem_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
