@@ -54,6 +54,7 @@ class IngestSpec:
     key_columns: tuple[str, ...] = ()       # normalised names that get a folded ``__key`` twin
     date_columns: tuple[str, ...] = ()      # normalised names that get a typed ``__date`` twin
     partition_by: tuple[str, ...] = ()
+    cluster_by: tuple[str, ...] = ()       # rows sorted by these within each written file (min/max skipping)
     database: str | None = None
     multiline: bool = False                 # quoted cells with line breaks (file not splittable)
     on_empty: str | None = None             # "drop" | "keep"; default: sheet drops, workbook keeps
@@ -305,15 +306,21 @@ def versions(spark: SparkSession, target: str, database: str | None = None) -> l
 
 
 def publish(spark: SparkSession, df: DataFrame, target: str, database: str | None = None,
-            partition_by: Sequence[str] = (), expected_rows: int | None = None, keep: int = 2) -> str:
+            partition_by: Sequence[str] = (), expected_rows: int | None = None, keep: int = 2,
+            cluster_by: Sequence[str] = ()) -> str:
     """Write ``df`` as a new version, check its count, then point the ``target`` view at it.
 
     Readers of ``target`` see the old or the new version, never a partial one; on any failure
     the view keeps pointing at the previous version (the half-written version is dropped).
+    ``cluster_by`` sorts rows within each write task (no shuffle), so every file's row groups
+    cover narrow ranges of those columns and Parquet min/max statistics skip row groups for
+    equality filters on them (e.g. year, month and the folded resort key).
     """
     version = f"{target}__v{time.time_ns()}"
     qualified = _qualified(version, database)
     try:
+        if cluster_by:
+            df = df.sortWithinPartitions(*partition_by, *cluster_by)
         writer = df.write.format("parquet").mode("errorifexists")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
@@ -356,7 +363,8 @@ def ingest(spark: SparkSession, spec: IngestSpec) -> IngestResult:
             result.ok = True
             return result
         result.version = publish(spark, prep.frame, spec.target, spec.database, spec.partition_by,
-                                 expected_rows=result.rows)
+                                 expected_rows=result.rows,
+                                 cluster_by=[c for c in spec.cluster_by if c in prep.frame.columns])
         result.action, result.ok = "published", True
     except Exception as exc:  # one failing source must not stop the catalogue (S6)
         result.error = f"{type(exc).__name__}: {exc}"

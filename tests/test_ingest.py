@@ -133,3 +133,15 @@ def test_catalogue_continues_after_a_failure(spark, scratch):
     results = ing.ingest_all(spark, [IngestSpec("bad", "pub_bad", os.path.join(scratch, "missing.csv")),
                                      IngestSpec("good", "pub_good", good)])
     assert [r.ok for r in results] == [False, True] and results[0].error
+
+
+def test_publish_clusters_rows_for_min_max_skipping(spark, scratch):
+    rows = [["Resort", "Mes", "Hosp"]] + [[f"Resort_{'ZYXWV'[i % 5]}", str(12 - i % 12), str(i)] for i in range(60)]
+    path = write_csv(scratch, "clustered.csv", rows)
+    spec = IngestSpec("clu", "pub_clustered", path, key_columns=("resort",), cluster_by=("resort__key", "mes"))
+    res = ing.ingest(spark, spec)
+    assert res.ok and res.rows == 60, res.error
+    stored = [(r.resort__key, r.mes) for r in spark.table("pub_clustered").collect()]  # one file, file order
+    assert stored == sorted(stored)
+    plan = spark.table("pub_clustered").where("resort__key = 'resort_x'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(resort__key,resort_x)" in plan
