@@ -252,7 +252,8 @@ SELECT coalesce(p.k, n.k) AS cr_key, coalesce(p.ano, n.ano) AS ano, coalesce(p.v
        coalesce(n.v, 0) AS horasnegativas
 FROM p FULL OUTER JOIN n ON p.k = n.k AND p.ano = n.ano""", "overtime_positive", "overtime_negative")),
     "j05_segment_join": (j05_segment_join, W("""
-WITH m AS (SELECT ano, mes, sum(lazer) AS gl, sum(eventos) AS ge FROM daily_occupancy GROUP BY 1, 2),
+WITH m AS (SELECT ano, mes, CAST(sum(lazer) AS BIGINT) AS gl, CAST(sum(eventos) AS BIGINT) AS ge
+           FROM daily_occupancy GROUP BY 1, 2),
 g AS (SELECT ano, mes, 'Lazer' AS categoria, gl AS guests FROM m UNION ALL
       SELECT ano, mes, 'Eventos', ge FROM m),
 s AS (SELECT ano, mes, categoria, sum(CAST(vendatotalpdv AS DECIMAL(38,4))) AS sales

@@ -69,7 +69,8 @@ SELECT sha256(concat_ws(':', '{CUSTOMER_SHEET_SOURCE}', '{CUSTOMER_SHEET_TAB}',
 FROM customer"""
 
 BLANK_SQL = """
-SELECT count(*) + count_if(c_custkey % 97 = 96) AS data_rows, count_if(c_custkey % 97 = 96) AS blank_rows,
+SELECT CAST(count(*) + count_if(c_custkey % 97 = 96) AS BIGINT) AS data_rows,
+       CAST(count_if(c_custkey % 97 = 96) AS BIGINT) AS blank_rows,
        count(*) AS kept_rows
 FROM customer"""
 

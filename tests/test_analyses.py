@@ -35,6 +35,20 @@ def test_query_matches_oracle(spark, con, key):
     assert ok, msg
 
 
+SPARK_TO_DUCKDB = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                   "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
+
+@pytest.mark.parametrize("key", sorted(QUERIES))
+def test_query_types_match_oracle(spark, con, key):
+    """Same column names and types on both sides (the driver compares schemas, not only values);
+    e.g. a DuckDB ``sum`` of integers is HUGEINT unless the oracle casts it."""
+    spark_types = {f.name: SPARK_TO_DUCKDB.get(f.dataType.simpleString(), f.dataType.simpleString().upper())
+                   for f in QUERIES[key](spark, SF_SMALL).schema.fields}
+    rel = con.sql(ORACLE[key])
+    assert spark_types == dict(zip(rel.columns, [str(t) for t in rel.types]))
+
+
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns == ["feedback_type", "total"] and df.count() >= 0
