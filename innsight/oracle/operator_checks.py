@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from innsight.functions.text import MONTH_NUMBERS, RESORT_CODES, canonical_code, month_number
+from innsight.functions.text import fold as fold_col
 from innsight.operators import filters as flt
 from innsight.oracle.bindings import with_tables as W
 from innsight.plans.registry import run
@@ -71,6 +72,21 @@ def f12_or_contains(spark, sf_dir):
         .groupBy("hospedeouemocionador").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _documents(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+
+
+def x02_fold_whole_texts(spark, sf_dir):
+    """The case and accent fold of every whole document text (as its SHA-256)."""
+    return _documents(spark, sf_dir).select("doc_id", F.sha2(fold_col("text"), 256).alias("folded_sha256"))
+
+
+def f02b_fold_contains_whole_texts(spark, sf_dir):
+    """F2 over whole texts: documents whose folded text contains a folded word."""
+    d = _documents(spark, sf_dir)
+    return d.where(flt.fold_contains("text", "ÉTÉ")).select("doc_id", "lang")
+
+
 def n02_canonical_code(spark, sf_dir):
     ma = _table(spark, sf_dir, "medical_attendances")
     return ma.select("hotel", canonical_code("hotel").alias("code")).distinct()
@@ -119,6 +135,10 @@ GROUP BY hotel""", "guest_feedback")),
 SELECT hospedeouemocionador, count(*) AS n FROM medical_attendances
 WHERE contains({fold('hospedeouemocionador')}, 'lazer') OR contains({fold('hospedeouemocionador')}, 'eventos')
 GROUP BY 1""", "medical_attendances")),
+    "x02_fold_whole_texts": (x02_fold_whole_texts, f"""
+SELECT doc_id, sha256({fold('text')}) AS folded_sha256 FROM documents"""),
+    "f02b_fold_contains_whole_texts": (f02b_fold_contains_whole_texts, f"""
+SELECT doc_id, lang FROM documents WHERE contains({fold('text')}, 'ete')"""),
     "n02_canonical_code": (n02_canonical_code, W(f"""
 SELECT DISTINCT hotel, CASE {_CODES} ELSE hotel END AS code FROM medical_attendances""", "medical_attendances")),
     "n03_month_number": (n03_month_number, f"""
