@@ -3,15 +3,18 @@ staged and published atomically.
 
 Pipeline (driver handles metadata only):
 
-    read (all string + exact row position)        S1/S2, H1
+    read header (first line of the first file)    S1/S2    (one tiny job)
     header normalise + duplicate removal          I1, I2   (driver, on column names)
-    type inference + blank-row count              I4, I6   (ONE aggregate job, one class code per cell)
+    per-split profile: row count, first row id,   H1, I4, I6  (ONE aggregate pass over the input,
+      cell-class counts per column                           checkpointed: one row per split)
     coerce, clean, drop blank rows, ids, twins    I5-I8    (one projection, codegen)
-    write versioned table, count check, swap view K1, K4, K2, K5
+    write versioned table, count check, swap view K1, K4, K2, K5  (the second and last pass)
 
 Row positions are computed without a global sort or window: per input split Spark counts rows
-and records the first ``monotonically_increasing_id``; a window over the (small) per-split table
-turns counts into offsets, which are joined back. Position = offset + (id - first id).
+and records the first ``monotonically_increasing_id``; a window over the (small, checkpointed)
+per-split table turns counts into offsets, which are joined back. Position = offset + (id - first
+id). The same per-split pass counts each column's cell classes, so type inference needs no pass
+of its own: a CSV load reads its input twice in total (profile, write).
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 
 from innsight.errors import AnalysisError
 from innsight.functions.text import clean_cell, fold
+from innsight.session import ensure_checkpoint_dir
 
 POS = "_pos"          # 0-based line position within its file (line 0 is the header)
 FILE = "_file"
@@ -112,52 +116,104 @@ def dedupe_headers(raw: Sequence) -> tuple[list[str], list[int], list[str]]:
 MAX_BROADCAST_SPLITS = 100_000   # one offsets row per split (~100 bytes): at most ~10 MB broadcast
 
 
-def estimated_splits(df: DataFrame) -> int:
-    """Upper estimate of the input splits of a file scan, from its size and file count."""
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b") or 134217728)
-    return size // max(split, 1) + len(df.inputFiles()) + 1
-
-
-def with_positions(df: DataFrame) -> DataFrame:
-    """Add ``_file`` and ``_pos`` (0-based line within its file) to a file-source DataFrame.
+@dataclass
+class SourceProfile:
+    """Types and row counts of one source, from the per-split pass (no separate inference job)."""
 
-    The offsets table has one row per input split. It is broadcast when the estimated split
-    count is bounded (``MAX_BROADCAST_SPLITS``); beyond that the join is left to AQE (a shuffle
-    on file and split, each split's rows going to one task, so no key is larger than a split).
+    types: dict
+    rows: int          # data rows (header lines excluded), blank rows included
+    blank_rows: int    # data rows blank in every kept column
+    splits: int
+
+
+def _profile_aggs(kept_cols: Sequence[str], null_tokens: Sequence[str]) -> list[Column]:
+    """Per split: rows, first row id, and per kept column the count of cells of each class
+    (1, 2, 3; see :func:`cell_class`) plus the class of the split's first row, so the header line
+    (the first row of a file's first split) can be taken out of the counts afterwards."""
+    aggs = [F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")]
+    classes = [cell_class(F.col(c), null_tokens) for c in kept_cols]
+    for i, cls in enumerate(classes):
+        aggs += [F.count_if(cls == v).alias(f"_k{i}_{v}") for v in (1, 2, 3)]
+        aggs.append(F.min_by(cls, F.col("_mid")).alias(f"_h{i}"))
+    row_max = (F.greatest(*classes) if len(classes) > 1 else classes[0]) if classes else F.lit(0)
+    aggs += [F.count_if(row_max == 0).alias("_blank"), F.min_by(row_max, F.col("_mid")).alias("_hblank")]
+    return aggs
+
+
+def _profile_of(blocks: DataFrame, names: Sequence[str]) -> SourceProfile:
+    """Reduce the per-split table (small) to column types and row counts; header lines removed."""
+    header = F.col("_block") == 0
+    aggs = [F.count(F.lit(1)).alias("_splits"), F.sum("_n").alias("_n"), F.count_if(header).alias("_headers"),
+            F.sum("_blank").alias("_blank"), F.count_if(header & (F.col("_hblank") == 0)).alias("_hblank")]
+    for i in range(len(names)):
+        for v in (2, 3):
+            aggs.append((F.sum(f"_k{i}_{v}") - F.count_if(header & (F.col(f"_h{i}") == v))).alias(f"_k{i}_{v}"))
+    row = blocks.agg(*aggs).first()
+    types = {n: TEXT if row[f"_k{i}_3"] else REAL if row[f"_k{i}_2"] else INTEGER for i, n in enumerate(names)}
+    rows = int(row["_n"] or 0) - int(row["_headers"] or 0)
+    blank = int(row["_blank"] or 0) - int(row["_hblank"] or 0)
+    return SourceProfile(types, rows, blank, int(row["_splits"]))
+
+
+def profile_splits(df: DataFrame, kept_cols: Sequence[str], names: Sequence[str],
+                   null_tokens: Sequence[str] = ()) -> tuple[DataFrame, SourceProfile]:
+    """Add ``_file`` and ``_pos`` (0-based line within its file) to a file-source DataFrame and
+    profile it, reading the input once.
+
+    The per-split table (one row per input split) is checkpointed into ``spark.checkpoint.dir``
+    so the write pass reuses it instead of re-reading the input, and lineage is cut. The offsets
+    are broadcast when the exact split count is at most ``MAX_BROADCAST_SPLITS``; beyond that the
+    join is a shuffle keyed by (file, split), each split's rows going to one task.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     meta = df.select("*", F.col("_metadata.file_path").alias(FILE),
                      F.col("_metadata.file_block_start").alias("_block"),
                      F.monotonically_increasing_id().alias("_mid"))
-    blocks = meta.groupBy(FILE, "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    blocks = meta.groupBy(FILE, "_block").agg(*_profile_aggs(kept_cols, null_tokens)).checkpoint(eager=True)
+    profile = _profile_of(blocks, names)
     before = Window.partitionBy(FILE).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))) \
         .select(FILE, "_block", "_offset", "_first")
-    if estimated_splits(df) <= MAX_BROADCAST_SPLITS:
+    if profile.splits <= MAX_BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
     joined = meta.join(offsets, [FILE, "_block"])
-    return joined.withColumn(POS, F.col("_offset") + F.col("_mid") - F.col("_first")) \
+    positioned = joined.withColumn(POS, F.col("_offset") + F.col("_mid") - F.col("_first")) \
         .drop("_block", "_mid", "_offset", "_first")
+    return positioned, profile
 
 
-def read_raw(spark: SparkSession, spec: IngestSpec) -> tuple[DataFrame, list]:
-    """All-string rows with ``_file``/``_pos`` and the raw header of the first file."""
+def read_source(spark: SparkSession, spec: IngestSpec) -> tuple[DataFrame, list, SourceProfile | None]:
+    """All-string rows with ``_file``/``_pos``, the raw header of the first file and, for CSV
+    sources, the profile (types, row counts) computed in the same single pass as the positions."""
     if spec.fmt == "parquet":
         df = spark.read.parquet(spec.path)
         data = df.select([F.col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(df.columns)]
                          + [F.col("_metadata.file_path").alias(FILE),
                             (F.col("_metadata.row_index") + 1).alias(POS)])
-        return data, list(df.columns)
+        return data, list(df.columns), None
     reader = spark.read.option("header", False).option("inferSchema", False).option("mode", "PERMISSIVE") \
         .option("multiLine", spec.multiline).option("enforceSchema", False)
     df = reader.csv(spec.path)
     files = sorted(df.inputFiles())
     if not files:
-        return df, []
+        return df, [], None
     first = reader.csv(files[0]).where(F.col("_metadata.file_block_start") == 0).limit(1).collect()
     header = list(first[0]) if first else []
-    return with_positions(df), header
+    if not header:
+        return df, [], None
+    names, kept, _ = dedupe_headers(header)
+    kept_cols = [df.columns[i] if i < len(df.columns) else None for i in kept]
+    padded = df.select("*", *[F.lit(None).cast("string").alias(f"_pad{i}") for i, c in enumerate(kept_cols) if c is None])
+    kept_cols = [c if c is not None else f"_pad{i}" for i, c in enumerate(kept_cols)]
+    null_tokens = WORKBOOK_NULLS if spec.profile == "workbook" else ()
+    positioned, profile = profile_splits(padded, kept_cols, names, null_tokens)
+    return positioned.drop(*[c for c in padded.columns if c.startswith("_pad")]), header, profile
+
+
+def read_raw(spark: SparkSession, spec: IngestSpec) -> tuple[DataFrame, list]:
+    """All-string rows with ``_file``/``_pos`` and the raw header of the first file."""
+    raw, header, _ = read_source(spark, spec)
+    return raw, header
 
 
 # --- I4 / I6: inference (one aggregate) ------------------------------------------------------
@@ -268,15 +324,19 @@ class Prepared:
     warnings: list
 
 
-def prepare(raw: DataFrame, header: Sequence, spec: IngestSpec) -> Prepared:
-    """Typed, cleaned, id'd rows of one source (lazy frame + metadata from one inference job)."""
+def prepare(raw: DataFrame, header: Sequence, spec: IngestSpec, profile: SourceProfile | None = None) -> Prepared:
+    """Typed, cleaned, id'd rows of one source (lazy frame + metadata). Types and counts come from
+    ``profile`` when the read already computed them, else from one inference job."""
     names, kept, warnings = dedupe_headers(header)
     null_tokens = WORKBOOK_NULLS if spec.profile == "workbook" else ()
     raw_cols = [c for c in raw.columns if c not in (FILE, POS)]
     source = raw.where(F.col(POS) >= 1).select(
         FILE, POS, *[(F.col(raw_cols[i]) if i < len(raw_cols) else F.lit(None).cast("string")).alias(n)
                      for n, i in zip(names, kept)])
-    types, rows, blank_rows = infer_types(source, names, null_tokens)
+    if profile is not None:
+        types, rows, blank_rows = profile.types, profile.rows, profile.blank_rows
+    else:
+        types, rows, blank_rows = infer_types(source, names, null_tokens)
     many_files = len(raw.inputFiles()) > 1 if spec.fmt == "csv" else False
     typed = source.select(row_id(spec, many_files).alias("id"),
                           *[coerce(F.col(n), types[n], null_tokens).alias(n) for n in names])
@@ -345,14 +405,14 @@ def ingest(spark: SparkSession, spec: IngestSpec) -> IngestResult:
     """Load one source end to end; never raises (the error is in the result)."""
     result = IngestResult(spec.source_id, spec.target)
     try:
-        raw, header = read_raw(spark, spec)
+        raw, header, profile = read_source(spark, spec)
         if not header:
             result.action = "dropped" if spec.empty_action == "drop" else "kept"
             if spec.empty_action == "drop":
                 drop_target(spark, spec.target, spec.database)
             result.ok = True
             return result
-        prep = prepare(raw, header, spec)
+        prep = prepare(raw, header, spec, profile)
         result.types, result.warnings = prep.types, prep.warnings
         result.blank_rows = prep.blank_rows
         result.rows = prep.rows - prep.blank_rows

@@ -145,3 +145,38 @@ def test_publish_clusters_rows_for_min_max_skipping(spark, scratch):
     assert stored == sorted(stored)
     plan = spark.table("pub_clustered").where("resort__key = 'resort_x'")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(resort__key,resort_x)" in plan
+
+
+@pytest.mark.parametrize("lines,kw", [
+    ([["ints", "dec", "thousands", "blank", "trail", "expo"], ["1", "1,5", "1.234,56", "", "12.", "1e5"],
+      ["2", "2", "7", " ", "3", "2"]], {}),
+    ([["a", "b", "c"], ["", "", ""], ["1", "x"], ["", " ", ""], ["2", "y", "z", "extra"], ["", "", ""]], {}),
+    ([["a", "A", "b"], ["1", "x", ""], ["", "", ""]], {}),
+    ([["qtd", "nome"], ["1", "nan"], ["nan", "Ana"], ["NaT", "nan"]], {"profile": "workbook"}),
+    ([["n", "v"]], {}),
+])
+def test_single_pass_profile_equals_inference_job(spark, scratch, lines, kw):
+    spec = IngestSpec("p", "t_profile", write_csv(scratch, "p.csv", lines), **kw)
+    raw, head, profile = ing.read_source(spark, spec)
+    by_job = ing.prepare(raw, head, spec)
+    assert (profile.types, profile.rows, profile.blank_rows) == (by_job.types, by_job.rows, by_job.blank_rows)
+
+
+def test_single_pass_profile_across_splits_and_files(spark, scratch):
+    folder = os.path.join(scratch, "many")
+    os.makedirs(folder)
+    for k in range(3):
+        rows = [["line", "valor", "texto"]] + [[str(i), f"{i % 7},5" if k == 1 else str(i % 7), "" if i % 5 else "t"]
+                                               for i in range(4000 * (k + 1))] + [["", "", ""]]
+        write_csv(folder, f"part{k}.csv", rows)
+    spec = IngestSpec("m", "t_many", folder)
+    previous = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+        raw, head, profile = ing.read_source(spark, spec)
+        assert profile.splits > 3
+        by_job = ing.prepare(raw, head, spec)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", previous)
+    assert profile.types == by_job.types == {"line": "INTEGER", "valor": "REAL", "texto": "TEXT"}
+    assert (profile.rows, profile.blank_rows) == (by_job.rows, by_job.blank_rows) == (24003, 3)
