@@ -59,3 +59,20 @@ def test_total_row_equals_sum_of_groups(spark, rows):
     total = [r.s for r in out if r.row_kind == "total"]
     assert total == [sum(r[2] for r in rows)]
     assert sum(r.s for r in out if r.row_kind == "detail") == sum(r[2] for r in rows)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(CELL, CELL), min_size=0, max_size=10))
+def test_single_pass_csv_profile_equals_python_rule(spark, rows):
+    import csv
+    import os
+    import tempfile
+    folder = tempfile.mkdtemp(prefix="innsight-prop-")
+    path = os.path.join(folder, "sheet.csv")
+    with open(path, "w", newline="", encoding="utf-8") as fh:
+        csv.writer(fh).writerows([["a", "b"], *rows])
+    _raw, header, profile = ing.read_source(spark, ing.IngestSpec("p", "t_prop", path))
+    assert header == ["a", "b"]
+    assert profile.types == {"a": python_type([r[0] for r in rows]), "b": python_type([r[1] for r in rows])}
+    assert profile.rows == len(rows)
+    assert profile.blank_rows == sum(1 for r in rows if all(not c.strip() for c in r))
