@@ -126,29 +126,28 @@ class SourceProfile:
     splits: int
 
 
-def _profile_aggs(kept_cols: Sequence[str], null_tokens: Sequence[str]) -> list[Column]:
-    """Per split: rows, first row id, and per kept column the count of cells of each class
-    (1, 2, 3; see :func:`cell_class`) plus the class of the split's first row, so the header line
-    (the first row of a file's first split) can be taken out of the counts afterwards."""
-    aggs = [F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")]
-    classes = [cell_class(F.col(c), null_tokens) for c in kept_cols]
-    for i, cls in enumerate(classes):
-        aggs += [F.count_if(cls == v).alias(f"_k{i}_{v}") for v in (1, 2, 3)]
-        aggs.append(F.min_by(cls, F.col("_mid")).alias(f"_h{i}"))
-    row_max = (F.greatest(*classes) if len(classes) > 1 else classes[0]) if classes else F.lit(0)
-    aggs += [F.count_if(row_max == 0).alias("_blank"), F.min_by(row_max, F.col("_mid")).alias("_hblank")]
-    return aggs
+def _profile_aggs(n_cols: int) -> list[Column]:
+    """Per split: rows, first row id, and per kept column (projected class ``_k<i>``) the count of
+    cells of class 2 (number with a separator) and 3 (text; see :func:`cell_class`) plus the class
+    of the split's first row, so the header line (the first row of a file's first split) can be
+    taken out of the counts afterwards. Three aggregates per column; the type rule needs no other
+    counts. Written as SQL expressions: one call per expression however wide the sheet is."""
+    row_max = f"greatest({', '.join(f'_k{i}' for i in range(n_cols))})" if n_cols > 1 else \
+        ("_k0" if n_cols else "0")
+    exprs = ["count(1) AS _n", "min(_mid) AS _first"]
+    for i in range(n_cols):
+        exprs += [f"count_if(_k{i} = 2) AS _k{i}_2", f"count_if(_k{i} = 3) AS _k{i}_3", f"min_by(_k{i}, _mid) AS _h{i}"]
+    exprs += [f"count_if({row_max} = 0) AS _blank", f"min_by({row_max}, _mid) AS _hblank"]
+    return [F.expr(e) for e in exprs]
 
 
 def _profile_of(blocks: DataFrame, names: Sequence[str]) -> SourceProfile:
     """Reduce the per-split table (small) to column types and row counts; header lines removed."""
-    header = F.col("_block") == 0
-    aggs = [F.count(F.lit(1)).alias("_splits"), F.sum("_n").alias("_n"), F.count_if(header).alias("_headers"),
-            F.sum("_blank").alias("_blank"), F.count_if(header & (F.col("_hblank") == 0)).alias("_hblank")]
+    exprs = ["count(1) AS _splits", "sum(_n) AS _n", "count_if(_block = 0) AS _headers", "sum(_blank) AS _blank",
+             "count_if(_block = 0 AND _hblank = 0) AS _hblank"]
     for i in range(len(names)):
-        for v in (2, 3):
-            aggs.append((F.sum(f"_k{i}_{v}") - F.count_if(header & (F.col(f"_h{i}") == v))).alias(f"_k{i}_{v}"))
-    row = blocks.agg(*aggs).first()
+        exprs += [f"sum(_k{i}_{v}) - count_if(_block = 0 AND _h{i} = {v}) AS _k{i}_{v}" for v in (2, 3)]
+    row = blocks.agg(*[F.expr(e) for e in exprs]).first()
     types = {n: TEXT if row[f"_k{i}_3"] else REAL if row[f"_k{i}_2"] else INTEGER for i, n in enumerate(names)}
     rows = int(row["_n"] or 0) - int(row["_headers"] or 0)
     blank = int(row["_blank"] or 0) - int(row["_hblank"] or 0)
@@ -169,7 +168,9 @@ def profile_splits(df: DataFrame, kept_cols: Sequence[str], names: Sequence[str]
     meta = df.select("*", F.col("_metadata.file_path").alias(FILE),
                      F.col("_metadata.file_block_start").alias("_block"),
                      F.monotonically_increasing_id().alias("_mid"))
-    blocks = meta.groupBy(FILE, "_block").agg(*_profile_aggs(kept_cols, null_tokens)).checkpoint(eager=True)
+    classes = meta.select(FILE, "_block", "_mid",
+                          *[F.expr(cell_class_sql(c, null_tokens)).alias(f"_k{i}") for i, c in enumerate(kept_cols)])
+    blocks = classes.groupBy(FILE, "_block").agg(*_profile_aggs(len(kept_cols))).checkpoint(eager=True)
     profile = _profile_of(blocks, names)
     before = Window.partitionBy(FILE).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))) \
@@ -226,20 +227,28 @@ def _blank(c: Column, null_tokens: Sequence[str] = ()) -> Column:
     return blank
 
 
-def cell_class(c: Column, null_tokens: Sequence[str] = ()) -> Column:
-    """0 blank, 1 number without separator, 2 number with ``.``/``,``, 3 anything else.
+def cell_class_sql(name: str, null_tokens: Sequence[str] = ()) -> str:
+    """0 blank, 1 number without separator, 2 number with ``.``/``,``, 3 anything else, as a SQL
+    expression over the column ``name``.
 
     The column type is then ``max`` of the classes: 3 → TEXT, 2 → REAL, otherwise INTEGER
-    (an all-blank column is INTEGER). One regex evaluation per cell.
+    (an all-blank column is INTEGER). One regex evaluation per cell. Stated once as SQL text so a
+    sheet of any width costs one expression per column to plan.
     """
-    return (F.when(_blank(c, null_tokens), F.lit(0))
-            .when(~c.rlike(NUMBER_PATTERN), F.lit(3))
-            .when(c.contains(".") | c.contains(","), F.lit(2))
-            .otherwise(F.lit(1)))
+    c = "`" + name.replace("`", "``") + "`"
+    tokens = "".join(" OR {} = '{}'".format(c, t.replace("'", "''")) for t in null_tokens)
+    return (f"CASE WHEN {c} IS NULL OR trim({c}) = ''{tokens} THEN 0 "
+            f"WHEN NOT ({c} RLIKE r'{NUMBER_PATTERN}') THEN 3 "
+            f"WHEN contains({c}, '.') OR contains({c}, ',') THEN 2 ELSE 1 END")
+
+
+def cell_class(c: str, null_tokens: Sequence[str] = ()) -> Column:
+    """Column form of :func:`cell_class_sql` for the column named ``c``."""
+    return F.expr(cell_class_sql(c, null_tokens))
 
 
 def _classified(df: DataFrame, columns: Sequence[str], null_tokens: Sequence[str]) -> DataFrame:
-    return df.select(*[cell_class(F.col(c), null_tokens).alias(c) for c in columns])
+    return df.select(*[cell_class(c, null_tokens).alias(c) for c in columns])
 
 
 def _class_aggs(columns: Sequence[str]) -> list[Column]:

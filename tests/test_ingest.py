@@ -180,3 +180,15 @@ def test_single_pass_profile_across_splits_and_files(spark, scratch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", previous)
     assert profile.types == by_job.types == {"line": "INTEGER", "valor": "REAL", "texto": "TEXT"}
     assert (profile.rows, profile.blank_rows) == (by_job.rows, by_job.blank_rows) == (24003, 3)
+
+
+def test_wide_sheet_profile(spark, scratch):
+    width = 120
+    lines = [[f"coluna {j}" for j in range(width)]] + \
+        [[("" if (i + j) % 9 == 0 else str(i * j) if j % 3 else f"{i},{j}" if j % 2 else f"t{i}") for j in range(width)]
+         for i in range(40)]
+    spec = IngestSpec("w", "t_wide", write_csv(scratch, "wide.csv", lines))
+    raw, head, profile = ing.read_source(spark, spec)
+    by_job = ing.prepare(raw, head, spec)
+    assert len(profile.types) == width and profile.types == by_job.types
+    assert (profile.rows, profile.blank_rows) == (by_job.rows, by_job.blank_rows) == (40, 0)
