@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from innsight.errors import AnalysisError
-from innsight.functions.text import clean_cell, fold
+from innsight.functions.text import fold
 from innsight.session import ensure_checkpoint_dir
 
 POS = "_pos"          # 0-based line position within its file (line 0 is the header)
@@ -219,12 +219,14 @@ def read_raw(spark: SparkSession, spec: IngestSpec) -> tuple[DataFrame, list]:
 
 # --- I4 / I6: inference (one aggregate) ------------------------------------------------------
 
-def _blank(c: Column, null_tokens: Sequence[str] = ()) -> Column:
-    trimmed = F.trim(c)
-    blank = c.isNull() | (trimmed == F.lit(""))
-    for token in null_tokens:
-        blank = blank | (c == F.lit(token))
-    return blank
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _blank_sql(c: str, null_tokens: Sequence[str] = ()) -> str:
+    """Blank cell: NULL, only spaces, or one of the profile's null tokens."""
+    tokens = "".join(" OR {} = '{}'".format(c, t.replace("'", "''")) for t in null_tokens)
+    return f"({c} IS NULL OR trim({c}) = ''{tokens})"
 
 
 def cell_class_sql(name: str, null_tokens: Sequence[str] = ()) -> str:
@@ -235,9 +237,8 @@ def cell_class_sql(name: str, null_tokens: Sequence[str] = ()) -> str:
     (an all-blank column is INTEGER). One regex evaluation per cell. Stated once as SQL text so a
     sheet of any width costs one expression per column to plan.
     """
-    c = "`" + name.replace("`", "``") + "`"
-    tokens = "".join(" OR {} = '{}'".format(c, t.replace("'", "''")) for t in null_tokens)
-    return (f"CASE WHEN {c} IS NULL OR trim({c}) = ''{tokens} THEN 0 "
+    c = _quoted(name)
+    return (f"CASE WHEN {_blank_sql(c, null_tokens)} THEN 0 "
             f"WHEN NOT ({c} RLIKE r'{NUMBER_PATTERN}') THEN 3 "
             f"WHEN contains({c}, '.') OR contains({c}, ',') THEN 2 ELSE 1 END")
 
@@ -292,15 +293,20 @@ def row_counts(df: DataFrame, columns: Sequence[str], null_tokens: Sequence[str]
 
 # --- I5 / I8: coercion ----------------------------------------------------------------------
 
-def coerce(c: Column, type_: str, null_tokens: Sequence[str] = ()) -> Column:
+def coerce_sql(name: str, type_: str, null_tokens: Sequence[str] = ()) -> str:
     """Trim; blank → NULL; decimal comma → dot; INTEGER truncates toward zero; failure → NULL.
-    Text cells also get I8 (tab, CR, LF → space)."""
-    trimmed = F.trim(c)
-    value = F.when(~_blank(c, null_tokens), trimmed)
+    Text cells also get I8 (tab, CR, LF → space). A SQL expression over the column ``name``."""
+    c = _quoted(name)
+    value = f"CASE WHEN NOT {_blank_sql(c, null_tokens)} THEN trim({c}) END"
     if type_ == TEXT:
-        return clean_cell(value)
-    as_double = F.replace(value, F.lit(","), F.lit(".")).try_cast("double")
-    return as_double if type_ == REAL else as_double.try_cast("bigint")
+        return rf"regexp_replace({value}, r'[\t\r\n]', ' ')"
+    as_double = f"try_cast(replace({value}, ',', '.') AS DOUBLE)"
+    return as_double if type_ == REAL else f"try_cast({as_double} AS BIGINT)"
+
+
+def coerce(name: str, type_: str, null_tokens: Sequence[str] = ()) -> Column:
+    """Column form of :func:`coerce_sql`."""
+    return F.expr(coerce_sql(name, type_, null_tokens))
 
 
 def row_id(spec: IngestSpec, many_files: bool) -> Column:
@@ -348,11 +354,12 @@ def prepare(raw: DataFrame, header: Sequence, spec: IngestSpec, profile: SourceP
         types, rows, blank_rows = infer_types(source, names, null_tokens)
     many_files = len(raw.inputFiles()) > 1 if spec.fmt == "csv" else False
     typed = source.select(row_id(spec, many_files).alias("id"),
-                          *[coerce(F.col(n), types[n], null_tokens).alias(n) for n in names])
-    not_blank = F.lit(False)
-    for n in names:
-        not_blank = not_blank | (F.col(n).isNotNull() & (F.col(n).cast("string") != F.lit("")))
-    typed = typed.where(not_blank)
+                          *[coerce(n, types[n], null_tokens).alias(n) for n in names])
+    if names:  # I6: a row survives when any column holds a value
+        typed = typed.where(" OR ".join(f"({_quoted(n)} IS NOT NULL AND CAST({_quoted(n)} AS STRING) <> '')"
+                                        for n in names))
+    else:
+        typed = typed.where(F.lit(False))
     twins = {f"{n}__key": fold(F.col(n)) for n in spec.key_columns if n in names}
     twins.update({f"{n}__date": date_twin(F.col(n)) for n in spec.date_columns if n in names})
     if twins:
