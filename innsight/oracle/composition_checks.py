@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from innsight.functions.numeric import percent_columns, round_value, safe_ratio
 from innsight.functions.text import classes_of, fold, fold_py
 from innsight.operators import filters as flt
-from innsight.operators.aggregate import distinct_text, weighted_mean, with_total
-from innsight.operators.combine import full_balance, segment_join, wide_to_long
-from innsight.operators.listing import page
+from innsight.operators.aggregate import distinct_text, ranked_count, weighted_mean, with_total
+from innsight.operators.combine import full_balance, scalar_ratio, segment_join, wide_to_long
+from innsight.operators.listing import iso_date, page
 from innsight.operators.rank import top_rank
 from innsight.operators.shape import month_pivot
 from innsight.oracle.bindings import with_tables as W
+from innsight.plans.common import date_col, max_iso
 from innsight.plans.sentiment import STATUS_CLASSES
 from innsight.plans.spec import Page
 from innsight.sources.testdata import testdata_catalog
@@ -186,6 +187,57 @@ def l03_page(spark, sf_dir):
     return rows.select("id", "resort", "pdv", "vendatotalpdv")
 
 
+# --- freshness, ranked counts, scalar combination, unpivot, null order -------------------------
+
+def a06_oldest_freshness(spark, sf_dir):
+    """A6 + P9: per resort the latest feedback and occupancy dates (ISO text) and the older of
+    the two (NULL-tolerant)."""
+    gf, occ = _t(spark, sf_dir, "guest_feedback"), _t(spark, sf_dir, "daily_occupancy")
+    fb = gf.groupBy(F.col("hotel").alias("resort")).agg(max_iso(gf, "datapreenchimento").alias("feedback_until"))
+    oc = occ.groupBy("resort").agg(max_iso(occ, "data").alias("occupancy_until"))
+    both = fb.join(oc, "resort", "full_outer")
+    return both.select("resort", "feedback_until", "occupancy_until",
+                       F.least("feedback_until", "occupancy_until").alias("data_until"))
+
+
+def a09_ranked_count(spark, sf_dir):
+    """Comments per non-empty keyword over the whole table, first page by count."""
+    gf = _t(spark, sf_dir, "guest_feedback")
+    counted = ranked_count(gf.where(flt.not_blank("palavrachave")), "palavrachave", "keyword")
+    return page(counted, [("total", "desc"), ("keyword", "asc")], Page(limit=20))
+
+
+def j04_scalar_ratio(spark, sf_dir):
+    """Two independent one-row aggregates (all complaints, all guests) combined 1 × 1."""
+    gf, occ = _t(spark, sf_dir, "guest_feedback"), _t(spark, sf_dir, "daily_occupancy")
+    complaints = gf.where(F.col("tipocomentario") == F.lit("Reclamação")).agg(
+        F.count(F.lit(1)).alias("total_complaints"))
+    guests = occ.agg(F.coalesce(F.sum("hosptotal"), F.lit(0)).alias("total_guests"))
+    return scalar_ratio(complaints, guests).select(
+        "total_complaints", "total_guests",
+        safe_ratio("total_complaints", "total_guests").alias("complaints_per_100_guests"))
+
+
+def j06_wide_to_long(spark, sf_dir):
+    """Accommodation revenue columns (leisure, events) as one row per category."""
+    acc = _t(spark, sf_dir, "accommodation_revenue")
+    return wide_to_long(acc, ["hotel", "ano", "mes"], {"lazer": "Lazer", "eventos": "Eventos"}, "categoria", "revenue")
+
+
+def l01_null_order(spark, sf_dir):
+    """L1: distinct keywords descending, NULL first (the analysed database's DESC order), first
+    page of 10."""
+    gf = _t(spark, sf_dir, "guest_feedback")
+    keywords = gf.select(F.col("palavrachave").alias("keyword")).distinct()
+    return page(keywords, [("keyword", "desc")], Page(limit=10))
+
+
+def p09_iso_dates(spark, sf_dir):
+    """Freshness as ISO date text per resort and year, from text timestamps."""
+    gf = _t(spark, sf_dir, "guest_feedback")
+    return gf.groupBy("hotel", "ano").agg(iso_date(F.max(date_col(gf, "datapreenchimento"))).alias("data_until"))
+
+
 # --- SQL ---------------------------------------------------------------------------------------
 
 _CLASS_VALUES = ", ".join(f"('{k}', '{v}')" for k, vs in CLASSES.items() for v in vs)
@@ -280,4 +332,32 @@ SELECT ano, rank_num, item, CAST(total AS DOUBLE) AS total FROM r WHERE rank_num
     "l03_page": (l03_page, W("""
 SELECT id, resort, pdv, vendatotalpdv FROM extra_revenue
 ORDER BY vendatotalpdv DESC NULLS FIRST, id ASC NULLS LAST LIMIT 20 OFFSET 40""", "extra_revenue")),
+    "a06_oldest_freshness": (a06_oldest_freshness, W("""
+WITH f AS (SELECT hotel AS resort, substr(max(datapreenchimento), 1, 10) AS feedback_until
+           FROM guest_feedback GROUP BY 1),
+o AS (SELECT resort, CAST(max(data__date) AS VARCHAR) AS occupancy_until FROM daily_occupancy GROUP BY 1)
+SELECT coalesce(f.resort, o.resort) AS resort, feedback_until, occupancy_until,
+       least(feedback_until, occupancy_until) AS data_until
+FROM f FULL OUTER JOIN o ON f.resort = o.resort""", "guest_feedback", "daily_occupancy")),
+    "a09_ranked_count": (a09_ranked_count, W("""
+SELECT palavrachave AS keyword, count(*) AS total FROM guest_feedback
+WHERE palavrachave IS NOT NULL AND palavrachave <> ''
+GROUP BY 1 ORDER BY total DESC NULLS FIRST, keyword ASC NULLS LAST LIMIT 20""", "guest_feedback")),
+    "j04_scalar_ratio": (j04_scalar_ratio, W("""
+WITH c AS (SELECT count(*) AS n FROM guest_feedback WHERE tipocomentario = 'Reclamação'),
+g AS (SELECT CAST(coalesce(sum(hosptotal), 0) AS BIGINT) AS g FROM daily_occupancy)
+SELECT n AS total_complaints, g AS total_guests,
+       CASE WHEN g > 0 THEN round(CAST(n AS DOUBLE) / CAST(g AS DOUBLE) * 100, 2) ELSE 0.0 END
+       AS complaints_per_100_guests
+FROM c, g""", "guest_feedback", "daily_occupancy")),
+    "j06_wide_to_long": (j06_wide_to_long, W("""
+SELECT hotel, ano, mes, 'Lazer' AS categoria, lazer AS revenue FROM accommodation_revenue
+UNION ALL
+SELECT hotel, ano, mes, 'Eventos', eventos FROM accommodation_revenue""", "accommodation_revenue")),
+    "l01_null_order": (l01_null_order, W("""
+SELECT DISTINCT palavrachave AS keyword FROM guest_feedback ORDER BY keyword DESC NULLS FIRST LIMIT 10""",
+                                         "guest_feedback")),
+    "p09_iso_dates": (p09_iso_dates, W("""
+SELECT hotel, ano, substr(max(datapreenchimento), 1, 10) AS data_until FROM guest_feedback GROUP BY 1, 2""",
+                                       "guest_feedback")),
 }
