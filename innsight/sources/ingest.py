@@ -26,12 +26,12 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Iterable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from innsight.errors import AnalysisError
 from innsight.functions.text import fold
-from innsight.session import ensure_checkpoint_dir
 
 POS = "_pos"          # 0-based line position within its file (line 0 is the header)
 FILE = "_file"
@@ -154,23 +154,36 @@ def _profile_of(blocks: DataFrame, names: Sequence[str]) -> SourceProfile:
     return SourceProfile(types, rows, blank, int(row["_splits"]))
 
 
+def _materialise_small(df: DataFrame) -> DataFrame:
+    """Compute a small frame once for several later jobs. When the session names a checkpoint
+    directory (the shared folder of the cluster) it is checkpointed there, cutting lineage; when
+    none is named it is persisted instead (an executor loss recomputes the lost blocks from
+    lineage), never written to a folder invented on one machine."""
+    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return df.checkpoint(eager=True)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept.count()
+    return kept
+
+
 def profile_splits(df: DataFrame, kept_cols: Sequence[str], names: Sequence[str],
                    null_tokens: Sequence[str] = ()) -> tuple[DataFrame, SourceProfile]:
     """Add ``_file`` and ``_pos`` (0-based line within its file) to a file-source DataFrame and
     profile it, reading the input once.
 
-    The per-split table (one row per input split) is checkpointed into ``spark.checkpoint.dir``
-    so the write pass reuses it instead of re-reading the input, and lineage is cut. The offsets
+    The per-split table (one row per input split) is materialised once (:func:`_materialise_small`)
+    so the write pass reuses it instead of re-reading the input. The offsets
     are broadcast when the exact split count is at most ``MAX_BROADCAST_SPLITS``; beyond that the
     join is a shuffle keyed by (file, split), each split's rows going to one task.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     meta = df.select("*", F.col("_metadata.file_path").alias(FILE),
                      F.col("_metadata.file_block_start").alias("_block"),
                      F.monotonically_increasing_id().alias("_mid"))
     classes = meta.select(FILE, "_block", "_mid",
                           *[F.expr(cell_class_sql(c, null_tokens)).alias(f"_k{i}") for i, c in enumerate(kept_cols)])
-    blocks = classes.groupBy(FILE, "_block").agg(*_profile_aggs(len(kept_cols))).checkpoint(eager=True)
+    blocks = _materialise_small(classes.groupBy(FILE, "_block").agg(*_profile_aggs(len(kept_cols))))
     profile = _profile_of(blocks, names)
     before = Window.partitionBy(FILE).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))) \

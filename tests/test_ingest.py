@@ -192,3 +192,18 @@ def test_wide_sheet_profile(spark, scratch):
     by_job = ing.prepare(raw, head, spec)
     assert len(profile.types) == width and profile.types == by_job.types
     assert (profile.rows, profile.blank_rows) == (by_job.rows, by_job.blank_rows) == (40, 0)
+
+
+def test_profile_without_a_named_checkpoint_dir_persists(spark, scratch, monkeypatch):
+    conf_type = type(spark.conf)
+    real_get = conf_type.get
+    monkeypatch.setattr(conf_type, "get", lambda self, key, *a: None if key == "spark.checkpoint.dir"
+                        else real_get(self, key, *a))
+    monkeypatch.setattr(spark.sparkContext, "getCheckpointDir", lambda: None)
+    small = spark.range(5)
+    kept = ing._materialise_small(small)
+    assert kept.storageLevel.useDisk and kept.count() == 5
+    kept.unpersist()
+    path = write_csv(scratch, "nockpt.csv", [["a", "b"], ["1", "x"], ["", ""], ["2,5", "y"]])
+    raw, head, profile = ing.read_source(spark, IngestSpec("s", "t_nockpt", path))
+    assert (profile.types, profile.rows, profile.blank_rows) == ({"a": "REAL", "b": "TEXT"}, 3, 1)
