@@ -174,9 +174,9 @@ def profile_splits(df: DataFrame, kept_cols: Sequence[str], names: Sequence[str]
     profile it, reading the input once.
 
     The per-split table (one row per input split) is materialised once (:func:`_materialise_small`)
-    so the write pass reuses it instead of re-reading the input. The offsets
-    are broadcast when the exact split count is at most ``MAX_BROADCAST_SPLITS``; beyond that the
-    join is a shuffle keyed by (file, split), each split's rows going to one task.
+    so the write pass reuses it instead of re-reading the input. The offsets are broadcast when
+    the exact split count is at most ``MAX_BROADCAST_SPLITS``; beyond that the join is a shuffle
+    keyed by (file, split), each split's rows going to one task.
     """
     meta = df.select("*", F.col("_metadata.file_path").alias(FILE),
                      F.col("_metadata.file_block_start").alias("_block"),
