@@ -207,3 +207,39 @@ def test_profile_without_a_named_checkpoint_dir_persists(spark, scratch, monkeyp
     path = write_csv(scratch, "nockpt.csv", [["a", "b"], ["1", "x"], ["", ""], ["2,5", "y"]])
     raw, head, profile = ing.read_source(spark, IngestSpec("s", "t_nockpt", path))
     assert (profile.types, profile.rows, profile.blank_rows) == ({"a": "REAL", "b": "TEXT"}, 3, 1)
+
+
+def _rows_read_by_scan(df):
+    """Rows the Parquet scan returned (after row-group skipping) for an executed query."""
+    df.collect()
+
+    def walk(plan):
+        total = 0
+        if plan.nodeName().startswith("Scan parquet") and plan.metrics().contains("numOutputRows"):
+            total += plan.metrics().apply("numOutputRows").value()
+        children = plan.children().iterator()
+        while children.hasNext():
+            total += walk(children.next())
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            total += walk(plan.executedPlan())
+        return total
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_clustered_publish_lets_parquet_skip_row_groups(spark):
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    previous = hadoop.get("parquet.block.size")
+    hadoop.set("parquet.block.size", str(256 * 1024))  # several row groups in one small file
+    try:
+        df = spark.range(200000).select((F.col("id") % 50).cast("string").alias("k"), F.col("id").alias("v"),
+                                        F.sha2(F.col("id").cast("string"), 256).alias("pad")).coalesce(1)
+        ing.publish(spark, df, "rg_plain")
+        ing.publish(spark, df, "rg_clustered", cluster_by=["k"])
+        plain = _rows_read_by_scan(spark.table("rg_plain").where(F.col("k") == "7"))
+        clustered = _rows_read_by_scan(spark.table("rg_clustered").where(F.col("k") == "7"))
+    finally:
+        if previous is None:
+            hadoop.unset("parquet.block.size")
+        else:
+            hadoop.set("parquet.block.size", previous)
+    assert plain == 200000 and clustered < plain / 10
