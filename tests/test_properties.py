@@ -76,3 +76,56 @@ def test_single_pass_csv_profile_equals_python_rule(spark, rows):
     assert profile.types == {"a": python_type([r[0] for r in rows]), "b": python_type([r[1] for r in rows])}
     assert profile.rows == len(rows)
     assert profile.blank_rows == sum(1 for r in rows if all(not c.strip() for c in r))
+
+
+RESORTISH = st.one_of(st.sampled_from(["Resort_Alpha", "RESORT_BÉTA", "resort_gamma 2", "x resort_delta",
+                                       "Resort Épsilon", "all_resorts", "", "outro"]), LATIN)
+MONTHISH = st.one_of(st.sampled_from(["janeiro", "Fev", "MARÇO", "marco", " abr ", "07", "7", "12", "13", "dez",
+                                      "x", ""]), st.text(alphabet="0123456789 ", max_size=3))
+
+
+@SETTINGS
+@given(st.lists(RESORTISH, min_size=1, max_size=10))
+def test_canonical_code_column_equals_python_twin(spark, values):
+    from innsight.functions.text import RESORT_CODES, canonical_code, canonical_code_py
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = [r[0] for r in df.select(canonical_code("v")).collect()]
+    assert got == [canonical_code_py(v, RESORT_CODES) for v in values]
+
+
+@SETTINGS
+@given(st.lists(MONTHISH, min_size=1, max_size=10))
+def test_month_number_column_equals_python_twin(spark, values):
+    from innsight.functions.text import month_number, month_number_py
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = [r[0] for r in df.select(month_number("v")).collect()]
+    expected = [m if isinstance(m, int) else None for m in (month_number_py(v) for v in values)]
+    assert got == expected
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["a", "b"]), st.integers(-50, 50), st.integers(0, 5)),
+                min_size=1, max_size=15))
+def test_weighted_mean_equals_python(spark, rows):
+    from innsight.operators.aggregate import weighted_mean
+    df = spark.createDataFrame([(k, float(v), w) for k, v, w in rows], "k string, v double, w int")
+    got = {r.k: r.m for r in df.groupBy("k").agg(weighted_mean("v", "w").alias("m")).collect()}
+    for k in got:
+        ws = [(v, w) for kk, v, w in rows if kk == k]
+        total = sum(w for _, w in ws)
+        want = None if total == 0 else sum(v * w for v, w in ws) / total
+        assert (got[k] is None and want is None) or abs(got[k] - want) < 1e-9
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(1, 12), st.integers(-9, 9)),
+                min_size=0, max_size=20), st.lists(st.integers(1, 12), min_size=1, max_size=4, unique=True))
+def test_month_pivot_equals_python(spark, rows, months):
+    from innsight.operators.shape import month_pivot
+    df = spark.createDataFrame(rows, "k string, m int, v int")
+    out = month_pivot(df, ["k"], "m", months, F.sum("v"), prefix="m_", fill=0)
+    assert out.columns == ["k"] + [f"m_{m}" for m in months]
+    got = {r.k: tuple(r[f"m_{m}"] for m in months) for r in out.collect()}
+    want = {k: tuple(sum(v for kk, mm, v in rows if kk == k and mm == m) for m in months)
+            for k in {r[0] for r in rows}}
+    assert got == want
