@@ -129,3 +129,14 @@ def test_month_pivot_equals_python(spark, rows, months):
     want = {k: tuple(sum(v for kk, mm, v in rows if kk == k and mm == m) for m in months)
             for k in {r[0] for r in rows}}
     assert got == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(LATIN, st.sampled_from(["id", "ID", " Id ", "", "Mês", "Mes", "a.1"])), max_size=12))
+def test_header_rules(headers):
+    names, kept, warnings = ing.dedupe_headers(headers)
+    assert len(names) == len(set(names)) == len(kept) and len(kept) + len(warnings) == len(headers)
+    assert "id" not in names and all(re.fullmatch(r"[a-z0-9]+|col_[0-9]+|src_id", n) for n in names)
+    for h in headers:
+        once = ing.normalise_header(h)
+        assert ing.normalise_header(once) == once and re.fullmatch(r"[a-z0-9]*", once)
