@@ -105,3 +105,16 @@ def test_q08_nested_indicator_map(catalog):
 def test_item_sales_for_a_year_without_data_is_an_error(catalog):
     with pytest.raises(AnalysisError):
         run("analyze_item_sales", {"hotel": "resort_alpha", "ano": "1980", "mes": "1"}, catalog)
+
+
+@pytest.mark.parametrize("key", ["q01_list_daily_occupancy", "q04_list_guest_feedback", "q13_list_medical_attendances",
+                                 "q21_get_survey_status", "a06_oldest_freshness", "p09_iso_dates",
+                                 "a16_listing_stats_occupancy"])
+def test_dates_do_not_depend_on_the_session_time_zone(spark, con, key):
+    previous = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        ok, msg = compare(QUERIES[key](spark, SF_SMALL), con, ORACLE[key])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", previous)
+    assert ok, msg
