@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from innsight.functions.text import month_number_py
@@ -36,6 +37,15 @@ def period_code(value: str) -> str:
     return PERIOD_CODES.get(key, value)
 
 
+def period_code_column(c: str | Column) -> Column:
+    """N7 as a column (standardising a stored period column with the same map as filter values);
+    the value is trimmed of spaces before the lookup, others are kept unchanged."""
+    col = F.col(c) if isinstance(c, str) else c
+    key = F.replace(F.replace(F.trim(F.lower(col)), F.lit("º"), F.lit("o")), F.lit("ª"), F.lit("a"))
+    pairs = [x for k, v in PERIOD_CODES.items() for x in (F.lit(k), F.lit(v))]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), col)
+
+
 def get_closed_period_indicators(catalog: Catalog, filters: dict, pg: Page) -> AnalysisResult:
     """Q08: indicator rows of one resort/year/period, each row nested as
     ``(year, resort_code, period, status='closed', indicators map)``."""

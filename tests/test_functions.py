@@ -56,3 +56,12 @@ def test_safe_ratio_zero_and_null_denominator(spark):
     df = spark.createDataFrame([(1, 3), (5, 0), (5, None), (0, 4)], "n int, d int")
     got = [r[0] for r in df.select(safe_ratio("n", "d")).collect()]
     assert got == [33.33, 0.0, 0.0, 0.0]
+
+
+def test_period_code_column_equals_driver_twin(spark):
+    from innsight.plans.indicators import period_code, period_code_column
+    values = ["1st Semester", " FIRST SEMESTER ", "2nd semester", "YTD", "Full Year", "annual", "H1", "7", "1º semestre",
+              "", None]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = [r[0] for r in df.select(period_code_column("v")).collect()]
+    assert got == [None if v is None else period_code(v) for v in values]
