@@ -42,11 +42,14 @@ def distinct_text(col: str | Column, sep: str = ", ") -> Column:
 
 
 def weighted_mean(value: str | Column, weight: str | Column) -> Column:
-    """Σ(value × weight) ÷ Σ weight, NULL when the weights sum to 0."""
+    """Σ(value × weight) ÷ Σ weight, NULL when the weights sum to 0.
+
+    The sums keep the input types (exact for decimal values and integer weights, so the order in
+    which tasks add them does not matter); the one division is done in double precision."""
     v = F.col(value) if isinstance(value, str) else value
     w = F.col(weight) if isinstance(weight, str) else weight
     total_w = F.sum(w)
-    return F.when(total_w != 0, F.sum(v * w) / total_w)
+    return F.when(total_w != 0, F.sum(v * w).cast("double") / total_w.cast("double"))
 
 
 def sum_coalesced(*cols: str | Column) -> Column:

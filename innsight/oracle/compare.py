@@ -1,6 +1,6 @@
 """Order-insensitive comparison of a Spark result with a DuckDB oracle result (tests and the
-local check script). Values are normalised (floats to 9 significant digits, decimals to float,
-dates to ISO text) and rows sorted before comparing."""
+local check script). Values are normalised (floats to 9 significant digits unless ``exact``,
+decimals to float, dates to ISO text) and rows sorted before comparing."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ def duckdb_connection(sf_dir: str):
     return con
 
 
-def _norm(v):
+def _norm(v, exact=False):
     if v is None:
         return None
     if isinstance(v, float) and math.isnan(v):
@@ -31,22 +31,22 @@ def _norm(v):
     if isinstance(v, decimal.Decimal):
         v = float(v)
     if isinstance(v, float):
-        return float(f"{v:.9g}")
+        return v if exact else float(f"{v:.9g}")
     if isinstance(v, bool):
         return int(v)
     if isinstance(v, (_dt.datetime, _dt.date)):
         return v.isoformat()
     if isinstance(v, dict):
-        return tuple(sorted((k, _norm(x)) for k, x in v.items()))
+        return tuple(sorted((k, _norm(x, exact)) for k, x in v.items()))
     if isinstance(v, (list, tuple)):
-        return tuple(_norm(x) for x in v)
+        return tuple(_norm(x, exact) for x in v)
     return v
 
 
-def normalise(columns, rows):
+def normalise(columns, rows, exact=False):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     cols = [columns[i] for i in order]
-    out = [tuple(_norm(r[i]) for i in order) for r in rows]
+    out = [tuple(_norm(r[i], exact) for i in order) for r in rows]
     out.sort(key=lambda t: tuple((x is None, str(x)) for x in t))
     return cols, out
 
@@ -61,9 +61,10 @@ def duck_rows(con, sql):
     return cols, rel.fetchall()
 
 
-def compare(spark_df, con, sql) -> tuple[bool, str]:
-    sc, sr = normalise(*spark_rows(spark_df))
-    dc, dr = normalise(*duck_rows(con, sql))
+def compare(spark_df, con, sql, exact=False) -> tuple[bool, str]:
+    """``exact`` compares floats bit for bit instead of to 9 significant digits."""
+    sc, sr = normalise(*spark_rows(spark_df), exact=exact)
+    dc, dr = normalise(*duck_rows(con, sql), exact=exact)
     if sc != dc:
         return False, f"columns differ: spark={sc} duck={dc}"
     if len(sr) != len(dr):

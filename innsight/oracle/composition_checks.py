@@ -114,7 +114,7 @@ def a14_weighted_mean(spark, sf_dir):
     """Guest-weighted mean of the monthly targets per (year, category)."""
     j = _target_join(spark, sf_dir)
     return j.groupBy("ano", "categoria").agg(
-        round_value(weighted_mean(F.col("sum_target_month").cast("double"), F.col("hospmeta")), 4)
+        round_value(weighted_mean("sum_target_month", "hospmeta"), 4)
         .alias("weighted_target"))
 
 
@@ -283,12 +283,13 @@ SELECT m.ano, m.mes, m.resort, m.categoria, CAST(m.s AS DOUBLE) AS sum_target_mo
 FROM m JOIN guest_targets g ON m.ano = g.ano AND m.mes = g.mes AND m.resort = g.resort AND m.categoria = g.categoria""",
                                            "monthly_extra_revenue_targets", "guest_targets")),
     "a14_weighted_mean": (a14_weighted_mean, W("""
-WITH m AS (SELECT ano, mes, resort, categoria, CAST(sum(CAST(meta AS DECIMAL(38,4))) AS DOUBLE) AS s
+WITH m AS (SELECT ano, mes, resort, categoria, sum(CAST(meta AS DECIMAL(38,4))) AS s
            FROM monthly_extra_revenue_targets GROUP BY 1, 2, 3, 4),
 j AS (SELECT m.ano, m.categoria, m.s, g.hospmeta FROM m JOIN guest_targets g
       ON m.ano = g.ano AND m.mes = g.mes AND m.resort = g.resort AND m.categoria = g.categoria)
-SELECT ano, categoria, CASE WHEN sum(hospmeta) <> 0 THEN round(sum(s * hospmeta) / sum(hospmeta), 4) END
-       AS weighted_target
+SELECT ano, categoria,
+       CASE WHEN sum(hospmeta) <> 0
+            THEN round(CAST(sum(s * hospmeta) AS DOUBLE) / CAST(sum(hospmeta) AS DOUBLE), 4) END AS weighted_target
 FROM j GROUP BY 1, 2""", "monthly_extra_revenue_targets", "guest_targets")),
     "a15_safe_ratio": (a15_safe_ratio, W("""
 WITH g AS (SELECT resort, ano, mes, sum(eventos) AS e, sum(lazer) AS l FROM daily_occupancy GROUP BY 1, 2, 3)

@@ -31,7 +31,7 @@ def test_every_query_has_an_oracle():
 
 @pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, key):
-    ok, msg = compare(QUERIES[key](spark, SF_SMALL), con, ORACLE[key])
+    ok, msg = compare(QUERIES[key](spark, SF_SMALL), con, ORACLE[key], exact=True)
     assert ok, msg
 
 
