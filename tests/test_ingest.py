@@ -243,3 +243,17 @@ def test_clustered_publish_lets_parquet_skip_row_groups(spark):
         else:
             hadoop.set("parquet.block.size", previous)
     assert plain == 200000 and clustered < plain / 10
+
+
+def test_offsets_broadcast_only_within_the_split_bound(spark, scratch, monkeypatch):
+    path = write_csv(scratch, "bound.csv", [["a", "b"]] + [[str(i), "x"] for i in range(100)])
+    spec = IngestSpec("b", "t_bound", path)
+    raw, _, profile = ing.read_source(spark, spec)
+    assert profile.splits == 1
+    hint = "strategy=broadcast"
+    assert hint in raw._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(ing, "MAX_BROADCAST_SPLITS", 0)
+    raw2, _, _ = ing.read_source(spark, spec)
+    # beyond the bound no broadcast is forced; Spark's own size threshold decides the strategy
+    assert hint not in raw2._jdf.queryExecution().analyzed().toString()
+    assert sorted(r[ing.POS] for r in raw2.collect()) == list(range(101))
