@@ -31,11 +31,23 @@ def full_balance(left: DataFrame, right: DataFrame, key: str | Sequence[str],
     return joined.select(*cols)
 
 
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate to every row of ``df``.
+
+    The aggregate becomes a scalar subquery (packed in one struct): Spark evaluates it once and
+    hands its single value to the tasks, so there is no join and no product. A subquery that
+    returned more than one row would fail the query, which guards the one-row assumption."""
+    packed = one_row.select(F.struct(*[F.col(c) for c in one_row.columns]).alias("_one")).scalar()
+    return df.select("*", packed.alias("_one")) \
+        .select(*[F.col(c) for c in df.columns], *[F.col("_one").getField(c).alias(c) for c in one_row.columns])
+
+
 def scalar_ratio(*one_row_frames: DataFrame) -> DataFrame:
-    """Combine independent one-row aggregates into one row (a 1×1 cross product)."""
+    """Combine independent one-row aggregates into one row (each further aggregate is a
+    scalar subquery of the first; no join)."""
     out = one_row_frames[0]
     for f in one_row_frames[1:]:
-        out = out.crossJoin(f)
+        out = with_scalars(out, f)
     return out
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from innsight.operators.combine import with_scalars
+
 from innsight.operators.listing import iso_date
 
 
@@ -28,5 +30,5 @@ def max_iso(df: DataFrame, name: str) -> Column:
 
 
 def attach(rows: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Repeat the columns of a one-row frame on every row (a broadcast 1-row product)."""
-    return rows.crossJoin(F.broadcast(one_row))
+    """Repeat the columns of a one-row aggregate on every row (a scalar subquery, no join)."""
+    return with_scalars(rows, one_row)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from innsight.errors import AnalysisError
 from innsight.functions.numeric import round_value, safe_ratio
 from innsight.operators import filters as flt
-from innsight.operators.combine import scalar_ratio, wide_to_long
+from innsight.operators.combine import scalar_ratio, wide_to_long, with_scalars
 from innsight.operators.listing import page, page_stats, rename
 from innsight.plans.common import date_col, source_columns
 from innsight.plans.spec import AnalysisResult, Page
@@ -211,7 +211,7 @@ def analyze_item_sales(catalog: Catalog, filters: dict, pg: Page) -> AnalysisRes
         F.sum(F.coalesce(F.col("valorcomanda").cast(DEC), F.lit(0))).alias("total_venda"),
         F.sum(F.coalesce(F.col("qtdeitemcomanda"), F.lit(0))).alias("total_quantity")) \
         .where(F.col("total_venda") > 0)
-    with_guests = per_item.crossJoin(F.broadcast(guests)).where(F.col("total_guests") > 0)
+    with_guests = with_scalars(per_item, guests).where(F.col("total_guests") > 0)
     direction = "desc" if descending else "asc"
     ranked = page(with_guests, [("total_venda", direction), ("item", "asc")], pg)
     rows = ranked.select(

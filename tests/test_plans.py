@@ -20,6 +20,8 @@ def plan(df):
 def test_no_python_in_any_registered_plan(spark, key):
     p = plan(entry.queries()[key](spark, SF_SMALL))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "PythonUDF" not in p
+    # no products of any size: one-row aggregates are attached as scalar subqueries
+    assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
 
 
 def test_listing_page_is_take_ordered(spark):
