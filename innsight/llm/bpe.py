@@ -3,7 +3,8 @@
 Spark splits the rows; a task needs no other task (no shuffle). Inside a task each word (one match
 of the tokenizer's pattern) becomes token-position rows that join the merge table; a recursive
 query contracts the leftmost pair of least rank of every word, until no word has a pair left. A word is
-contracted once and kept in a bounded per-worker table, since words repeat. Decoding splits the
+contracted once and kept in a bounded per-worker table, since words repeat. (Texts are cut at single
+spaces first: the pattern never matches across one that stands between two non-spaces.) Decoding splits the
 id stream where a token starts with a space, decodes each distinct run by an ordered
 aggregation over (run, position) joined with the vocabulary, and joins the runs' bytes.
 
@@ -19,10 +20,12 @@ kept, and a column with the output's name is replaced.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,9 +33,11 @@ from pyspark.sql import types as T
 from innsight.llm.common import quoted
 
 LONG_WORD = 96          # bytes, below 256; only selects the form of the contraction query
-CACHE_WORDS = 1_000_000  # words (runs) kept by a worker between batches
-BATCH_CHARS = 4_000_000  # characters handled at a time
-QUERY_WORDS = 200_000   # words in one recursive query
+CACHE_WORDS = 400_000   # chunks of words (runs of ids) kept by a worker between batches
+BATCH_CHARS = 2_000_000  # bytes of text or ids handled at a time
+QUERY_WORDS = 50_000    # words in one recursive query
+
+SAFE_CUT = re.compile(r"(?<=\S) (?=\S)").split
 
 # state: one row per word; each step unnests it to (word, position, pair) rows and joins the merges
 LEFTMOST_SQL = """
@@ -106,7 +111,7 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
 
 def _connection():
     import duckdb
-    return duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "preserve_insertion_order": False})
+    return duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
 
 
 class WordEncoder:
@@ -140,28 +145,45 @@ class WordEncoder:
             out[w] = ids[a:b]
         return out
 
-    def learn(self, words: set[str]) -> None:
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        short, long = [], []
-        for w in new:
+    def word_ids(self, words: set[str]) -> dict[str, bytes]:
+        """Word → ids. A vocabulary entry is its own id: its contraction would end there."""
+        out, short, long = {}, [], []
+        for w in words:
             raw = w.encode("utf-8", "surrogatepass")
             rank = self.ranks.get(raw)
-            if rank is not None:  # contracting a vocabulary entry ends in itself
-                self.known[w] = rank.to_bytes(4, "little")
+            if rank is not None:
+                out[w] = rank.to_bytes(4, "little")
             else:
                 (short if len(raw) <= LONG_WORD else long).append((w, raw))
         for group, sql, step in ((short, LEFTMOST_SQL, QUERY_WORDS), (long, ALL_OCCURRENCES_SQL, 1000)):
             for at in range(0, len(group), step):
                 part = group[at:at + step]
-                self.known.update(zip((w for w, _ in part), self._contract([raw for _, raw in part], sql)))
+                out.update(zip((w for w, _ in part), self._contract([raw for _, raw in part], sql)))
+        return out
+
+    def learn(self, chunks: set[str]) -> None:
+        """Keeps the ids of a space and the chunk."""
+        new = chunks - self.known.keys()
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known = {c: self.known[c] for c in chunks if c in self.known}
+        split = {c: self.find(" " + c) for c in new}
+        ids = self.word_ids(set().union(*split.values())) if new else {}
+        for c, words in split.items():
+            self.known[c] = b"".join([ids[w] for w in words])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [self.find(t) for t in texts]
-        self.learn(set().union(*words))
+        """A text is its head (up to the first cut) and chunks, each after one space between two non-spaces."""
+        cut = [t.split(" ") for t in texts]
+        odd = {c for c in set().union(*cut) if not c or c[0].isspace() or c[-1].isspace()}
+        if odd:
+            for i, chunks in enumerate(cut):
+                if not odd.isdisjoint(chunks):  # somewhere a space stands next to another white space
+                    cut[i] = SAFE_CUT(texts[i])
+        heads = [self.find(chunks.pop(0)) for chunks in cut]
+        self.learn(set().union(*cut))
+        first = self.word_ids(set().union(*heads))
         get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        return [b"".join([*map(first.__getitem__, head), *map(get, chunks)]) for head, chunks in zip(heads, cut)]
 
 
 class RunDecoder:
@@ -242,9 +264,10 @@ def with_binary(df: DataFrame, source: str, out: str, make, per_value) -> DataFr
             if not batch.num_rows:
                 continue
             tool = tool or make()
-            values = ["" if v is None else v for v in batch.column(n).to_pylist()]
-            for a, b in slices([len(v) for v in values], BATCH_CHARS):
-                done = pa.array(per_value(tool, values[a:b]), pa.binary())
+            source = batch.column(n)
+            for a, b in slices(pc.fill_null(pc.binary_length(source), 0).to_pylist(), BATCH_CHARS):
+                values = ["" if v is None else v for v in source.slice(a, b - a).to_pylist()]
+                done = pa.array(per_value(tool, values), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(a, b - a) for i in range(n)), done], names=[*names, "value"])
 

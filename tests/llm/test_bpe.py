@@ -13,7 +13,7 @@ RANKS = P.path("byte_bpe_50k.tiktoken")
 random.seed(7)
 TEXTS = [None, "", "a", " ", "  \n\n x", "it's the end's 123 4567", "Éàü ß 日本語 naïve", "\x00\x85  z",
          "a" * 3000, "ab" * 700 + " " + "aab" * 500, "".join(random.choice("abcdefgh0123 .,\n") for _ in range(20000)),
-         "".join(random.choice("etaoinshrdlu") for _ in range(1500)), "<|endoftext|>", "same", "same"]
+         "".join(random.choice("etaoinshrdlu") for _ in range(1500)), "<|endoftext|>", "same", "same", " lead", "trail ", "tab\t x", "a  b c", "a\u00a0 b", "x \n\n y z", "é 12 ,. ;", "one two three\n\nfour five"]
 
 
 @pytest.fixture(scope="module")
@@ -64,3 +64,12 @@ def test_bad_ids_and_cache_bound(spark, monkeypatch):
     for t in ("one two three four", "five six seven", "one two"):
         assert b"".join(dec.decode(enc.encode([t]))) == t.encode()
         assert len(enc.known) <= 8
+
+
+def test_random_white_space(tik):
+    enc = bpe.WordEncoder(bpe.read_ranks(RANKS), P.PATTERN)
+    texts = ["".join(random.choice(["a", "bc", " ", " ", "\n", "'s", "1", "\u2003", ",", "É", "\x1c"]) for _ in range(12)) for _ in range(3000)]
+    got = enc.encode(texts)
+    for t, g in zip(texts, got):
+        want = tik.encode_ordinary(t)
+        assert g == struct.pack(f"<{len(want)}I", *want)
