@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm import bpe
+from innsight.llm import bpe, quality
 from innsight.llm.common import table
 
 
@@ -21,5 +21,16 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_bpe_round_trip": op1_bpe_round_trip}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text statistics, the base rules' verdict and the label model's of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored, _model = quality.score(docs, keep_text=False)
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "quality")
+
+
+QUERIES = {
+    "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op10_quality_rules": op10_quality_rules,
+}
 ORACLE: dict[str, str] = {}
