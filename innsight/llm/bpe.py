@@ -21,20 +21,18 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from innsight.llm.common import quoted
+from innsight.llm.common import quoted, with_arrow
 
 LONG_WORD = 96          # bytes, below 256; only selects the form of the contraction query
 CACHE_WORDS = 400_000   # chunks of words (runs of ids) kept by a worker between batches
-BATCH_CHARS = 2_000_000  # bytes of text or ids handled at a time
+BATCH_BYTES = 2_000_000  # bytes of text or ids handled at a time
 QUERY_WORDS = 50_000    # words in one recursive query
 
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)").split
@@ -240,41 +238,11 @@ def _made(kind, *args):
     return _MADE[kind, args]
 
 
-def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most`` in total size (a larger single row stands alone)."""
-    begin = total = 0
-    for i, n in enumerate(sizes):
-        if i > begin and total + n > most:
-            yield begin, i
-            begin, total = i, 0
-        total += n
-    if begin < len(sizes):
-        yield begin, len(sizes)
-
-
 def with_binary(df: DataFrame, source: str, out: str, make, per_value) -> DataFrame:
     """The other columns of ``df`` and binary column ``out`` = ``per_value(make(), values of source)``."""
-    keep = [f for f in df.schema.fields if f.name.lower() not in (source.lower(), out.lower())]
-    n = len(keep)
-    names = [f"c{i}" for i in range(n)]  # any column name may come in; these are safe everywhere
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            tool = tool or make()
-            source = batch.column(n)
-            for a, b in slices(pc.fill_null(pc.binary_length(source), 0).to_pylist(), BATCH_CHARS):
-                values = ["" if v is None else v for v in source.slice(a, b - a).to_pylist()]
-                done = pa.array(per_value(tool, values), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(a, b - a) for i in range(n)), done], names=[*names, "value"])
-
-    plain = df.select(*[quoted(f.name).alias(c) for f, c in zip(keep, names)], quoted(source).alias("value"))
-    schema = T.StructType([*(T.StructField(c, f.dataType) for f, c in zip(keep, names)),
-                           T.StructField("value", T.BinaryType())])
-    return plain.mapInArrow(run, schema).toDF(*[f.name for f in keep], out)
+    def per_slice(values: pa.Array) -> list[pa.Array]:
+        return [pa.array(per_value(make(), ["" if v is None else v for v in values.to_pylist()]), pa.binary())]
+    return with_arrow(df, source, [T.StructField(out, T.BinaryType())], per_slice, BATCH_BYTES)
 
 
 def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, out: str = "token_ids") -> DataFrame:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TEST_CHECKPOINT_DIR = "/tmp/innsight-checkpoints"
 
@@ -43,3 +47,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = work_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``most`` in total size (a larger single row stands alone)."""
+    begin = total = 0
+    for i, n in enumerate(sizes):
+        if i > begin and total + n > most:
+            yield begin, i
+            begin, total = i, 0
+        total += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def with_arrow(df: DataFrame, source: str, out: list[T.StructField],
+               per_slice: Callable[[pa.Array], list[pa.Array]], slice_bytes: int) -> DataFrame:
+    """The other columns of ``df`` and the columns ``out`` that ``per_slice`` makes of the values of
+    ``source`` (string or binary), by slices of about ``slice_bytes``. No rows are added or lost; a
+    column named like one of ``out`` is replaced; any column name may come in."""
+    made = {f.name.lower() for f in out} | {source.lower()}
+    keep = [f for f in df.schema.fields if f.name.lower() not in made]
+    n = len(keep)
+    names = [f"c{i}" for i in range(n + len(out))]  # safe in every name lookup
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(n)
+            for a, b in slices(pc.fill_null(pc.binary_length(values), 0).to_pylist(), slice_bytes):
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).slice(a, b - a) for i in range(n)), *per_slice(values.slice(a, b - a))],
+                    names=names)
+
+    plain = df.select(*[quoted(f.name).alias(c) for f, c in zip(keep, names)], quoted(source).alias("source"))
+    schema = T.StructType([T.StructField(c, f.dataType) for f, c in zip([*keep, *out], names)])
+    return plain.mapInArrow(run, schema).toDF(*[f.name for f in [*keep, *out]])

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm import bpe, quality
+from innsight.llm import bpe, quality, secret_scan
 from innsight.llm.common import table
 
 
@@ -21,6 +21,21 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _span_list(kinds: list[str] | None = None) -> Column:
+    """kind:start:end of the spans (of these kinds), comma-joined."""
+    spans = F.col("spans") if kinds is None else F.filter("spans", lambda x: x["kind"].isin(kinds))
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret in every document."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [r.kind for r in secret_scan.BASE_RULES]
+    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(_span_list(base), 256).alias("base_sha256"),
+                        _span_list().alias("spans"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text statistics, the base rules' verdict and the label model's of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -31,6 +46,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op8_secret_scan": op8_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {}
