@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm import bpe, quality, secret_scan
+from innsight.llm import bpe, minhash, quality, secret_scan
 from innsight.llm.common import table
 
 
@@ -21,6 +21,12 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    found = minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "class_size")
+
+
 def _span_list(kinds: list[str] | None = None) -> Column:
     """kind:start:end of the spans (of these kinds), comma-joined."""
     spans = F.col("spans") if kinds is None else F.filter("spans", lambda x: x["kind"].isin(kinds))
@@ -46,6 +52,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op3_near_duplicates": op3_near_duplicates,
     "op8_secret_scan": op8_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
