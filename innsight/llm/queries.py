@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm import bpe, minhash, quality, secret_scan
+from innsight.llm import bpe, minhash, packing, quality, secret_scan
 from innsight.llm.common import table
 
 
@@ -27,6 +27,13 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "class_size")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed by deficit round-robin over their sources; one row per piece."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window")
+
+
 def _span_list(kinds: list[str] | None = None) -> Column:
     """kind:start:end of the spans (of these kinds), comma-joined."""
     spans = F.col("spans") if kinds is None else F.filter("spans", lambda x: x["kind"].isin(kinds))
@@ -53,6 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op3_near_duplicates": op3_near_duplicates,
+    "op6_packing": op6_packing,
     "op8_secret_scan": op8_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
