@@ -106,3 +106,12 @@ def test_schedule_is_deficit_round_robin(spark, targets):
             assert abs(sum(filled[q][i] for i in range(r + 1)) - credit[q] * (r + 1)) <= 128
     assert sum(p["length"] for p in plan) == total
     assert max(p["sequence_id"] for p in plan) == math.ceil(total / 128) - 1
+
+
+def test_ids_equal_the_tokenizers_library(tok):
+    random.seed(8)
+    enc = packing._encoder(open(JSON, encoding="utf-8").read())
+    texts = ["a" * 100_000, "it's 12 ok\n\n  x\t\x85é日本 <|endoftext|>"] + [
+        "".join(random.choice(["ab", "the ", " ", "\n", "É", "12", "'s", ".", "　", "ñ", "\x1c", "z"]) for _ in range(30))
+        for _ in range(2000)]
+    assert [enc.encode_ordinary(t) for t in texts] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
