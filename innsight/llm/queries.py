@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm import bpe, minhash, packing, quality, secret_scan
+from innsight.llm import bpe, minhash, order_minhash, packing, quality, secret_scan
 from innsight.llm.common import table
 
 
@@ -27,6 +27,11 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "class_size")
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, and how alike it is to its edited text's and to the next document's."""
+    return order_minhash.edited_by_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed by deficit round-robin over their sources; one row per piece."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -60,6 +65,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_order_minhash": op4_order_minhash,
     "op6_packing": op6_packing,
     "op8_secret_scan": op8_secret_scan,
     "op10_quality_rules": op10_quality_rules,
