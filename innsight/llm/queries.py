@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm import bpe, minhash, order_minhash, packing, quality, secret_scan
+from innsight.llm import bpe, minhash, order_minhash, packing, quality, secret_scan, token_count
 from innsight.llm.common import table
 
 
@@ -32,6 +32,12 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edited_by_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of unigram tokens of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_count.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed by deficit round-robin over their sources; one row per piece."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -66,6 +72,7 @@ QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_order_minhash": op4_order_minhash,
+    "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
     "op8_secret_scan": op8_secret_scan,
     "op10_quality_rules": op10_quality_rules,
