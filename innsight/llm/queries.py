@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm import bpe, minhash, order_minhash, packing, quality, secret_scan, token_count
+from innsight.llm import bpe, license_scan, minhash, order_minhash, packing, quality, secret_scan, token_count
 from innsight.llm.common import table
 
 
@@ -60,6 +60,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         _span_list().alias("spans"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence that each document is, and those that its lines name."""
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text statistics, the base rules' verdict and the label model's of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -75,6 +80,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
     "op8_secret_scan": op8_secret_scan,
+    "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op9_license_scan": license_scan.duckdb_sql()}
