@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm import bpe, chat, license_scan, minhash, order_minhash, packing, quality, secret_scan, token_count
-from innsight.llm.common import table
+from innsight.llm import bpe, chat, license_scan, minhash, order_minhash, packing, quality, secret_scan, token_count, warc
+from innsight.llm.common import table, work_path
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back, in the global order of their capture histories."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    index = warc.captures(pages, work_path(spark, "warc"))
+    return index.select(F.col("id").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+                        "record_type", "refers_to", "url_key", "capture_order")
+
+
 ADDED_CHAT = "SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
 
 
@@ -94,6 +102,7 @@ QUERIES = {
     "op4_order_minhash": op4_order_minhash,
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
+    "op7_warc": op7_warc,
     "op8_secret_scan": op8_secret_scan,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
