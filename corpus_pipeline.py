@@ -1,4 +1,9 @@
-"""The corpus pipeline over ``documents``: each stage takes (spark, docs, sf_dir)."""
+"""The corpus pipeline over ``documents``: quality rules, near-duplicate removal, secret masking, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a
+DataFrame, which is written as Parquet and read again as the next one's ``docs``. All but the last return
+the columns of ``documents``; the last returns one row per packed piece.
+"""
 
 from __future__ import annotations
 
@@ -9,10 +14,18 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
+from innsight.llm import minhash, packing, quality, secret_scan  # noqa: E402
 from innsight.llm.common import stored, table  # noqa: E402
 
-STAGES: list = []
+STAGES = [
+    ("quality", quality.filter_stage),       # documents that the label model or the base rules reject go
+    ("near_duplicates", minhash.dedup_stage),  # one document of each class stays
+    ("secrets", secret_scan.redact_stage),   # secrets are masked, all documents stay
+    ("packing", packing.pack_stage),         # the kept documents as pieces of token sequences
+]
 
+# No SQL expresses the label model, the tokenizer or the packing schedule; tests/llm/test_pipeline.py
+# compares every stage with a brute-force version.
 ORACLE_SQL = None
 
 

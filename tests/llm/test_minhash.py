@@ -6,54 +6,14 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from innsight.llm import minhash as M, queries
+from innsight.llm import minhash as M
+from tests_llm_helpers import brute_classes as by_row, shingle_set, words
 
 SF = "/root/testdata/sf0.01"
 
 
-def words(text):
-    return [w for w in (text or "").replace("\t", " ").replace("\n", " ").split(" ") if w]
-
-
-def shingle_set(text):
-    w = words(text)
-    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-
-
-def brute(rows):
-    """id → least id of its class, by comparing all pairs."""
-    sets = [shingle_set(t) for _, t in rows]
-    parent = list(range(len(rows)))
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-    seen = {}
-    for i, (_, t) in enumerate(rows):
-        parent[root(i)] = root(seen.setdefault(t or "", i))
-    where = {}
-    for i in seen.values():
-        for s in sets[i]:
-            where.setdefault(s, []).append(i)
-    for i in seen.values():
-        met = {}
-        for s in sets[i]:
-            for j in where[s]:
-                if j < i:
-                    met[j] = met.get(j, 0) + 1
-        for j, n in met.items():
-            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
-                parent[root(i)] = root(j)
-    least = {}
-    for i, (d, _) in enumerate(rows):
-        if d is not None:
-            least[root(i)] = min(d, least.get(root(i), d))
-    return {i: least.get(root(i)) for i in range(len(rows))}
-
-
 def compare(df, rows):
-    want = brute(rows)
+    want = by_row(rows)
     got = M.classes(df).collect()
     assert len(got) == len(rows)
     assert sorted((r[0] is None, r[0] or 0, r["class_id"] if r["class_id"] is not None else -1) for r in got) == \
@@ -84,7 +44,7 @@ def test_groups_copies_and_edges(spark):
     kept = M.keep_one(df).collect()
     assert kept[0].asDict().keys() == set(df.columns)
     assert len(kept) == len(M.classes(df).select("component").distinct().collect())
-    assert {r["doc_id"] for r in kept if r["doc_id"] is not None} <= set(brute(rows).values())
+    assert {r["doc_id"] for r in kept if r["doc_id"] is not None} <= set(by_row(rows).values())
     again = M.classes(spark.createDataFrame([(r["doc_id"], r["text"]) for r in kept], "doc_id long, text string"))
     assert all(r["class_size"] == 1 for r in again.collect())
 

@@ -2,8 +2,6 @@
 
 import math
 import random
-import struct
-import zlib
 from collections import defaultdict
 
 import public_tokenizers as P
@@ -11,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from innsight.llm import packing
+from tests_llm_helpers import check_cover
 
 JSON = P.path("byte_bpe_50k.json")
 
@@ -22,32 +21,6 @@ def tok():
     return t
 
 
-def check_cover(pieces, rows, tok):
-    """Each document's ids lie in exactly one piece; every sequence is filled without gaps."""
-    want = sorted((d, tuple([*tok.encode(t or "", add_special_tokens=False).ids, 1])) for d, t in rows)
-    sequences, docs = defaultdict(list), defaultdict(list)
-    for p in pieces:
-        ids = struct.unpack(f"<{p['length']}I", p["ids"])
-        assert p["length"] > 0 and zlib.crc32(p["ids"]) == p["ids_crc32"]
-        sequences[p["sequence_id"]].append((p["offset"], p["length"]))
-        docs[p["doc_id"]].append((p["start"], ids, p["doc_tokens"]))
-    got = []
-    for d, parts in docs.items():
-        parts.sort()
-        ids = [i for _, x, _ in parts for i in x]
-        assert [s for s, _, _ in parts] == [sum(len(x) for _, x, _ in parts[:k]) for k in range(len(parts))]
-        assert all(n == len(ids) for *_, n in parts)
-        got.append((d, tuple(ids)))
-    assert sorted(got) == want
-    assert sorted(sequences) == list(range(len(sequences)))
-    for s, parts in sequences.items():
-        at = 0
-        for o, n in sorted(parts):
-            assert o == at
-            at += n
-        assert at == packing.LENGTH or s == len(sequences) - 1 and at <= packing.LENGTH
-
-
 def test_documents_table(spark, tok):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
