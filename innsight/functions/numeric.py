@@ -15,15 +15,26 @@ def _col(c: str | Column) -> Column:
 
 
 def round_value(c: str | Column, digits: int = 2) -> Column:
-    """Round a double at its binary value, half away from zero.
+    """Round a double by its exact binary value, ties to even, as Python's ``round`` does: 2.675 is
+    2.67499… and gives 2.67, 0.125 is a tie and gives 0.12.
 
-    ``F.round`` rounds the shortest decimal text of the double (2.675 → 2.68), while the
-    analysed system rounds the binary value (2.675 is 2.67499… → 2.67). Scaling, adding one
-    half and flooring reproduces the latter with built-in expressions.
+    ``x * 10**digits`` is rounded by the hardware, so its error is computed as well (the product of
+    two doubles as an unevaluated sum, with ``x`` split in two halves); the error decides where the
+    rounded product lies on the half. Values of 1e13 and more, infinities and NaN have no such digits left
+    and are returned unchanged.
     """
     x = _col(c).cast("double")
-    p = float(10 ** digits)
-    return F.signum(x) * F.floor(F.abs(x) * p + F.lit(0.5)) / p
+    p = F.lit(float(10 ** digits))
+    a = F.abs(x)
+    product = a * p
+    split = a * F.lit(134217729.0)           # 2^27 + 1
+    high = split - (split - a)
+    error = (high * p - product) + (a - high) * p
+    whole = F.floor(product)
+    part = product - whole
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    rounded = (whole + up.cast("int")).cast("double") / p
+    return F.when(a < 1e13, F.when(x < 0, -rounded).otherwise(rounded)).otherwise(x)
 
 
 def safe_ratio(num: str | Column, den: str | Column, scale: float = 100.0, digits: int = 2,
@@ -40,10 +51,6 @@ def percent_columns(df, columns):
 
 
 def money(c: str | Column) -> Column:
-    """Null → 0, two decimals half-even, as double (one numeric type for presentation)."""
+    """P5 of an exact amount: null → 0, two decimals, ties to even in decimal arithmetic, as double (one
+    numeric type for presentation). Amounts have at most four decimals (``decimal(38,4)``)."""
     return F.bround(F.coalesce(_col(c).cast("decimal(38,4)"), F.lit(0).cast("decimal(38,4)")), 2).cast("double")
-
-
-def sum0(c: str | Column) -> Column:
-    """``SUM`` ignoring nulls, 0 on empty input."""
-    return F.coalesce(F.sum(_col(c)), F.lit(0))

@@ -8,6 +8,7 @@ twins (``fold_py``...) are applied to the handful of filter values of a request,
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 from itertools import chain
@@ -79,10 +80,6 @@ def fold(c: str | Column) -> Column:
     return F.translate(F.lower(_col(c)), src, dst)
 
 
-def fold_trim(c: str | Column) -> Column:
-    return F.trim(fold(c))
-
-
 def fold_py(value: Any) -> Any:
     """Driver-side twin of :func:`fold` for a filter value."""
     if not isinstance(value, str):
@@ -92,13 +89,7 @@ def fold_py(value: Any) -> Any:
 
 def canonical_code_py(value: Any, codes=RESORT_CODES + (ALL_RESORTS,)) -> Any:
     """First canonical code contained in the folded value, else the value unchanged."""
-    if not isinstance(value, str):
-        return value
-    folded = fold_py(value)
-    for code in codes:
-        if code in folded:
-            return code
-    return value
+    return next((code for code in codes if code in fold_py(value)), value) if isinstance(value, str) else value
 
 
 def canonical_code(c: str | Column, codes=RESORT_CODES) -> Column:
@@ -108,16 +99,12 @@ def canonical_code(c: str | Column, codes=RESORT_CODES) -> Column:
 
 
 def month_number_py(value: Any) -> Any:
-    """Month name/abbreviation → number, else integer parse, else the value unchanged."""
+    """Month of a name, an abbreviation or a number in text; anything else unchanged."""
     if not isinstance(value, str):
         return value
-    key = value.lower().strip().replace("ç", "c")
-    if key in MONTH_NUMBERS:
-        return MONTH_NUMBERS[key]
-    try:
-        return int(key)
-    except ValueError:
-        return value
+    word = fold_py(value.strip())
+    number = MONTH_NUMBERS.get(word)
+    return number if number else int(word) if re.fullmatch(r"[+-]?[0-9]+", word) else value
 
 
 def month_number(c: str | Column) -> Column:
@@ -135,13 +122,6 @@ def classes_of(c: str | Column, classes: dict) -> Column:
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 
-def clean_cell(c: str | Column) -> Column:
-    """Tab, CR and LF become one space each."""
-    return F.regexp_replace(_col(c), r"[\t\r\n]", " ")
-
-
 def snake_name(name: str) -> str:
-    """Accent-free lower snake-case of a column name (fallback of output renames)."""
-    decomposed = unicodedata.normalize("NFD", name)
-    plain = "".join(c for c in decomposed if not unicodedata.combining(c))
-    return plain.lower().replace(" ", "_").replace("-", "_")
+    """Output name of a column without an entry in its rename map: folded, words joined by ``_``."""
+    return "_".join(re.split(r"[ -]", fold_py(name)))

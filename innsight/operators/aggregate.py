@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def ranked_count(df: DataFrame, key: str, key_alias: str, count_alias: str = "total") -> DataFrame:
-    """Rows per ``key`` (caller pages it by count DESC, key ASC)."""
-    return df.groupBy(F.col(key).alias(key_alias)).agg(F.count(F.lit(1)).alias(count_alias))
+def ranked_count(df: DataFrame, key: str, key_alias: str, count_alias: str = "total", **extra: Column) -> DataFrame:
+    """Rows per ``key`` (caller pages it by count DESC, key ASC), with further aggregates if given."""
+    return df.groupBy(F.col(key).alias(key_alias)).agg(
+        F.count(F.lit(1)).alias(count_alias), *[c.alias(name) for name, c in extra.items()])
 
 
 def with_total(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column],
@@ -42,20 +43,11 @@ def distinct_text(col: str | Column, sep: str = ", ") -> Column:
 
 
 def weighted_mean(value: str | Column, weight: str | Column) -> Column:
-    """Σ(value × weight) ÷ Σ weight, NULL when the weights sum to 0.
+    """Σ(value × weight) ÷ Σ weight, NULL unless the weights sum to more than 0.
 
     The sums keep the input types (exact for decimal values and integer weights, so the order in
     which tasks add them does not matter); the one division is done in double precision."""
     v = F.col(value) if isinstance(value, str) else value
     w = F.col(weight) if isinstance(weight, str) else weight
     total_w = F.sum(w)
-    return F.when(total_w != 0, F.sum(v * w).cast("double") / total_w.cast("double"))
-
-
-def sum_coalesced(*cols: str | Column) -> Column:
-    """A4: ``SUM(COALESCE(a, 0) + COALESCE(b, 0) ...)``."""
-    parts = [F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0)) for c in cols]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return F.sum(total)
+    return F.when(total_w > 0, F.sum(v * w).cast("double") / total_w.cast("double"))

@@ -9,8 +9,6 @@ equality; otherwise the fold is computed in the projection (still codegen, no Py
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from functools import reduce
 from typing import Any, Iterable, Mapping, Sequence
 
@@ -25,10 +23,8 @@ KEY_SUFFIX = "__key"
 
 
 def norm_key(key: str) -> str:
-    """Filter-name normal form: trimmed, lower, accent-free, without spaces and underscores."""
-    k = unicodedata.normalize("NFKD", (key or "").strip().lower())
-    k = "".join(c for c in k if not unicodedata.combining(c))
-    return re.sub(r"[\s_]+", "", k)
+    """Filter-name normal form: folded, with spaces and underscores left out."""
+    return "".join(c for c in fold_py(key or "") if c != "_" and not c.isspace())
 
 
 def _blank(v: Any) -> bool:
@@ -123,31 +119,39 @@ def is_all(resort: str | None) -> bool:
 # --- predicate builders -----------------------------------------------------------------------
 
 def folded(df: DataFrame, col: str) -> Column:
-    """Folded form of ``col``: the ingest-time ``__key`` twin when present, else computed."""
+    """Folded form of ``col``: the ingest-time ``__key`` twin when present, else computed. (Ingested cells
+    are trimmed, so the twin is the trimmed form as well.)"""
     twin = col + KEY_SUFFIX
     return F.col(twin) if twin in df.columns else fold(col)
 
 
+def trim_folded(df: DataFrame, col: str) -> Column:
+    """Trimmed folded form of ``col``: the bare twin when present, so that a comparison reaches the scan."""
+    return F.col(col + KEY_SUFFIX) if col + KEY_SUFFIX in df.columns else F.trim(fold(col))
+
+
 def fold_eq(df: DataFrame, col: str, value: Any) -> Column:
     """``unaccent(lower(col)) = unaccent(lower(value))``."""
     return folded(df, col) == F.lit(fold_py(str(value)))
 
 
-def fold_contains(col: str | Column, value: Any, wildcard: bool = False) -> Column:
-    """accent/case-insensitive contains; ``wildcard`` keeps ``%``/``_`` as LIKE wildcards."""
-    c = fold(col)
+def fold_contains(col: str | Column, value: Any, wildcard: bool = False, df: DataFrame | None = None) -> Column:
+    """accent/case-insensitive contains; ``wildcard`` keeps ``%``/``_`` as LIKE wildcards. With ``df`` the
+    twin of its column is searched where it has one."""
+    c = folded(df, col) if df is not None else fold(col)
     v = fold_py(str(value))
     return c.like(f"%{v}%") if wildcard else c.contains(F.lit(v))
 
 
-def trim_fold_contains(col: str, value: Any) -> Column:
-    """``trim(fold(col))`` contains ``fold(value)``."""
-    return F.trim(fold(col)).contains(F.lit(fold_py(str(value))))
+def trim_fold_contains(col: str, value: Any, df: DataFrame | None = None) -> Column:
+    """``trim(fold(col))`` contains ``fold(value)``; with ``df`` on the twin where there is one."""
+    c = trim_folded(df, col) if df is not None else F.trim(fold(col))
+    return c.contains(F.lit(fold_py(str(value))))
 
 
 def trim_fold_eq(df: DataFrame, col: str, value: Any) -> Column:
     """equality of trimmed folded forms on both sides."""
-    return F.trim(folded(df, col)) == F.lit(fold_py(str(value)).strip())
+    return trim_folded(df, col) == F.lit(fold_py(str(value)).strip())
 
 
 def typed_literal(df: DataFrame, col: str, value: Any) -> Column:

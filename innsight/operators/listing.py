@@ -59,8 +59,3 @@ def page_stats(df: DataFrame, date_col: str | Column | None = None, **extra: Col
         aggs.append(F.lit(None).cast("string").alias("data_until"))
     aggs += [v.alias(k) for k, v in extra.items()]
     return df.agg(*aggs)
-
-
-def count_stats(total: Column, data_until: Column | None = None) -> list[Column]:
-    return [total.cast("bigint").alias("total_records"),
-            (data_until if data_until is not None else F.lit(None).cast("string")).alias("data_until")]

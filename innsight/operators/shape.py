@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,13 +20,17 @@ def month_pivot(df: DataFrame, keys: Sequence[str], month_col: str, months: Sequ
     return renamed.fillna(fill, subset=[f"{prefix}{m}" for m in months]) if fill is not None else renamed
 
 
-def nest_pairs(pairs: Sequence[str], actual_suffix: str = "_actual", target_suffix: str = "_target") -> Column:
-    """``map(name → struct(actual, target))`` from ``<name>_actual``/``<name>_target`` columns."""
-    entries = []
-    for name in pairs:
-        entries += [F.lit(name), F.struct(F.col(name + actual_suffix).alias("actual"),
-                                          F.col(name + target_suffix).alias("target"))]
-    return F.create_map(*entries)
+def nest_pairs(pairs: Sequence[str] | Mapping[str, tuple[str | None, str | None]]) -> Column:
+    """``map(name → struct(actual, target))`` from (actual, target) columns, by default
+    ``<name>_actual``/``<name>_target``; a column given as None is NULL."""
+    if not isinstance(pairs, Mapping):
+        pairs = {name: (name + "_actual", name + "_target") for name in pairs}
+
+    def value(column: str | None) -> Column:
+        return F.lit(None).cast("double") if column is None else F.col(column)
+    entries = [x for name, (actual, target) in pairs.items() for x in (
+        F.lit(name), F.struct(value(actual).alias("actual"), value(target).alias("target")))]
+    return F.create_map(*entries) if entries else F.create_map().cast("map<string,struct<actual:double,target:double>>")
 
 
 def explode_pairs(df: DataFrame, map_col: str, keep: Sequence[str]) -> DataFrame:

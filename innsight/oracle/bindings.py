@@ -228,3 +228,12 @@ def with_tables(sql: str, *names: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
+
+
+def half_even(amount: str) -> str:
+    """P5 of a non-negative exact amount with four decimals: two decimals, ties to even, stated on whole
+    ten-thousandths. (Ratios in double precision are stated as ``printf('%.2f', x)``, which rounds the binary
+    value, ties to even.)"""
+    n = f"CAST({amount} * 10000 AS HUGEINT)"
+    up = f"CASE WHEN {n} % 100 > 50 OR ({n} % 100 = 50 AND ({n} // 100) % 2 = 1) THEN 1 ELSE 0 END"
+    return f"CAST({n} // 100 + {up} AS DOUBLE) / 100"

@@ -8,21 +8,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from innsight.functions.numeric import percent_columns, round_value, safe_ratio
+from innsight.functions.numeric import money, percent_columns, round_value, safe_ratio
 from innsight.functions.text import classes_of, fold, fold_py
 from innsight.operators import filters as flt
 from innsight.operators.aggregate import distinct_text, ranked_count, weighted_mean, with_total
 from innsight.operators.combine import full_balance, scalar_ratio, segment_join, wide_to_long
 from innsight.operators.listing import iso_date, page
 from innsight.operators.rank import top_rank
-from innsight.operators.shape import month_pivot
-from innsight.oracle.bindings import with_tables as W
+from innsight.operators.shape import explode_pairs, month_pivot, nest_pairs
+from innsight.oracle.bindings import half_even, with_tables as W
 from innsight.plans.common import date_col, max_iso
+from innsight.plans.indicators import INDICATOR_NAMES, indicator_columns, period_code_column
 from innsight.plans.sentiment import STATUS_CLASSES
 from innsight.plans.spec import Page
 from innsight.sources.testdata import testdata_catalog
 
 DEC = "decimal(38,4)"
+PERIOD_WORDS = ("1st Semester", " first semester ", "2ND SEMESTER", "ytd", "Total Year", "annual", "Full year", "H1", "7")
 # One spelling per class (the accented and plain spellings of a class name are one class).
 CLASSES = {k: v for k, v in STATUS_CLASSES.items() if k == fold_py(k)}
 MONTHS = list(range(1, 13))
@@ -59,6 +61,22 @@ def n08_status_class(spark, sf_dir):
         .groupBy("status_class", "ano").agg(F.count(F.lit(1)).alias("n"))
 
 
+def n07_period_map(spark, sf_dir):
+    """Period words of whole tables to their codes; other values stay. The order month gives a word or number."""
+    o = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
+    words = F.array(*[F.lit(w) for w in PERIOD_WORDS])
+    word = F.get(words, F.pmod(F.col("o_orderkey"), F.lit(len(PERIOD_WORDS))).cast("int"))
+    return o.select(word.alias("period")).groupBy("period").agg(F.count(F.lit(1)).alias("n")) \
+        .select("period", period_code_column("period").alias("code"), "n")
+
+
+def p03_indicator_map(spark, sf_dir):
+    """Every indicator pair of the whole table in its long form."""
+    df = _t(spark, sf_dir, "business_indicators")
+    nested = df.select("id", nest_pairs(indicator_columns(df.columns)).alias("indicators"))
+    return explode_pairs(nested, "indicators", ["id"])
+
+
 # --- output projections ----------------------------------------------------------------------
 
 def p04_percent(spark, sf_dir):
@@ -72,8 +90,7 @@ def p05_rounded(spark, sf_dir):
     """P5: money presentation of sums (null → 0, two decimals) per resort, year and point of sale."""
     ex = _t(spark, sf_dir, "extra_revenue")
     return ex.groupBy("resort", "ano", flt.folded(ex, "pdv").alias("pdv_key")).agg(
-        round_value(F.coalesce(F.sum(F.col("vendatotalpdv").cast(DEC)).cast("double"), F.lit(0.0)), 2)
-        .alias("total_sales"))
+        money(F.sum(F.col("vendatotalpdv").cast(DEC))).alias("total_sales"))
 
 
 def p06_title(spark, sf_dir):
@@ -258,12 +275,23 @@ FROM employee_overtime_balance GROUP BY 1, 2 HAVING sum(CAST(horas AS DECIMAL(38
 WITH c(status_class, status) AS (VALUES {_CLASS_VALUES})
 SELECT c.status_class, s.ano, count(*) AS n FROM employee_sentiment_surveys s JOIN c ON s.status = c.status
 GROUP BY 1, 2""", "employee_sentiment_surveys")),
+    "n07_period_map": (n07_period_map, f"""
+WITH w AS (SELECT list_extract([{', '.join(f"'{x}'" for x in PERIOD_WORDS)}], CAST(o_orderkey % {len(PERIOD_WORDS)} AS INTEGER) + 1)
+           AS period FROM orders)
+SELECT period, CASE WHEN trim(lower(period)) IN ('1st semester', 'first semester') THEN 'H1'
+                    WHEN trim(lower(period)) IN ('2nd semester', 'second semester') THEN 'H2'
+                    WHEN trim(lower(period)) IN ('year to date', 'ytd', 'total year', 'full year') THEN 'YTD'
+                    WHEN trim(lower(period)) = 'annual' THEN 'Annual' ELSE period END AS code, count(*) AS n
+FROM w GROUP BY 1, 2"""),
+    "p03_indicator_map": (p03_indicator_map, W("\nUNION ALL\n".join(
+        f"SELECT id, '{name}' AS indicator, {stem}real AS actual, {stem}meta AS target FROM business_indicators"
+        for stem, name in INDICATOR_NAMES.items()), "business_indicators")),
     "p04_percent": (p04_percent, W("""
-SELECT id, round(taxageraldeadesao * 100, 2) AS taxageraldeadesao, round(score * 100, 2) AS score, notas
+SELECT id, CAST(printf('%.2f', taxageraldeadesao * 100) AS DOUBLE) AS taxageraldeadesao, CAST(printf('%.2f', score * 100) AS DOUBLE) AS score, notas
 FROM employee_sentiment_by_resort""", "employee_sentiment_by_resort")),
     "p05_rounded": (p05_rounded, W(f"""
 SELECT resort, ano, {sql_fold('pdv')} AS pdv_key,
-       round(coalesce(CAST(sum(CAST(vendatotalpdv AS DECIMAL(38,4))) AS DOUBLE), 0.0), 2) AS total_sales
+       {half_even('coalesce(sum(CAST(vendatotalpdv AS DECIMAL(38,4))), 0)')} AS total_sales
 FROM extra_revenue GROUP BY 1, 2, 3""", "extra_revenue")),
     "p06_title": (p06_title, f"""
 SELECT p_partkey, {_INITCAP.format(c='p_name')} AS name_title, {_INITCAP.format(c='p_brand')} AS brand_title
@@ -288,12 +316,12 @@ WITH m AS (SELECT ano, mes, resort, categoria, sum(CAST(meta AS DECIMAL(38,4)))
 j AS (SELECT m.ano, m.categoria, m.s, g.hospmeta FROM m JOIN guest_targets g
       ON m.ano = g.ano AND m.mes = g.mes AND m.resort = g.resort AND m.categoria = g.categoria)
 SELECT ano, categoria,
-       CASE WHEN sum(hospmeta) <> 0
-            THEN round(CAST(sum(s * hospmeta) AS DOUBLE) / CAST(sum(hospmeta) AS DOUBLE), 4) END AS weighted_target
+       CASE WHEN sum(hospmeta) > 0
+            THEN CAST(printf('%.4f', CAST(sum(s * hospmeta) AS DOUBLE) / CAST(sum(hospmeta) AS DOUBLE)) AS DOUBLE) END AS weighted_target
 FROM j GROUP BY 1, 2""", "monthly_extra_revenue_targets", "guest_targets")),
     "a15_safe_ratio": (a15_safe_ratio, W("""
 WITH g AS (SELECT resort, ano, mes, sum(eventos) AS e, sum(lazer) AS l FROM daily_occupancy GROUP BY 1, 2, 3)
-SELECT resort, ano, mes, CASE WHEN l > 0 THEN round(CAST(e AS DOUBLE) / CAST(l AS DOUBLE) * 100, 2) ELSE 0.0 END
+SELECT resort, ano, mes, CASE WHEN l > 0 THEN CAST(printf('%.2f', CAST(e AS DOUBLE) / CAST(l AS DOUBLE) * 100) AS DOUBLE) ELSE 0.0 END
        AS events_per_100_leisure
 FROM g""", "daily_occupancy")),
     "a17_month_pivot": (a17_month_pivot, W(f"""
@@ -312,7 +340,7 @@ g AS (SELECT ano, mes, 'Lazer' AS categoria, gl AS guests FROM m UNION ALL
 s AS (SELECT ano, mes, categoria, sum(CAST(vendatotalpdv AS DECIMAL(38,4))) AS sales
       FROM extra_revenue GROUP BY 1, 2, 3)
 SELECT s.ano, s.mes, s.categoria, CAST(s.sales AS DOUBLE) AS sales, g.guests,
-       CASE WHEN g.guests > 0 THEN round(CAST(s.sales AS DOUBLE) / CAST(g.guests AS DOUBLE), 2) ELSE 0.0 END
+       CASE WHEN g.guests > 0 THEN CAST(printf('%.2f', CAST(s.sales AS DOUBLE) / CAST(g.guests AS DOUBLE)) AS DOUBLE) ELSE 0.0 END
        AS sales_per_guest
 FROM s JOIN g ON s.ano = g.ano AND s.mes = g.mes AND s.categoria = g.categoria WHERE g.guests > 0""",
                                              "daily_occupancy", "extra_revenue")),
@@ -348,7 +376,7 @@ GROUP BY 1 ORDER BY total DESC NULLS FIRST, keyword ASC NULLS LAST LIMIT 20""",
 WITH c AS (SELECT count(*) AS n FROM guest_feedback WHERE tipocomentario = 'Reclamação'),
 g AS (SELECT CAST(coalesce(sum(hosptotal), 0) AS BIGINT) AS g FROM daily_occupancy)
 SELECT n AS total_complaints, g AS total_guests,
-       CASE WHEN g > 0 THEN round(CAST(n AS DOUBLE) / CAST(g AS DOUBLE) * 100, 2) ELSE 0.0 END
+       CASE WHEN g > 0 THEN CAST(printf('%.2f', CAST(n AS DOUBLE) / CAST(g AS DOUBLE) * 100) AS DOUBLE) ELSE 0.0 END
        AS complaints_per_100_guests
 FROM c, g""", "guest_feedback", "daily_occupancy")),
     "j06_wide_to_long": (j06_wide_to_long, W("""

@@ -35,6 +35,31 @@ def blank_rows_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ing.row_counts(cells, names, ing.WORKBOOK_NULLS if spec.profile == "workbook" else ())
 
 
+def _lineitem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of lineitem read as an all-string source, with their ids."""
+    spec = ing.IngestSpec("lineitem-7", "lineitem", f"{sf_dir.rstrip('/')}/lineitem.parquet", tab="Itens", fmt="parquet")
+    raw, header, _profile = ing.read_source(spark, spec)
+    order, line = (header.index(c) for c in ("l_orderkey", "l_linenumber"))
+    return raw.select(ing.row_id(spec).alias("id"), F.col(f"_c{order}").cast("bigint").alias("l_orderkey"),
+                      F.col(f"_c{line}").cast("bigint").alias("l_linenumber"))
+
+
+def row_ids_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The id of every row from its position in the file (several files: tests/test_ingest.py)."""
+    return _lineitem_rows(spark, sf_dir)
+
+
+def unique_ids_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, and ids that occur more than once."""
+    per_id = _lineitem_rows(spark, sf_dir).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return per_id.agg(F.sum("n").alias("n_rows"), F.count_if(F.col("n") > 1).alias("n_repeated_ids"))
+
+
+ROW_ID_SQL = """
+SELECT sha256('lineitem-7:Itens:' || CAST(row_number() OVER () + 1 AS VARCHAR)) AS id,
+       CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber
+FROM lineitem"""
+
 _TEXT = """
 WITH t AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS pedido, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS quantidade,
@@ -76,6 +101,8 @@ FROM customer"""
 
 CHECKS = {
     "i04_infer_types": (infer_types_check, _infer_sql()),
+    "i07_row_ids": (row_ids_check, ROW_ID_SQL),
+    "i09_unique_ids": (unique_ids_check, "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_repeated_ids FROM lineitem"),
     "i06_blank_rows": (blank_rows_check, BLANK_SQL),
     "i05_prepare_sheet_rows": (prepared_sheet_check, PREPARED_SQL),
 }

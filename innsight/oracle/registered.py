@@ -7,7 +7,7 @@ paging. Every request reads the whole bound tables; filters are the analysis's o
 
 from __future__ import annotations
 
-from innsight.oracle.bindings import with_tables as W
+from innsight.oracle.bindings import half_even, with_tables as W
 
 # key -> (analysis name, filters, page, limit, shape); shape "long" explodes a nested indicator map
 REQUESTS: dict[str, tuple[str, dict, int, int, str | None]] = {}
@@ -57,8 +57,8 @@ t AS (SELECT coalesce(sum(meta), 0.0) AS m FROM department_complaint_targets
       WHERE {fold('hotel')} = 'resort_alpha' AND mes = 1 AND ano = 2024)
 SELECT 'resort_alpha' AS resort_code, CAST(2024 AS BIGINT) AS year, CAST(1 AS BIGINT) AS month, 'All' AS department,
        CAST(n AS BIGINT) AS total_complaints_in_period, CAST(g AS DOUBLE) AS total_guests_in_period,
-       CASE WHEN g > 0 THEN round(n / CAST(g AS DOUBLE) * 100, 2) ELSE 0.0 END AS complaint_per_guest_index,
-       round(CAST(m AS DOUBLE), 2) AS complaint_per_guest_index_target
+       CASE WHEN g > 0 THEN CAST(printf('%.2f', n / CAST(g AS DOUBLE) * 100) AS DOUBLE) ELSE 0.0 END AS complaint_per_guest_index,
+       CAST(printf('%.2f', CAST(m AS DOUBLE)) AS DOUBLE) AS complaint_per_guest_index_target
 FROM c, o, t""", "guest_feedback", "daily_occupancy", "department_complaint_targets"))
 
 register("q03b_complaint_index_all_resorts_department", "calculate_complaint_per_guest_index",
@@ -72,8 +72,8 @@ t AS (SELECT coalesce(sum(meta), 0.0) AS m FROM department_complaint_targets
 SELECT 'All Resorts' AS resort_code, CAST(2024 AS BIGINT) AS year, CAST(1 AS BIGINT) AS month,
        'recepção' AS department,
        CAST(n AS BIGINT) AS total_complaints_in_period, CAST(g AS DOUBLE) AS total_guests_in_period,
-       CASE WHEN g > 0 THEN round(n / CAST(g AS DOUBLE) * 100, 2) ELSE 0.0 END AS complaint_per_guest_index,
-       round(CAST(m AS DOUBLE), 2) AS complaint_per_guest_index_target
+       CASE WHEN g > 0 THEN CAST(printf('%.2f', n / CAST(g AS DOUBLE) * 100) AS DOUBLE) ELSE 0.0 END AS complaint_per_guest_index,
+       CAST(printf('%.2f', CAST(m AS DOUBLE)) AS DOUBLE) AS complaint_per_guest_index_target
 FROM c, o, t""", "guest_feedback", "daily_occupancy", "department_complaint_targets"))
 
 # --- guest feedback --------------------------------------------------------------------------
@@ -151,8 +151,8 @@ e AS (SELECT sum(CASE WHEN categoria = 'Lazer' THEN coalesce(CAST(vendatotalpdv
         AND {fold('pdv')} IN ('brand#2', 'brand#7', 'brand#13')),
 c AS (SELECT 'Leisure' AS category, coalesce(al, 0) AS acc, coalesce(el, 0) AS ex FROM a, e
       UNION ALL SELECT 'Events', coalesce(ae, 0), coalesce(ee, 0) FROM a, e)
-SELECT category, round(CAST(acc AS DOUBLE), 2) AS accommodation_revenue, round(CAST(ex AS DOUBLE), 2) AS extra_revenue,
-       CASE WHEN acc > 0 THEN round(CAST(ex AS DOUBLE) / CAST(acc AS DOUBLE) * 100, 2) ELSE 0.0 END
+SELECT category, {half_even('acc')} AS accommodation_revenue, {half_even('ex')} AS extra_revenue,
+       CASE WHEN acc > 0 THEN CAST(printf('%.2f', CAST(ex AS DOUBLE) / CAST(acc AS DOUBLE) * 100) AS DOUBLE) ELSE 0.0 END
          AS extra_revenue_share_percentage
 FROM c""", "accommodation_revenue", "extra_revenue"))
 
@@ -172,9 +172,9 @@ t AS (SELECT mt.categoria, sum(stm * hm.hospmeta) AS sp, sum(hm.hospmeta) AS sw
       WHERE hm.ano = 1999 AND {fold('hm.resort')} IN {_R2} AND hm.mes IN (4, 5, 6) GROUP BY 1)
 SELECT coalesce(actual.categoria, t.categoria) AS category,
        CASE WHEN coalesce(guests, 0) > 0
-            THEN round(coalesce(CAST(revenue AS DOUBLE) / CAST(guests AS DOUBLE), 0), 2) ELSE 0.0 END
+            THEN CAST(printf('%.2f', coalesce(CAST(revenue AS DOUBLE) / CAST(guests AS DOUBLE), 0)) AS DOUBLE) ELSE 0.0 END
          AS revenue_per_guest_actual,
-       CASE WHEN coalesce(sw, 0) > 0 THEN round(CAST(sp AS DOUBLE) / CAST(sw AS DOUBLE), 2) ELSE 0.0 END
+       CASE WHEN coalesce(sw, 0) > 0 THEN CAST(printf('%.2f', CAST(sp AS DOUBLE) / CAST(sw AS DOUBLE)) AS DOUBLE) ELSE 0.0 END
          AS revenue_per_guest_target
 FROM actual FULL OUTER JOIN t ON actual.categoria = t.categoria""",
     "daily_occupancy", "extra_revenue", "monthly_extra_revenue_targets", "guest_targets"))
@@ -193,8 +193,8 @@ s AS (SELECT CAST(mes AS BIGINT) AS mes, {fold('pdv')} AS pdv_key, categoria,
         AND {fold('pdv')} IN {_P5} GROUP BY 1, 2, 3),
 j AS (SELECT s.*, g.guests FROM s JOIN g ON s.mes = g.mes AND s.categoria = g.categoria WHERE g.guests > 0)
 SELECT upper(left(min(pdv_name), 1)) || lower(substr(min(pdv_name), 2)) AS point_of_sale, categoria AS category,
-       {", ".join(f"coalesce(max(CASE WHEN mes = {m} THEN round(CAST(sales AS DOUBLE) / CAST(guests AS DOUBLE), 2) END), 0.0) AS actual_month_{m}" for m in (1, 2, 3))},
-       CASE WHEN sum(guests) > 0 THEN round(CAST(sum(sales) AS DOUBLE) / CAST(sum(guests) AS DOUBLE), 2) ELSE 0.0 END
+       {", ".join(f"coalesce(max(CASE WHEN mes = {m} THEN CAST(printf('%.2f', CAST(sales AS DOUBLE) / CAST(guests AS DOUBLE)) AS DOUBLE) END), 0.0) AS actual_month_{m}" for m in (1, 2, 3))},
+       CASE WHEN sum(guests) > 0 THEN CAST(printf('%.2f', CAST(sum(sales) AS DOUBLE) / CAST(sum(guests) AS DOUBLE)) AS DOUBLE) ELSE 0.0 END
          AS total
 FROM j GROUP BY pdv_key, categoria""", "daily_occupancy", "extra_revenue"))
 
@@ -206,8 +206,8 @@ i AS (SELECT itemcomanda AS item, sum(coalesce(CAST(valorcomanda AS {_D}), 0)) A
              sum(coalesce(qtdeitemcomanda, 0)) AS tq
       FROM pos_item_sales WHERE ano = 1999 AND {fold('hotel')} = 'resort_gamma' AND mes IN (3, 4)
         AND {fold('categoria')} IN ('lazer') GROUP BY 1 HAVING sum(coalesce(CAST(valorcomanda AS {_D}), 0)) > 0)
-SELECT item, CAST(tq AS BIGINT) AS total_quantity, round(CAST(tv AS DOUBLE), 2) AS total_sales,
-       round(CAST(tv AS DOUBLE) / CAST(tg AS DOUBLE), 2) AS sales_per_guest
+SELECT item, CAST(tq AS BIGINT) AS total_quantity, {half_even('tv')} AS total_sales,
+       CAST(printf('%.2f', CAST(tv AS DOUBLE) / CAST(tg AS DOUBLE)) AS DOUBLE) AS sales_per_guest
 FROM i, g WHERE tg > 0 ORDER BY tv DESC, item LIMIT 50""", "daily_occupancy", "pos_item_sales"))
 
 register("q12b_item_sales_ascending_filtered", "analyze_item_sales",
@@ -221,8 +221,8 @@ i AS (SELECT itemcomanda AS item, sum(coalesce(CAST(valorcomanda AS {_D}), 0)) A
         AND {fold('categoria')} IN ('lazer', 'eventos') AND {fold('pdv')} IN ('brand#3', 'brand#9', 'brand#11', 'brand#20')
         AND {fold('classe')} IN ('small', 'promo')
       GROUP BY 1 HAVING sum(coalesce(CAST(valorcomanda AS {_D}), 0)) > 0)
-SELECT item, CAST(tq AS BIGINT) AS total_quantity, round(CAST(tv AS DOUBLE), 2) AS total_sales,
-       round(CAST(tv AS DOUBLE) / CAST(tg AS DOUBLE), 2) AS sales_per_guest
+SELECT item, CAST(tq AS BIGINT) AS total_quantity, {half_even('tv')} AS total_sales,
+       CAST(printf('%.2f', CAST(tv AS DOUBLE) / CAST(tg AS DOUBLE)) AS DOUBLE) AS sales_per_guest
 FROM i, g WHERE tg > 0 ORDER BY tv ASC, item LIMIT 50""", "daily_occupancy", "pos_item_sales"))
 
 # --- infirmary -------------------------------------------------------------------------------
@@ -261,7 +261,7 @@ g AS (SELECT CAST(coalesce(sum(hosptotal), 0) AS BIGINT) AS g FROM daily_occupan
       WHERE {fold('resort')} = 'resort_gamma' AND ano = 2024 AND mes = 1)
 SELECT 'resort_gamma' AS resort_code, CAST(2024 AS BIGINT) AS year, CAST(1 AS BIGINT) AS month,
        n AS total_attendances_leisure_events_guests, g AS total_guests_in_month,
-       CASE WHEN g > 0 THEN round(n / CAST(g AS DOUBLE) * 100, 2) ELSE 0.0 END AS attendance_per_100_guests_index
+       CASE WHEN g > 0 THEN CAST(printf('%.2f', n / CAST(g AS DOUBLE) * 100) AS DOUBLE) ELSE 0.0 END AS attendance_per_100_guests_index
 FROM a, g""", "medical_attendances", "daily_occupancy"))
 
 register("q16_count_attendances_by_patient_type", "count_attendances_by_patient_type",
@@ -322,7 +322,7 @@ SELECT 'Group', sum(positive_hours), sum(negative_hours) FROM d HAVING count(*)
 
 # --- employee sentiment ----------------------------------------------------------------------
 _RES_COLS = """id, hotel AS resort_code, ano AS year, mes AS month, dimensaonova AS dimension,
-       round(taxageraldeadesao * 100, 2) AS overall_adherence_rate, score, scorehotelsituacao AS score_status,
+       CAST(printf('%.2f', taxageraldeadesao * 100) AS DOUBLE) AS overall_adherence_rate, score, scorehotelsituacao AS score_status,
        notas AS scores"""
 register("q19_get_resort_adherence", "get_resort_adherence", {"hotel": "src1", "ano": "2024"}, W(f"""
 SELECT {_RES_COLS} FROM employee_sentiment_by_resort

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,24 +30,37 @@ INDICATOR_NAMES = {
 }
 # --- end of fixed values ------------------------------------------------------------------
 
+ORDINALS = str.maketrans("ºª", "oa")
 ALIASES = {"resortcode": "hotel", "resort": "hotel", "year": "ano", "month": "mes"}
 
 
 def period_code(value: str) -> str:
     """Aggregated-period words to their code (``º``/``ª`` read as o/a); others unchanged."""
-    key = value.lower().strip().replace("º", "o").replace("ª", "a")
-    return PERIOD_CODES.get(key, value)
+    word = value.strip().lower().translate(ORDINALS)
+    return PERIOD_CODES[word] if word in PERIOD_CODES else value
 
 
 def period_code_column(c: str | Column) -> Column:
     """N7 as a column (standardising a stored period column with the same map as filter values);
     the value is trimmed of spaces before the lookup, others are kept unchanged."""
     col = F.col(c) if isinstance(c, str) else c
-    key = F.replace(F.replace(F.trim(F.lower(col)), F.lit("º"), F.lit("o")), F.lit("ª"), F.lit("a"))
+    key = F.translate(F.trim(F.lower(col)), "ºª", "oa")
     pairs = [x for k, v in PERIOD_CODES.items() for x in (F.lit(k), F.lit(v))]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), col)
 
 
+def indicator_columns(columns: Sequence[str]) -> dict[str, tuple[str | None, str | None]]:
+    """Published indicator → its (actual, target) columns among ``columns``; a missing one is None. Columns that
+    are already named ``<indicator>_actual``/``<indicator>_target`` count as well, known or not."""
+    present = set(columns)
+    pairs = {name: tuple(c if c in present else None for c in (stem + "real", stem + "meta"))
+             for stem, name in INDICATOR_NAMES.items()}
+    for name in dict.fromkeys(c[:-len("_actual")] for c in columns if c.endswith(("_actual", "_target"))):
+        pairs[name] = tuple(new if new in present else old for new, old in
+                            zip((name + "_actual", name + "_target"), pairs.get(name, (None, None))))
+    return {name: pair for name, pair in pairs.items() if any(pair)}
+
+
 def get_closed_period_indicators(catalog: Catalog, filters: dict, pg: Page) -> AnalysisResult:
     """Q08: indicator rows of one resort/year/period, each row nested as
     ``(year, resort_code, period, status='closed', indicators map)``."""
@@ -65,10 +80,6 @@ def get_closed_period_indicators(catalog: Catalog, filters: dict, pg: Page) -> A
         None if period is None else F.col("periodo") == F.lit(period),
     ])
     rows = page(filtered, [("ano", "asc"), ("periodo", "asc"), ("id", "asc")], pg)
-    renamed = rows.select(
-        F.col("ano").alias("year"), F.col("hotel").alias("resort_code"), F.col("periodo").alias("period"),
-        *[F.col(stem + "real").alias(name + "_actual") for stem, name in INDICATOR_NAMES.items()],
-        *[F.col(stem + "meta").alias(name + "_target") for stem, name in INDICATOR_NAMES.items()])
-    nested = renamed.select("year", "resort_code", "period", F.lit("closed").alias("status"),
-                            nest_pairs(list(INDICATOR_NAMES.values())).alias("indicators"))
+    nested = rows.select(F.col("ano").alias("year"), F.col("hotel").alias("resort_code"), F.col("periodo").alias("period"),
+                         F.lit("closed").alias("status"), nest_pairs(indicator_columns(df.columns)).alias("indicators"))
     return AnalysisResult(nested, page_stats(filtered), pg)

@@ -9,12 +9,15 @@ from innsight.errors import AnalysisError
 from innsight.functions.numeric import safe_ratio
 from innsight.functions.text import fold_py
 from innsight.operators import filters as flt
+from innsight.operators.aggregate import ranked_count, with_total
 from innsight.operators.combine import scalar_ratio
-from innsight.operators.listing import page, page_stats, rename
+from innsight.operators.listing import order_keys, page, page_stats, rename
 from innsight.plans.common import date_col, source_columns
 from innsight.plans.spec import AnalysisResult, Page
 from innsight.sources.catalog import Catalog
 
+# --- fixed values: must equal the analysed system's for the same results -------------------
+# Stored column → published name; the listing returns every column.
 ATTENDANCE_NAMES = {
     "id": "id", "carimbodedatahora": "timestamp", "data": "attendance_date", "horario": "attendance_time",
     "hospedeouemocionador": "patient_type", "cr": "cost_center", "numerodoapartamento": "room_number",
@@ -44,6 +47,7 @@ CONTAINS_FILTERS = {
     "localocorrencia": "localocorrencia", "nomepaciente": "nomecompleto",
 }
 YES, NO = "Sim", "Não"
+# --- end of fixed values ------------------------------------------------------------------
 
 
 def _transfer_value(v) -> str:
@@ -68,7 +72,7 @@ def list_medical_attendances(catalog: Catalog, filters: dict, pg: Page) -> Analy
     """Q13: attendances matching any of the contains/equality filters, newest first."""
     f = flt.Filters(filters, ALIASES)
     df = catalog.table("medical_attendances")
-    preds = [flt.fold_contains(col, f.text(key)) for key, col in CONTAINS_FILTERS.items() if f.text(key)]
+    preds = [flt.fold_contains(col, f.text(key), df=df) for key, col in CONTAINS_FILTERS.items() if f.text(key)]
     transfer = f.raw("houvetransferenciaparaohospital")
     if transfer is not None:
         preds.append(flt.fold_eq(df, "houvetransferenciaparaohospital", _transfer_value(transfer)))
@@ -78,10 +82,10 @@ def list_medical_attendances(catalog: Catalog, filters: dict, pg: Page) -> Analy
 
 
 def _ranked(filtered, key, key_alias, pg):
-    grouped = filtered.groupBy(F.col(key).alias(key_alias)).agg(F.count(F.lit(1)).alias("total_attendances"))
+    grouped = ranked_count(filtered, key, key_alias, "total_attendances")
     rows = page(grouped, [("total_attendances", "desc"), (key_alias, "asc")], pg)
     stats = grouped.agg(F.count(key_alias).alias("total_records"), F.lit(None).cast("string").alias("data_until"))
-    return grouped, rows, stats
+    return rows, stats
 
 
 def rank_medical_occurrences(catalog: Catalog, filters: dict, pg: Page) -> AnalysisResult:
@@ -89,7 +93,7 @@ def rank_medical_occurrences(catalog: Catalog, filters: dict, pg: Page) -> Analy
     f = flt.Filters(filters, ALIASES)
     df = catalog.table("medical_attendances")
     filtered = flt.where(df, [flt.not_blank("ocorrenciaqueixa")] + _period_preds(df, f, day=False))
-    _, rows, stats = _ranked(filtered, "ocorrenciaqueixa", "chief_complaint", pg)
+    rows, stats = _ranked(filtered, "ocorrenciaqueixa", "chief_complaint", pg)
     return AnalysisResult(rows, stats, pg)
 
 
@@ -125,12 +129,16 @@ def count_attendances_by_patient_type(catalog: Catalog, filters: dict, pg: Page)
     df = catalog.table("medical_attendances")
     preds = [flt.not_blank("hospedeouemocionador")] + _period_preds(df, f)
     if f.text("cr"):
-        preds.append(flt.fold_contains("cr", f.text("cr")))
+        preds.append(flt.fold_contains("cr", f.text("cr"), df=df))
     filtered = flt.where(df, preds)
-    grouped, rows, stats = _ranked(filtered, "hospedeouemocionador", "patient_type", pg)
+    rows, stats = _ranked(filtered, "hospedeouemocionador", "patient_type", pg)
     if pg.offset == 0:
-        total = grouped.agg(F.lit("Total").alias("patient_type"),
-                            F.sum("total_attendances").alias("total_attendances"),
-                            F.count(F.lit(1)).alias("_groups")).where(F.col("_groups") > 0).drop("_groups")
-        rows = rows.unionByName(total)
+        # groups and grand total in one aggregation: the total and the page's best groups are taken
+        # together, and one sort of that page puts the total last
+        both = with_total(filtered.withColumn("patient_type", F.col("hospedeouemocionador")), ["patient_type"],
+                          {"total_attendances": F.count(F.lit(1))}, "patient_type", "Total") \
+            .where(F.col("total_attendances") > 0)
+        order = [("total_attendances", "desc"), ("patient_type", "asc")]
+        first = both.orderBy(*order_keys([("row_kind", "desc"), *order])).limit(pg.limit + 1)
+        rows = first.orderBy(*order_keys([("row_kind", "asc"), *order])).drop("row_kind")
     return AnalysisResult(rows, stats, pg)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Callable, Mapping
 
 from innsight.errors import AnalysisError
@@ -41,4 +42,7 @@ def run(name: str, filters: Mapping | None, catalog: Catalog, page: int = 1, lim
     """Plan analysis ``name`` for ``filters``; nothing executes until the result is used."""
     if name not in REGISTRY:
         raise AnalysisError(f"unknown analysis {name!r}")
-    return REGISTRY[name](catalog, dict(filters or {}), Page(limit=int(limit), number=int(page)))
+    given = dict(filters or {})
+    pg = Page(limit=int(limit), number=int(page))
+    result = REGISTRY[name](catalog, given, pg)
+    return replace(result, page=result.page or pg, analysis=name, filters=given)

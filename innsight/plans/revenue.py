@@ -10,16 +10,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from innsight.errors import AnalysisError
-from innsight.functions.numeric import round_value, safe_ratio
+from innsight.functions.numeric import money, round_value, safe_ratio
 from innsight.operators import filters as flt
-from innsight.operators.combine import scalar_ratio, wide_to_long, with_scalars
+from innsight.operators.aggregate import weighted_mean
+from innsight.operators.combine import scalar_ratio, segment_join, wide_to_long, with_scalars
 from innsight.operators.listing import page, page_stats, rename
 from innsight.plans.common import date_col, source_columns
 from innsight.plans.spec import AnalysisResult, Page
-from innsight.sources.ingest import require_partition
 from innsight.sources.catalog import Catalog
 
+# Stored column → published name; the listing returns every column.
 EXTRA_REVENUE_NAMES = {
     "id": "id", "resort": "resort_code", "mes": "month", "pdv": "point_of_sale", "categoria": "category",
     "meta": "target", "ano": "year", "data": "date", "hospedes": "guests", "vendatotalpdv": "total_pos_sales",
@@ -29,12 +29,12 @@ EXTRA_REVENUE_NAMES = {
 ALIASES = {"resort": "hotel", "unidade": "hotel", "mes": "mes", "periodo": "mes", "month": "mes", "year": "ano",
            "day": "dia", "category": "categoria", "order": "ordenacao", "class": "classe"}
 CATEGORY_LABELS = {"Lazer": "Leisure", "Eventos": "Events"}
-DEC = "decimal(38,4)"
+DEC = "decimal(38,4)"  # amounts are added exactly, with four decimals: a currency amount has two
 
 
-def _money(c):
-    """P5: null → 0, two decimals, as double."""
-    return round_value(F.coalesce(c.cast("double"), F.lit(0.0)), 2)
+def _per_guest(amount, guests):
+    """P5 of an amount per guest: divided in double precision, two decimals."""
+    return F.coalesce(round_value(amount.cast("double") / guests.cast("double"), 2), F.lit(0.0))
 
 
 def _resort_list(f: flt.Filters) -> list[str]:
@@ -85,7 +85,7 @@ def calculate_revenue_share(catalog: Catalog, filters: dict, pg: Page | None = N
                         F.coalesce(F.col(f"ex_{cat}"), F.lit(0)).alias("ex"))
                for cat, label in CATEGORY_LABELS.items()]
     rows = one.select(F.inline(F.array(*per_cat))).select(
-        "category", _money(F.col("acc")).alias("accommodation_revenue"), _money(F.col("ex")).alias("extra_revenue"),
+        "category", money("acc").alias("accommodation_revenue"), money("ex").alias("extra_revenue"),
         safe_ratio("ex", "acc").alias("extra_revenue_share_percentage"))
     stats = rows.agg(F.count(F.lit(1)).alias("total_records"), F.lit(None).cast("string").alias("data_until"))
     return AnalysisResult(rows, stats, None)
@@ -126,17 +126,16 @@ def _per_category(catalog, resorts, year, months, days):
     weights = flt.where(gt, [flt.eq(gt, "ano", year), _in_resorts(gt, "resort", resorts),
                              flt.int_in(gt, "mes", months)]).select("mes", "resort", "categoria", "hospmeta")
     target = monthly.join(weights, ["mes", "resort", "categoria"]).groupBy("categoria").agg(
-        F.sum(F.col("sum_target_month") * F.col("hospmeta")).alias("sp"), F.sum("hospmeta").alias("sw"))
+        weighted_mean("sum_target_month", "hospmeta").alias("target"))
 
     # Categories with actuals but no target and targets without actuals both appear.
     both = actual.join(target, "categoria", "full_outer")
     rows = both.select(
         F.col("categoria").alias("category"),
         F.when(F.coalesce("guests", F.lit(0)) > 0,
-               _money(F.col("revenue").cast("double") / F.col("guests").cast("double"))).otherwise(F.lit(0.0))
+               _per_guest(F.col("revenue"), F.col("guests"))).otherwise(F.lit(0.0))
         .alias("revenue_per_guest_actual"),
-        F.when(F.coalesce("sw", F.lit(0)) > 0, _money(F.col("sp").cast("double") / F.col("sw").cast("double")))
-        .otherwise(F.lit(0.0)).alias("revenue_per_guest_target")).orderBy(F.col("category").asc_nulls_last())
+        F.coalesce(round_value("target", 2), F.lit(0.0)).alias("revenue_per_guest_target")).orderBy(F.col("category").asc_nulls_last())
     stats = rows.agg(F.count(F.lit(1)).alias("total_records"), F.lit(None).cast("string").alias("data_until"))
     return AnalysisResult(rows, stats, None)
 
@@ -147,7 +146,8 @@ def _per_pos(catalog, resorts, year, months, pos):
                                      flt.int_in(occ, "mes", months)]) \
         .groupBy(F.col("mes").cast("bigint").alias("mes")).agg(
             F.sum(F.coalesce("lazer", F.lit(0))).alias("Lazer"), F.sum(F.coalesce("eventos", F.lit(0))).alias("Eventos"))
-    guests = monthly_guests.unpivot(["mes"], ["Lazer", "Eventos"], "categoria", "guests").where(F.col("guests") > 0)
+    guests = wide_to_long(monthly_guests, ["mes"], {c: c for c in CATEGORY_LABELS}, "categoria", "guests") \
+        .where(F.col("guests") > 0)
 
     ex = catalog.table("extra_revenue")
     pos_key = flt.folded(ex, "pdv")
@@ -156,14 +156,14 @@ def _per_pos(catalog, resorts, year, months, pos):
         .groupBy(F.col("mes").cast("bigint").alias("mes"), pos_key.alias("pdv_key"), "categoria").agg(
             F.sum(F.coalesce(F.col("vendatotalpdv").cast(DEC), F.lit(0))).alias("sales"),
             F.min("pdv").alias("pdv_name"))
-    joined = sales.join(guests, ["mes", "categoria"])
-    ratio = F.col("sales").cast("double") / F.col("guests").cast("double")
-    month_cols = [F.coalesce(F.max(F.when(F.col("mes") == m, _money(ratio))), F.lit(0.0)).alias(f"actual_month_{m}")
+    joined = segment_join(guests, sales, ["mes", "categoria"])
+    ratio = _per_guest(F.col("sales"), F.col("guests"))
+    month_cols = [F.coalesce(F.max(F.when(F.col("mes") == m, ratio)), F.lit(0.0)).alias(f"actual_month_{m}")
                   for m in months]
     extra = []
     if len(months) > 1:
         extra = [F.when(F.sum("guests") > 0,
-                        _money(F.sum("sales").cast("double") / F.sum("guests").cast("double")))
+                        _per_guest(F.sum("sales"), F.sum("guests")))
                  .otherwise(F.lit(0.0)).alias("total")]
     grouped = joined.groupBy("pdv_key", "categoria").agg(F.initcap(F.min("pdv_name")).alias("point_of_sale"),
                                                          *month_cols, *extra)
@@ -190,12 +190,9 @@ def analyze_item_sales(catalog: Catalog, filters: dict, pg: Page) -> AnalysisRes
         guest_cols, categories = ["lazer", "eventos"], ["lazer", "eventos"]
     descending = (f.text("ordenacao") or "maior").lower() != "menor"
 
-    if not catalog.has("pos_item_sales"):
-        raise AnalysisError(f"item sales for year {year} are not available")
-    items = catalog.table("pos_item_sales")
-    # A year with no item sales at all is missing data, not an empty ranking. The probe reads
-    # at most one row of the year's partition (partition pruning), before the analysis runs.
-    require_partition(items, "ano", year)
+    # A year with no item sales at all is missing data, not an empty ranking. Metadata tells, or
+    # else the stats row does when it is read.
+    items, year_known = catalog.of_year("pos_item_sales", year)
     occ = catalog.table("daily_occupancy")
     guest_expr = sum((F.coalesce(F.col(c), F.lit(0)) for c in guest_cols[1:]), F.coalesce(F.col(guest_cols[0]), F.lit(0)))
     guests = flt.where(occ, [flt.resort_pred(occ, "resort", resort), flt.eq(occ, "ano", year),
@@ -216,9 +213,12 @@ def analyze_item_sales(catalog: Catalog, filters: dict, pg: Page) -> AnalysisRes
     ranked = page(with_guests, [("total_venda", direction), ("item", "asc")], pg)
     rows = ranked.select(
         "item", F.col("total_quantity").cast("bigint").alias("total_quantity"),
-        _money(F.col("total_venda")).alias("total_sales"),
-        _money(F.col("total_venda").cast("double") / F.col("total_guests").cast("double")).alias("sales_per_guest"))
+        money("total_venda").alias("total_sales"),
+        _per_guest(F.col("total_venda"), F.col("total_guests")).alias("sales_per_guest"))
     stats = with_guests.agg(F.count(F.lit(1)).alias("total_records"), F.lit(None).cast("string").alias("data_until"))
+    if not year_known:
+        stats = with_scalars(stats, flt.where(items, [flt.eq(items, "ano", year)]).limit(1)
+                             .agg((F.count(F.lit(1)) > 0).alias("source_found")))
     return AnalysisResult(rows, stats, pg)
 
 

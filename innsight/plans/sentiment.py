@@ -15,14 +15,16 @@ from innsight.plans.common import source_columns
 from innsight.plans.spec import AnalysisResult, Page
 from innsight.sources.catalog import Catalog
 
+# --- fixed values: must equal the analysed system's for the same results -------------------
+# Stored column → published name.
 SENTIMENT_NAMES = {
     "dimensaonova": "dimension", "taxageraldeadesao": "overall_adherence_rate", "score": "score",
     "hotel": "resort_code", "mes": "month", "ano": "year", "scorehotelsituacao": "score_status", "notas": "scores",
     "lideresdiretos": "direct_leader", "cr": "department", "nivel": "level", "lideranca": "leadership",
     "destinatario": "employee_name", "cargo": "position", "grupos": "groups", "lideres": "leader",
     "status": "status", "dataehora": "timestamp", "egerente": "is_manager",
-    "meses_ocorrencias": "months_of_occurrence",
 }
+# --- end of fixed values ------------------------------------------------------------------
 ALIASES = {"resort": "hotel", "year": "ano", "month": "mes", "setor": "cr", "department": "cr",
            "nome": "destinatario", "employee": "destinatario", "emocionador": "destinatario"}
 
@@ -39,13 +41,13 @@ STATUS_CLASSES = {
 TOP_K, TOP_K_NAMED = 5, 100
 
 
-def _contains(col, value):
-    return None if value is None or flt.is_all(value) else flt.fold_contains(col, value)
+def _contains(df, col, value):
+    return None if value is None or flt.is_all(value) else flt.fold_contains(col, value, df=df)
 
 
 def _listing(df, f: flt.Filters, contains: dict, order, pg: Page, percent=()):
-    preds = [_contains("hotel", f.resort("hotel", codes=WORKFORCE_CODES))]
-    preds += [_contains(col, f.text(key)) for key, col in contains.items()]
+    preds = [_contains(df, "hotel", f.resort("hotel", codes=WORKFORCE_CODES))]
+    preds += [_contains(df, col, f.text(key)) for key, col in contains.items()]
     preds += [None if f.integer("ano") is None else flt.eq(df, "ano", f.integer("ano")),
               None if f.month("mes") is None else flt.eq(df, "mes", f.month("mes"))]
     filtered = flt.where(df, preds)
@@ -91,8 +93,8 @@ def rank_by_survey_status(catalog: Catalog, filters: dict, pg: Page | None = Non
     df = catalog.table("employee_sentiment_surveys")
     filtered = flt.where(df, [
         flt.eq(df, "ano", year), F.col("status").isin(list(statuses)),
-        _contains("hotel", f.resort("hotel", codes=WORKFORCE_CODES)),
-        None if recipient is None else flt.fold_contains("destinatario", recipient),
+        _contains(df, "hotel", f.resort("hotel", codes=WORKFORCE_CODES)),
+        None if recipient is None else flt.fold_contains("destinatario", recipient, df=df),
         flt.int_in(df, "mes", months) if months else None,
     ])
     aggregated = filtered.groupBy("ano", "destinatario", "cr").agg(

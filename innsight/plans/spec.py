@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from typing import Mapping
 
 from pyspark.sql import DataFrame
 
@@ -14,7 +15,8 @@ DEFAULT_LIMIT = 50
 
 @dataclass(frozen=True)
 class Page:
-    """``limit`` rows starting at ``(number - 1) * limit``; both must be >= 1."""
+    """``limit`` rows starting at ``(number - 1) * limit``; both must be >= 1. A task keeps the first
+    ``number * limit`` rows of its part, so a page far behind costs memory in proportion to its number."""
 
     limit: int = DEFAULT_LIMIT
     number: int = 1
@@ -40,23 +42,29 @@ class AnalysisResult:
     rows: DataFrame
     stats: DataFrame
     page: Page | None = None
+    analysis: str = ""
+    filters: Mapping = field(default_factory=dict)
 
     def envelope(self) -> dict:
-        """Collect the page and the stats row into the paginated response dictionary.
+        """Collect the rows and the stats row into the response dictionary.
 
-        Only the page (bounded by ``limit``) and one stats row reach the driver.
+        Of a paged analysis at most ``limit`` rows reach the driver. An unpaged one returns its whole
+        result: one row per resort and month, department or point of sale, never raw rows.
         """
         stats = self.stats.first().asDict()
+        if not stats.pop("source_found", True):
+            raise AnalysisError(f"no data of the requested year for {self.analysis or 'the analysis'}")
         total = int(stats.pop("total_records") or 0)
-        limit = self.page.limit if self.page else max(total, 1)
+        page = self.page or Page()
         out = {
+            "analysis_executed": self.analysis,
+            "filters_used": dict(self.filters),
             "data": [r.asDict(recursive=True) for r in self.rows.collect()],
-            "page": self.page.number if self.page else 1,
-            "limit": limit,
-            "total_records": total,
-            "total_pages": math.ceil(total / limit) if total else 0,
-            "data_until": stats.pop("data_until", None),
+            "pagination": {"page": page.number, "limit": page.limit, "total_records": total,
+                           "total_pages": math.ceil(total / page.limit)},
         }
+        if (until := stats.pop("data_until", None)) is not None:
+            out["data_until"] = until
         if stats:
             out["summary"] = stats
         return out

@@ -1,14 +1,12 @@
 """Spark session helpers.
 
 The library never creates a session behind the caller's back; these helpers only apply the
-settings the operators are written for (AQE on, ANSI on, UTC, UI off) and make sure a
-checkpoint directory exists when the cluster did not name one.
+settings the operators are written for (AQE on, ANSI on, UTC, UI off, checkpoints removed when no
+longer referenced) and set the checkpoint directory that the cluster names.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
@@ -18,6 +16,7 @@ DEFAULT_CONF = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -34,22 +33,15 @@ def build_session(master: str | None = None, app_name: str = "innsight",
     for key, value in merged.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    ensure_checkpoint_dir(spark)
+    named_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Return the cluster's ``spark.checkpoint.dir``; set a local one only when it is unset.
-
-    On a cluster the directory must be shared storage named by the deployment. A local
-    fallback is only appropriate for tests and local runs.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or \
+def named_checkpoint_dir(spark: SparkSession) -> str | None:
+    """The shared folder that the deployment names in ``spark.checkpoint.dir``, set on the context; None where it
+    names none: no folder is invented on one machine, small intermediate tables are persisted instead."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    path = fallback or tempfile.mkdtemp(prefix="innsight-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    if named and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
+    return named

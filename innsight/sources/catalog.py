@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from typing import Callable, Mapping
+import re
+from typing import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 from innsight.errors import AnalysisError
+from innsight.sources.ingest import versions
 
 # Table names the analyses read.
 TABLES = (
@@ -17,15 +19,22 @@ TABLES = (
     "employee_sentiment_surveys",
 )
 
+# Loaded as one table per year (``<name>_<year>``) or as one table partitioned by year.
+YEARLY_TABLES = ("pos_item_sales",)
+
 
 class Catalog:
     """Name → DataFrame. Entries may be DataFrames or zero-argument factories (resolved lazily
     and memoised, so a binding is planned once per catalog)."""
 
-    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame | Callable[[], DataFrame]]):
+    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame | Callable[[], DataFrame]],
+                 years: Mapping[str, Iterable[int]] | None = None):
+        """``years``: the years of yearly tables, where metadata tells them; the entry of year ``y`` of ``name`` is
+        ``<name>_<y>`` or, without such an entry, a partition of ``name``."""
         self.spark = spark
         self._entries = dict(tables)
         self._resolved: dict[str, DataFrame] = {}
+        self._years = {n: frozenset(ys) for n, ys in (years or {}).items()}
 
     def has(self, name: str) -> bool:
         return name in self._entries
@@ -38,10 +47,38 @@ class Catalog:
             self._resolved[name] = entry() if callable(entry) else entry
         return self._resolved[name]
 
+    def of_year(self, name: str, year: int) -> tuple[DataFrame, bool]:
+        """The table that holds a year of ``name`` and whether the year is known to be there. A year that
+        metadata knows to be missing is an error; no job runs. Of a source without such metadata (a view) nothing is known
+        before its rows are read."""
+        known = self._years.get(name)
+        if known is not None and year not in known or known is None and not self.has(name):
+            raise AnalysisError(f"{name} for year {year} is not available")
+        yearly = f"{name}_{year}"
+        return self.table(yearly if self.has(yearly) else name), known is not None
+
     @classmethod
     def from_metastore(cls, spark: SparkSession, database: str | None = None,
                        names=TABLES) -> "Catalog":
         """Tables (or the published views of :mod:`innsight.sources.ingest`) in a database."""
         prefix = f"{database}." if database else ""
-        present = {n for n in names if spark.catalog.tableExists(prefix + n)}
-        return cls(spark, {n: (lambda n=n: spark.table(prefix + n)) for n in present})
+        found = {t.name for t in (spark.catalog.listTables(database) if database else spark.catalog.listTables())}
+        present, years = {n for n in names if n in found}, {}
+        for base in YEARLY_TABLES:
+            yearly = {int(n[len(base) + 1:]): n for n in found if re.fullmatch(rf"{base}_\d{{4}}", n)}
+            if yearly:
+                present |= set(yearly.values())
+                years[base] = set(yearly)
+            elif base in present and (listed := _partition_years(spark, base, database)) is not None:
+                years[base] = listed
+        return cls(spark, {n: (lambda n=n: spark.table(prefix + n)) for n in present}, years)
+
+
+def _partition_years(spark: SparkSession, name: str, database: str | None) -> set[int] | None:
+    """The years of the newest published version of ``name`` from its partition list, if it is partitioned by year."""
+    stored = ([name] + versions(spark, name, database))[-1]
+    qualified = f"{database}.{stored}" if database else stored
+    if "ano" not in [c.name for c in spark.catalog.listColumns(qualified) if c.isPartition]:
+        return None
+    parts = [dict(p.split("=", 1) for p in r[0].split("/")) for r in spark.sql(f"SHOW PARTITIONS {qualified}").collect()]
+    return {int(p["ano"]) for p in parts if p["ano"].isdigit()}

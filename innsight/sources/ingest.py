@@ -23,6 +23,7 @@ import re
 import time
 import unicodedata
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Iterable, Sequence
 
@@ -30,13 +31,16 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from innsight.errors import AnalysisError
 from innsight.functions.text import fold
 
-POS = "_pos"          # 0-based line position within its file (line 0 is the header)
+POS = "_pos"          # 0-based line position within its file
 FILE = "_file"
+HEADER = "_header"    # the line is its file's header
+SPLIT_CONFS = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+# --- fixed values: must equal the analysed system's for the same results -------------------
 NUMBER_PATTERN = r"^\s*[-+]?[0-9]+([.,][0-9]*)?\s*$"
 WORKBOOK_NULLS = ("nan", "NaT")
+# --- end of fixed values ------------------------------------------------------------------
 INTEGER, REAL, TEXT = "INTEGER", "REAL", "TEXT"
 SPARK_TYPES = {INTEGER: "bigint", REAL: "double", TEXT: "string"}
 
@@ -61,6 +65,7 @@ class IngestSpec:
     cluster_by: tuple[str, ...] = ()       # rows sorted by these within each written file (min/max skipping)
     database: str | None = None
     multiline: bool = False                 # quoted cells with line breaks (file not splittable)
+    multi_file: bool = False                # the source may be cut into several files: ids name the file
     on_empty: str | None = None             # "drop" | "keep"; default: sheet drops, workbook keeps
 
     @property
@@ -85,34 +90,31 @@ class IngestResult:
 # --- I1 / I2: headers (metadata) -------------------------------------------------------------
 
 def normalise_header(name) -> str:
-    """Trimmed, lower case, accents removed, only ``[a-z0-9]`` kept."""
-    text = unicodedata.normalize("NFKD", str(name if name is not None else "").strip().lower())
-    text = "".join(c for c in text if not unicodedata.combining(c))
-    return re.sub(r"[^a-z0-9]", "", text)
+    """The name's letters and digits in lower case, accents removed, ``[a-z0-9]`` only."""
+    plain = unicodedata.normalize("NFKD", "" if name is None else str(name).lower())
+    return "".join(re.findall("[a-z0-9]", plain))
 
 
-def dedupe_headers(raw: Sequence) -> tuple[list[str], list[int], list[str]]:
-    """I2 + D19: normalised names and the kept column indexes (first occurrence wins).
+def header_name(original, position: int) -> str:
+    """Column name of a header cell: a name that normalises to empty becomes ``col_<n>`` (1-based
+    position); ``id`` is reserved for the generated row id, so a source column ``id`` is ``src_id``."""
+    name = normalise_header(original) or f"col_{position + 1}"
+    return "src_id" if name == "id" else name
 
-    A name that normalises to empty becomes ``col_<n>`` (1-based position); ``id`` is reserved
-    for the generated row id, so a source column named ``id`` becomes ``src_id``.
-    """
-    names, kept, warnings, seen = [], [], [], set()
-    for idx, original in enumerate(raw):
-        norm = normalise_header(original) or f"col_{idx + 1}"
-        if norm == "id":
-            norm = "src_id"
-        if norm in seen:
-            warnings.append(f"duplicate column ignored after normalising: {original!r} -> {norm!r}")
-            continue
-        seen.add(norm)
-        names.append(norm)
-        kept.append(idx)
-    return names, kept, warnings
+
+def dedupe_headers(raw: Sequence) -> tuple[list[str], list[int], list[str]]:
+    """I2 + D19: column names, the kept column indexes (first occurrence wins) and warnings."""
+    all_names = [header_name(original, i) for i, original in enumerate(raw)]
+    first = {name: i for i, name in reversed(list(enumerate(all_names)))}
+    kept = sorted(first.values())
+    warnings = [f"duplicate column ignored after normalising: {raw[i]!r} -> {name!r}"
+                for i, name in enumerate(all_names) if first[name] != i]
+    return [all_names[i] for i in kept], kept, warnings
 
 
 # --- S1 / S2 / H1: reading with exact positions ------------------------------------------------
 
+ROWS_PER_FILE = 1_000_000        # of a partitioned or clustered table
 MAX_BROADCAST_SPLITS = 100_000   # one offsets row per split (~100 bytes): at most ~10 MB broadcast
 
 
@@ -134,7 +136,7 @@ def _profile_aggs(n_cols: int) -> list[Column]:
     counts. Written as SQL expressions: one call per expression however wide the sheet is."""
     row_max = f"greatest({', '.join(f'_k{i}' for i in range(n_cols))})" if n_cols > 1 else \
         ("_k0" if n_cols else "0")
-    exprs = ["count(1) AS _n", "min(_mid) AS _first"]
+    exprs = ["count(1) AS _n", "min(_mid) AS _first", "min_by(_line0, _mid) AS _line0"]
     for i in range(n_cols):
         exprs += [f"count_if(_k{i} = 2) AS _k{i}_2", f"count_if(_k{i} = 3) AS _k{i}_3", f"min_by(_k{i}, _mid) AS _h{i}"]
     exprs += [f"count_if({row_max} = 0) AS _blank", f"min_by({row_max}, _mid) AS _hblank"]
@@ -142,12 +144,15 @@ def _profile_aggs(n_cols: int) -> list[Column]:
 
 
 def _profile_of(blocks: DataFrame, names: Sequence[str]) -> SourceProfile:
-    """Reduce the per-split table (small) to column types and row counts; header lines removed."""
-    exprs = ["count(1) AS _splits", "sum(_n) AS _n", "count_if(_block = 0) AS _headers", "sum(_blank) AS _blank",
-             "count_if(_block = 0 AND _hblank = 0) AS _hblank"]
+    """Reduce the per-split table (small) to column types and row counts; header lines removed. A file
+    whose first line is a header of other or reordered columns fails the load."""
+    exprs = ["count(1) AS _splits", "sum(_n) AS _n", "count_if(_headed) AS _headers", "sum(_blank) AS _blank",
+             "count_if(_headed AND _hblank = 0) AS _hblank", f"min(IF(_foreign, {FILE}, NULL)) AS _bad"]
     for i in range(len(names)):
-        exprs += [f"sum(_k{i}_{v}) - count_if(_block = 0 AND _h{i} = {v}) AS _k{i}_{v}" for v in (2, 3)]
+        exprs += [f"sum(_k{i}_{v}) - count_if(_headed AND _h{i} = {v}) AS _k{i}_{v}" for v in (2, 3)]
     row = blocks.agg(*[F.expr(e) for e in exprs]).first()
+    if row["_bad"] is not None:
+        raise IngestError(f"{row['_bad']}: its header has other columns, or another order, than the first file's")
     types = {n: TEXT if row[f"_k{i}_3"] else REAL if row[f"_k{i}_2"] else INTEGER for i, n in enumerate(names)}
     rows = int(row["_n"] or 0) - int(row["_headers"] or 0)
     blank = int(row["_blank"] or 0) - int(row["_hblank"] or 0)
@@ -168,34 +173,75 @@ def _materialise_small(df: DataFrame) -> DataFrame:
     return kept
 
 
+def line_kind(blocks: DataFrame, header: Sequence) -> DataFrame:
+    """``blocks`` with ``_headed`` (the split begins with the header: its first line has the names of
+    ``header`` in their order) and ``_foreign`` (it has some of these names, but not that way). The first
+    line of any other file is data: a part without a header."""
+    def names(cells: Column) -> Column:  # one rule for both sides of the comparison
+        return F.transform(cells, lambda x: F.regexp_replace(fold(F.coalesce(x, F.lit(""))), "[^a-z0-9]", ""))
+    known = names(F.array(*[F.lit(h).cast("string") for h in header]))
+    read = names(F.col("_line0"))
+    at_start = F.col("_block") == 0
+    same = F.slice(read, 1, len(header)) == known
+    shared = F.arrays_overlap(F.array_remove(read, ""), F.array_remove(known, ""))
+    return blocks.withColumn("_headed", at_start & F.coalesce(same, F.lit(False))).withColumn(
+        "_foreign", at_start & ~F.col("_headed") & F.coalesce(shared, F.lit(False)))
+
+
 def profile_splits(df: DataFrame, kept_cols: Sequence[str], names: Sequence[str],
-                   null_tokens: Sequence[str] = ()) -> tuple[DataFrame, SourceProfile]:
-    """Add ``_file`` and ``_pos`` (0-based line within its file) to a file-source DataFrame and
-    profile it, reading the input once.
+                   null_tokens: Sequence[str] = (), header: Sequence = ()) -> tuple[DataFrame, SourceProfile]:
+    """Add ``_file``, ``_pos`` (0-based line within its file) and ``_header`` to a file-source DataFrame
+    and profile it, reading the input once.
 
     The per-split table (one row per input split) is materialised once (:func:`_materialise_small`)
     so the write pass reuses it instead of re-reading the input. The offsets are broadcast when
     the exact split count is at most ``MAX_BROADCAST_SPLITS``; beyond that the join is a shuffle
-    keyed by (file, split), each split's rows going to one task.
+    keyed by (file, split), each split's rows going to one task. A row of a split that the profile did
+    not see in the same place and size (the files were cut otherwise, or changed) fails the query.
     """
     meta = df.select("*", F.col("_metadata.file_path").alias(FILE),
                      F.col("_metadata.file_block_start").alias("_block"),
                      F.monotonically_increasing_id().alias("_mid"))
-    classes = meta.select(FILE, "_block", "_mid",
+    line = F.array(*[F.col(c).cast("string") for c in df.columns if not c.startswith("_pad")])
+    classes = meta.select(FILE, "_block", "_mid", F.when(F.col("_block") == 0, line).alias("_line0"),
                           *[F.expr(cell_class_sql(c, null_tokens)).alias(f"_k{i}") for i, c in enumerate(kept_cols)])
-    blocks = _materialise_small(classes.groupBy(FILE, "_block").agg(*_profile_aggs(len(kept_cols))))
+    blocks = _materialise_small(line_kind(classes.groupBy(FILE, "_block").agg(*_profile_aggs(len(kept_cols))), header))
     profile = _profile_of(blocks, names)
     before = Window.partitionBy(FILE).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))) \
-        .select(FILE, "_block", "_offset", "_first")
+        .select(FILE, "_block", "_offset", "_first", "_n", "_headed")
     if profile.splits <= MAX_BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
-    joined = meta.join(offsets, [FILE, "_block"])
-    positioned = joined.withColumn(POS, F.col("_offset") + F.col("_mid") - F.col("_first")) \
-        .drop("_block", "_mid", "_offset", "_first")
+    joined = meta.join(offsets, [FILE, "_block"], "left")
+    inside = F.col("_mid") - F.col("_first")
+    position = F.when((inside >= 0) & (inside < F.col("_n")), F.col("_offset") + inside).otherwise(
+        F.raise_error(F.concat(F.lit("input splits differ from the profiled ones: "), F.col(FILE))).cast("long"))
+    positioned = joined.withColumn(POS, position).withColumn(HEADER, F.col("_headed") & (F.col(POS) == 0)) \
+        .drop("_block", "_mid", "_offset", "_first", "_n", "_headed")
     return positioned, profile
 
 
+def _one_file(spec: IngestSpec, df: DataFrame) -> None:
+    """A source that is not declared as several files must be one: its ids do not name the file."""
+    files = df.inputFiles()
+    if len(files) > 1 and not spec.multi_file:
+        raise IngestError(f"{spec.source_id}: {len(files)} files found; declare the source with multi_file=True")
+
+
+@contextmanager
+def pinned_splits(spark: SparkSession):
+    """Cuts the input the same way in the profile and the write, though the number of cores may change
+    in between: the settings that decide are fixed to their present values."""
+    before = {c: spark.conf.get(c, None) for c in SPLIT_CONFS}
+    try:
+        if before[SPLIT_CONFS[2]] is None:
+            spark.conf.set(SPLIT_CONFS[2], str(spark.sparkContext.defaultParallelism))
+        yield
+    finally:
+        if before[SPLIT_CONFS[2]] is None:
+            spark.conf.unset(SPLIT_CONFS[2])
+
+
 def read_source(spark: SparkSession, spec: IngestSpec) -> tuple[DataFrame, list, SourceProfile | None]:
     """All-string rows with ``_file``/``_pos``, the raw header of the first file and, for CSV
     sources, the profile (types, row counts) computed in the same single pass as the positions."""
@@ -203,7 +249,8 @@ def read_source(spark: SparkSession, spec: IngestSpec) -> tuple[DataFrame, list,
         df = spark.read.parquet(spec.path)
         data = df.select([F.col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(df.columns)]
                          + [F.col("_metadata.file_path").alias(FILE),
-                            (F.col("_metadata.row_index") + 1).alias(POS)])
+                            (F.col("_metadata.row_index") + 1).alias(POS), F.lit(False).alias(HEADER)])
+        _one_file(spec, df)
         return data, list(df.columns), None
     reader = spark.read.option("header", False).option("inferSchema", False).option("mode", "PERMISSIVE") \
         .option("multiLine", spec.multiline).option("enforceSchema", False)
@@ -211,6 +258,7 @@ def read_source(spark: SparkSession, spec: IngestSpec) -> tuple[DataFrame, list,
     files = sorted(df.inputFiles())
     if not files:
         return df, [], None
+    _one_file(spec, df)
     first = reader.csv(files[0]).where(F.col("_metadata.file_block_start") == 0).limit(1).collect()
     header = list(first[0]) if first else []
     if not header:
@@ -220,7 +268,7 @@ def read_source(spark: SparkSession, spec: IngestSpec) -> tuple[DataFrame, list,
     padded = df.select("*", *[F.lit(None).cast("string").alias(f"_pad{i}") for i, c in enumerate(kept_cols) if c is None])
     kept_cols = [c if c is not None else f"_pad{i}" for i, c in enumerate(kept_cols)]
     null_tokens = WORKBOOK_NULLS if spec.profile == "workbook" else ()
-    positioned, profile = profile_splits(padded, kept_cols, names, null_tokens)
+    positioned, profile = profile_splits(padded, kept_cols, names, null_tokens, header)
     return positioned.drop(*[c for c in padded.columns if c.startswith("_pad")]), header, profile
 
 
@@ -322,16 +370,32 @@ def coerce(name: str, type_: str, null_tokens: Sequence[str] = ()) -> Column:
     return F.expr(coerce_sql(name, type_, null_tokens))
 
 
-def row_id(spec: IngestSpec, many_files: bool) -> Column:
-    """SHA-256 hex of ``<source>:<tab>:<line number>`` (sheets) or ``<source>:<index>``
-    (workbooks); the data index counts blank rows too, so ids survive blank-row changes."""
-    index = F.col(POS) - 1
+def source_root(spark: SparkSession, path: str) -> str:
+    """The fixed part of a source's path (up to its first wildcard, else the folder or the file's folder), as
+    the files' URIs show it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fixed = path
+    if (wild := re.search(r"[*?{\[]", path)) is not None:
+        fixed = path[:wild.start()].rpartition("/")[0] or "."
+    where = hadoop(fixed)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if wild is None and fs.exists(where) and not fs.getFileStatus(where).isDirectory():
+        where = where.getParent()
+    return re.sub(r"^file:/+", "file:///", fs.makeQualified(where).toUri().toString()).rstrip("/") + "/"
+
+
+def row_id(spec: IngestSpec, root: str = "") -> Column:
+    """SHA-256 hex of ``<source>:<tab>:<line number>`` (sheets) or ``<source>:<index>`` (workbooks);
+    the line counts blank rows too, so ids survive blank-row changes. A source declared as several files has
+    the file's path below ``root`` in every id, so ids do not depend on how many files there are."""
+    file = F.replace(F.regexp_replace(FILE, "^file:/+", "file:///"), F.lit(root), F.lit(""))
+    parts = [F.lit(spec.source_id)]
     if spec.profile == "workbook":
-        parts = [F.lit(spec.source_id), index.cast("string")]
+        parts += [file] if spec.multi_file else []
+        parts.append((F.col(POS) - 1).cast("string"))
     else:
-        tab = F.concat(F.lit(spec.tab + "/"), F.element_at(F.split(F.col(FILE), "/"), -1)) if many_files \
-            else F.lit(spec.tab)
-        parts = [F.lit(spec.source_id), tab, (index + 2).cast("string")]
+        parts.append(F.concat(F.lit(spec.tab + "/"), file) if spec.multi_file else F.lit(spec.tab))
+        parts.append((F.col(POS) + 1).cast("string"))
     return F.sha2(F.concat_ws(":", *parts), 256)
 
 
@@ -357,23 +421,24 @@ def prepare(raw: DataFrame, header: Sequence, spec: IngestSpec, profile: SourceP
     ``profile`` when the read already computed them, else from one inference job."""
     names, kept, warnings = dedupe_headers(header)
     null_tokens = WORKBOOK_NULLS if spec.profile == "workbook" else ()
-    raw_cols = [c for c in raw.columns if c not in (FILE, POS)]
-    source = raw.where(F.col(POS) >= 1).select(
+    raw_cols = [c for c in raw.columns if c not in (FILE, POS, HEADER)]
+    is_data = ~F.col(HEADER) if HEADER in raw.columns else F.col(POS) >= 1
+    source = raw.where(is_data).select(
         FILE, POS, *[(F.col(raw_cols[i]) if i < len(raw_cols) else F.lit(None).cast("string")).alias(n)
                      for n, i in zip(names, kept)])
     if profile is not None:
         types, rows, blank_rows = profile.types, profile.rows, profile.blank_rows
     else:
         types, rows, blank_rows = infer_types(source, names, null_tokens)
-    many_files = len(raw.inputFiles()) > 1 if spec.fmt == "csv" else False
-    typed = source.select(row_id(spec, many_files).alias("id"),
+    root = source_root(raw.sparkSession, spec.path) if spec.multi_file else ""
+    typed = source.select(row_id(spec, root).alias("id"),
                           *[coerce(n, types[n], null_tokens).alias(n) for n in names])
     if names:  # I6: a row survives when any column holds a value
         typed = typed.where(" OR ".join(f"({_quoted(n)} IS NOT NULL AND CAST({_quoted(n)} AS STRING) <> '')"
                                         for n in names))
     else:
         typed = typed.where(F.lit(False))
-    twins = {f"{n}__key": fold(F.col(n)) for n in spec.key_columns if n in names}
+    twins = {f"{n}__key": F.trim(fold(F.col(n))) for n in spec.key_columns if n in names}
     twins.update({f"{n}__date": date_twin(F.col(n)) for n in spec.date_columns if n in names})
     if twins:
         typed = typed.withColumns(twins)
@@ -394,22 +459,36 @@ def versions(spark: SparkSession, target: str, database: str | None = None) -> l
     return [name for _, name in sorted(found)]
 
 
+def require_unique(spark: SparkSession, table: str, key: str = "id") -> None:
+    """Fails when a key occurs twice (one distributed aggregate of the key column)."""
+    twice = spark.table(table).groupBy(key).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise IngestError(f"{table}: {key} {twice[0][0]!r} occurs {twice[0][1]} times")
+
+
 def publish(spark: SparkSession, df: DataFrame, target: str, database: str | None = None,
             partition_by: Sequence[str] = (), expected_rows: int | None = None, keep: int = 2,
-            cluster_by: Sequence[str] = ()) -> str:
-    """Write ``df`` as a new version, check its count, then point the ``target`` view at it.
+            cluster_by: Sequence[str] = (), unique: str | None = None, rows_per_file: int = ROWS_PER_FILE) -> str:
+    """Write ``df`` as a new version, check its count and the uniqueness of ``unique``, then point the
+    ``target`` view at it.
 
     Readers of ``target`` see the old or the new version, never a partial one; on any failure
     the view keeps pointing at the previous version (the half-written version is dropped).
-    ``cluster_by`` sorts rows within each write task (no shuffle), so every file's row groups
-    cover narrow ranges of those columns and Parquet min/max statistics skip row groups for
-    equality filters on them (e.g. year, month and the folded resort key).
+    With ``partition_by`` or ``cluster_by`` rows are dealt by ranges of those columns, about ``rows_per_file`` to a
+    file, and sorted in each: a partition has few files whatever the number of input splits, and
+    files and row groups cover narrow ranges, so min/max statistics skip them for filters on those
+    columns (e.g. year, month and the folded resort key). A value with more rows than a file
+    is cut further by a hash of the row, so that a hot value does not meet in one task.
     """
     version = f"{target}__v{time.time_ns()}"
     qualified = _qualified(version, database)
     try:
-        if cluster_by:
-            df = df.sortWithinPartitions(*partition_by, *cluster_by)
+        keys = [*partition_by, *[c for c in cluster_by if c not in partition_by]]
+        if keys:
+            rows = expected_rows if expected_rows is not None else df.count()
+            cut = F.xxhash64(*[F.col(_quoted(c)) for c in df.columns])
+            df = df.withColumn("_cut", cut).repartitionByRange(max(1, -(-rows // rows_per_file)), *keys, "_cut") \
+                .sortWithinPartitions(*keys).drop("_cut")
         writer = df.write.format("parquet").mode("errorifexists")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
@@ -417,6 +496,8 @@ def publish(spark: SparkSession, df: DataFrame, target: str, database: str | Non
         written = spark.table(qualified).count()
         if expected_rows is not None and written != expected_rows:
             raise IngestError(f"{target}: wrote {written} rows, expected {expected_rows}")
+        if unique:
+            require_unique(spark, qualified, unique)
     except Exception:
         spark.sql(f"DROP TABLE IF EXISTS {qualified}")
         raise
@@ -432,6 +513,11 @@ def drop_target(spark: SparkSession, target: str, database: str | None = None) -
 
 def ingest(spark: SparkSession, spec: IngestSpec) -> IngestResult:
     """Load one source end to end; never raises (the error is in the result)."""
+    with pinned_splits(spark):
+        return _ingest(spark, spec)
+
+
+def _ingest(spark: SparkSession, spec: IngestSpec) -> IngestResult:
     result = IngestResult(spec.source_id, spec.target)
     try:
         raw, header, profile = read_source(spark, spec)
@@ -452,7 +538,7 @@ def ingest(spark: SparkSession, spec: IngestSpec) -> IngestResult:
             result.ok = True
             return result
         result.version = publish(spark, prep.frame, spec.target, spec.database, spec.partition_by,
-                                 expected_rows=result.rows,
+                                 expected_rows=result.rows, unique="id",
                                  cluster_by=[c for c in spec.cluster_by if c in prep.frame.columns])
         result.action, result.ok = "published", True
     except Exception as exc:  # one failing source must not stop the catalogue (S6)
@@ -464,19 +550,13 @@ def ingest_all(spark: SparkSession, specs: Iterable[IngestSpec], max_workers: in
     """Load every source; failures are reported per source. ``max_workers > 1`` submits
     the sources' Spark jobs concurrently from a thread pool (the scheduler shares the cluster)."""
     specs = list(specs)
-    if max_workers <= 1:
-        return [ingest(spark, s) for s in specs]
-    with ThreadPoolExecutor(max_workers=max_workers) as pool:
-        return list(pool.map(lambda s: ingest(spark, s), specs))
+    with pinned_splits(spark):
+        if max_workers <= 1:
+            return [ingest(spark, s) for s in specs]
+        with ThreadPoolExecutor(max_workers=max_workers) as pool:
+            return list(pool.map(lambda s: ingest(spark, s), specs))
 
 
 def table_exists(spark: SparkSession, name: str, database: str | None = None) -> bool:
     """S5."""
     return spark.catalog.tableExists(_qualified(name, database))
-
-
-def require_partition(df: DataFrame, column: str, value) -> None:
-    """A year partition with no rows is reported as missing data (a one-row probe that
-    partition pruning keeps to the one partition)."""
-    if df.where(F.col(column) == F.lit(value)).limit(1).count() == 0:
-        raise AnalysisError(f"no data for {column}={value}")

@@ -11,8 +11,8 @@ from innsight.sources.testdata import testdata_catalog as bound_catalog
 
 from conftest import SF_SMALL
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = {k: f for k, f in entry.queries().items() if k not in entry.LLM_QUERIES}  # theirs are in tests/llm
+ORACLE = {k: s for k, s in entry.oracle_sql().items() if k in QUERIES}
 
 
 @pytest.fixture(scope="module")
@@ -78,8 +78,11 @@ def test_page_bounds_validated(catalog):
 def test_envelope_and_stats(catalog):
     res = run("rank_by_keyword", {"hotel": "resort_alpha", "ano": "2024", "mes": "1"}, catalog, page=1, limit=3)
     env = res.envelope()
-    assert len(env["data"]) <= 3 and env["total_pages"] == -(-env["total_records"] // 3)
-    assert env["data_until"] is None or env["data_until"].startswith("2024-01")
+    pages = env["pagination"]
+    assert env["analysis_executed"] == "rank_by_keyword" and env["filters_used"]["hotel"] == "resort_alpha"
+    assert len(env["data"]) <= 3 and pages["total_pages"] == -(-pages["total_records"] // 3)
+    assert (pages["page"], pages["limit"]) == (1, 3)
+    assert env.get("data_until", "2024-01").startswith("2024-01")
 
 
 def test_q02_total_row_is_sum_of_detail(catalog):
@@ -103,8 +106,58 @@ def test_q08_nested_indicator_map(catalog):
 
 
 def test_item_sales_for_a_year_without_data_is_an_error(catalog):
+    request = {"hotel": "resort_alpha", "mes": "1"}
+    late = run("analyze_item_sales", {**request, "ano": "1980"}, catalog)  # a view: only its rows can tell
     with pytest.raises(AnalysisError):
-        run("analyze_item_sales", {"hotel": "resort_alpha", "ano": "1980", "mes": "1"}, catalog)
+        late.envelope()
+    assert run("analyze_item_sales", {**request, "ano": "1998"}, catalog).envelope()["pagination"]["page"] == 1
+
+
+def test_yearly_item_sales_tables(catalog, spark):
+    items = catalog.table("pos_item_sales")
+    for year in (1997, 1998):
+        items.where(f"ano = {year}").write.mode("overwrite").saveAsTable(f"pos_item_sales_{year}")
+    try:
+        from innsight.sources.catalog import Catalog
+        stored = Catalog.from_metastore(spark)
+        assert stored._years["pos_item_sales"] == {1997, 1998} and stored.has("pos_item_sales_1997")
+        served = Catalog(spark, {**stored._entries, "daily_occupancy": catalog.table("daily_occupancy")}, stored._years)
+        f = {"hotel": "resort_alpha", "ano": "1998", "mes": "1,2"}
+        got = run("analyze_item_sales", f, served)
+        assert "source_found" not in got.stats.columns
+        assert got.rows.collect() == run("analyze_item_sales", f, catalog).rows.collect()
+        with pytest.raises(AnalysisError):  # metadata tells, nothing runs
+            run("analyze_item_sales", {**f, "ano": "1999"}, served)
+    finally:
+        for year in (1997, 1998):
+            spark.sql(f"DROP TABLE IF EXISTS pos_item_sales_{year}")
+
+
+def test_years_of_a_partitioned_table(catalog, spark):
+    from innsight.sources import ingest as ing
+    from innsight.sources.catalog import Catalog
+    ing.publish(spark, catalog.table("pos_item_sales").where("ano IN (1995, 1996)"), "pos_item_sales", partition_by=["ano"])
+    try:
+        assert Catalog.from_metastore(spark)._years["pos_item_sales"] == {1995, 1996}
+    finally:
+        ing.drop_target(spark, "pos_item_sales")
+        for v in ing.versions(spark, "pos_item_sales"):
+            spark.sql(f"DROP TABLE {v}")
+
+
+def test_indicators_missing_or_new():
+    from innsight.plans.indicators import indicator_columns
+    assert indicator_columns(["id", "npsreal", "npsmeta"]) == {"nps": ("npsreal", "npsmeta")}
+    assert indicator_columns(["grimeta", "water_actual"]) == {"gri": (None, "grimeta"), "water": ("water_actual", None)}
+    assert indicator_columns(["id"]) == {}
+
+
+@pytest.mark.parametrize("columns", [["npsreal", "npsmeta"], ["grimeta", "water_actual"], []])
+def test_q08_on_tables_with_other_indicators(spark, columns):
+    from innsight.sources.catalog import Catalog
+    df = spark.range(1).selectExpr("'1' AS id", "'resort_alpha' AS hotel", "2024L AS ano", "'H1' AS periodo", *[f"0.5D AS {c}" for c in columns])
+    row = run("get_closed_period_indicators", {"ano": "2024"}, Catalog(spark, {"business_indicators": df})).rows.first()
+    assert len(row.indicators) == (1 if columns == ["npsreal", "npsmeta"] else 2 if columns else 0)
 
 
 @pytest.mark.parametrize("key", ["q01_list_daily_occupancy", "q04_list_guest_feedback", "q13_list_medical_attendances",

@@ -1,11 +1,15 @@
+import random
+from decimal import ROUND_HALF_EVEN, Decimal
+
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from innsight.functions import (
     canonical_code_py, fold, fold_py, month_number, month_number_py, round_value, safe_ratio,
 )
+from innsight.functions.numeric import money
 from innsight.functions.text import accent_table
+from innsight.oracle.bindings import half_even
 
 WORDS = ["Recepção", "GOVERNANÇA", "Ação", "Àéîõü", "Straße", "Æble", "œuvre", "Øst", "naïve", "Ñandú", "", None,
          "Resort_Épsilon", "crème brûlée"]
@@ -44,12 +48,28 @@ def test_month_number_column(spark):
     assert [r[0] for r in df.select(month_number("m")).collect()] == [3, 7, None, None]
 
 
-def test_round_value_rounds_binary_value(spark):
-    df = spark.createDataFrame([(2.675,), (3.125,), (-1.005,), (0.0,), (None,)], "x double")
-    got = [r[0] for r in df.select(round_value("x", 2)).collect()]
+def test_round_value_equals_python_round(spark):
+    rng = random.Random(1)
+    values = [2.675, 1.115, 0.125, 0.375, 1.005, -2.675, -0.125, 0.0, 2.5, 1e15, 9.99e12, 0.285, 123456.785, 5e-324, 0.005, 0.015]
+    values += [rng.randrange(10**7) / 1000 for _ in range(20_000)] + [rng.uniform(-1e6, 1e6) for _ in range(5000)]
+    values += [rng.randrange(10**6) / 8 for _ in range(5000)] + [(2 * rng.randrange(10**8) + 1) / 200 for _ in range(20_000)]
+    df = spark.createDataFrame([(x,) for x in values], "x double").coalesce(1)
+    for digits in (2, 4):
+        got = [r[0] for r in df.select(round_value("x", digits)).collect()]
+        assert got == [round(x, digits) for x in values]
+    assert spark.createDataFrame([(None,)], "x double").select(round_value("x")).first()[0] is None
+
+
+def test_money_is_decimal_half_even(spark):
+    rng = random.Random(2)
+    values = [Decimal(rng.randrange(10**9)).scaleb(-4) for _ in range(5000)] + [Decimal(rng.randrange(10**7) * 10 + 5).scaleb(-3) for _ in range(5000)]
+    df = spark.createDataFrame([(v,) for v in values], "x decimal(38,4)").coalesce(1)
+    want = [float(v.quantize(Decimal("0.01"), ROUND_HALF_EVEN)) for v in values]
+    assert [r[0] for r in df.select(money("x")).collect()] == want
     con = duckdb.connect()
-    duck = [con.execute("SELECT round(CAST(? AS DOUBLE), 2)", [x]).fetchone()[0] for x in (2.675, 3.125, -1.005, 0.0)]
-    assert got[:4] == duck and got[4] is None
+    con.execute("CREATE TABLE t (i INTEGER, x DECIMAL(38,4))")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(values[:500] + values[-500:])))
+    assert [r[0] for r in con.execute(f"SELECT {half_even('x')} FROM t ORDER BY i").fetchall()] == want[:500] + want[-500:]
 
 
 def test_safe_ratio_zero_and_null_denominator(spark):

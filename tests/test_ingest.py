@@ -72,7 +72,8 @@ def test_positions_exact_across_many_splits_and_ids_stable(spark, scratch):
         assert raw.rdd.getNumPartitions() > 3
         bad = raw.where(F.col(ing.POS) >= 1).where(F.col("_c0").cast("long") != F.col(ing.POS)).count()
         assert bad == 0
-        ids_small = ing.prepare(raw, head, spec).frame.select("id", "line")
+        ids_small = ing.prepare(raw, head, spec).frame.select("id", "line").persist()
+        assert ids_small.count() == n  # read under the profiled split size
         spark.conf.set("spark.sql.files.maxPartitionBytes", "134217728")
         raw2, head2 = ing.read_raw(spark, spec)
         ids_big = ing.prepare(raw2, head2, spec).frame.select("id", "line")
@@ -169,7 +170,7 @@ def test_single_pass_profile_across_splits_and_files(spark, scratch):
         rows = [["line", "valor", "texto"]] + [[str(i), f"{i % 7},5" if k == 1 else str(i % 7), "" if i % 5 else "t"]
                                                for i in range(4000 * (k + 1))] + [["", "", ""]]
         write_csv(folder, f"part{k}.csv", rows)
-    spec = IngestSpec("m", "t_many", folder)
+    spec = IngestSpec("m", "t_many", folder, multi_file=True)
     previous = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
@@ -257,3 +258,125 @@ def test_offsets_broadcast_only_within_the_split_bound(spark, scratch, monkeypat
     # beyond the bound no broadcast is forced; Spark's own size threshold decides the strategy
     assert hint not in raw2._jdf.queryExecution().analyzed().toString()
     assert sorted(r[ing.POS] for r in raw2.collect()) == list(range(101))
+
+
+# --- several files -----------------------------------------------------------------------------
+
+def ids_of(spark, spec):
+    raw, head, profile = ing.read_source(spark, spec)
+    return [tuple(r) for r in ing.prepare(raw, head, spec, profile).frame.collect()]
+
+
+def test_ids_of_several_parquet_files_are_distinct(spark, scratch):
+    path = f"{scratch}/four"
+    spark.range(100).selectExpr("CAST(id AS STRING) AS n", "'x' AS t").repartition(4).write.parquet(path)
+    spec = IngestSpec("pq", "pub_pq", path, fmt="parquet", multi_file=True)
+    res = ing.ingest(spark, spec)
+    assert res.ok and res.rows == 100, res.error
+    assert spark.table("pub_pq").select("id").distinct().count() == 100
+    undeclared = ing.ingest(spark, IngestSpec("pq", "pub_pq2", path, fmt="parquet"))
+    assert not undeclared.ok and "multi_file" in undeclared.error
+
+
+@pytest.mark.parametrize("profile", ["sheet", "workbook"])
+def test_ids_name_the_file_below_the_root(spark, scratch, profile):
+    for sub in ("north", "south side"):
+        os.makedirs(f"{scratch}/{sub}")
+        write_csv(f"{scratch}/{sub}", "data.csv", [["a", "b"], ["1", sub], ["2", sub]])
+    spec = IngestSpec("f", "t_folders", f"{scratch}/*/data.csv", multi_file=True, profile=profile)
+    rows = ids_of(spark, spec)
+    assert len({r[0] for r in rows}) == len(rows) == 4
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = "f:Sheet1/north/data.csv:2" if profile == "sheet" else "f:north/data.csv:0"
+    assert sha(want) in {r[0] for r in rows}
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_ids_survive_a_second_file(spark, scratch, fmt):
+    folder = f"{scratch}/grow"
+    os.makedirs(folder)
+    df = spark.createDataFrame([("1", "x"), ("2", "y")], "a string, b string").coalesce(1)
+
+    def add():
+        before = set(os.listdir(folder))
+        if fmt == "csv":
+            write_csv(folder, f"{len(before)}.csv", [["a", "b"], ["1", "x"], ["2", "y"]])
+        else:
+            df.write.mode("append").parquet(folder)
+    spec = IngestSpec("g", "t_grow", folder, fmt=fmt, multi_file=True)
+    add()
+    one = {r[0] for r in ids_of(spark, spec)}
+    add()
+    two = [r[0] for r in ids_of(spark, spec)]
+    assert len(one) == 2 and len(set(two)) == len(two) == 4 and one < set(two)
+
+
+def test_repeated_ids_are_not_published(spark):
+    df = spark.range(10).selectExpr("CAST(id % 9 AS STRING) AS id", "id AS v")
+    with pytest.raises(ing.IngestError, match="occurs 2 times"):
+        ing.publish(spark, df, "pub_twice", unique="id")
+    assert not spark.catalog.tableExists("pub_twice") and not ing.versions(spark, "pub_twice")
+
+
+def test_part_without_a_header_keeps_its_first_row(spark, scratch):
+    write_csv(scratch, "1.csv", [["N\u00ba", "Valor"], ["1", "x"], ["2", "y"]])
+    write_csv(scratch, "2.csv", [["3", "z"], ["4", "w"]])
+    spec = IngestSpec("h", "pub_parts", scratch, multi_file=True)
+    res = ing.ingest(spark, spec)
+    assert res.ok and res.rows == 4, res.error
+    assert sorted((r[1], r.valor) for r in spark.table("pub_parts").collect()) == [(1, "x"), (2, "y"), (3, "z"), (4, "w")]
+    assert res.types == {"no": "INTEGER", "valor": "TEXT"}
+
+
+@pytest.mark.parametrize("second", [["b", "a"], ["a", "c"], ["A", "id"]])
+def test_other_header_fails_the_load(spark, scratch, second):
+    write_csv(scratch, "1.csv", [["a", "b"], ["1", "x"]])
+    write_csv(scratch, "2.csv", [second, ["2", "y"]])
+    res = ing.ingest(spark, IngestSpec("h", "pub_foreign", scratch, multi_file=True))
+    assert not res.ok and "2.csv" in res.error and not spark.catalog.tableExists("pub_foreign")
+
+
+def test_same_header_in_another_spelling_is_the_header(spark, scratch):
+    write_csv(scratch, "1.csv", [["M\u00eas", "Valor", "", "id"], ["1", "x", "p", "q"]])
+    write_csv(scratch, "2.csv", [[" mes ", "VALOR", "", "ID"], ["2", "y", "p", "q"]])
+    res = ing.ingest(spark, IngestSpec("h", "pub_spelling", scratch, multi_file=True))
+    assert res.ok and res.rows == 2, res.error
+
+
+def test_changed_splits_fail_in_the_frame(spark, scratch):
+    path = write_csv(scratch, "split.csv", [["line", "v"]] + [[str(i), "x" * 20] for i in range(20000)])
+    spec = IngestSpec("s", "t_split", path)
+    previous = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for profiled, read in (("65536", "134217728"), ("134217728", "65536"), ("65536", "50000")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", profiled)
+            raw, head, profile = ing.read_source(spark, spec)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", read)
+            with pytest.raises(Exception, match="splits differ"):
+                ing.prepare(raw, head, spec, profile).frame.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", previous)
+
+
+def test_splits_do_not_depend_on_the_cores(spark):
+    with ing.pinned_splits(spark):
+        assert spark.conf.get("spark.sql.files.minPartitionNum") == str(spark.sparkContext.defaultParallelism)
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
+def test_partitioned_publish_has_few_files_and_skips_them(spark):
+    """At the default Parquet block size: files stay few though many tasks hold rows of every year, and a filter
+    on the clustered column reads a small part of the row groups."""
+    n = 200_000
+    df = spark.range(n, numPartitions=16).selectExpr(
+        "CAST(2020 + id % 7 AS BIGINT) AS ano", "concat('k', lpad(CAST(pmod(xxhash64(id), 100) AS STRING), 2, '0')) AS k", "id AS v")
+    ing.publish(spark, df, "pub_layout", partition_by=["ano"], cluster_by=["k"], expected_rows=n, rows_per_file=5000)
+    table = spark.table("pub_layout")
+    files = len(table.inputFiles())
+    assert files <= n // 5000 + 7 * 2
+    assert _rows_read_by_scan(table.where("k = 'k42'")) < n / 5
+    assert table.count() == n
+    hot = spark.range(50_000, numPartitions=4).selectExpr("1L AS ano", "'one' AS k", "id AS v")
+    ing.publish(spark, hot, "pub_hot", partition_by=["ano"], cluster_by=["k"], expected_rows=50_000, rows_per_file=5000)
+    sizes = [r[0] for r in spark.table("pub_hot").groupBy(F.input_file_name()).count().select("count").collect()]
+    assert len(sizes) >= 8 and max(sizes) < 10_000
