@@ -20,6 +20,7 @@ kept, and a column with the output's name is replaced.
 from __future__ import annotations
 
 import base64
+import itertools
 import re
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from innsight.llm.common import quoted, with_arrow
 
 LONG_WORD = 96          # bytes, below 256; only selects the form of the contraction query
-CACHE_WORDS = 400_000   # chunks of words (runs of ids) kept by a worker between batches
+CACHE_WORDS = 300_000   # chunks of words (runs of ids) kept by a worker between batches
 BATCH_BYTES = 2_000_000  # bytes of text or ids handled at a time
 QUERY_WORDS = 50_000    # words in one recursive query
 
@@ -112,6 +113,16 @@ def _connection():
     return duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
 
 
+def unknown(tool, keys: set) -> set:
+    """The keys that ``tool.known`` lacks. Where they would not fit, its newer half goes first: frequent
+    keys were met early."""
+    new = keys - tool.known.keys()
+    if len(tool.known) + len(new) > CACHE_WORDS:
+        tool.known = dict(itertools.islice(tool.known.items(), CACHE_WORDS // 2))
+        new = keys - tool.known.keys()
+    return new
+
+
 class WordEncoder:
     """Encodes distinct words by the recursive query; one per worker and vocabulary."""
 
@@ -161,9 +172,7 @@ class WordEncoder:
 
     def learn(self, chunks: set[str]) -> None:
         """Keeps the ids of a space and the chunk."""
-        new = chunks - self.known.keys()
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {c: self.known[c] for c in chunks if c in self.known}
+        new = unknown(self, chunks)
         split = {c: self.find(" " + c) for c in new}
         ids = self.word_ids(set().union(*split.values())) if new else {}
         for c, words in split.items():
@@ -200,9 +209,7 @@ class RunDecoder:
         self.con.unregister("vocab_rows")
 
     def learn(self, runs: set[bytes]) -> None:
-        new = list(runs - self.known.keys())
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {r: self.known[r] for r in runs if r in self.known}
+        new = list(unknown(self, runs))
         for at in range(0, len(new), QUERY_WORDS):
             part = new[at:at + QUERY_WORDS]
             offsets = np.zeros(len(part) + 1, np.int32)
@@ -257,3 +264,16 @@ def decode(df: DataFrame, ids: str, ranks_path: str, out: str = "decoded") -> Da
     data = read_ranks(ranks_path)
     twin = df.withColumn("__ids", F.coalesce(quoted(ids), F.lit(b"")))
     return with_binary(twin, "__ids", out, lambda: _made(RunDecoder, data), RunDecoder.decode)
+
+
+def round_trip(df: DataFrame, text: str, ranks_path: str, pattern: str, out: str = "token_ids",
+               back: str = "decoded") -> DataFrame:
+    """The other columns of ``df``, ``out`` as of :func:`encode` and ``back`` as of :func:`decode`, in one pass: the
+    ids do not leave the worker in between, and one worker holds both tools."""
+    data = read_ranks(ranks_path)
+
+    def per_slice(values: pa.Array) -> list[pa.Array]:
+        ids = _made(WordEncoder, data, pattern).encode(["" if v is None else v for v in values.to_pylist()])
+        return [pa.array(ids, pa.binary()), pa.array(_made(RunDecoder, data).decode(ids), pa.binary())]
+    return with_arrow(df, text, [T.StructField(out, T.BinaryType()), T.StructField(back, T.BinaryType())],
+                      per_slice, BATCH_BYTES)

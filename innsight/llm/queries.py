@@ -14,11 +14,9 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded to byte-level BPE ids and decoded again."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, "text", ranks, public_tokenizers.PATTERN)
-    ids = ids.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
-                     F.sha2("token_ids", 256).alias("ids_sha256"), "token_ids")
-    return bpe.decode(ids, "token_ids", ranks).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = bpe.round_trip(docs, "text", ranks, public_tokenizers.PATTERN)
+    return both.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+                       F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,8 @@ def test_encode_equals_tiktoken_and_decodes(spark, tik):
         assert list(struct.unpack(f"<{len(want)}I", got[i]["token_ids"])) == want
         assert bytes(got[i]["decoded"]) == (t or "").encode()
     assert got[3]["token_ids."] == "x"
+    once = {r["doc_id"]: r for r in bpe.round_trip(df, "text", RANKS, P.PATTERN).collect()}
+    assert all(once[i][c] == got[i][c] for i in got for c in ("token_ids", "decoded"))
 
 
 def test_clashing_names_and_empty_table(spark):
