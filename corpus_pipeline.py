@@ -15,13 +15,22 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from innsight.llm import minhash, packing, quality, secret_scan  # noqa: E402
-from innsight.llm.common import stored, table  # noqa: E402
+from innsight.llm.common import release, stored, table  # noqa: E402
+
+
+def _stage(function):
+    """The previous stage's result has been written when the next stage begins, so the tables behind it go."""
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        return function(spark, docs, sf_dir)
+    return run_stage
+
 
 STAGES = [
-    ("quality", quality.filter_stage),       # documents that the label model or the base rules reject go
-    ("near_duplicates", minhash.dedup_stage),  # one document of each class stays
-    ("secrets", secret_scan.redact_stage),   # secrets are masked, all documents stay
-    ("packing", packing.pack_stage),         # the kept documents as pieces of token sequences
+    ("quality", _stage(quality.filter_stage)),        # documents that the label model or the base rules reject go
+    ("near_duplicates", _stage(minhash.dedup_stage)),  # one document of each class stays
+    ("secrets", _stage(secret_scan.redact_stage)),    # secrets are masked, all documents stay
+    ("packing", _stage(packing.pack_stage)),          # the kept documents as pieces of token sequences
 ]
 
 # No SQL expresses the label model, the tokenizer or the packing schedule; tests/llm/test_pipeline.py
@@ -32,5 +41,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", temporary=False)
     return docs

@@ -40,15 +40,28 @@ def work_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"innsight-{name}-{uuid.uuid4().hex}")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_TEMPORARY: list[str] = []  # tables of this session that only serve a result still to be written
+
+
+def stored(df: DataFrame, name: str, temporary: bool = True) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: cuts the lineage with a
-    table that outlives any executor."""
+    table that outlives any executor. ``temporary`` tables go with the next :func:`release`."""
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    if temporary:
+        _TEMPORARY.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes the temporary tables stored so far. Only for a caller that has written every result that
+    reads them, as a pipeline has when its next stage begins."""
+    while _TEMPORARY:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_TEMPORARY.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` in total size (a larger single row stands alone)."""
     begin = total = 0

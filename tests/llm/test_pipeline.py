@@ -15,7 +15,7 @@ def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, out = docs.columns, []
     for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.stored(stage(spark, docs, SF), name)
+        docs = corpus_pipeline.stored(stage(spark, docs, SF), name, temporary=False)
         out.append(docs)
         if name != "packing":
             assert docs.columns == columns
