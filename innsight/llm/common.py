@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -62,6 +64,32 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package: where neither PYTHONPATH nor the working folder has it, a zip of
+    its sources goes along with the application's files (once)."""
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root, application = os.path.dirname(package), spark.sparkContext.applicationId
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == root or application in _SHIPPED:
+        return
+    _SHIPPED.add(application)
+    archive = os.path.join(tempfile.mkdtemp(prefix="innsight-"), "innsight.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, root))
+    spark.sparkContext.addPyFile(archive)
+
+
+def map_in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` in total size (a larger single row stands alone)."""
     begin = total = 0
@@ -94,4 +122,4 @@ def with_arrow(df: DataFrame, source: str, out: list[T.StructField],
 
     plain = df.select(*[quoted(f.name).alias(c) for f, c in zip(keep, names)], quoted(source).alias("source"))
     schema = T.StructType([T.StructField(c, f.dataType) for f, c in zip([*keep, *out], names)])
-    return plain.mapInArrow(run, schema).toDF(*[f.name for f in [*keep, *out]])
+    return map_in_arrow(plain, run, schema).toDF(*[f.name for f in [*keep, *out]])

@@ -8,9 +8,9 @@
 2. Bands of registers are bucket keys. Equal texts are one node, so copies never meet each other.
 3. First, every node of a bucket is compared with the bucket's least node only (rows linear in the
    bucket). Accepted links are united. Buckets that then lie in one component need nothing more;
-   in the others, nodes of different components are compared in blocks, and only pairs whose
-   registers agree enough leave a task. So no candidate pair is left out, and a group of near
-   copies costs rows in proportion to its size.
+   in the others, nodes of different components are compared and verified in blocks, and only links
+   that connect components leave a task. So no candidate pair is left out, and a group of near copies
+   costs rows in proportion to its size, not to its square.
 4. Every link is verified by the exact Jaccard similarity of the two texts' shingle sets (0.8 or more).
 
 ``classes`` gives each row's class: the connected component of its text, named by the least id in it.
@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from innsight.llm.common import quoted, stored, with_arrow
+from innsight.llm.common import map_in_arrow, quoted, stored, with_arrow
 
 WORDS = 5
 THRESHOLD = 0.8
 ROWS, BANDS = 6, 30        # registers in a band, bands: a pair at 0.8 is missed with probability 1e-4
 REGISTERS = ROWS * BANDS
 LEAST_ESTIMATE = 0.65      # of pairs worth verifying: five standard deviations below the threshold
-BLOCK = 512                # nodes of a bucket compared with another as many at a time
+BLOCK = 1024               # nodes of a bucket compared with another as many at a time
 SLICE_BYTES = 4_000_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -168,7 +168,7 @@ def _pairs_in_arrow(df: DataFrame, check, columns: list[str], slice_bytes: int)
                 part = batch.slice(at, step)
                 keep = check(*[part.column(c) for c in columns])
                 yield part.select(["a", "b"]).filter(pa.array(keep))
-    return df.mapInArrow(run, "a binary, b binary")
+    return map_in_arrow(df, run, "a binary, b binary")
 
 
 def _estimate(x: pa.Array, y: pa.Array) -> np.ndarray:
@@ -201,9 +201,52 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def _cross_block(batches):
-    """Rows (key, side, node, component, sketch) sorted by key and side: pairs of different components
-    whose registers agree enough. In a key with two sides only nodes of different sides meet."""
+class _Block:
+    """Nodes of one bucket (key, side, band, node, component, sketch, keys, text) that meet each other."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.side, self.band = batch.column("side").to_numpy(), batch.column("band").to_numpy()
+        self.component = batch.column("component").dictionary_encode().indices.to_numpy().copy()
+        self.register = _bytes2d(batch.column("sketch"))
+        self.keys = np.asarray(batch.column("keys").flatten()).reshape(-1, BANDS)
+        row, h, _ = shingles(batch.column("text"))
+        self.shingle = np.unique(h, return_inverse=True)[1]
+        self.begin = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        self.held = np.zeros(int(self.shingle.max(initial=-1)) + 1, bool)
+
+    def links(self, lo: int, hi: int) -> tuple[list[int], list[int]]:
+        """Verified links among the rows lo..hi (one key) that connect its different components: each node is compared
+        with the later ones, or those of the other side, that are not connected with it yet, that share no
+        earlier band with it (they meet there), and whose registers agree enough."""
+        left, right = [], []
+        second = lo + int(np.searchsorted(self.side[lo:hi], 1))
+        band = int(self.band[lo])
+        comp = self.component[lo:hi].copy()
+        for i in range(lo, second):
+            j = np.arange(second if second < hi else i + 1, hi)
+            j = j[comp[j - lo] != comp[i - lo]]
+            j = j[(self.register[j] == self.register[i]).mean(axis=1) >= LEAST_ESTIMATE]
+            if band and len(j):
+                j = j[~(self.keys[j, :band] == self.keys[i, :band]).any(axis=1)]
+            if not len(j):
+                continue
+            own = self.shingle[self.begin[i]:self.begin[i + 1]]
+            self.held[own] = True
+            sizes = self.begin[j + 1] - self.begin[j]
+            ids = np.concatenate([self.shingle[self.begin[k]:self.begin[k + 1]] for k in j.tolist()])
+            both = np.add.reduceat(self.held[ids].astype(np.int64), np.cumsum(sizes) - sizes)
+            self.held[own] = False
+            for k in j[both >= THRESHOLD * (len(own) + sizes - both)].tolist():
+                if comp[k - lo] != comp[i - lo]:
+                    left.append(i)
+                    right.append(k)
+                    comp[comp == comp[k - lo]] = comp[i - lo]
+        return left, right
+
+
+def _cross_links(batches):
+    """Rows sorted by key and side → verified links (a, b) between nodes of different components. Within a key,
+    nodes of side 0 meet each other, or, where there are two sides, nodes of different sides."""
     held = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -212,30 +255,33 @@ def _cross_block(batches):
         last = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last key may go on in the next batch
         held = table.slice(last)
         if last:
-            yield from _cross_pairs(table.slice(0, last))
+            yield from _links_of(table.slice(0, last))
     if held is not None:
-        yield from _cross_pairs(held)
-
-
-def _cross_pairs(table: pa.Table):
-    if not table.num_rows:
-        return
-    batch = table.combine_chunks().to_batches()[0]
-    key, side = batch.column("key").to_numpy(), batch.column("side").to_numpy()
-    register, comp = _bytes2d(batch.column("sketch")), batch.column("component").dictionary_encode().indices.to_numpy()
-    left, right = [], []
-    begin = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)]
-    for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist()):
-        second = lo + int(np.searchsorted(side[lo:hi], 1))
-        for i in range(lo, second):
-            j = np.arange(second if second < hi else i + 1, hi)
-            j = j[comp[j] != comp[i]]
-            j = j[(register[j] == register[i]).mean(axis=1) >= LEAST_ESTIMATE]
-            left += [i] * len(j)
-            right += j.tolist()
-    node = batch.column("node")
-    yield pa.RecordBatch.from_arrays([node.take(pa.array(left, pa.int64())), node.take(pa.array(right, pa.int64()))],
-                                     names=["a", "b"])
+        yield from _links_of(held)
+
+
+def _links_of(table: pa.Table):
+    key = table["key"].to_numpy()
+    begin = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)].tolist() if len(key) else [0]
+    for first, last in slices_of_keys(begin, BLOCK):
+        part = table.slice(begin[first], begin[last] - begin[first]).combine_chunks().to_batches()[0]
+        block, left, right = _Block(part), [], []
+        for lo, hi in zip(begin[first:last], begin[first + 1:last + 1]):
+            a, b = block.links(lo - begin[first], hi - begin[first])
+            left += a
+            right += b
+        node = part.column("node")
+        yield pa.RecordBatch.from_arrays([node.take(pa.array(left, pa.int64())), node.take(pa.array(right, pa.int64()))],
+                                         names=["a", "b"])
+
+
+def slices_of_keys(begin: list[int], rows: int):
+    """Index ranges over the keys that start at ``begin`` (and end at its last), of about ``rows`` rows."""
+    first = 0
+    for last in range(1, len(begin)):
+        if last == len(begin) - 1 or begin[last + 1] - begin[first] > rows:
+            yield first, last
+            first = last
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -251,9 +297,9 @@ def links(rows: DataFrame) -> DataFrame:
     sketched = with_arrow(rows, "text", [T.StructField("keys", T.ArrayType(T.LongType())),
                                          T.StructField("sketch", T.BinaryType())], sketch, SLICE_BYTES)
     nodes = stored(sketched.dropDuplicates(["node"]), "sketches")
-    banded = nodes.select("node", F.explode("keys").alias("key"))
+    banded = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    members = stored(banded.join(shared, "key").select("key", "leader", "n", "node"), "buckets")
+    members = stored(banded.join(shared, "key").select("key", "band", "leader", "n", "node"), "buckets")
     near = members.select("node").distinct()
     # one row per text of those in a shared bucket; copies collapse before the shuffle
     texts = stored(rows.groupBy("node").agg(F.first("text").alias("text")).join(near, "node", "left_semi"), "texts")
@@ -269,18 +315,18 @@ def links(rows: DataFrame) -> DataFrame:
     placed = members.join(united, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
         .filter("lo <> hi").select("key")
-    rest = placed.join(mixed, "key").join(tips, "node")
+    rest = placed.join(mixed, "key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks)
     # block i meets block j in the key (i, j); within a key the lower block is side 0
     met = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     keyed = met.select(
         F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "component", "sketch")
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "side")
-    pairs = dealt.mapInArrow(_cross_block, "a binary, b binary").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = stored(_verified(pairs, texts), "cross-links")
+        (F.col("own") > F.col("other")).cast("int").alias("side"), "band", "node", "component")
+    known = keyed.join(nodes, "node").join(texts, "node")
+    dealt = known.select("key", "side", "band", "node", "component", "sketch", "keys", "text") \
+        .repartition("key").sortWithinPartitions("key", "side")
+    second = stored(map_in_arrow(dealt, _cross_links, "a binary, b binary"), "cross-links")
     return first.union(second)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from innsight.llm.common import quoted, with_arrow
+from innsight.llm.common import map_in_arrow, quoted, ship, with_arrow
 from innsight.llm.minhash import mix
 
 K = 8            # code points of a k-mer
@@ -99,6 +99,7 @@ def _dealt(df: DataFrame) -> DataFrame:
     nulls last), each bucket followed by the first rows of the next one (``guest``); the first follows
     the last. One shuffle; only bucket bounds, at most one id each, come to the driver."""
     spark = df.sparkSession
+    ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = 4 * parts
     cuts = df.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
@@ -166,4 +167,4 @@ def edited_by_next(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
                     [pa.array(c, k) for c, k in zip(zip(*out), [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2])],
                     names=names)
 
-    return _dealt(rows).select("place", "id", "text").mapInArrow(compare, schema).withColumnRenamed("id", id_col)
+    return map_in_arrow(_dealt(rows).select("place", "id", "text"), compare, schema).withColumnRenamed("id", id_col)

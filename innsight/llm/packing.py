@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from innsight.llm.common import quoted, slices, stored
+from innsight.llm.common import map_in_arrow, quoted, slices, stored
 
 LENGTH = 2048
 WINDOW_TOKENS = 64 * LENGTH
@@ -100,7 +100,7 @@ def packets(df: DataFrame, text: str, tokenizer_path: str, end_id: int, length:
     schema = T.StructType([*(T.StructField(c, f.dataType) for f, c in zip(keep, names)),
                            *(T.StructField(c, T.LongType()) for c in ("doc_tokens", "start", "n")),
                            T.StructField("ids", T.BinaryType())])
-    return plain.mapInArrow(run, schema).toDF(*[f.name for f in keep], "doc_tokens", "start", "n", "ids")
+    return map_in_arrow(plain, run, schema).toDF(*[f.name for f in keep], "doc_tokens", "start", "n", "ids")
 
 
 def _share(targets: dict[str, float] | None, natural: Column) -> Column:
@@ -178,7 +178,7 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", source: str = "
                                              names=[*columns, "ids_crc32", "ids"])
 
     schema = T.StructType([*keep, T.StructField("ids_crc32", T.LongType()), T.StructField("ids", T.BinaryType())])
-    cutted = joined.mapInArrow(cut, schema)
+    cutted = map_in_arrow(joined, cut, schema)
     return cutted.select(*[F.col(f"o{i}").alias(c) for i, c in enumerate(others)], *made)
 
 

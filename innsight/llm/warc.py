@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm.common import quoted, stored
+from innsight.llm.common import map_in_arrow, quoted, stored
 
 VERSION = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -159,7 +159,7 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
         if out:
             yield _batch(out, names, kinds)
 
-    return chunks.mapInArrow(entries, ENTRY)
+    return map_in_arrow(chunks, entries, ENTRY)
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
@@ -226,7 +226,7 @@ def merge_index(entries: DataFrame) -> DataFrame:
         table = table.take(merged).append_column("capture_order", pa.array(range(base, base + table.num_rows), pa.int64()))
         yield from table.to_batches(max_chunksize=10_000)
 
-    return ranged.mapInArrow(merge, runs.schema.add("capture_order", "long"))
+    return map_in_arrow(ranged, merge, runs.schema.add("capture_order", "long"))
 
 
 def captures(pages: DataFrame, path: str, **options) -> DataFrame:

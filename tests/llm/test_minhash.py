@@ -50,7 +50,7 @@ def test_groups_copies_and_edges(spark):
 
 
 def test_cross_blocks(spark, monkeypatch):
-    """With tiny blocks every pair of different components is still met, and met in one key only."""
+    """With tiny blocks every pair of different components is still met."""
     monkeypatch.setattr(M, "BLOCK", 4)
     random.seed(9)
     base = [f"w{random.randrange(10**6)}" for _ in range(150)]
@@ -63,6 +63,27 @@ def test_cross_blocks(spark, monkeypatch):
     compare(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_copies_of_a_base_that_are_no_copies_of_each_other(spark, monkeypatch, block):
+    """Pairs lie on both sides of the threshold, so stars alone leave many components."""
+    monkeypatch.setattr(M, "BLOCK", block)
+    random.seed(21)
+    base = [f"w{random.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(random.randrange(2, 5)):
+            w[random.randrange(len(w))] = f"x{random.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    compare(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
+def test_slices_of_keys():
+    assert list(M.slices_of_keys([0], 5)) == []
+    assert list(M.slices_of_keys([0, 2, 4, 9, 10], 5)) == [(0, 2), (2, 3), (3, 4)]
+    assert list(M.slices_of_keys([0, 9], 5)) == [(0, 1)]
+
+
 def test_empty_table(spark):
     assert M.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
