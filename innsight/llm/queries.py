@@ -75,8 +75,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every secret in every document."""
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = [r.kind for r in secret_scan.BASE_RULES]
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
-    return found.select("doc_id", *counts, F.sha2(_span_list(base), 256).alias("base_sha256"),
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in base], F.sha2(_span_list(base), 256).alias("base_sha256"),
                         _span_list().alias("spans"))
 
 
