@@ -1,10 +1,11 @@
-"""Near-duplicate documents: ProbMinHash signatures of weighted word shingles, banding, verification.
-
-1. Each text becomes five-word shingles with weight 1 + ln(count). Every shingle is a Poisson process
-   of rate equal to its weight, seeded by its hash, whose arrivals fall on registers; a register
-   keeps the shingle that arrives first, and a shingle stops as soon as its next arrival is later
-   than all registers of the document (early termination). Equal registers estimate the probability
-   Jaccard similarity.
+"""Near-duplicate documents: ProbMinHash signatures of word shingles, banding, verification.
+
+1. Each text becomes its set of five-word shingles. Every shingle is a Poisson process of rate 1,
+   seeded by its hash, whose arrivals fall on registers; a register keeps the shingle that arrives
+   first, and a shingle stops as soon as its next arrival is later than all registers of the document
+   (early termination). With equal weights the probability Jaccard similarity, which equal registers
+   estimate, is the Jaccard similarity of the sets: the one that is verified, however often a text
+   repeats a passage.
 2. Bands of registers are bucket keys. Equal texts are one node, so copies never meet each other.
 3. First, every node of a bucket is compared with the bucket's least node only (rows linear in the
    bucket). Accepted links are united. Buckets that then lie in one component need nothing more;
@@ -113,15 +114,14 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def signatures(texts: pa.Array) -> np.ndarray:
     """REGISTERS values per text; all zero for a text without words."""
-    row, h, count = shingles(texts)
-    rate = 1 + np.log(count)
+    row, h, _ = shingles(texts)  # counts are no weights: links are verified on sets
     size = len(texts) * REGISTERS
     earliest, element = np.full(size, np.inf), np.zeros(size, np.uint64)
     time, step = np.zeros(len(h)), 0
     while len(h):
         step += 1
         draw = mix(h + np.uint64(step * int(_GOLDEN) % (1 << 64)))
-        time = time - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) / 9007199254740992.0) / rate
+        time = time - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) / 9007199254740992.0)
         register = row * REGISTERS + (mix(draw ^ _GOLDEN) % np.uint64(REGISTERS)).astype(np.int64)
         sooner = np.flatnonzero(time < earliest[register])
         np.minimum.at(earliest, register[sooner], time[sooner])
@@ -129,7 +129,7 @@ def signatures(texts: pa.Array) -> np.ndarray:
         element[register[won]] = h[won]
         latest = earliest.reshape(-1, REGISTERS).max(axis=1)
         open_ = np.flatnonzero(time < latest[row])  # the others' next arrivals change nothing
-        row, h, rate, time = row[open_], h[open_], rate[open_], time[open_]
+        row, h, time = row[open_], h[open_], time[open_]
     return element.reshape(-1, REGISTERS)
 
 

@@ -78,6 +78,43 @@ def test_copies_of_a_base_that_are_no_copies_of_each_other(spark, monkeypatch, b
     compare(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def with_passage(w, length, times):
+    """The words ``w`` with their first ``length`` words repeated."""
+    return w[:length] * times + w[length:]
+
+
+def passage_rows():
+    random.seed(31)
+    rows = []
+    for i in range(12):
+        w = [f"b{i}w{random.randrange(10**6)}" for _ in range(300)]
+        edited = list(w)
+        for k in random.sample(range(120, 290), 5):
+            edited[k] = f"e{random.randrange(10**6)}"
+        copies = [w, with_passage(w, 60, 100), with_passage(w, 100, 100), with_passage(edited, 60, 100)]
+        rows += [(10 * i + k, " ".join(c)) for k, c in enumerate(copies)]
+    return rows
+
+
+def test_copies_that_repeat_a_passage(spark):
+    """Links are verified on shingle sets, so a passage repeated a hundred times must not hide a copy."""
+    rows = passage_rows()
+    assert set(by_row(rows).values()) == {10 * i for i in range(12)}
+    compare(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
+def test_blocks_link_copies_that_repeat_a_passage():
+    """The same in the block path: every node of one key is a component of its own."""
+    texts = pa.array([t for _, t in passage_rows()])
+    keys, low = M.sketch(texts)
+    n = len(texts)
+    nodes = pa.array([str(i).encode() for i in range(n)])
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.ones(n, np.int64)), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int32)), nodes, nodes, low, keys, texts],
+        names=["key", "side", "band", "node", "component", "sketch", "keys", "text"])
+    assert len(M._Block(batch).links(0, n)[0]) == n - 12  # twelve trees
+
+
 def test_slices_of_keys():
     assert list(M.slices_of_keys([0], 5)) == []
     assert list(M.slices_of_keys([0, 2, 4, 9, 10], 5)) == [(0, 2), (2, 3), (3, 4)]
