@@ -143,6 +143,19 @@ class Rule:
     group: int = 0
 
 
+# A private key from its header to its END line, whatever lies between (but another header). Where the END line is
+# missing: the key's own header lines and the base64 lines that follow, or, on the header's line, base64 runs.
+# Line breaks may be written as escapes, and lines quoted or indented.
+_BREAK = r"(?:\r?\n|\r|(?:\\r)?\\n)"
+_LEAD, _TRAIL = r"[ \t>#*|\"']*+", r"[ \t\"',+;)]*+"
+_LINE = rf"[A-Za-z0-9+/=]%s(?={_TRAIL}(?:{_BREAK}|\Z))"
+PEM = (r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:"
+       r"[^-]*+(?:-(?!----BEGIN |----END )[^-]*+)*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+       rf"|(?:{_TRAIL}{_BREAK}{_LEAD}(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\n\\]*+"
+       r"|[ \t]++(?:Proc-Type|DEK-Info):[ \t]*+[^\s\\]++)*+"
+       rf"(?:{_TRAIL}{_BREAK}{_LEAD}{_LINE % '++'}|(?:{_TRAIL}{_BREAK}{_LEAD})++{_LINE % '{16,}+'}"
+       r"|[ \t]*+[A-Za-z0-9+/=]{40,}+(?:[ \t]++[A-Za-z0-9+/=]{16,}+)*+(?:[ \t]++[A-Za-z0-9+/]{2,}+={1,2})?+)*+)")
+
 # Fixed values of the base kinds, in their order; then the formats of well-known credentials.
 BASE_RULES = (
     Rule("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]"""
@@ -156,7 +169,7 @@ ADDED_RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", PEM),
     Rule("url_login", r"://[^\s/:@]{1,200}:[^\s/@]{1,200}@"),
 )
 RULES = BASE_RULES + ADDED_RULES

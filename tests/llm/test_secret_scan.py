@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from innsight.llm import queries, secret_scan as S
@@ -90,3 +91,31 @@ def test_redaction(spark):
         out = S.redact_text(t, spans, "\0")
         covered = set().union(*(range(a, b) for a, _, b in spans))
         assert out.replace("\0", "") == "".join(c for i, c in enumerate(t) if i not in covered)
+
+
+BODY = ["MIIEpAIBAAKCAQEA" + "".join(random.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/", k=48)) for _ in range(6)] + ["q7Zk+A=="]
+KINDS = ["RSA PRIVATE KEY", "PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "PGP PRIVATE KEY BLOCK"]
+
+
+@pytest.mark.parametrize("kind", KINDS)
+@pytest.mark.parametrize("newline,lead", [("\n", ""), ("\r\n", ""), ("\\n", ""), ("\n", "    "), ("\n", "> "), (" ", "")])
+@pytest.mark.parametrize("headers", [[], ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", ""]])
+@pytest.mark.parametrize("ended", [True, False])
+def test_no_part_of_a_private_key_stays(kind, newline, lead, headers, ended):
+    last = [f"-----END {kind}-----"] if ended else []
+    key = newline.join([f"-----BEGIN {kind}-----", *(lead + x for x in [*headers, *BODY, *last])])
+    text = f"before {key}{newline}plain words after the key{newline}more"
+    _, (spans,) = S.Scanner(S.RULES).spans(pa.array([text]))
+    assert S.redact_text(text, spans, "<secret>") == f"before <secret>{newline}plain words after the key{newline}more"
+
+
+def test_private_key_cut_off_and_next_to_others():
+    def clean(text):
+        _, (spans,) = S.Scanner(S.RULES).spans(pa.array([text]))
+        return S.redact_text(text, spans, "<secret>")
+    head, end = "-----BEGIN PRIVATE KEY-----\n", "\n-----END PRIVATE KEY-----"
+    assert clean("a\n" + head + "\n".join(BODY[:2]) + "\n" + BODY[2][:5]) == "a\n<secret>"
+    cut = head + "\n".join(BODY)  # its END line is missing, another key follows
+    assert clean(cut + "\nsome words between\n" + cut + end + "\nz") == "<secret>\nsome words between\n<secret>\nz"
+    assert clean("a header '-----BEGIN PRIVATE KEY-----' in prose stays") == "a header '<secret>' in prose stays"
+    assert clean((head + "- " * 50) * 2000).count("<secret>") == 2000
