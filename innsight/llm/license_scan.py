@@ -2,8 +2,8 @@
 
 Normalisation works line by line: lower case; copyright lines and "all rights reserved" go;
 equivalent spellings become one; every run of other characters than letters and digits becomes one
-space. The canonical text of a document is that of its lines joined by spaces, so line breaks do not
-matter. The whole document is looked up as one text, and every line as one (one-line notices).
+space. The canonical text of a document is that of its lines joined by spaces, so line breaks matter only
+where one puts the word copyright at the beginning of a line. The whole document is looked up as one text, and every line as one (one-line notices).
 The known texts go through the same expressions. Native expressions only.
 
 The known table is the one broadcast side: it has one row per known text, a list in this module or
@@ -15,6 +15,9 @@ are answered row by row; further columns are ignored.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +37,7 @@ SPELLINGS = (
     ("practise", "practice"), ("programme", "program"), ("recognise", "recognize"), ("sub-license", "sublicense"),
     ("sub license", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"))
 
-# Known texts (fixed values): one-line notices, and short licences in full.
+# Known texts (fixed values): one-line notices, and short licences in full; below, the whole texts in ``licenses``.
 KNOWN = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -74,6 +77,19 @@ ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CO
 THIS SOFTWARE.'''),
 )
 
+
+def unwrapped(text: str) -> str:
+    """``text`` with every paragraph on one line."""
+    return "\n\n".join(" ".join(p.split()) for p in re.split(r"\n[ \t\f]*\n", text.replace("\r", "")))
+
+
+# The rule for copyright lines goes by lines, so a text has one digest as wrapped in its source and another with whole
+# paragraphs as lines, which is also that of all wrappings where no line begins with "copyright" but a notice.
+_WHOLE = tuple(sorted((f.stem, f.read_text(encoding="utf-8")) for f in (Path(__file__).parent / "licenses").glob("*.txt")))
+_ISC_PUBLISHED = unwrapped(KNOWN[13][1]).replace("above copyright notice and this permission notice appear in all copies.",
+                                                 "above\ncopyright notice and this permission notice appear in all copies.")
+KNOWN += (*((i, unwrapped(t)) for i, t in (*KNOWN[12:14], *_WHOLE)), ("ISC", _ISC_PUBLISHED), *_WHOLE)
+
 COPYRIGHT_LINE = "^[^\\p{L}]*(?:copyright\\b|\\(c\\)|©)[^\\n]*$"
 RESERVED = "all rights reserved"
 
