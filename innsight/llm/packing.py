@@ -183,6 +183,6 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", source: str = "
 
 
 def pack_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage (the last): the kept documents packed, one row per piece."""
+    """Pipeline stage (the last): the kept documents packed, one row per piece with its ids."""
     import public_tokenizers
-    return pack(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids", "source")
+    return pack(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.json")).drop("source")

@@ -88,3 +88,9 @@ def test_ids_equal_the_tokenizers_library(tok):
         "".join(random.choice(["ab", "the ", " ", "\n", "É", "12", "'s", ".", "　", "ñ", "\x1c", "z"]) for _ in range(30))
         for _ in range(2000)]
     assert [enc.encode_ordinary(t) for t in texts] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_last_stage_keeps_the_ids(spark, tok):
+    rows = [(1, "hello world", "a"), (2, "hello " * 3000, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    check_cover(packing.pack_stage(spark, df, "").collect(), [r[:2] for r in rows], tok)
