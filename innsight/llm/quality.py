@@ -169,5 +169,7 @@ def score(df: DataFrame, text: str = "text", keep_text: bool = True) -> tuple[Da
 
 def filter_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the base rules or the posterior reject go."""
-    scored, _ = score(docs)
-    return scored.filter("kept").select(*[quoted(c) for c in docs.columns])
+    private = {c: f"__c{i}" for i, c in enumerate(docs.columns)}  # no column is taken for an output
+    text = next(n for c, n in private.items() if c.lower() == "text")
+    scored, _ = score(docs.select(*[quoted(c).alias(n) for c, n in private.items()]), text)
+    return scored.filter("kept").select(*[F.col(n).alias(c) for c, n in private.items()])

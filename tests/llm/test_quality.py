@@ -90,3 +90,13 @@ def test_registered_columns_and_plan(spark):
         assert {k: r[k] for k in want} == want
     plan = Q.with_stats(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_stage_hands_columns_on(spark):
+    """Columns named like statistics or outputs keep their values."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr(
+        "*", "-7L AS n_words", "'mine' AS kept", "-1.5D AS quality", "'v' AS vote_length")
+    out = Q.filter_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and {(r["n_words"], r["kept"], r["quality"], r["vote_length"]) for r in rows} == {(-7, "mine", -1.5, "v")}
