@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm import bpe, chat, license_scan, minhash, order_minhash, packing, quality, secret_scan, token_count, warc
+from innsight.llm import bpe, chat, license_scan, merkle, minhash, order_minhash, packing, quality, secret_scan, token_count, warc
 from innsight.llm.common import table, work_path
 
 
@@ -95,6 +95,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept", "quality")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, its proof, and whether the possibly tampered document still proves the root."""
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_chat_format": op2_chat_format,
@@ -106,10 +111,12 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 ORACLE: dict[str, str] = {
     "op2_chat_format": chat.duckdb_sql(
         "SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1, turn, role, '</s>[INST] ok [/INST]' "
         "FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role)"),
     "op9_license_scan": license_scan.duckdb_sql(),
+    "op12_merkle_manifest": merkle.duckdb_sql(),
 }
