@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm import bpe, chat, license_scan, merkle, minhash, order_minhash, packing, quality, secret_scan, token_count, warc
+from innsight.llm import alignment, bpe, chat, license_scan, merkle, minhash, order_minhash, packing, quality, secret_scan, token_count, warc
 from innsight.llm.common import table, work_path
 
 
@@ -100,6 +100,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups under two tokenizers, and what the corpus's link counts say about it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"),
+                           keep_groups=False)
+    return made.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_chat_format": op2_chat_format,
@@ -112,6 +120,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 ORACLE: dict[str, str] = {
     "op2_chat_format": chat.duckdb_sql(
