@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm import alignment, bpe, chat, license_scan, merkle, minhash, order_minhash, packing, quality, secret_scan, token_count, warc
+from innsight.llm import alignment, bpe, chat, gam, license_scan, merkle, minhash, order_minhash, packing, quality, secret_scan, token_count, warc
 from innsight.llm.common import table, work_path
 
 
@@ -95,6 +95,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept", "quality")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learned from the labels of the rows that are not held out."""
+    return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, its proof, and whether the possibly tampered document still proves the root."""
     return merkle.audit(table(spark, sf_dir, "documents"))
@@ -119,6 +124,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_quality_classifier": op11_quality_classifier,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
