@@ -35,9 +35,13 @@ def blank_rows_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ing.row_counts(cells, names, ing.WORKBOOK_NULLS if spec.profile == "workbook" else ())
 
 
+def _lineitem_spec(sf_dir: str) -> ing.IngestSpec:
+    return ing.IngestSpec("lineitem-7", "lineitem", f"{sf_dir.rstrip('/')}/lineitem.parquet", tab="Itens", fmt="parquet")
+
+
 def _lineitem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of lineitem read as an all-string source, with their ids."""
-    spec = ing.IngestSpec("lineitem-7", "lineitem", f"{sf_dir.rstrip('/')}/lineitem.parquet", tab="Itens", fmt="parquet")
+    spec = _lineitem_spec(sf_dir)
     raw, header, _profile = ing.read_source(spark, spec)
     order, line = (header.index(c) for c in ("l_orderkey", "l_linenumber"))
     return raw.select(ing.row_id(spec).alias("id"), F.col(f"_c{order}").cast("bigint").alias("l_orderkey"),
@@ -50,9 +54,10 @@ def row_ids_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_ids_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, and ids that occur more than once."""
-    per_id = _lineitem_rows(spark, sf_dir).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    return per_id.agg(F.sum("n").alias("n_rows"), F.count_if(F.col("n") > 1).alias("n_repeated_ids"))
+    """Rows, and rows whose position (and so their id) another row has, by the load's own proof."""
+    raw, _header, _profile = ing.read_source(spark, _lineitem_spec(sf_dir))
+    proof = ing.interval_proof(ing.position_intervals(raw))
+    return proof.select(F.col("rows").alias("n_rows"), (F.col("repeated") + F.col("missing") + F.col("repeated_files")).alias("n_repeated_ids"))
 
 
 ROW_ID_SQL = """

@@ -7,6 +7,8 @@ Pipeline (driver handles metadata only):
     header normalise + duplicate removal          I1, I2   (driver, on column names)
     per-split profile: row count, first row id,   H1, I4, I6  (ONE aggregate pass over the input,
       cell-class counts per column                           checkpointed: one row per split)
+      sketch of the layout keys                   K1       (in the same pass)
+    intervals of positions proved disjoint        I9       (on the per-split table: no row leaves its task)
     coerce, clean, drop blank rows, ids, twins    I5-I8    (one projection, codegen)
     write versioned table, count check, swap view K1, K4, K2, K5  (the second and last pass)
 
@@ -32,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from innsight.functions.text import fold
+from innsight.sources.layout import ROWS_PER_FILE, Layout, layout_of, sample_sql
 
 POS = "_pos"          # 0-based line position within its file
 FILE = "_file"
@@ -114,7 +117,6 @@ def dedupe_headers(raw: Sequence) -> tuple[list[str], list[int], list[str]]:
 
 # --- S1 / S2 / H1: reading with exact positions ------------------------------------------------
 
-ROWS_PER_FILE = 1_000_000        # of a partitioned or clustered table
 MAX_BROADCAST_SPLITS = 100_000   # one offsets row per split (~100 bytes): at most ~10 MB broadcast
 
 
@@ -126,9 +128,11 @@ class SourceProfile:
     rows: int          # data rows (header lines excluded), blank rows included
     blank_rows: int    # data rows blank in every kept column
     splits: int
+    intervals: DataFrame | None = None   # positions of each split, [first, end), and its rows
+    sketch: DataFrame | None = None      # weighted sample of the layout keys' raw cells, under the columns' names
 
 
-def _profile_aggs(n_cols: int) -> list[Column]:
+def _profile_aggs(n_cols: int, sampled: int = 0) -> list[Column]:
     """Per split: rows, first row id, and per kept column (projected class ``_k<i>``) the count of
     cells of class 2 (number with a separator) and 3 (text; see :func:`cell_class`) plus the class
     of the split's first row, so the header line (the first row of a file's first split) can be
@@ -140,6 +144,8 @@ def _profile_aggs(n_cols: int) -> list[Column]:
     for i in range(n_cols):
         exprs += [f"count_if(_k{i} = 2) AS _k{i}_2", f"count_if(_k{i} = 3) AS _k{i}_3", f"min_by(_k{i}, _mid) AS _h{i}"]
     exprs += [f"count_if({row_max} = 0) AS _blank", f"min_by({row_max}, _mid) AS _hblank"]
+    if sampled:
+        exprs.append(sample_sql("_mid", {f"_s{j}": f"_s{j}" for j in range(sampled)}, f"{row_max} > 0") + " AS _sample")
     return [F.expr(e) for e in exprs]
 
 
@@ -173,10 +179,14 @@ def _materialise_small(df: DataFrame) -> DataFrame:
     return kept
 
 
-def line_kind(blocks: DataFrame, header: Sequence) -> DataFrame:
+def line_kind(blocks: DataFrame, header: Sequence, kept: Sequence[int] = (), numeric: Sequence[bool] = ()) -> DataFrame:
     """``blocks`` with ``_headed`` (the split begins with the header: its first line has the names of
-    ``header`` in their order) and ``_foreign`` (it has some of these names, but not that way). The first
-    line of any other file is data: a part without a header."""
+    ``header`` in their order) and ``_foreign`` (its first line is another header). Any other first line is data: a part without a header.
+
+    A first line that shares names with the header is another header on evidence only. For data speaks a number under a
+    column whose other cells are numbers (``numeric``, by kept column), unless the number is itself a name. For a header speaks
+    a text there, a name in its own place, or that all its cells are names. A value that only happens to be a column's
+    name (``Lazer,2`` below ``categoria,lazer``) is data."""
     def names(cells: Column) -> Column:  # one rule for both sides of the comparison
         return F.transform(cells, lambda x: F.regexp_replace(fold(F.coalesce(x, F.lit(""))), "[^a-z0-9]", ""))
     known = names(F.array(*[F.lit(h).cast("string") for h in header]))
@@ -184,32 +194,61 @@ def line_kind(blocks: DataFrame, header: Sequence) -> DataFrame:
     at_start = F.col("_block") == 0
     same = F.slice(read, 1, len(header)) == known
     shared = F.arrays_overlap(F.array_remove(read, ""), F.array_remove(known, ""))
+    said = F.array_remove(read, "")
+    all_names = F.size(F.array_except(said, known)) == 0
+    in_place = F.exists(F.zip_with(read, known, lambda x, y: (x != "") & (x == y)), lambda x: F.coalesce(x, F.lit(False)))
+    is_data, is_text = F.lit(False), F.lit(False)
+    for i, (place, number) in enumerate(zip(kept, numeric)):
+        if number:
+            named = F.coalesce(F.array_contains(known, F.get(read, F.lit(place))), F.lit(False))
+            is_data = is_data | (F.col(f"_h{i}").isin(1, 2) & ~named)
+            is_text = is_text | (F.col(f"_h{i}") == 3)
+    foreign = shared & ~is_data & (is_text | all_names | in_place)
     return blocks.withColumn("_headed", at_start & F.coalesce(same, F.lit(False))).withColumn(
-        "_foreign", at_start & ~F.col("_headed") & F.coalesce(shared, F.lit(False)))
+        "_foreign", at_start & ~F.col("_headed") & F.coalesce(foreign, F.lit(False)))
+
+
+def _numeric_columns(blocks: DataFrame, count: int) -> list[bool]:
+    """Per kept column: whether no cell is text, first lines of files aside (they may be headers)."""
+    if not count:
+        return []
+    row = blocks.agg(*[F.expr(f"sum(_k{i}_3) - count_if(_block = 0 AND _h{i} = 3) AS _t{i}") for i in range(count)]).first()
+    return [not row[i] for i in range(count)]
 
 
-def profile_splits(df: DataFrame, kept_cols: Sequence[str], names: Sequence[str],
-                   null_tokens: Sequence[str] = (), header: Sequence = ()) -> tuple[DataFrame, SourceProfile]:
+def profile_splits(df: DataFrame, kept_cols: Sequence[str], names: Sequence[str], null_tokens: Sequence[str] = (),
+                   header: Sequence = (), layout: Sequence[str] = ()) -> tuple[DataFrame, SourceProfile]:
     """Add ``_file``, ``_pos`` (0-based line within its file) and ``_header`` to a file-source DataFrame
-    and profile it, reading the input once.
+    and profile it, reading the input once. ``layout``: names (of ``names``) whose cells are sketched.
 
     The per-split table (one row per input split) is materialised once (:func:`_materialise_small`)
     so the write pass reuses it instead of re-reading the input. The offsets are broadcast when
     the exact split count is at most ``MAX_BROADCAST_SPLITS``; beyond that the join is a shuffle
     keyed by (file, split), each split's rows going to one task. A row of a split that the profile did
-    not see in the same place and size (the files were cut otherwise, or changed) fails the query.
+    not see in the same place and size (the files were cut otherwise, or changed) fails the query: within
+    :func:`ingest` the cuts are pinned, a caller of :func:`read_source` keeps them by :func:`pinned_splits`.
     """
     meta = df.select("*", F.col("_metadata.file_path").alias(FILE),
                      F.col("_metadata.file_block_start").alias("_block"),
                      F.monotonically_increasing_id().alias("_mid"))
     line = F.array(*[F.col(c).cast("string") for c in df.columns if not c.startswith("_pad")])
+    sketched = [n for n in names if n in layout]
     classes = meta.select(FILE, "_block", "_mid", F.when(F.col("_block") == 0, line).alias("_line0"),
-                          *[F.expr(cell_class_sql(c, null_tokens)).alias(f"_k{i}") for i, c in enumerate(kept_cols)])
-    blocks = _materialise_small(line_kind(classes.groupBy(FILE, "_block").agg(*_profile_aggs(len(kept_cols))), header))
-    profile = _profile_of(blocks, names)
+                          *[F.expr(cell_class_sql(c, null_tokens)).alias(f"_k{i}") for i, c in enumerate(kept_cols)],
+                          *[F.col(kept_cols[list(names).index(n)]).cast("string").alias(f"_s{j}") for j, n in enumerate(sketched)])
+    blocks = _materialise_small(classes.groupBy(FILE, "_block").agg(*_profile_aggs(len(kept_cols), len(sketched))))
+    places = [df.columns.index(c) for c in kept_cols]
+    several = len(df.inputFiles()) > 1
+    kinds = line_kind(blocks, header, places, _numeric_columns(blocks, len(kept_cols)) if several else ())
+    profile = _profile_of(kinds, names)
     before = Window.partitionBy(FILE).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))) \
+    offsets = kinds.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))) \
         .select(FILE, "_block", "_offset", "_first", "_n", "_headed")
+    profile.intervals = offsets.select(FILE, F.col("_offset").alias("first"), (F.col("_offset") + F.col("_n")).alias("end"),
+                                       F.col("_n").alias("n"))
+    if sketched:
+        profile.sketch = blocks.select(F.explode("_sample").alias("s")).select(
+            F.col("s._w").alias("_w"), *[F.col(f"s._s{j}").alias(n) for j, n in enumerate(sketched)])
     if profile.splits <= MAX_BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
     joined = meta.join(offsets, [FILE, "_block"], "left")
@@ -221,6 +260,40 @@ def profile_splits(df: DataFrame, kept_cols: Sequence[str], names: Sequence[str]
     return positioned, profile
 
 
+# --- I9: unique positions ---------------------------------------------------------------------
+
+def position_intervals(rows: DataFrame) -> DataFrame:
+    """The positions of each file of ``rows`` (``_file``, ``_pos``), as found: least, one past the greatest, and number.
+    For sources without a per-split table; only the two metadata columns are read."""
+    return rows.groupBy(FILE).agg(F.min(POS).alias("first"), (F.max(POS) + 1).alias("end"), F.count(F.lit(1)).alias("n"))
+
+
+def interval_proof(intervals: DataFrame, name: Column | None = None) -> DataFrame:
+    """One row that tells whether positions are unique and gapless, from intervals (``_file``, ``first``, ``end``, ``n``):
+    ``rows``, ``repeated`` (rows in an interval that is covered twice or too short for its rows), ``missing`` (positions
+    of no interval, or of one too long for its rows) and ``repeated_files`` (files less distinct ``name``). Where all but ``rows`` are 0, ids
+    made of a file's name and the position cannot repeat: no id needs to be compared with another."""
+    earlier = Window.partitionBy(FILE).orderBy("first", "end").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max("end").over(earlier), F.min("first").over(Window.partitionBy(FILE)))
+    step = intervals.withColumn("_step", F.col("first") - reached)
+    slack = F.col("end") - F.col("first") - F.col("n")
+    named = F.col(FILE) if name is None else name
+    return step.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(F.greatest(-F.col("_step"), F.lit(0)) + F.greatest(-slack, F.lit(0))), F.lit(0)).alias("repeated"),
+        F.coalesce(F.sum(F.greatest(F.col("_step"), F.lit(0)) + F.greatest(slack, F.lit(0))), F.lit(0)).alias("missing"),
+        (F.count_distinct(FILE) - F.count_distinct(named)).alias("repeated_files"))
+
+
+def require_unique_positions(intervals: DataFrame, source: str, name: Column | None = None) -> int:
+    """Fails unless :func:`interval_proof` holds; the number of rows."""
+    proof = interval_proof(intervals, name).first()
+    if proof["repeated"] or proof["missing"] or proof["repeated_files"]:
+        raise IngestError(f"{source}: positions are not unique: {proof['repeated']} repeated, {proof['missing']} missing, "
+                          f"{proof['repeated_files']} files of the same name")
+    return int(proof["rows"])
+
+
 def _one_file(spec: IngestSpec, df: DataFrame) -> None:
     """A source that is not declared as several files must be one: its ids do not name the file."""
     files = df.inputFiles()
@@ -264,11 +337,12 @@ def read_source(spark: SparkSession, spec: IngestSpec) -> tuple[DataFrame, list,
     if not header:
         return df, [], None
     names, kept, _ = dedupe_headers(header)
+    layout = {c.removesuffix("__key").removesuffix("__date") for c in (*spec.partition_by, *spec.cluster_by)}
     kept_cols = [df.columns[i] if i < len(df.columns) else None for i in kept]
     padded = df.select("*", *[F.lit(None).cast("string").alias(f"_pad{i}") for i, c in enumerate(kept_cols) if c is None])
     kept_cols = [c if c is not None else f"_pad{i}" for i, c in enumerate(kept_cols)]
     null_tokens = WORKBOOK_NULLS if spec.profile == "workbook" else ()
-    positioned, profile = profile_splits(padded, kept_cols, names, null_tokens, header)
+    positioned, profile = profile_splits(padded, kept_cols, names, null_tokens, header, sorted(layout))
     return positioned.drop(*[c for c in padded.columns if c.startswith("_pad")]), header, profile
 
 
@@ -384,11 +458,16 @@ def source_root(spark: SparkSession, path: str) -> str:
     return re.sub(r"^file:/+", "file:///", fs.makeQualified(where).toUri().toString()).rstrip("/") + "/"
 
 
+def file_name(root: str) -> Column:
+    """The file's path below ``root``."""
+    return F.replace(F.regexp_replace(FILE, "^file:/+", "file:///"), F.lit(root), F.lit(""))
+
+
 def row_id(spec: IngestSpec, root: str = "") -> Column:
     """SHA-256 hex of ``<source>:<tab>:<line number>`` (sheets) or ``<source>:<index>`` (workbooks);
     the line counts blank rows too, so ids survive blank-row changes. A source declared as several files has
     the file's path below ``root`` in every id, so ids do not depend on how many files there are."""
-    file = F.replace(F.regexp_replace(FILE, "^file:/+", "file:///"), F.lit(root), F.lit(""))
+    file = file_name(root)
     parts = [F.lit(spec.source_id)]
     if spec.profile == "workbook":
         parts += [file] if spec.multi_file else []
@@ -414,6 +493,16 @@ class Prepared:
     rows: int
     blank_rows: int
     warnings: list
+    sketch: DataFrame | None = None   # weighted sample of the layout columns, typed like the frame
+
+
+def _typed(source: DataFrame, names: Sequence[str], types: dict, null_tokens: Sequence[str], spec: IngestSpec,
+           first: Sequence[Column] = ()) -> DataFrame:
+    """``first``, the typed columns and their twins."""
+    typed = source.select(*first, *[coerce(n, types[n], null_tokens).alias(n) for n in names])
+    twins = {f"{n}__key": F.trim(fold(F.col(n))) for n in spec.key_columns if n in names}
+    twins.update({f"{n}__date": date_twin(F.col(n)) for n in spec.date_columns if n in names})
+    return typed.withColumns(twins) if twins else typed
 
 
 def prepare(raw: DataFrame, header: Sequence, spec: IngestSpec, profile: SourceProfile | None = None) -> Prepared:
@@ -431,18 +520,17 @@ def prepare(raw: DataFrame, header: Sequence, spec: IngestSpec, profile: SourceP
     else:
         types, rows, blank_rows = infer_types(source, names, null_tokens)
     root = source_root(raw.sparkSession, spec.path) if spec.multi_file else ""
-    typed = source.select(row_id(spec, root).alias("id"),
-                          *[coerce(n, types[n], null_tokens).alias(n) for n in names])
+    typed = _typed(source, names, types, null_tokens, spec, [row_id(spec, root).alias("id")])
     if names:  # I6: a row survives when any column holds a value
         typed = typed.where(" OR ".join(f"({_quoted(n)} IS NOT NULL AND CAST({_quoted(n)} AS STRING) <> '')"
                                         for n in names))
     else:
         typed = typed.where(F.lit(False))
-    twins = {f"{n}__key": F.trim(fold(F.col(n))) for n in spec.key_columns if n in names}
-    twins.update({f"{n}__date": date_twin(F.col(n)) for n in spec.date_columns if n in names})
-    if twins:
-        typed = typed.withColumns(twins)
-    return Prepared(typed, names, types, rows, blank_rows, warnings)
+    sketch = None
+    if profile is not None and profile.sketch is not None:
+        cells = [n for n in names if n in profile.sketch.columns]
+        sketch = _typed(profile.sketch, cells, types, null_tokens, spec, [F.col("_w")])
+    return Prepared(typed, names, types, rows, blank_rows, warnings, sketch)
 
 
 # --- K1 / K2 / K4 / K5: publish ---------------------------------------------------------------
@@ -460,7 +548,8 @@ def versions(spark: SparkSession, target: str, database: str | None = None) -> l
 
 
 def require_unique(spark: SparkSession, table: str, key: str = "id") -> None:
-    """Fails when a key occurs twice (one distributed aggregate of the key column)."""
+    """Fails when a key occurs twice (one distributed aggregate of the key column): for tables without positions, whose
+    ids :func:`interval_proof` cannot prove unique."""
     twice = spark.table(table).groupBy(key).count().where("count > 1").limit(1).collect()
     if twice:
         raise IngestError(f"{table}: {key} {twice[0][0]!r} occurs {twice[0][1]} times")
@@ -468,27 +557,32 @@ def require_unique(spark: SparkSession, table: str, key: str = "id") -> None:
 
 def publish(spark: SparkSession, df: DataFrame, target: str, database: str | None = None,
             partition_by: Sequence[str] = (), expected_rows: int | None = None, keep: int = 2,
-            cluster_by: Sequence[str] = (), unique: str | None = None, rows_per_file: int = ROWS_PER_FILE) -> str:
+            cluster_by: Sequence[str] = (), unique: str | None = None, rows_per_file: int = ROWS_PER_FILE,
+            sketch: DataFrame | None = None) -> str:
     """Write ``df`` as a new version, check its count and the uniqueness of ``unique``, then point the
     ``target`` view at it.
 
     Readers of ``target`` see the old or the new version, never a partial one; on any failure
     the view keeps pointing at the previous version (the half-written version is dropped).
-    With ``partition_by`` or ``cluster_by`` rows are dealt by ranges of those columns, about ``rows_per_file`` to a
-    file, and sorted in each: a partition has few files whatever the number of input splits, and
+    With ``partition_by`` or ``cluster_by`` rows are dealt by ranges of those columns (:mod:`innsight.sources.layout`), about
+    ``rows_per_file`` to a file, and sorted in each: a partition has few files whatever the number of input splits, and
     files and row groups cover narrow ranges, so min/max statistics skip them for filters on those
-    columns (e.g. year, month and the folded resort key). A value with more rows than a file
-    is cut further by a hash of the row, so that a hot value does not meet in one task.
+    columns (e.g. year, month and the folded resort key). ``df`` is evaluated once: with a ``sketch`` (weighted keys, from the
+    profile pass) and ``expected_rows`` its rows go straight to their files; without, they are staged as they come, and the
+    ranges are those of the staged keys.
     """
     version = f"{target}__v{time.time_ns()}"
     qualified = _qualified(version, database)
+    stage = f"{qualified}_stage"
+    keys = [*partition_by, *[c for c in cluster_by if c not in partition_by]]
     try:
-        keys = [*partition_by, *[c for c in cluster_by if c not in partition_by]]
         if keys:
-            rows = expected_rows if expected_rows is not None else df.count()
-            cut = F.xxhash64(*[F.col(_quoted(c)) for c in df.columns])
-            df = df.withColumn("_cut", cut).repartitionByRange(max(1, -(-rows // rows_per_file)), *keys, "_cut") \
-                .sortWithinPartitions(*keys).drop("_cut")
+            rows = expected_rows
+            if sketch is None or rows is None:
+                df.write.format("parquet").mode("errorifexists").saveAsTable(stage)
+                df = spark.table(stage)
+                sketch, rows = df.select(*keys, F.lit(1.0).alias("_w")), df.count()
+            df = layout_of(sketch, keys, rows, rows_per_file).deal(df)
         writer = df.write.format("parquet").mode("errorifexists")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
@@ -501,6 +595,8 @@ def publish(spark: SparkSession, df: DataFrame, target: str, database: str | Non
     except Exception:
         spark.sql(f"DROP TABLE IF EXISTS {qualified}")
         raise
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {stage}")
     spark.sql(f"CREATE OR REPLACE VIEW {_qualified(target, database)} AS SELECT * FROM {qualified}")
     for old in versions(spark, target, database)[:-keep]:
         spark.sql(f"DROP TABLE IF EXISTS {_qualified(old, database)}")
@@ -537,9 +633,12 @@ def _ingest(spark: SparkSession, spec: IngestSpec) -> IngestResult:
                 drop_target(spark, spec.target, spec.database)
             result.ok = True
             return result
-        result.version = publish(spark, prep.frame, spec.target, spec.database, spec.partition_by,
-                                 expected_rows=result.rows, unique="id",
-                                 cluster_by=[c for c in spec.cluster_by if c in prep.frame.columns])
+        name = file_name(source_root(spark, spec.path)) if spec.multi_file else None
+        require_unique_positions(profile.intervals if profile is not None else position_intervals(raw), spec.source_id, name)
+        cluster = [c for c in spec.cluster_by if c in prep.frame.columns]
+        whole = prep.sketch is not None and {*spec.partition_by, *cluster} <= set(prep.sketch.columns)
+        result.version = publish(spark, prep.frame, spec.target, spec.database, spec.partition_by, expected_rows=result.rows,
+                                 cluster_by=cluster, sketch=prep.sketch if whole else None)
         result.action, result.ok = "published", True
     except Exception as exc:  # one failing source must not stop the catalogue (S6)
         result.error = f"{type(exc).__name__}: {exc}"

@@ -380,3 +380,117 @@ def test_partitioned_publish_has_few_files_and_skips_them(spark):
     ing.publish(spark, hot, "pub_hot", partition_by=["ano"], cluster_by=["k"], expected_rows=50_000, rows_per_file=5000)
     sizes = [r[0] for r in spark.table("pub_hot").groupBy(F.input_file_name()).count().select("count").collect()]
     assert len(sizes) >= 8 and max(sizes) < 10_000
+
+
+# --- layout from a sketch, uniqueness from intervals ---------------------------------------------
+
+def _evaluations(spark, df):
+    """``df`` with a counter of the rows that are evaluated."""
+    counter = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            counter.add(b.num_rows)
+            yield b
+    return df.mapInArrow(seen, df.schema), counter
+
+
+@pytest.mark.parametrize("with_sketch", [True, False])
+def test_publish_evaluates_its_input_once(spark, with_sketch):
+    df = spark.range(1000, numPartitions=4).selectExpr("id % 3 AS ano", "concat('k', id % 40) AS k", "id AS v")
+    counted, counter = _evaluations(spark, df)
+    sketch = df.selectExpr("ano", "k", "1.0D AS _w") if with_sketch else None
+    ing.publish(spark, counted, "pub_once", partition_by=["ano"], cluster_by=["k"], expected_rows=1000, rows_per_file=100, sketch=sketch)
+    assert counter.value == 1000
+    assert spark.table("pub_once").count() == 1000 and not [t.name for t in spark.catalog.listTables() if t.name.endswith("_stage")]
+
+
+def test_a_load_is_laid_out_by_the_sketch_of_its_profile(spark, scratch, monkeypatch):
+    rows = [["Ano", "Resort", "Valor", "Data"]] + [[str(2020 + i % 3), f" Résort_{i % 20} ", str(i), f"{1 + i % 28:02d}/03/2024"] for i in range(6000)]
+    rows += [["", "", "", ""]] + [["2021", "hot", str(i), "01/01/2024"] for i in range(6000)]
+    spec = IngestSpec("lay", "pub_lay", write_csv(scratch, "lay.csv", rows), key_columns=("resort",), date_columns=("data",),
+                      partition_by=("ano",), cluster_by=("resort__key", "data__date"))
+    staged, real = [], ing.publish
+
+    def publish(*args, **kw):
+        staged.append(kw["sketch"] is None)
+        return real(*args, **kw, rows_per_file=500)
+    monkeypatch.setattr(ing, "publish", publish)
+    monkeypatch.setattr(ing, "require_unique", lambda *a: pytest.fail("ids are compared"))
+    res = ing.ingest(spark, spec)
+    assert res.ok and res.rows == 12_000 and staged == [False], res.error
+    table = spark.table("pub_lay")
+    sizes = {r[0]: r[1] for r in table.groupBy(F.input_file_name()).count().collect()}
+    assert 20 <= len(sizes) <= 40 and max(sizes.values()) < 1500
+    spread = table.withColumn("f", F.input_file_name()).where("resort__key <> 'hot'").groupBy("ano", "resort__key").agg(F.count_distinct("f").alias("n"))
+    assert max(r["n"] for r in spread.collect()) <= 3
+
+
+def test_layout_ranges_keep_the_order_of_the_keys(spark):
+    """Nulls, ties, dates and doubles; every row lies in the range that its keys belong to."""
+    from innsight.sources.layout import layout_of
+    df = spark.range(3000).selectExpr("IF(id % 7 = 0, NULL, id % 5) AS a", "IF(id % 11 = 0, NULL, concat('é\"', id % 13)) AS b",
+                                      "date_add(DATE'2024-01-01', int(id % 9)) AS c", "IF(id % 17 = 0, double('NaN'), id / 7.0D) AS d", "id")
+    keys = ["a", "b", "c", "d"]
+    layout = layout_of(df.select(*keys, F.lit(1.0).alias("_w")), keys, 3000, rows_per_file=100)
+    assert len(layout.bounds) >= 25 and sum(layout.files) <= 40
+    got = df.withColumn("r", layout.range_of()).orderBy(*[F.col(k).asc_nulls_first() for k in keys]).collect()
+    assert [r["r"] for r in got] == sorted(r["r"] for r in got) and {r["r"] for r in got} == set(range(len(layout.bounds) + 1))
+    empty = layout_of(df.limit(0).select(*keys, F.lit(1.0).alias("_w")), keys, 0)
+    assert empty.bounds == [] and empty.deal(df.limit(0)).count() == 0
+
+
+def test_sketch_weights_estimate_the_rows(spark):
+    from innsight.sources.layout import sample_sql
+    df = spark.range(200_000, numPartitions=3).selectExpr("monotonically_increasing_id() AS m", "id < 50000 AS early")
+    sample = df.groupBy(F.spark_partition_id().alias("p")).agg(F.expr(sample_sql("m", {"early": "early"})).alias("s"))
+    rows = sample.select(F.explode("s").alias("s")).select("s.*").collect()
+    assert len(rows) < 3 * 64 * 12
+    whole, early = sum(r["_w"] for r in rows), sum(r["_w"] for r in rows if r["early"])
+    assert abs(whole / 200_000 - 1) < 0.2 and abs(early / whole - 0.25) < 0.1
+
+
+@pytest.mark.parametrize("rows,want", [
+    ([("f", 0, 10, 10), ("f", 10, 15, 5), ("g", 0, 3, 3)], (18, 0, 0)),
+    ([("f", 0, 10, 10), ("f", 8, 15, 7)], (17, 2, 0)),     # overlap
+    ([("f", 0, 10, 10), ("f", 12, 15, 3)], (13, 0, 2)),    # gap
+    ([("f", 0, 10, 11)], (11, 1, 0)), ([("f", 0, 10, 9)], (9, 0, 1)), ([("f", 0, 4, 4), ("f", 0, 4, 4)], (8, 4, 0)), ([], (0, 0, 0))])
+def test_interval_proof(spark, rows, want):
+    df = spark.createDataFrame(rows, f"{ing.FILE} string, first long, end long, n long")
+    proof = ing.interval_proof(df).first()
+    assert (proof["rows"], proof["repeated"], proof["missing"]) == want and proof["repeated_files"] == 0
+    if want[1] or want[2]:
+        with pytest.raises(ing.IngestError, match="not unique"):
+            ing.require_unique_positions(df, "s")
+
+
+def test_forged_positions_fail_the_load(spark, scratch, monkeypatch):
+    spec = IngestSpec("u", "pub_forged", write_csv(scratch, "u.csv", [["a"]] + [[str(i)] for i in range(50)]))
+    real = ing.read_source
+
+    def forged(*args):
+        raw, header, profile = real(*args)
+        profile.intervals = profile.intervals.union(profile.intervals.withColumn("first", F.col("end") - 1))
+        return raw, header, profile
+    monkeypatch.setattr(ing, "read_source", forged)
+    res = ing.ingest(spark, spec)
+    assert not res.ok and "not unique" in res.error and not spark.catalog.tableExists("pub_forged")
+
+
+@pytest.mark.parametrize("second,loads", [(["Lazer", "2"], True), (["Lazer", "Lazer"], False), (["lazer", "categoria"], False), (["x", "Lazer"], False)])
+def test_a_value_that_is_a_column_name_is_data(spark, scratch, second, loads):
+    write_csv(scratch, "1.csv", [["categoria", "lazer"], ["Eventos", "1"], ["Lazer", "7"]])
+    write_csv(scratch, "2.csv", [second, ["Eventos", "3"]])
+    res = ing.ingest(spark, IngestSpec("v", f"pub_value_{loads}", scratch, multi_file=True))
+    assert res.ok == loads, res.error
+    if loads:
+        assert sorted((r.categoria, r.lazer) for r in spark.table(f"pub_value_{loads}").collect()) == [
+            ("Eventos", 1), ("Eventos", 3), ("Lazer", 2), ("Lazer", 7)]
+
+
+def test_headerless_text_part_with_a_name_in_another_place(spark, scratch):
+    """All columns are text, so only names tell: one name out of place is a value, all names are a header."""
+    write_csv(scratch, "1.csv", [["categoria", "lazer"], ["a", "b"]])
+    write_csv(scratch, "2.csv", [["Lazer", "sim"], ["c", "d"]])
+    res = ing.ingest(spark, IngestSpec("w", "pub_words", scratch, multi_file=True))
+    assert res.ok and res.rows == 3, res.error
