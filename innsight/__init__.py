@@ -8,7 +8,7 @@ Layers:
     streaming  nothing: the analysed system is a daily full refresh (see its docstring)
 """
 
-__all__ = ["AnalysisError", "AnalysisResult", "Page", "REGISTRY", "run"]
+__all__ = ["AnalysisError", "AnalysisResult", "Page", "REGISTRY", "answer", "run"]
 
 
 def __getattr__(name):
@@ -18,7 +18,7 @@ def __getattr__(name):
     if name == "AnalysisError":
         from innsight.errors import AnalysisError
         return AnalysisError
-    if name in ("REGISTRY", "run"):
+    if name in ("REGISTRY", "answer", "run"):
         from innsight.plans import registry
         return getattr(registry, name)
     raise AttributeError(name)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from innsight.operators import filters as flt
 from innsight.operators.aggregate import ranked_count
-from innsight.operators.listing import page, page_stats, rename
-from innsight.plans.common import attach, date_col
+from innsight.operators.listing import listing, page, rename
+from innsight.plans.common import date_col
 from innsight.plans.spec import AnalysisResult, Page
 from innsight.sources.catalog import Catalog
 
@@ -39,19 +39,19 @@ def list_guest_feedback(catalog: Catalog, filters: dict, pg: Page) -> AnalysisRe
     f = flt.Filters(filters, ALIASES)
     df = catalog.table("guest_feedback")
     filtered = flt.where(df, _preds(df, f))
-    stats = page_stats(filtered, date_col(df, "datapreenchimento"))
     cols = ["datapreenchimento", "hotel", "cr", "predio", "tipocomentario", "palavrachave", "nota", "comentario",
             "ano", "mes", "dia"]
-    rows = rename(page(filtered, [(date_col(df, "datapreenchimento"), "desc"), ("id", "asc")], pg), FEEDBACK_NAMES, cols)
-    return AnalysisResult(attach(rows, stats.select("data_until")), stats, pg)
+    return listing(filtered, [(date_col(df, "datapreenchimento"), "desc"), ("id", "asc")], pg,
+                   lambda rows, *extra: rename(rows, FEEDBACK_NAMES, cols, extra), date_col(df, "datapreenchimento"), ["data_until"])
 
 
 def _ranked(df, filtered, key, key_alias, pg):
     grouped = ranked_count(filtered, key, key_alias, _last=F.max(date_col(df, "datapreenchimento")))
-    rows = page(grouped.select(key_alias, "total"), [("total", "desc"), (key_alias, "asc")], pg)
+    order = [("total", "desc"), (key_alias, "asc")]
+    rows = page(grouped.select(key_alias, "total"), order, pg)
     stats = grouped.agg(F.count(key_alias).alias("total_records"),
                         F.substring(F.max("_last").cast("string"), 1, 10).alias("data_until"))
-    return AnalysisResult(rows, stats, pg)
+    return AnalysisResult(rows, stats, pg, order=order)
 
 
 def count_feedback_by_type(catalog: Catalog, filters: dict, pg: Page) -> AnalysisResult:
@@ -81,8 +81,8 @@ def search_feedback_by_keyword(catalog: Catalog, filters: dict, pg: Page) -> Ana
     filtered = flt.where(df, _preds(df, f, day=False))
     cols = ["datapreenchimento", "hotel", "cr", "predio", "tipocomentario", "nota", "comentario", "palavrachave",
             "ano", "mes"]
-    rows = page(filtered, [(date_col(df, "datapreenchimento"), "desc"), ("id", "asc")], pg)
-    return AnalysisResult(rename(rows, FEEDBACK_NAMES, cols), page_stats(filtered, date_col(df, "datapreenchimento")), pg)
+    return listing(filtered, [(date_col(df, "datapreenchimento"), "desc"), ("id", "asc")], pg,
+                   lambda rows, *extra: rename(rows, FEEDBACK_NAMES, cols, extra), date_col(df, "datapreenchimento"))
 
 
 __all__ = ["list_guest_feedback", "count_feedback_by_type", "rank_by_keyword", "search_feedback_by_keyword"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from innsight.functions.text import month_number_py
 from innsight.operators import filters as flt
-from innsight.operators.listing import page, page_stats
+from innsight.operators.listing import listing
 from innsight.operators.shape import nest_pairs
 from innsight.plans.spec import AnalysisResult, Page
 from innsight.sources.catalog import Catalog
@@ -79,7 +79,7 @@ def get_closed_period_indicators(catalog: Catalog, filters: dict, pg: Page) -> A
         None if year is None else flt.int_eq(df, "ano", year),
         None if period is None else F.col("periodo") == F.lit(period),
     ])
-    rows = page(filtered, [("ano", "asc"), ("periodo", "asc"), ("id", "asc")], pg)
-    nested = rows.select(F.col("ano").alias("year"), F.col("hotel").alias("resort_code"), F.col("periodo").alias("period"),
-                         F.lit("closed").alias("status"), nest_pairs(indicator_columns(df.columns)).alias("indicators"))
-    return AnalysisResult(nested, page_stats(filtered), pg)
+    def nested(rows, *extra):
+        return rows.select(F.col("ano").alias("year"), F.col("hotel").alias("resort_code"), F.col("periodo").alias("period"),
+                           F.lit("closed").alias("status"), nest_pairs(indicator_columns(df.columns)).alias("indicators"), *extra)
+    return listing(filtered, [("ano", "asc"), ("periodo", "asc"), ("id", "asc")], pg, nested)

@@ -11,7 +11,7 @@ from innsight.functions.text import fold_py
 from innsight.operators import filters as flt
 from innsight.operators.aggregate import ranked_count, with_total
 from innsight.operators.combine import scalar_ratio
-from innsight.operators.listing import order_keys, page, page_stats, rename
+from innsight.operators.listing import listing, order_keys, page, rename
 from innsight.plans.common import date_col, source_columns
 from innsight.plans.spec import AnalysisResult, Page
 from innsight.sources.catalog import Catalog
@@ -77,8 +77,8 @@ def list_medical_attendances(catalog: Catalog, filters: dict, pg: Page) -> Analy
     if transfer is not None:
         preds.append(flt.fold_eq(df, "houvetransferenciaparaohospital", _transfer_value(transfer)))
     filtered = flt.where(df, preds + _period_preds(df, f))
-    rows = page(filtered, [(date_col(df, "data"), "desc"), ("horario", "desc"), ("id", "asc")], pg)
-    return AnalysisResult(rename(rows, ATTENDANCE_NAMES, source_columns(df)), page_stats(filtered), pg)
+    return listing(filtered, [(date_col(df, "data"), "desc"), ("horario", "desc"), ("id", "asc")], pg,
+                   lambda rows, *extra: rename(rows, ATTENDANCE_NAMES, source_columns(df), extra))
 
 
 def _ranked(filtered, key, key_alias, pg):

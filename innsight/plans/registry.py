@@ -38,11 +38,22 @@ REGISTRY: dict[str, Analysis] = {
 }
 
 
-def run(name: str, filters: Mapping | None, catalog: Catalog, page: int = 1, limit: int = 50) -> AnalysisResult:
-    """Plan analysis ``name`` for ``filters``; nothing executes until the result is used."""
+def run(name: str, filters: Mapping | None, catalog: Catalog, page: int = 1, limit: int = 50,
+        after: str | None = None) -> AnalysisResult:
+    """Plan analysis ``name`` for ``filters``; nothing executes until the result is used. ``after``: the ``next`` token of
+    the page before (listings and ranked counts)."""
     if name not in REGISTRY:
         raise AnalysisError(f"unknown analysis {name!r}")
     given = dict(filters or {})
-    pg = Page(limit=int(limit), number=int(page))
+    pg = Page(limit=int(limit), number=int(page), after=after)
     result = REGISTRY[name](catalog, given, pg)
     return replace(result, page=result.page or pg, analysis=name, filters=given)
+
+
+def answer(name: str, filters: Mapping | None, catalog: Catalog, page: int = 1, limit: int = 50, after: str | None = None) -> dict:
+    """K6: the response of a request: the envelope, or ``{"error": ...}`` where the request or its data is at fault. Failures
+    of Spark itself are raised."""
+    try:
+        return run(name, filters, catalog, page, limit, after).envelope()
+    except AnalysisError as fault:
+        return {"error": str(fault)}

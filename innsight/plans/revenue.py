@@ -14,7 +14,7 @@ from innsight.functions.numeric import money, round_value, safe_ratio
 from innsight.operators import filters as flt
 from innsight.operators.aggregate import weighted_mean
 from innsight.operators.combine import scalar_ratio, segment_join, wide_to_long, with_scalars
-from innsight.operators.listing import page, page_stats, rename
+from innsight.operators.listing import listing, page, rename
 from innsight.plans.common import date_col, source_columns
 from innsight.plans.spec import AnalysisResult, Page
 from innsight.sources.catalog import Catalog
@@ -57,8 +57,8 @@ def list_extra_revenue_records(catalog: Catalog, filters: dict, pg: Page) -> Ana
     filtered = flt.where(df, [flt.resort_pred(df, "resort", resort), flt.eq(df, "ano", year),
                               flt.eq(df, "mes", month),
                               None if f.integer("dia") is None else flt.eq(df, "dia", f.integer("dia"))])
-    rows = page(filtered, [(date_col(df, "data"), "asc"), ("dia", "asc"), ("id", "asc")], pg)
-    return AnalysisResult(rename(rows, EXTRA_REVENUE_NAMES, source_columns(df)), page_stats(filtered), pg)
+    return listing(filtered, [(date_col(df, "data"), "asc"), ("dia", "asc"), ("id", "asc")], pg,
+                   lambda rows, *extra: rename(rows, EXTRA_REVENUE_NAMES, source_columns(df), extra))
 
 
 def calculate_revenue_share(catalog: Catalog, filters: dict, pg: Page | None = None) -> AnalysisResult:

@@ -9,7 +9,7 @@ from innsight.functions.numeric import percent_columns
 from innsight.functions.text import WORKFORCE_CODES
 from innsight.operators import filters as flt
 from innsight.operators.aggregate import distinct_text
-from innsight.operators.listing import page, page_stats, rename
+from innsight.operators.listing import listing, rename
 from innsight.operators.rank import top_rank
 from innsight.plans.common import source_columns
 from innsight.plans.spec import AnalysisResult, Page
@@ -51,9 +51,8 @@ def _listing(df, f: flt.Filters, contains: dict, order, pg: Page, percent=()):
     preds += [None if f.integer("ano") is None else flt.eq(df, "ano", f.integer("ano")),
               None if f.month("mes") is None else flt.eq(df, "mes", f.month("mes"))]
     filtered = flt.where(df, preds)
-    rows = page(filtered, list(order) + [("id", "asc")], pg)
-    rows = percent_columns(rows, percent)
-    return AnalysisResult(rename(rows, SENTIMENT_NAMES, source_columns(df)), page_stats(filtered), pg)
+    return listing(filtered, list(order) + [("id", "asc")], pg,
+                   lambda rows, *extra: rename(percent_columns(rows, percent), SENTIMENT_NAMES, source_columns(df), extra))
 
 
 def get_resort_adherence(catalog: Catalog, filters: dict, pg: Page) -> AnalysisResult:
