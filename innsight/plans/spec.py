@@ -67,8 +67,9 @@ class Listing:
         """The page's rows, their sort keys as text, and the metrics."""
         seen = Observation()
         paged = self.page_of(self.filtered.observe(seen, *[c.alias(name) for name, c in self.metrics.items()]))
-        named = [f"_key{i}" for i in range(len(keys))]
-        found = [r.asDict(recursive=True) for r in self.shown(paged, *[k.cast("string").alias(n) for k, n in zip(keys, named)]).collect()]
+        named = [f"_key{i}" for i in range(len(keys))]  # of the stored values, which the projection may replace
+        keyed = paged.withColumns({n: k.cast("string") for k, n in zip(keys, named)})
+        found = [r.asDict(recursive=True) for r in self.shown(keyed, *[F.col(n) for n in named]).collect()]
         got = dict(seen.get)  # empty where the optimizer proved that there are no rows
         stats = {name: got.get(name) for name in self.metrics}
         tokens = [[r.pop(n) for n in named] for r in found]
