@@ -5,8 +5,10 @@ longest (earliest start) first. Dynamic programming over the positions carries t
 number of pieces on that path; no path is kept. Rules of the tokenizer, exactly: a later candidate
 replaces the best one only if its score is higher; a character that is no piece of its own may be
 unknown, at the least score of the vocabulary minus 10; neighbouring unknowns are one token, or
-their bytes where the vocabulary has byte pieces. Spaces become a mark that starts a word, and words
-are independent, so each distinct word is counted once per worker (a bounded table is kept).
+their bytes where the vocabulary has byte pieces. Spaces become marks, and a text without one at its beginning gets one. A
+text is cut before every mark that follows another character: no piece reaches over such a place (a vocabulary with one that does
+is not cut at all), so the parts are independent and each distinct one is counted once per worker (a bounded table is
+kept). Runs of marks stay whole, since pieces may be such runs.
 
 Defined results: null or empty text has no tokens. Rows are independent; further columns are
 kept; a column named like the output is replaced.
@@ -14,6 +16,8 @@ kept; a column named like the output is replaced.
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -22,6 +26,7 @@ from innsight.llm.bpe import unknown
 from innsight.llm.common import with_arrow
 
 MARK = "▁"
+PARTS = re.compile(f"{MARK}+[^{MARK}]*").findall
 SLICE_BYTES = 2_000_000
 
 
@@ -46,6 +51,7 @@ class UnigramCounter:
             if piece:
                 self.automaton.add_word(piece, (len(piece), score, i == unk_id))
         self.automaton.make_automaton()
+        self.whole = MARK not in self.vocabulary or any(re.search(f"[^{MARK}]{MARK}", p) for p in self.vocabulary)
 
     def _unknown_tokens(self, run: str) -> int:
         """Tokens of a run of unknown characters."""
@@ -86,8 +92,15 @@ class UnigramCounter:
     def counts(self, texts: list[str | None]) -> list[int]:
         cut = []
         for t in texts:
-            marked = (t or "").replace(" ", MARK)
-            cut.append(marked.removeprefix(MARK).split(MARK) if marked else [])
+            marked = (t or "").replace(" ", MARK).removeprefix(MARK)  # each part is without its first mark
+            if not t:
+                cut.append([])
+            elif self.whole:
+                cut.append([marked])
+            elif MARK + MARK in marked or marked.startswith(MARK):
+                cut.append([p[1:] for p in PARTS(MARK + marked)])
+            else:
+                cut.append(marked.split(MARK) if not marked.endswith(MARK) else [*marked[:-1].split(MARK), ""])
         for w in unknown(self, set().union(*cut)):
             self.known[w] = self.count(MARK + w)
         get = self.known.__getitem__

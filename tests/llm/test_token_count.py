@@ -13,7 +13,7 @@ MODEL = P.path("piece_bpe_32k.model")
 
 def library(pieces, fallback, unk_id=0):
     t = Tokenizer(models.Unigram(pieces, unk_id=unk_id, byte_fallback=fallback))
-    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=C.MARK, prepend_scheme="always", split=True)
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=C.MARK, prepend_scheme="always", split=False)
     return lambda text: len(t.encode(text, add_special_tokens=False).ids)
 
 
@@ -60,3 +60,29 @@ def test_documents_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {r["doc_id"]: r["n_tokens"] for r in C.count_tokens(df, MODEL).collect()}
     assert got == {r["doc_id"]: want(r["text"]) for r in df.collect()}
+
+
+RUNS = ["def f():\n" + " " * 8 + "return 1", " " * 16, " " * 33 + "x", "a  b   c    ", "  a", "x\n\n    y  ", "\ue000  \ue001 \ue000\ue001   ", "▁▁ ▁x",
+        *["".join(random.choice(["  ", "    ", "a", "the", "\n", "\ue000", "ß", "▁"]) for _ in range(20)) for _ in range(500)]]
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+def test_runs_of_spaces_meet_their_pieces(fallback):
+    pieces = C.read_pieces(MODEL)
+    want, tool = library(pieces, fallback), C.UnigramCounter(pieces, byte_fallback=fallback)
+    assert not tool.whole
+    texts = [*RUNS, *TEXTS]
+    assert tool.counts(texts) == [want(t) for t in texts]
+    assert not fallback or tool.counts(RUNS[:1]) == [9]
+
+
+def test_a_vocabulary_that_reaches_over_a_cut_is_not_cut():
+    pieces = [("<unk>", 0.0), (C.MARK, -2.0), ("a", -2.0), ("b", -2.0), ("a" + C.MARK + "b", -1.0)]
+    want, tool = library(pieces, False), C.UnigramCounter(pieces, byte_fallback=False)
+    assert tool.whole and [tool.counts([t])[0] for t in ("a b", "b a b a", "", " ")] == [want(t) for t in ("a b", "b a b a", "", " ")]
+
+
+def test_a_text_of_a_megabyte():
+    pieces = C.read_pieces(MODEL)
+    text = "lorem  ipsum dolor\n" * 60_000
+    assert C.UnigramCounter(pieces).counts([text]) == [library(pieces, True)(text)]
