@@ -170,7 +170,7 @@ ADDED_RULES = (
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("pem", PEM),
-    Rule("url_login", r"://[^\s/:@]{1,200}:[^\s/@]{1,200}@"),
+    Rule("url_login", r"://[^\s/:@]++:[^\s/@]++@"),
 )
 RULES = BASE_RULES + ADDED_RULES
 

@@ -119,3 +119,13 @@ def test_private_key_cut_off_and_next_to_others():
     assert clean(cut + "\nsome words between\n" + cut + end + "\nz") == "<secret>\nsome words between\n<secret>\nz"
     assert clean("a header '-----BEGIN PRIVATE KEY-----' in prose stays") == "a header '<secret>' in prose stays"
     assert clean((head + "- " * 50) * 2000).count("<secret>") == 2000
+
+
+@pytest.mark.parametrize("size", [1, 100, 201, 5_000, 300_000])
+def test_logins_of_any_length(size):
+    import pyarrow as pa
+    scanner = S.Scanner(S.RULES)
+    text = f"see https://{'u' * size}:{'p' * size}@host/x and http://a:b c@d"
+    _, (spans,) = scanner.spans(pa.array([text]))
+    kinds = [(text[a:b], S.RULES[i].kind) for a, i, b in spans]
+    assert (f"://{'u' * size}:{'p' * size}@", "url_login") in kinds and sum(k == "url_login" for _, k in kinds) == 1
