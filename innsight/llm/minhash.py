@@ -1,11 +1,12 @@
 """Near-duplicate documents: ProbMinHash signatures of word shingles, banding, verification.
 
-1. Each text becomes its set of five-word shingles. Every shingle is a Poisson process of rate 1,
+1. Each text becomes its five-word shingles with their counts. Every shingle is a Poisson process of its count as rate,
    seeded by its hash, whose arrivals fall on registers; a register keeps the shingle that arrives
    first, and a shingle stops as soon as its next arrival is later than all registers of the document
-   (early termination). With equal weights the probability Jaccard similarity, which equal registers
-   estimate, is the Jaccard similarity of the sets: the one that is verified, however often a text
-   repeats a passage.
+   (early termination). Equal registers of two texts estimate the probability Jaccard similarity of their weighted shingles.
+   The same process at rate 1 estimates the Jaccard similarity of the sets: the one that is verified, however often a text
+   repeats a passage. So candidates come from the second signature, and ``similarity`` from the first; where no shingle of a
+   text repeats, both are one.
 2. Bands of registers are bucket keys. Equal texts are one node, so copies never meet each other.
 3. First, every node of a bucket is compared with the bucket's least node only (rows linear in the
    bucket). Accepted links are united. Buckets that then lie in one component need nothing more;
@@ -14,7 +15,8 @@
    costs rows in proportion to its size, not to its square.
 4. Every link is verified by the exact Jaccard similarity of the two texts' shingle sets (0.8 or more).
 
-``classes`` gives each row's class: the connected component of its text, named by the least id in it.
+``classes`` gives each row's class: the connected component of its text, named by the least id in it, and ``similarity``: the
+estimated probability Jaccard similarity of its text and the class's text of the least digest.
 
 Defined results: null text = empty text; all empty texts are one class; a text of one to four words has one
 shingle, all its words. Repeated rows share a class. A class whose ids are all null has a null name.
@@ -35,7 +37,9 @@ THRESHOLD = 0.8
 ROWS, BANDS = 6, 30        # registers in a band, bands: a pair at 0.8 is missed with probability 1e-4
 REGISTERS = ROWS * BANDS
 LEAST_ESTIMATE = 0.65      # of pairs worth verifying: five standard deviations below the threshold
-BLOCK = 1024               # nodes of a bucket compared with another as many at a time
+BLOCK = 1024               # nodes of a bucket compared with another as many at a time,
+BLOCK_BYTES = 8_000_000    # or fewer: about as many bytes of text
+HOT_PARTS = 1024           # a class of more than this part of all rows is a hot one: there are fewer such classes
 SLICE_BYTES = 4_000_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -112,16 +116,20 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row[begin], h[begin], np.diff(np.r_[begin, len(h)])
 
 
-def signatures(texts: pa.Array) -> np.ndarray:
-    """REGISTERS values per text; all zero for a text without words."""
-    row, h, _ = shingles(texts)  # counts are no weights: links are verified on sets
-    size = len(texts) * REGISTERS
+def signatures(texts: pa.Array, weighted: bool = True) -> np.ndarray:
+    """REGISTERS values per text; all zero for a text without words. ``weighted``: by the shingles' counts."""
+    row, h, count = shingles(texts)
+    return _arrivals(len(texts), row, h, count if weighted else np.ones(len(h)))
+
+
+def _arrivals(texts: int, row: np.ndarray, h: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    size = texts * REGISTERS
     earliest, element = np.full(size, np.inf), np.zeros(size, np.uint64)
     time, step = np.zeros(len(h)), 0
     while len(h):
         step += 1
         draw = mix(h + np.uint64(step * int(_GOLDEN) % (1 << 64)))
-        time = time - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) / 9007199254740992.0)
+        time = time - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) / 9007199254740992.0) / rate
         register = row * REGISTERS + (mix(draw ^ _GOLDEN) % np.uint64(REGISTERS)).astype(np.int64)
         sooner = np.flatnonzero(time < earliest[register])
         np.minimum.at(earliest, register[sooner], time[sooner])
@@ -129,13 +137,31 @@ def signatures(texts: pa.Array) -> np.ndarray:
         element[register[won]] = h[won]
         latest = earliest.reshape(-1, REGISTERS).max(axis=1)
         open_ = np.flatnonzero(time < latest[row])  # the others' next arrivals change nothing
-        row, h, time = row[open_], h[open_], time[open_]
+        row, h, time, rate = row[open_], h[open_], time[open_], rate[open_]
     return element.reshape(-1, REGISTERS)
 
 
 def sketch(texts: pa.Array) -> list[pa.Array]:
     """Band keys and one byte per register; null band keys for a text without words."""
-    sig = signatures(texts)
+    return _sketches(texts)[:2]
+
+
+def _low(sig: np.ndarray) -> list[bytes]:
+    return [r.tobytes() for r in mix(sig).astype(np.uint8)]
+
+
+def _sketches(texts: pa.Array) -> list[pa.Array]:
+    """Those of :func:`sketch`, and one byte per register of the weighted signature; null where it is the same."""
+    row, h, count = shingles(texts)
+    sig = _arrivals(len(texts), row, h, np.ones(len(h)))
+    repeats = np.zeros(len(texts), bool)
+    repeats[row[count > 1]] = True
+    mine = repeats[row]
+    which = np.flatnonzero(repeats)
+    heavy = _arrivals(len(which), np.searchsorted(which, row[mine]), h[mine], count[mine])
+    weighted: list[bytes | None] = [None] * len(texts)
+    for i, low in zip(which.tolist(), _low(heavy)):
+        weighted[i] = low
     key = np.zeros((len(sig), BANDS), np.uint64)
     for b in range(BANDS):
         key[:, b] = np.uint64(b + 1)
@@ -144,8 +170,7 @@ def sketch(texts: pa.Array) -> list[pa.Array]:
     empty = ~sig.any(axis=1)
     keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * BANDS),
                                     pa.array(key.ravel().view(np.int64)), mask=pa.array(empty))
-    low = mix(sig).astype(np.uint8)
-    return [keys, pa.array([r.tobytes() for r in low], pa.binary())]
+    return [keys, pa.array(_low(sig), pa.binary()), pa.array(weighted, pa.binary())]
 
 
 def _jaccard(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -263,7 +288,8 @@ def _cross_links(batches):
 def _links_of(table: pa.Table):
     key = table["key"].to_numpy()
     begin = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)].tolist() if len(key) else [0]
-    for first, last in slices_of_keys(begin, BLOCK):
+    rows = max(1, min(BLOCK, BLOCK_BYTES * table.num_rows // max(1, table.nbytes)))
+    for first, last in slices_of_keys(begin, rows):
         part = table.slice(begin[first], begin[last] - begin[first]).combine_chunks().to_batches()[0]
         block, left, right = _Block(part), [], []
         for lo, hi in zip(begin[first:last], begin[first + 1:last + 1]):
@@ -291,15 +317,20 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return _pairs_in_arrow(withtext, lambda x, y: _jaccard(x, y) >= THRESHOLD, ["x", "y"], 2 * SLICE_BYTES)
 
 
-def links(rows: DataFrame) -> DataFrame:
+def sketches(rows: DataFrame) -> DataFrame:
+    """(node, size, keys, sketch, weighted) of the distinct texts of ``rows`` (node, text)."""
+    sized = rows.withColumn("size", F.octet_length("text").cast("long"))
+    sketched = with_arrow(sized, "text", [T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()),
+                                          T.StructField("weighted", T.BinaryType())], _sketches, SLICE_BYTES)
+    return stored(sketched.dropDuplicates(["node"]), "sketches")
+
+
+def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Verified links (a, b) between distinct texts of ``rows`` (node, text) that connect every two near
-    duplicates, directly or over others."""
-    sketched = with_arrow(rows, "text", [T.StructField("keys", T.ArrayType(T.LongType())),
-                                         T.StructField("sketch", T.BinaryType())], sketch, SLICE_BYTES)
-    nodes = stored(sketched.dropDuplicates(["node"]), "sketches")
-    banded = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    members = stored(banded.join(shared, "key").select("key", "band", "leader", "n", "node"), "buckets")
+    duplicates, directly or over others; ``nodes`` as of :func:`sketches`."""
+    banded = nodes.select("node", "size", F.posexplode("keys").alias("band", "key"))
+    shared = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n"), F.sum("size").alias("bytes")).filter("n > 1")
+    members = stored(banded.join(shared, "key").select("key", "band", "leader", "n", "bytes", "node"), "buckets")
     near = members.select("node").distinct()
     # one row per text of those in a shared bucket; copies collapse before the shuffle
     texts = stored(rows.groupBy("node").agg(F.first("text").alias("text")).join(near, "node", "left_semi"), "texts")
@@ -316,7 +347,7 @@ def links(rows: DataFrame) -> DataFrame:
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
         .filter("lo <> hi").select("key")
     rest = placed.join(mixed, "key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.least(F.col("n"), F.col("bytes") / BLOCK_BYTES))).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks)
     # block i meets block j in the key (i, j); within a key the lower block is side 0
     met = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -330,23 +361,46 @@ def links(rows: DataFrame) -> DataFrame:
     return first.union(second)
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, node, component, class_id, class_size) of every row: ``node`` is the text's digest,
+def _similarities(united: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, similarity) of the nodes of ``united`` that are not their component's own."""
+    signed = nodes.select("node", F.coalesce("weighted", "sketch").alias("s"))
+    both = united.filter("node <> component").join(signed.withColumnRenamed("s", "x"), "node").join(
+        signed.select(F.col("node").alias("component"), F.col("s").alias("y")), "component").select("node", "x", "y")
+
+    def estimate(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(_estimate(batch.column("x"), batch.column("y")))],
+                                             names=["node", "similarity"])
+    return map_in_arrow(both, estimate, "node binary, similarity double")
+
+
+def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: bool = True) -> DataFrame:
+    """(id, node, component, class_id, class_size, similarity) of every row: ``node`` is the text's digest,
     ``component`` the least digest of the near-duplicate class, ``class_id`` its least id,
-    ``class_size`` its number of rows."""
+    ``class_size`` its number of rows; ``similarity`` (if asked for) is the estimated probability Jaccard similarity, by shingle counts, of the text and
+    the component's (1 for equal texts; texts that are linked over others may be less alike than the threshold)."""
     rows = df.select(quoted(id_col).alias("id"), F.coalesce(quoted(text), F.lit("")).alias("text"))
     rows = rows.withColumn("node", F.unhex(F.md5("text")))
-    united = components(links(rows.select("node", "text")))
+    nodes = sketches(rows.select("node", "text"))
+    united = components(links(rows.select("node", "text"), nodes))
+    extra = []
+    if similarity:
+        united, extra = stored(united, "components"), ["similarity"]
+        united = united.join(_similarities(united, nodes), "node", "left")
     named = stored(rows.select("id", "node").join(united, "node", "left").select(
-        "id", "node", F.coalesce("component", "node").alias("component")), "members")
-    sizes = named.groupBy("component").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    return named.join(sizes, "component").select(F.col("id").alias(id_col), "node", "component", "class_id", "class_size")
+        "id", "node", F.coalesce("component", "node").alias("component"), *[F.coalesce(c, F.lit(1.0)).alias(c) for c in extra]), "members")
+    sizes = stored(named.groupBy("component").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")), "class-sizes")
+    # a hot class would meet in one task: the few there can be are broadcast, all others are joined by their key
+    hot = F.broadcast(sizes.filter(F.col("class_size") > F.lit(max(HOT_PARTS, named.count() // HOT_PARTS))))
+    whole = named.join(hot, "component").unionByName(
+        named.join(hot, "component", "left_anti").join(sizes, "component"))
+    return whole.select(F.col("id").alias(id_col), "node", "component", "class_id", "class_size", *extra)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with one row of each class: the one of the least id (null only where all are null); where
     several texts or rows have it, the least text digest and any of the equal rows."""
-    found = classes(df, id_col, text)
+    found = classes(df, id_col, text, similarity=False)
     firsts = found.filter(quoted(id_col).eqNullSafe(F.col("class_id"))).groupBy("component").agg(
         F.min("node").alias("__node"), F.first("class_id").alias("__id")).drop("component")
     marked = df.withColumn("__digest", F.unhex(F.md5(F.coalesce(quoted(text), F.lit("")))))

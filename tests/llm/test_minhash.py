@@ -143,3 +143,57 @@ def test_shingles_equal_plain_sets(texts):
     for i, t in enumerate(texts):
         assert (row == i).sum() == len(shingle_set(t))
         assert count[row == i].sum() == max(len(words(t)) - 4, 1 if words(t) else 0)
+
+
+def weighted_jaccard(a, b):
+    """The probability Jaccard similarity of two dictionaries of weights."""
+    return sum(1 / sum(max(a.get(y, 0) / a[x], b.get(y, 0) / b[x]) for y in a.keys() | b.keys()) for x in a.keys() & b.keys())
+
+
+def test_signature_estimates_weighted_probability_jaccard():
+    """Texts that repeat passages: equal registers follow the weighted value, not that of the sets."""
+    from collections import Counter
+    random.seed(12)
+    errors, apart = [], []
+    for trial in range(30):
+        w = [f"t{trial}w{i}" for i in range(150)]
+        a = " ".join(with_passage(w, 60, random.randint(2, 30)))
+        b = " ".join(with_passage(w, 30, random.randint(1, 30)))
+        bags = [Counter(tuple(x[i:i + 5]) for i in range(len(x) - 4)) for x in (words(a), words(b))]
+        x, y = pa.array([a]), pa.array([b])
+        weighted = weighted_jaccard(*bags)
+        errors.append((M.signatures(x) == M.signatures(y)).mean() - weighted)
+        sets = (M.signatures(x, False) == M.signatures(y, False)).mean()
+        apart.append(abs(sets - len(bags[0].keys() & bags[1].keys()) / len(bags[0].keys() | bags[1].keys())))
+    assert abs(np.mean(errors)) < 0.025 and np.std(errors) < 0.06 and np.mean(apart) < 0.05
+
+
+def test_weighted_sketch_only_where_a_shingle_repeats():
+    texts = pa.array(["a b c d e f g", None, "a b c d e f a b c d e f", "x y"])
+    _, low, weighted = M._sketches(texts)
+    assert [w is None for w in weighted.to_pylist()] == [True, True, False, True]
+    assert weighted[2].as_py() == M._low(M.signatures(texts))[2] and low.to_pylist() == M._low(M.signatures(texts, False))
+
+
+def test_similarity_to_the_class(spark):
+    rows = [(i, t) for i, (_, t) in enumerate(passage_rows()[:8])] + [(20, "alone"), (21, "alone"), (22, None)]
+    got = M.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    text_of = {bytes(r["node"]): dict(rows)[r["doc_id"]] for r in got}
+    for r in got:
+        x, y = pa.array([text_of[bytes(r["node"])]], pa.string()), pa.array([text_of[bytes(r["component"])]], pa.string())
+        want = 1.0 if r["node"] == r["component"] else (M.signatures(x) == M.signatures(y)).mean()
+        assert abs(r["similarity"] - want) < 0.03  # one byte of each register
+    assert min(r["similarity"] for r in got) < 0.7  # a passage a hundred times: far in weights, near in sets
+
+
+def test_hot_classes_join_like_the_others(spark, monkeypatch):
+    monkeypatch.setattr(M, "HOT_PARTS", 3)
+    rows = [(i, "one text of six words here") for i in range(30)] + [(100 + i, f"other text number {i} of five") for i in range(9)] + [(200, None)]
+    compare(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
+def test_a_text_of_a_megabyte(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, long), (2, long + " end"), (3, "short text")]
+    compare(spark.createDataFrame(rows, "doc_id long, text string"), rows)
