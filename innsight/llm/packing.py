@@ -12,7 +12,8 @@ The served packets, in order of (round, queue, offset), form one stream that is
 (round, queue) cells, summed in two levels; no task and no driver step sees more than a block of them.
 
 Defined results: null text = empty text, which is the end id alone. A null source is the queue ''.
-Ids may repeat or be null: rows are told apart by a key given when the tokens are stored. A queue
+Ids may repeat or be null: rows are told apart by a key given when the tokens are stored. Columns named like an output
+(``start``, ``length``, ``window`` and the others of ``pack``) are replaced. A queue
 whose target exceeds its supply runs out early and the others go on. Empty table: no pieces.
 """
 
@@ -159,7 +160,7 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", source: str = "
     tokens = stored(packets(named, "text", tokenizer_path, end_id, length)
                     .withColumn("key", F.monotonically_increasing_id()), "tokens")
     plan = schedule(tokens.select("key", "queue", "n"), targets, length, window_tokens)
-    joined = tokens.drop("queue").join(plan.hint("shuffle_hash"), "key").drop("key")
+    joined = tokens.drop("queue").join(plan, "key").drop("key")
     keep = [f for f in joined.schema.fields if f.name not in ("ids", "n", "first")]
 
     def cut(batches):

@@ -44,7 +44,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     found = minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "class_id", "class_size")
+    return found.select("doc_id", "class_id", "class_size", "similarity")
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,10 +58,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
 
 
+# Target shares of the tokens of a window; the other sources share the rest as they come.
+MIXTURE = {"src0": 0.15, "src1": 0.10, "src2": 0.05, "src3": 0.02}
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed by deficit round-robin over their sources; one row per piece."""
+    """All documents packed by deficit round-robin over their sources to the target mixture; one row per piece."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), targets=MIXTURE)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window")
 
 

@@ -94,3 +94,18 @@ def test_last_stage_keeps_the_ids(spark, tok):
     rows = [(1, "hello world", "a"), (2, "hello " * 3000, "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     check_cover(packing.pack_stage(spark, df, "").collect(), [r[:2] for r in rows], tok)
+
+
+def test_target_mixture_of_the_registered_query(spark, tok):
+    """Every window up to the first queue that runs out keeps to the targets, within a packet a queue."""
+    from innsight.llm import queries
+    sf = "/root/testdata/sf0.01"
+    source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    filled, last = defaultdict(lambda: defaultdict(int)), {}
+    for p in queries.op6_packing(spark, sf).collect():
+        filled[source[p["doc_id"]]][p["window"]] += p["length"]
+    ends = {q: max(w) for q, w in filled.items()}
+    assert min(ends.values()) >= 0 and len(set(ends.values())) > 1
+    for q, share in queries.MIXTURE.items():
+        for r in range(ends[q]):
+            assert abs(sum(filled[q][i] for i in range(r + 1)) - share * packing.WINDOW_TOKENS * (r + 1)) <= packing.LENGTH
