@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,9 +17,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TEST_CHECKPOINT_DIR = "/tmp/innsight-checkpoints"
-
-
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -26,12 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``. Only where it is unset (tests on one machine)
-    a folder is chosen here."""
+    """The folder named in ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets one of its machine; a
+    cluster's tasks would each write to their own disk, so there it is an error."""
     ctx = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or ctx.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or ctx.getConf().get("spark.checkpoint.dir") or ctx.getCheckpointDir()
     if not named:
-        named = ctx.getCheckpointDir() or TEST_CHECKPOINT_DIR
+        if not re.match(r"local(\[|$)", ctx.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        named = tempfile.mkdtemp(prefix="innsight-checkpoints-")
     if not ctx.getCheckpointDir():
         ctx.setCheckpointDir(named)
     return named
@@ -42,25 +44,36 @@ def work_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"innsight-{name}-{uuid.uuid4().hex}")
 
 
-_TEMPORARY: list[str] = []  # tables of this session that only serve a result still to be written
+_OWNER: ContextVar[list[str] | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owned() -> Iterator[list[str]]:
+    """The folders of the tables that are stored inside this block. They belong to its caller, who may :func:`delete` them
+    once every result that reads them has been written; tables stored outside such a block stay."""
+    paths: list[str] = []
+    token = _OWNER.set(paths)
+    try:
+        yield paths
+    finally:
+        _OWNER.reset(token)
 
 
-def stored(df: DataFrame, name: str, temporary: bool = True) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: cuts the lineage with a
-    table that outlives any executor. ``temporary`` tables go with the next :func:`release`."""
+    table that outlives any executor."""
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    if temporary:
-        _TEMPORARY.append(path)
+    if (paths := _OWNER.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the temporary tables stored so far. Only for a caller that has written every result that
-    reads them, as a pipeline has when its next stage begins."""
-    while _TEMPORARY:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_TEMPORARY.pop())
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes the folders; the list is empty then."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -15,7 +15,7 @@ def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, out = docs.columns, []
     for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.stored(stage(spark, docs, SF), name, temporary=False)
+        docs = corpus_pipeline.stored(stage(spark, docs, SF), name)
         out.append(docs)
         if name != "packing":
             assert docs.columns == columns
@@ -49,3 +49,40 @@ def test_stages(spark):
 def test_registered(spark):
     assert __spark_entry__.queries()["pipeline"](spark, "/root/testdata/sf0.001").count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "secrets", "packing"]
+
+
+def test_results_of_operators_survive_a_pipeline_run(spark):
+    """A lazy result taken before the run reads its tables after it; the run leaves only its own result."""
+    import os
+    from innsight.llm import common
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    scored, _ = quality.score(docs)
+    stage = corpus_pipeline.STAGES[0][1](spark, docs, "/root/testdata/sf0.001")
+    before = set(os.listdir(common.checkpoint_dir(spark)))
+    packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert packed.count() > 0 and scored.count() == docs.count() and 0 < stage.count() < docs.count()
+    new = set(os.listdir(common.checkpoint_dir(spark))) - before
+    assert [x.split("-")[2] for x in new if x.startswith("innsight-pipeline")] == ["packing"] and len(new) == 1
+
+
+def test_a_cluster_must_name_the_shared_folder():
+    import pytest
+    from types import SimpleNamespace
+    from innsight.llm import common
+
+    def session(master):
+        ctx = SimpleNamespace(master=master, getConf=lambda: {}, getCheckpointDir=lambda: None, setCheckpointDir=lambda x: None)
+        return SimpleNamespace(sparkContext=ctx, conf={})
+    assert common.checkpoint_dir(session("local[4]"))
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            common.checkpoint_dir(session(master))
+
+
+def test_other_queries_do_not_need_the_tokenizers():
+    import subprocess
+    import sys
+    code = ("import sys; sys.modules['public_tokenizers'] = None\n"
+            "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()))")
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert out.stdout.split()[1] == "False" and int(out.stdout.split()[0]) >= 80, out.stderr[-500:]
