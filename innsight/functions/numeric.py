@@ -5,6 +5,8 @@ ANSI mode is on, so a bare ``/`` by zero raises; every ratio goes through :func:
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -20,8 +22,8 @@ def round_value(c: str | Column, digits: int = 2) -> Column:
 
     ``x * 10**digits`` is rounded by the hardware, so its error is computed as well (the product of
     two doubles as an unevaluated sum, with ``x`` split in two halves); the error decides where the
-    rounded product lies on the half. Values of 1e13 and more, infinities and NaN have no such digits left
-    and are returned unchanged.
+    rounded product lies on the half. From 2^52 on the product is whole and the fraction lies in the error alone. Values whose
+    neighbours are farther apart than the last digit, infinities and NaN are returned unchanged: no rounding changes them.
     """
     x = _col(c).cast("double")
     p = F.lit(float(10 ** digits))
@@ -30,11 +32,14 @@ def round_value(c: str | Column, digits: int = 2) -> Column:
     split = a * F.lit(134217729.0)           # 2^27 + 1
     high = split - (split - a)
     error = (high * p - product) + (a - high) * p
+    spacing = 52 - math.floor(digits * math.log2(10))  # from 2^spacing on, neighbours are more than one digit apart
     whole = F.floor(product)
     part = product - whole
     up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
-    rounded = (whole + up.cast("int")).cast("double") / p
-    return F.when(a < 1e13, F.when(x < 0, -rounded).otherwise(rounded)).otherwise(x)
+    odd = whole % 2 == 1
+    step = F.when(up | ((part == 0) & (error == 0.5) & odd), 1).when((part == 0) & (error == -0.5) & odd, -1).otherwise(0)
+    rounded = (whole + step).cast("double") / p
+    return F.when(a < float(2 ** spacing), F.when(x < 0, -rounded).otherwise(rounded)).otherwise(x)
 
 
 def safe_ratio(num: str | Column, den: str | Column, scale: float = 100.0, digits: int = 2,

@@ -40,7 +40,11 @@ MONTH_NUMBERS = {
     "novembro": 11, "nov": 11,
     "dezembro": 12, "dez": 12,
 }
+# Letters that do not decompose, as the source's accent stripping writes them.
+LETTERS = {"æ": "ae", "ð": "d", "ø": "o", "þ": "th", "ß": "ss", "đ": "d", "ħ": "h", "ı": "i", "ĳ": "ij", "ł": "l", "ŋ": "n",
+           "œ": "oe", "ŧ": "t"}
 # --- end of fixed values ------------------------------------------------------------------
+MARKS = "".join(chr(c) for c in range(0x0300, 0x0370))  # combining marks, as decomposed letters carry them
 
 
 @lru_cache(maxsize=1)
@@ -49,8 +53,8 @@ def accent_table() -> tuple[str, str]:
 
     Rule: every lower-case letter of the Latin-1 Supplement, Latin Extended-A/B and Latin
     Extended Additional blocks whose canonical decomposition is one ASCII letter followed by
-    combining marks maps to that letter. Letters without such a decomposition (ß, æ, œ, ø)
-    are kept, as an accent stripper keeps them.
+    combining marks maps to that letter. Letters without such a decomposition (ß, æ, œ, ø) are those of
+    ``LETTERS``.
     """
     src, dst = [], []
     for cp in chain(range(0x00C0, 0x0250), range(0x1E00, 0x1F00)):
@@ -65,9 +69,26 @@ def accent_table() -> tuple[str, str]:
 
 
 @lru_cache(maxsize=1)
-def _py_table() -> dict[int, str]:
+def _letter_table() -> tuple[str, str]:
+    """(letters, replacements of one letter each), then the combining marks, which have none. An accented letter that
+    becomes several (``ǽ``) goes to its base first."""
     src, dst = accent_table()
-    return {ord(a): b for a, b in zip(src, dst)}
+    pairs = {**dict(zip(src, dst)), **{a: b for a, b in LETTERS.items() if len(b) == 1}}
+    for cp in range(0x00C0, 0x0250):
+        base = "".join(c for c in unicodedata.normalize("NFD", chr(cp)) if not unicodedata.combining(c))
+        if chr(cp).islower() and base != chr(cp) and base in LETTERS:
+            pairs[chr(cp)] = LETTERS[base] if len(LETTERS[base]) == 1 else base
+    return "".join(pairs) + MARKS, "".join(pairs.values())
+
+
+LONGER = {a: b for a, b in LETTERS.items() if len(b) > 1}
+
+
+@lru_cache(maxsize=1)
+def _py_table() -> dict[int, str | None]:
+    src, dst = _letter_table()
+    table = dict(zip(map(ord, src), [*dst, *[None] * len(MARKS)]))
+    return {k: LONGER.get(v, v) for k, v in table.items()} | {ord(a): b for a, b in LONGER.items()}
 
 
 def _col(c: str | Column) -> Column:
@@ -75,9 +96,14 @@ def _col(c: str | Column) -> Column:
 
 
 def fold(c: str | Column) -> Column:
-    """Case- and accent-insensitive form: ``translate(lower(c), accented, plain)``."""
-    src, dst = accent_table()
-    return F.translate(F.lower(_col(c)), src, dst)
+    """Case- and accent-insensitive form: lower case, accented letters plain, combining marks gone (so composed and
+    decomposed spellings are one), and letters such as ß and æ written out. One ``translate``; the letters that
+    become two are replaced only in values that hold one."""
+    plain = F.translate(F.lower(_col(c)), *_letter_table())
+    written = plain
+    for letter, letters in LONGER.items():
+        written = F.replace(written, F.lit(letter), F.lit(letters))
+    return F.when(plain.rlike(f"[{''.join(LONGER)}]"), written).otherwise(plain)
 
 
 def fold_py(value: Any) -> Any:

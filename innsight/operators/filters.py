@@ -135,16 +135,35 @@ def fold_eq(df: DataFrame, col: str, value: Any) -> Column:
     return folded(df, col) == F.lit(fold_py(str(value)))
 
 
-def fold_contains(col: str | Column, value: Any, wildcard: bool = False, df: DataFrame | None = None) -> Column:
+MOST_MATCHES = 500  # values of a membership that stands for a contains
+
+
+def _matching(df: DataFrame | None, col: str | Column, needle: str, domains: Mapping[str, Sequence[str]] | None) -> Column | None:
+    """Contains as membership of the twin in its values that hold ``needle``: it reaches the scan, where min/max statistics
+    and dictionaries skip row groups. None where the values are not known or too many match."""
+    twin = f"{col}{KEY_SUFFIX}" if isinstance(col, str) else None
+    if df is None or twin not in df.columns or twin not in (domains or {}):
+        return None
+    values = [v for v in domains[twin] if needle in v]
+    return F.col(twin).isin(values) if 0 < len(values) <= MOST_MATCHES else None if values else F.lit(False)
+
+
+def fold_contains(col: str | Column, value: Any, wildcard: bool = False, df: DataFrame | None = None,
+                  domains: Mapping[str, Sequence[str]] | None = None) -> Column:
     """accent/case-insensitive contains; ``wildcard`` keeps ``%``/``_`` as LIKE wildcards. With ``df`` the
-    twin of its column is searched where it has one."""
+    twin of its column is searched where it has one; with the ``domains`` of its table (twin → all values) as membership."""
+    if not wildcard and (member := _matching(df, col, fold_py(str(value)), domains)) is not None:
+        return member
     c = folded(df, col) if df is not None else fold(col)
     v = fold_py(str(value))
     return c.like(f"%{v}%") if wildcard else c.contains(F.lit(v))
 
 
-def trim_fold_contains(col: str, value: Any, df: DataFrame | None = None) -> Column:
-    """``trim(fold(col))`` contains ``fold(value)``; with ``df`` on the twin where there is one."""
+def trim_fold_contains(col: str, value: Any, df: DataFrame | None = None,
+                       domains: Mapping[str, Sequence[str]] | None = None) -> Column:
+    """``trim(fold(col))`` contains ``fold(value)``; with ``df`` on the twin where there is one, with ``domains`` as membership."""
+    if (member := _matching(df, col, fold_py(str(value)), domains)) is not None:
+        return member
     c = trim_folded(df, col) if df is not None else F.trim(fold(col))
     return c.contains(F.lit(fold_py(str(value))))
 

@@ -20,6 +20,14 @@ def q(v) -> str:
     return "'" + str(v).replace("'", "''") + "'"
 
 
+def fold_sql(col: str) -> str:
+    """Lower case without accents, and the letters that do not decompose written out."""
+    plain = f"translate(strip_accents(lower({col})), 'ðøđħıłŋŧ', 'dodhilnt')"
+    for letter, letters in (("æ", "ae"), ("þ", "th"), ("ß", "ss"), ("ĳ", "ij"), ("œ", "oe")):
+        plain = f"replace({plain}, '{letter}', '{letters}')"
+    return plain
+
+
 def pick(values, index_expr: str) -> str:
     """values[index] with a 0-based index expression (DuckDB lists are 1-based)."""
     return f"([{', '.join(q(v) for v in values)}])[({index_expr}) + 1]"

@@ -16,6 +16,7 @@ from innsight.operators.combine import full_balance, scalar_ratio, segment_join,
 from innsight.operators.listing import iso_date, page
 from innsight.operators.rank import top_rank
 from innsight.operators.shape import explode_pairs, month_pivot, nest_pairs
+from innsight.oracle.bindings import fold_sql as sql_fold
 from innsight.oracle.bindings import half_even, with_tables as W
 from innsight.plans.common import date_col, max_iso
 from innsight.plans.indicators import INDICATOR_NAMES, indicator_columns, period_code_column
@@ -34,10 +35,6 @@ def _t(spark, sf_dir, name):
     return testdata_catalog(spark, sf_dir).table(name)
 
 
-def sql_fold(col: str) -> str:
-    return f"strip_accents(lower({col}))"
-
-
 # --- membership and post-aggregate filters ---------------------------------------------------
 
 def f07_in(spark, sf_dir):

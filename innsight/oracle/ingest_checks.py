@@ -53,6 +53,18 @@ def row_ids_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lineitem_rows(spark, sf_dir)
 
 
+FILES = ("customer", "nation", "region", "supplier")
+
+
+def several_files_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of a source of several files, which name the file below the source's root."""
+    spec = ing.IngestSpec("cadastros-3", "cadastros", f"{sf_dir.rstrip('/')}/{{{','.join(FILES)}}}.parquet", tab="Aba 2", fmt="parquet",
+                          multi_file=True)
+    raw, _header, _profile = ing.read_source(spark, spec)
+    root = ing.source_root(spark, spec.path)
+    return raw.select(ing.file_name(root).alias("file"), F.col(ing.POS).alias("line"), ing.row_id(spec, root).alias("id"))
+
+
 def unique_ids_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, and rows whose position (and so their id) another row has, by the load's own proof."""
     raw, _header, _profile = ing.read_source(spark, _lineitem_spec(sf_dir))
@@ -107,6 +119,9 @@ FROM customer"""
 CHECKS = {
     "i04_infer_types": (infer_types_check, _infer_sql()),
     "i07_row_ids": (row_ids_check, ROW_ID_SQL),
+    "i07b_row_ids_of_several_files": (several_files_check, "\nUNION ALL\n".join(
+        f"SELECT '{t}.parquet' AS file, n AS line, sha256('cadastros-3:Aba 2/{t}.parquet:' || CAST(n + 1 AS VARCHAR)) AS id "
+        f"FROM (SELECT row_number() OVER () AS n FROM {t})" for t in FILES)),
     "i09_unique_ids": (unique_ids_check, "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_repeated_ids FROM lineitem"),
     "i06_blank_rows": (blank_rows_check, BLANK_SQL),
     "i05_prepare_sheet_rows": (prepared_sheet_check, PREPARED_SQL),

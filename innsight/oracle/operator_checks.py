@@ -11,15 +11,12 @@ from pyspark.sql import functions as F
 from innsight.functions.text import MONTH_NUMBERS, RESORT_CODES, canonical_code, month_number
 from innsight.functions.text import fold as fold_col
 from innsight.operators import filters as flt
+from innsight.oracle.bindings import fold_sql as fold
 from innsight.oracle.bindings import with_tables as W
 from innsight.plans.registry import run
 from innsight.sources.testdata import testdata_catalog
 
 
-def fold(col: str) -> str:
-    return f"strip_accents(lower({col}))"
-
-
 def _table(spark, sf_dir, name):
     return testdata_catalog(spark, sf_dir).table(name)
 
@@ -81,6 +78,31 @@ def x02_fold_whole_texts(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.sha2(fold_col("text"), 256).alias("folded_sha256"))
 
 
+# Other spellings of the texts' own letters: decomposed, and letters that do not decompose.
+RESPELT = (("é", "e\u0301"), ("ç", "c\u0327"), ("ü", "u\u0308"), ("ö", "ø"), ("ä", "æ"), ("ó", "Œ"), ("ñ", "Ł"), ("th", "þ"))
+
+
+def _respelt(spark, sf_dir):
+    text = F.col("text")
+    for old, new in RESPELT:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return _documents(spark, sf_dir).withColumn("text", text)
+
+
+def x02b_fold_other_spellings(spark, sf_dir):
+    """The fold of every whole text with decomposed accents and letters that become two."""
+    return _respelt(spark, sf_dir).select("doc_id", F.sha2(fold_col("text"), 256).alias("folded_sha256"))
+
+
+def f01b_fold_equal_other_spellings(spark, sf_dir):
+    """The first words of the texts, equal in both spellings."""
+    def first(df, name):
+        return df.select("doc_id", F.element_at(F.split("text", " "), 1).alias(name))
+    both = first(_documents(spark, sf_dir), "plain").join(first(_respelt(spark, sf_dir), "other"), "doc_id")
+    return both.groupBy(fold_col("plain").alias("word")).agg(
+        F.count_if(fold_col("plain") == fold_col("other")).alias("n_equal"), F.count(F.lit(1)).alias("n"))
+
+
 def f02b_fold_contains_whole_texts(spark, sf_dir):
     """F2 over whole texts: documents whose folded text contains a folded word."""
     d = _documents(spark, sf_dir)
@@ -109,6 +131,12 @@ def _stats(analysis, filters, page=1, limit=50):
 _MONTHS = ", ".join(f"('{k}', {v})" for k, v in MONTH_NUMBERS.items())
 _CODES = " ".join(f"WHEN contains({fold('hotel')}, '{c}') THEN '{c}'" for c in RESORT_CODES)
 
+def _respelt_sql(col: str) -> str:
+    for old, new in RESPELT:
+        col = f"replace({col}, '{old}', '{new}')"
+    return col
+
+
 CHECKS = {
     "f01_fold_equal": (f01_fold_equal, W(f"""
 SELECT id, hotel, cr FROM guest_feedback WHERE {fold('cr')} = 'recepcao'""", "guest_feedback")),
@@ -137,6 +165,11 @@ WHERE contains({fold('hospedeouemocionador')}, 'lazer') OR contains({fold('hospe
 GROUP BY 1""", "medical_attendances")),
     "x02_fold_whole_texts": (x02_fold_whole_texts, f"""
 SELECT doc_id, sha256({fold('text')}) AS folded_sha256 FROM documents"""),
+    "x02b_fold_other_spellings": (x02b_fold_other_spellings, f"""
+SELECT doc_id, sha256({fold(_respelt_sql('text'))}) AS folded_sha256 FROM documents"""),
+    "f01b_fold_equal_other_spellings": (f01b_fold_equal_other_spellings, f"""
+WITH w AS (SELECT {fold("string_split(text, ' ')[1]")} AS word, {fold(f"string_split({_respelt_sql('text')}, ' ')[1]")} AS other FROM documents)
+SELECT word, count_if(word = other)::BIGINT AS n_equal, count(*) AS n FROM w GROUP BY word"""),
     "f02b_fold_contains_whole_texts": (f02b_fold_contains_whole_texts, f"""
 SELECT doc_id, lang FROM documents WHERE contains({fold('text')}, 'ete')"""),
     "n02_canonical_code": (n02_canonical_code, W(f"""

@@ -7,7 +7,7 @@ paging. Every request reads the whole bound tables; filters are the analysis's o
 
 from __future__ import annotations
 
-from innsight.oracle.bindings import half_even, with_tables as W
+from innsight.oracle.bindings import fold_sql as fold, half_even, with_tables as W
 
 # key -> (analysis name, filters, page, limit, shape); shape "long" explodes a nested indicator map
 REQUESTS: dict[str, tuple[str, dict, int, int, str | None]] = {}
@@ -21,10 +21,6 @@ def register(key: str, analysis: str, filters: dict, sql: str | None, page: int
         ORACLE[key] = sql
 
 
-def fold(col: str) -> str:
-    return f"strip_accents(lower({col}))"
-
-
 # --- occupancy -------------------------------------------------------------------------------
 register("q01_list_daily_occupancy", "list_daily_occupancy", {"resort": "RESORT_BÉTA", "ano": "1997"}, W(f"""
 SELECT resort AS resort_code, empresa AS company, data AS date, hosptotal AS total_guests, lazer AS leisure_guests,

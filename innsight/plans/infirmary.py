@@ -72,7 +72,8 @@ def list_medical_attendances(catalog: Catalog, filters: dict, pg: Page) -> Analy
     """Q13: attendances matching any of the contains/equality filters, newest first."""
     f = flt.Filters(filters, ALIASES)
     df = catalog.table("medical_attendances")
-    preds = [flt.fold_contains(col, f.text(key), df=df) for key, col in CONTAINS_FILTERS.items() if f.text(key)]
+    known = catalog.domains("medical_attendances")
+    preds = [flt.fold_contains(col, f.text(key), df=df, domains=known) for key, col in CONTAINS_FILTERS.items() if f.text(key)]
     transfer = f.raw("houvetransferenciaparaohospital")
     if transfer is not None:
         preds.append(flt.fold_eq(df, "houvetransferenciaparaohospital", _transfer_value(transfer)))
@@ -129,10 +130,10 @@ def count_attendances_by_patient_type(catalog: Catalog, filters: dict, pg: Page)
     df = catalog.table("medical_attendances")
     preds = [flt.not_blank("hospedeouemocionador")] + _period_preds(df, f)
     if f.text("cr"):
-        preds.append(flt.fold_contains("cr", f.text("cr"), df=df))
+        preds.append(flt.fold_contains("cr", f.text("cr"), df=df, domains=catalog.domains("medical_attendances")))
     filtered = flt.where(df, preds)
     rows, stats = _ranked(filtered, "hospedeouemocionador", "patient_type", pg)
-    if pg.offset == 0:
+    if pg.number == 1 and not pg.after:
         # groups and grand total in one aggregation: the total and the page's best groups are taken
         # together, and one sort of that page puts the total last
         both = with_total(filtered.withColumn("patient_type", F.col("hospedeouemocionador")), ["patient_type"],

@@ -41,13 +41,14 @@ STATUS_CLASSES = {
 TOP_K, TOP_K_NAMED = 5, 100
 
 
-def _contains(df, col, value):
-    return None if value is None or flt.is_all(value) else flt.fold_contains(col, value, df=df)
+def _contains(df, col, value, domains):
+    return None if value is None or flt.is_all(value) else flt.fold_contains(col, value, df=df, domains=domains)
 
 
-def _listing(df, f: flt.Filters, contains: dict, order, pg: Page, percent=()):
-    preds = [_contains(df, "hotel", f.resort("hotel", codes=WORKFORCE_CODES))]
-    preds += [_contains(df, col, f.text(key)) for key, col in contains.items()]
+def _listing(catalog: Catalog, table: str, f: flt.Filters, contains: dict, order, pg: Page, percent=()):
+    df, known = catalog.table(table), catalog.domains(table)
+    preds = [_contains(df, "hotel", f.resort("hotel", codes=WORKFORCE_CODES), known)]
+    preds += [_contains(df, col, f.text(key), known) for key, col in contains.items()]
     preds += [None if f.integer("ano") is None else flt.eq(df, "ano", f.integer("ano")),
               None if f.month("mes") is None else flt.eq(df, "mes", f.month("mes"))]
     filtered = flt.where(df, preds)
@@ -58,16 +59,14 @@ def _listing(df, f: flt.Filters, contains: dict, order, pg: Page, percent=()):
 def get_resort_adherence(catalog: Catalog, filters: dict, pg: Page) -> AnalysisResult:
     """Q19: adherence rate (as percent) and score per resort and month, latest first."""
     f = flt.Filters(filters, ALIASES)
-    df = catalog.table("employee_sentiment_by_resort")
-    return _listing(df, f, {}, [("ano", "desc"), ("mes", "desc"), ("taxageraldeadesao", "desc")], pg,
+    return _listing(catalog, "employee_sentiment_by_resort", f, {}, [("ano", "desc"), ("mes", "desc"), ("taxageraldeadesao", "desc")], pg,
                     percent=("taxageraldeadesao",))
 
 
 def get_department_adherence(catalog: Catalog, filters: dict, pg: Page) -> AnalysisResult:
     """Q20: adherence rate (as percent) and score per department and leader."""
     f = flt.Filters(filters, ALIASES)
-    df = catalog.table("employee_sentiment_by_department")
-    return _listing(df, f, {"cr": "cr", "lider": "lideresdiretos"},
+    return _listing(catalog, "employee_sentiment_by_department", f, {"cr": "cr", "lider": "lideresdiretos"},
                     [("ano", "desc"), ("mes", "desc"), ("taxageraldeadesao", "desc"), ("cr", "asc")], pg,
                     percent=("taxageraldeadesao",))
 
@@ -75,9 +74,8 @@ def get_department_adherence(catalog: Catalog, filters: dict, pg: Page) -> Analy
 def get_survey_status(catalog: Catalog, filters: dict, pg: Page) -> AnalysisResult:
     """Q21: surveys sent to employees with their answer status, latest first."""
     f = flt.Filters(filters, ALIASES)
-    df = catalog.table("employee_sentiment_surveys")
     contains = {"cr": "cr", "destinatario": "destinatario", "lider": "lideres", "status": "status", "cargo": "cargo"}
-    return _listing(df, f, contains, [("dataehora", "desc")], pg)
+    return _listing(catalog, "employee_sentiment_surveys", f, contains, [("dataehora", "desc")], pg)
 
 
 def rank_by_survey_status(catalog: Catalog, filters: dict, pg: Page | None = None) -> AnalysisResult:
@@ -90,10 +88,11 @@ def rank_by_survey_status(catalog: Catalog, filters: dict, pg: Page | None = Non
     recipient = f.text("destinatario")
     months = f.months("mes")
     df = catalog.table("employee_sentiment_surveys")
+    known = catalog.domains("employee_sentiment_surveys")
     filtered = flt.where(df, [
         flt.eq(df, "ano", year), F.col("status").isin(list(statuses)),
-        _contains(df, "hotel", f.resort("hotel", codes=WORKFORCE_CODES)),
-        None if recipient is None else flt.fold_contains("destinatario", recipient, df=df),
+        _contains(df, "hotel", f.resort("hotel", codes=WORKFORCE_CODES), known),
+        None if recipient is None else flt.fold_contains("destinatario", recipient, df=df, domains=known),
         flt.int_in(df, "mes", months) if months else None,
     ])
     aggregated = filtered.groupBy("ano", "destinatario", "cr").agg(

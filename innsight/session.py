@@ -16,6 +16,7 @@ DEFAULT_CONF = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    "spark.scheduler.mode": "FAIR",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 

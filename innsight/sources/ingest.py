@@ -28,13 +28,15 @@ from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Iterable, Sequence
+from urllib.parse import unquote
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from innsight.functions.text import fold
-from innsight.sources.layout import ROWS_PER_FILE, Layout, layout_of, sample_sql
+from innsight.sources.layout import ROWS_PER_FILE, layout_of, sample_sql
+from innsight.sources.versions import VersionLog, domains_of
 
 POS = "_pos"          # 0-based line position within its file
 FILE = "_file"
@@ -70,6 +72,8 @@ class IngestSpec:
     multiline: bool = False                 # quoted cells with line breaks (file not splittable)
     multi_file: bool = False                # the source may be cut into several files: ids name the file
     on_empty: str | None = None             # "drop" | "keep"; default: sheet drops, workbook keeps
+    keep_versions: int = 2                  # newest versions that stay in any case
+    keep_seconds: float = 0                 # a version stays at least so long after it was superseded
 
     @property
     def empty_action(self) -> str:
@@ -558,12 +562,14 @@ def require_unique(spark: SparkSession, table: str, key: str = "id") -> None:
 def publish(spark: SparkSession, df: DataFrame, target: str, database: str | None = None,
             partition_by: Sequence[str] = (), expected_rows: int | None = None, keep: int = 2,
             cluster_by: Sequence[str] = (), unique: str | None = None, rows_per_file: int = ROWS_PER_FILE,
-            sketch: DataFrame | None = None) -> str:
-    """Write ``df`` as a new version, check its count and the uniqueness of ``unique``, then point the
-    ``target`` view at it.
+            sketch: DataFrame | None = None, predecessor: int | None = None, keep_seconds: float = 0) -> str:
+    """Write ``df`` as a new version, check its count and the uniqueness of ``unique``, commit it to the target's
+    :class:`VersionLog`, then point the ``target`` view at it.
 
     Readers of ``target`` see the old or the new version, never a partial one; on any failure
-    the view keeps pointing at the previous version (the half-written version is dropped).
+    the view keeps pointing at the previous version (the half-written version is dropped). ``predecessor``: the number of
+    the log that this load started from (default: the last one now); where another load has been published since, this one
+    fails. Versions beyond the newest ``keep`` are dropped once they have been superseded for ``keep_seconds`` and nobody holds a lease on them.
     With ``partition_by`` or ``cluster_by`` rows are dealt by ranges of those columns (:mod:`innsight.sources.layout`), about
     ``rows_per_file`` to a file, and sorted in each: a partition has few files whatever the number of input splits, and
     files and row groups cover narrow ranges, so min/max statistics skip them for filters on those
@@ -571,6 +577,8 @@ def publish(spark: SparkSession, df: DataFrame, target: str, database: str | Non
     profile pass) and ``expected_rows`` its rows go straight to their files; without, they are staged as they come, and the
     ranges are those of the staged keys.
     """
+    log = VersionLog(spark, target, database)
+    base = log.last_number() if predecessor is None else predecessor
     version = f"{target}__v{time.time_ns()}"
     qualified = _qualified(version, database)
     stage = f"{qualified}_stage"
@@ -583,6 +591,9 @@ def publish(spark: SparkSession, df: DataFrame, target: str, database: str | Non
                 df = spark.table(stage)
                 sketch, rows = df.select(*keys, F.lit(1.0).alias("_w")), df.count()
             df = layout_of(sketch, keys, rows, rows_per_file).deal(df)
+        seen = Observation()
+        if keys:  # least and greatest values, on the way to the files
+            df = df.observe(seen, *[f(k).cast("string").alias(f"{n}_{i}") for i, k in enumerate(keys) for n, f in (("lo", F.min), ("hi", F.max))])
         writer = df.write.format("parquet").mode("errorifexists")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
@@ -592,17 +603,46 @@ def publish(spark: SparkSession, df: DataFrame, target: str, database: str | Non
             raise IngestError(f"{target}: wrote {written} rows, expected {expected_rows}")
         if unique:
             require_unique(spark, qualified, unique)
+        values = dict(seen.get) if keys else {}
+        twins = [c for c in df.columns if c.endswith("__key")]
+        entry = log.commit(base, version, rows=written, partitions=_partition_values(spark, qualified, partition_by),
+                           ranges={k: [values.get(f"lo_{i}"), values.get(f"hi_{i}")] for i, k in enumerate(keys)},
+                           domains=domains_of(spark.table(qualified), twins))
+        try:
+            spark.sql(f"CREATE OR REPLACE VIEW {_qualified(target, database)} AS SELECT * FROM {qualified}")
+        except Exception:
+            log.revoke(entry)
+            raise
     except Exception:
         spark.sql(f"DROP TABLE IF EXISTS {qualified}")
         raise
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {stage}")
-    spark.sql(f"CREATE OR REPLACE VIEW {_qualified(target, database)} AS SELECT * FROM {qualified}")
-    for old in versions(spark, target, database)[:-keep]:
-        spark.sql(f"DROP TABLE IF EXISTS {_qualified(old, database)}")
+    retire(spark, target, database, keep, keep_seconds)
     return version
 
 
+def _partition_values(spark: SparkSession, table: str, partition_by: Sequence[str]) -> dict[str, list[str]]:
+    """The values of each partition column, from the list of partitions."""
+    found: dict[str, set[str]] = {c: set() for c in partition_by}
+    for row in spark.sql(f"SHOW PARTITIONS {table}").collect() if partition_by else ():
+        for part in row[0].split("/"):
+            name, value = part.split("=", 1)
+            found[name].add(unquote(value))
+    return {c: sorted(v) for c, v in found.items()}
+
+
+def retire(spark: SparkSession, target: str, database: str | None = None, keep: int = 2, keep_seconds: float = 0) -> list[str]:
+    """Drops the versions that are older than the newest ``keep``, superseded for ``keep_seconds`` and not leased."""
+    log, dropped = VersionLog(spark, target, database), []
+    leased, superseded = log.leased(), log.superseded()
+    for old in versions(spark, target, database)[:-keep]:
+        if old not in leased and time.time() - superseded.get(old, 0) >= keep_seconds:
+            spark.sql(f"DROP TABLE IF EXISTS {_qualified(old, database)}")
+            dropped.append(old)
+    return dropped
+
+
 def drop_target(spark: SparkSession, target: str, database: str | None = None) -> None:
     spark.sql(f"DROP VIEW IF EXISTS {_qualified(target, database)}")
 
@@ -616,6 +656,7 @@ def ingest(spark: SparkSession, spec: IngestSpec) -> IngestResult:
 def _ingest(spark: SparkSession, spec: IngestSpec) -> IngestResult:
     result = IngestResult(spec.source_id, spec.target)
     try:
+        predecessor = VersionLog(spark, spec.target, spec.database).last_number()
         raw, header, profile = read_source(spark, spec)
         if not header:
             result.action = "dropped" if spec.empty_action == "drop" else "kept"
@@ -638,7 +679,8 @@ def _ingest(spark: SparkSession, spec: IngestSpec) -> IngestResult:
         cluster = [c for c in spec.cluster_by if c in prep.frame.columns]
         whole = prep.sketch is not None and {*spec.partition_by, *cluster} <= set(prep.sketch.columns)
         result.version = publish(spark, prep.frame, spec.target, spec.database, spec.partition_by, expected_rows=result.rows,
-                                 cluster_by=cluster, sketch=prep.sketch if whole else None)
+                                 cluster_by=cluster, sketch=prep.sketch if whole else None, predecessor=predecessor,
+                                 keep=spec.keep_versions, keep_seconds=spec.keep_seconds)
         result.action, result.ok = "published", True
     except Exception as exc:  # one failing source must not stop the catalogue (S6)
         result.error = f"{type(exc).__name__}: {exc}"
@@ -646,14 +688,32 @@ def _ingest(spark: SparkSession, spec: IngestSpec) -> IngestResult:
 
 
 def ingest_all(spark: SparkSession, specs: Iterable[IngestSpec], max_workers: int = 1) -> list[IngestResult]:
-    """Load every source; failures are reported per source. ``max_workers > 1`` submits
-    the sources' Spark jobs concurrently from a thread pool (the scheduler shares the cluster)."""
+    """Load every source; failures are reported per source. ``max_workers > 1`` loads
+    several at a time: each source's jobs run in a scheduler pool of its own (fair shares with ``spark.scheduler.mode=FAIR``, as
+    :func:`innsight.session.build_session` sets it) under a tag of its own, by which what a failed source left running is cancelled
+    while the others go on."""
     specs = list(specs)
     with pinned_splits(spark):
         if max_workers <= 1:
             return [ingest(spark, s) for s in specs]
-        with ThreadPoolExecutor(max_workers=max_workers) as pool:
-            return list(pool.map(lambda s: ingest(spark, s), specs))
+        with ThreadPoolExecutor(max_workers=max_workers) as pool:  # each load with its own copy of the local properties
+            return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(_isolated), spark, s) for s in specs]]
+
+
+def _isolated(spark: SparkSession, spec: IngestSpec) -> IngestResult:
+    """:func:`ingest` in the source's own pool and under its own tag; the thread is left as it was found."""
+    name = "ingest-" + re.sub("[^A-Za-z0-9_-]", "-", spec.source_id)
+    ctx = spark.sparkContext
+    ctx.setLocalProperty("spark.scheduler.pool", name)
+    ctx.addJobTag(name)
+    try:
+        result = ingest(spark, spec)
+        if not result.ok:
+            ctx.cancelJobsWithTag(name)
+        return result
+    finally:
+        ctx.removeJobTag(name)
+        ctx.setLocalProperty("spark.scheduler.pool", None)
 
 
 def table_exists(spark: SparkSession, name: str, database: str | None = None) -> bool:

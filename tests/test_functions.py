@@ -9,10 +9,10 @@ from innsight.functions import (
 )
 from innsight.functions.numeric import money
 from innsight.functions.text import accent_table
-from innsight.oracle.bindings import half_even
+from innsight.oracle.bindings import fold_sql, half_even
 
 WORDS = ["Recepção", "GOVERNANÇA", "Ação", "Àéîõü", "Straße", "Æble", "œuvre", "Øst", "naïve", "Ñandú", "", None,
-         "Resort_Épsilon", "crème brûlée"]
+         "Resort_Épsilon", "crème brûlée", "cre\u0300me bru\u0302le\u0301e", "Recepc\u0327a\u0303o", "ÞÓRR ǼON Łódź ıĳ ĐÐħŧŋ ǿ", "ﾊ 한 e\u0301\u0323"]
 
 
 def test_fold_matches_python_twin_and_duckdb(spark):
@@ -20,8 +20,10 @@ def test_fold_matches_python_twin_and_duckdb(spark):
     got = [r[0] for r in df.select(fold("w")).collect()]
     assert got == [fold_py(w) for w in WORDS]
     con = duckdb.connect()
-    duck = [con.execute("SELECT strip_accents(lower(?))", [w]).fetchone()[0] if w is not None else None for w in WORDS]
-    assert got == duck
+    con.execute("CREATE TABLE t(i INT, w VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(WORDS)))
+    assert got == [r[0] for r in con.sql(f"SELECT {fold_sql('w')} FROM t ORDER BY i").fetchall()]
+    assert fold_py("cre\u0300me BRU\u0302le\u0301e") == fold_py("Crème brûlée") and fold_py("Straße Æble Øst") == "strasse aeble ost"
 
 
 def test_accent_table_is_one_to_one():
@@ -53,8 +55,10 @@ def test_round_value_equals_python_round(spark):
     values = [2.675, 1.115, 0.125, 0.375, 1.005, -2.675, -0.125, 0.0, 2.5, 1e15, 9.99e12, 0.285, 123456.785, 5e-324, 0.005, 0.015]
     values += [rng.randrange(10**7) / 1000 for _ in range(20_000)] + [rng.uniform(-1e6, 1e6) for _ in range(5000)]
     values += [rng.randrange(10**6) / 8 for _ in range(5000)] + [(2 * rng.randrange(10**8) + 1) / 200 for _ in range(20_000)]
+    values += [10000000000000.123, 2.0 ** 46, 2.0 ** 46 - 2 ** -7, 45035996273704.965] + [rng.uniform(1e13, 1e14) for _ in range(10_000)]
+    values += [rng.randrange(10**15, 8 * 10**15) / 128 for _ in range(5000)] + [-rng.randrange(2**45, 2**47) - k / 64 for k in range(64)]
     df = spark.createDataFrame([(x,) for x in values], "x double").coalesce(1)
-    for digits in (2, 4):
+    for digits in (1, 2, 3, 4):
         got = [r[0] for r in df.select(round_value("x", digits)).collect()]
         assert got == [round(x, digits) for x in values]
     assert spark.createDataFrame([(None,)], "x double").select(round_value("x")).first()[0] is None

@@ -494,3 +494,35 @@ def test_headerless_text_part_with_a_name_in_another_place(spark, scratch):
     write_csv(scratch, "2.csv", [["Lazer", "sim"], ["c", "d"]])
     res = ing.ingest(spark, IngestSpec("w", "pub_words", scratch, multi_file=True))
     assert res.ok and res.rows == 3, res.error
+
+
+def test_parallel_loads_are_isolated(spark, scratch, monkeypatch):
+    """A failing source's own jobs are cancelled; a slow one next to it goes on, in a pool and under a tag of its own."""
+    import threading
+    import time
+    from pyspark import InheritableThread
+    real, seen, cancelled = ing.ingest, {}, threading.Event()
+
+    def slow_job():
+        try:
+            spark.range(4, numPartitions=4).mapInArrow(lambda batches: (time.sleep(60) or b for b in batches), "id long").count()
+        except Exception:
+            cancelled.set()
+
+    def load(session, spec):
+        seen[spec.source_id] = (spark.sparkContext.getLocalProperty("spark.scheduler.pool"), set(spark.sparkContext.getJobTags()))
+        if spec.source_id == "bad":
+            job = InheritableThread(target=slow_job, session=spark)
+            job.start()
+            time.sleep(4)
+            return ing.IngestResult("bad", spec.target, error="it failed")
+        time.sleep(6)
+        return real(session, spec)
+    monkeypatch.setattr(ing, "ingest", load)
+    specs = [IngestSpec("bad", "pub_iso_bad", "nowhere"), IngestSpec("slow", "pub_iso", write_csv(scratch, "s.csv", [["a"], ["1"], ["2"]]))]
+    began = time.time()
+    results = ing.ingest_all(spark, specs, max_workers=2)
+    assert [r.ok for r in results] == [False, True] and spark.table("pub_iso").count() == 2
+    assert seen == {"bad": ("ingest-bad", {"ingest-bad"}), "slow": ("ingest-slow", {"ingest-slow"})}
+    assert cancelled.wait(20) and time.time() - began < 55
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None and not spark.sparkContext.getJobTags()
