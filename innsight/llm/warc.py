@@ -5,10 +5,11 @@ record, the others are ``revisit`` records that refer to it. Every task sorts it
 timestamp and writes one compressed archive (a locally sorted run) with Spark's text writer: the
 record separator of the format is the writer's line separator. Reading: Spark streams each archive, cut
 at the version line; a task joins the cuts to records by their Content-Length, so payloads may hold
-anything, and recomputes size and digest. The index entries of an archive are a sorted run again.
+anything, and recomputes size and digest. The index entries of an archive are a sorted run again. An archive is one gzip stream:
+``offset`` is the record's place in the unpacked stream, which is read from its beginning.
 
 External merge: the entries are stored, dealt to key ranges (URL key, timestamp, id, so that a hot
-URL is split by time) and every range merges the runs' parts with a loser tree: one comparison per
+URL is split by time) of bounded size, and every range merges the runs' parts with a loser tree: one comparison per
 level for each entry. ``capture_order`` increases over ranges and within them.
 
 Defined results: null html = empty payload; null url = no target and URL key ''; CR and LF in a URL are
@@ -34,6 +35,7 @@ VERSION = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID = "urn:capture:"
+RANGE_ROWS = 100_000  # index entries that a task merges
 
 
 def base32_of_hex(sha1_hex: Column) -> Column:
@@ -96,30 +98,38 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url"
 def parse_records(chunks: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, int, dict[str, str], bytes]]:
     """(file, offset, headers, block) of the records in (file, text after a version line), in file order."""
     mark = VERSION.encode()
-    held, file, at, start = None, None, 0, 0
+    file, at, start, have, end, need = None, 0, 0, 0, -1, 1 << 62
+    parts: list[bytes] = []  # of the record that is read; its head is found once, then bytes are only counted
+    headers: dict[str, str] = {}
     for f, chunk in chunks:
         if f != file:
-            if held:
+            if parts:
                 raise ValueError(f"cut record at the end of {file}")
             file, at = f, len(chunk)  # what stands before the first version line of a file: nothing
-            held = None
             if chunk:
                 raise ValueError(f"not an archive: {file}")
             continue
-        if held is None:
-            start, held = at, chunk
+        if not parts:
+            start, have, end, need = at, 0, -1, 1 << 62
         else:
-            held += mark + chunk  # the payload holds a version line
+            parts.append(mark)  # the payload holds a version line
+            have += len(mark)
+        parts.append(chunk)
+        have += len(chunk)
         at += len(mark) + len(chunk)
-        head, found, rest = held.partition(b"\r\n\r\n")
-        headers = dict(x.split(": ", 1) for x in head.decode().split("\r\n")) if found else {}
-        size = int(headers.get("Content-Length", 1 << 62))
-        if len(rest) >= size + 4:
-            if rest[size:] != END.encode():
+        if end < 0:
+            head = b"".join(parts)
+            parts, end = [head], head.find(b"\r\n\r\n")
+            if end >= 0:
+                headers = dict(x.split(": ", 1) for x in head[:end].decode().split("\r\n"))
+                need = end + 8 + int(headers.get("Content-Length", 1 << 62))
+        if have >= need:
+            whole = b"".join(parts)
+            if have > need or whole[-4:] != END.encode():
                 raise ValueError(f"bad record at {start} of {file}")
-            yield file, start, headers, rest[:size]
-            held = None
-    if held:
+            yield file, start, headers, whole[end + 4:-4]
+            parts = []
+    if parts:
         raise ValueError(f"cut record at the end of {file}")
 
 
@@ -202,26 +212,23 @@ class LoserTree:
             self.winner = w
 
 
-def merge_index(entries: DataFrame) -> DataFrame:
-    """The entries with ``url_key`` and ``capture_order``, globally ordered by URL key, time and id."""
+def merge_index(entries: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The entries with ``url_key`` and ``capture_order``, globally ordered by URL key, time and id. A task merges one key range
+    of about ``range_rows`` entries at most, and Spark hands it the runs' parts one after the other, each in its order."""
     runs = stored(entries.withColumn("url_key", url_key(F.col("url"))), "index-runs")
     order = ["url_key", "at", "id", "file", "offset"]
-    ranged = runs.repartitionByRange(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
+    ranges = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // range_rows))
+    ranged = runs.repartitionByRange(ranges, *order).sortWithinPartitions("file", "offset")
 
     def merge(batches):
         batches = list(batches)  # one key range's small rows
         if not batches:
             return
         table = pa.Table.from_batches(batches)
-        columns = [table.column(c).to_pylist() for c in order]
-        parts: dict[str, list] = {}
-        for i, (key, at, id_, file, offset) in enumerate(zip(*columns)):
-            parts.setdefault(file, []).append((offset, (key, at, id_ is not None, id_ or 0, file, offset), i))
-        lists = []
-        for part in parts.values():
-            part.sort()  # the order in the archive, which is the run's order
-            lists.append([(key, i) for _, key, i in part])
-        merged = pa.array([i for _, i in LoserTree(lists)], pa.int64())
+        lists: dict[str, list] = {}
+        for i, (key, at, id_, file, offset) in enumerate(zip(*(table.column(c).to_pylist() for c in order))):
+            lists.setdefault(file, []).append(((key, at, id_ is not None, id_ or 0, file, offset), i))
+        merged = pa.array([i for _, i in LoserTree(list(lists.values()))], pa.int64())
         base = TaskContext.get().partitionId() << 33
         table = table.take(merged).append_column("capture_order", pa.array(range(base, base + table.num_rows), pa.int64()))
         yield from table.to_batches(max_chunksize=10_000)

@@ -85,3 +85,35 @@ def test_pages_table(spark):
     pages = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     got = queries.op7_warc(spark, sf).collect()
     assert sorted((tuple(r)[:5] for r in got), key=str) == expected(pages)
+
+
+def test_a_hot_url_is_cut_over_ranges(spark):
+    """One URL holds nearly all captures: ranges stay small, and the order is global."""
+    rows = [(i, "http://hot.example.com/" if i % 50 else f"http://c{i}.org/", f"body {i % 400}") for i in range(3000)]
+    path = tempfile.mkdtemp(prefix="innsight-warc-") + "/archives"
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6), path)
+    entries = warc.read_entries(spark, path)
+    index = warc.merge_index(entries, range_rows=100).collect()
+    assert fields(index) == expected(rows)
+    sizes = {}
+    for r in index:
+        sizes[r["capture_order"] >> 33] = sizes.get(r["capture_order"] >> 33, 0) + 1
+    assert len(sizes) > 20 and max(sizes.values()) < 400
+    keys = [(r["url_key"], r["at"], r["id"]) for r in sorted(index, key=lambda r: r["capture_order"])]
+    assert keys == sorted(keys)
+
+
+def test_payloads_full_of_version_lines_take_linear_time():
+    import time
+
+    def seconds(n):
+        block = warc.VERSION.encode() * n
+        chunks = [("f", b""), ("f", b"WARC-Type: x\r\nContent-Length: %d\r\n\r\n" % len(block)), *[("f", b"")] * (n - 1), ("f", warc.END.encode())]
+        best = 9.0
+        for _ in range(3):
+            began = time.process_time()
+            (record,) = warc.parse_records(iter(chunks))
+            best = min(best, time.process_time() - began)
+            assert record[3] == block and record[1] == 0
+        return best
+    assert seconds(160_000) < 20 * seconds(16_000) + 0.1
