@@ -24,11 +24,9 @@ SENTIMENT_NAMES = {
     "destinatario": "employee_name", "cargo": "position", "grupos": "groups", "lideres": "leader",
     "status": "status", "dataehora": "timestamp", "egerente": "is_manager",
 }
-# --- end of fixed values ------------------------------------------------------------------
+# Request names of the filters.
 ALIASES = {"resort": "hotel", "year": "ano", "month": "mes", "setor": "cr", "department": "cr",
            "nome": "destinatario", "employee": "destinatario", "emocionador": "destinatario"}
-
-# --- fixed values: must equal the analysed system's for the same results -------------------
 # Status words → stored survey statuses ("not answered" covers sent and open surveys).
 STATUS_CLASSES = {
     "respondido": ("Respondido",),

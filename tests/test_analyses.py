@@ -171,3 +171,12 @@ def test_dates_do_not_depend_on_the_session_time_zone(spark, con, key):
     finally:
         spark.conf.set("spark.sql.session.timeZone", previous)
     assert ok, msg
+
+
+def test_resort_balance_keeps_null_hotels_of_both_sides(spark):
+    from innsight.sources.catalog import Catalog
+    pos = spark.createDataFrame([(None, 2024, 1, 0.0), ("a", 2024, 1, 3.0)], "hotel string, ano long, mes long, horaspositiva double")
+    neg = spark.createDataFrame([(None, 2024, 1, 0.0), ("a", 2024, 1, 1.0)], "hotel string, ano long, mes long, horasnegativas double")
+    rows = run("get_department_overtime_balance", {"ano": "2024"}, Catalog(spark, {"overtime_positive": pos, "overtime_negative": neg})).rows.collect()
+    assert sorted((str(r.resort_code), r.positive_hours, r.negative_hours) for r in rows) == [
+        ("Group", 3.0, 1.0), ("None", 0.0, 0.0), ("None", 0.0, 0.0), ("a", 3.0, 1.0)]
