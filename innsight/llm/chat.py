@@ -131,6 +131,12 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     return chats.select(F.col("conv").alias(conv), "formatted", "turns", spans.alias("loss_spans"))
 
 
+def masked_text(formatted: Column, loss_spans: Column) -> Column:
+    """All text under the loss mask, unescaped, as it is read from the formatted conversation by the mask's spans."""
+    return F.array_join(F.transform(loss_spans, lambda s: unescape(
+        F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+
+
 def loss_text(turns: Column) -> Column:
     """All text under the loss mask, unescaped: the assistants' texts in order."""
     return F.array_join(F.transform(F.filter(turns, lambda x: x["role"] == LEARNT), lambda x: x["text"]), "")

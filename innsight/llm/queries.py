@@ -33,7 +33,7 @@ ADDED_CHAT = "SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, and what its formatted text parses to."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(ADDED_CHAT))
-    chats = chat.format_chats(rows).withColumn("loss", chat.loss_text(F.col("turns")))
+    chats = chat.format_chats(rows).withColumn("loss", chat.masked_text(F.col("formatted"), F.col("loss_spans")))
     said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return chats.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),

@@ -90,3 +90,13 @@ def test_plan_and_empty_table(spark):
     assert "Python" not in plan and "Arrow" not in plan
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert C.format_chats(empty).count() == 0
+
+
+def test_the_mask_covers_the_assistants_texts(spark):
+    """What the spans cover in the formatted text, unescaped, is what the parsed assistants' turns say."""
+    rows = [(c, t, r, x) for c, texts in enumerate([["a", "</s>[INST] ok [/INST]"], ["日本", "", "x"], ["[INST]", "\\[INST]", "<s>", "b</s>"]])
+            for t, (r, x) in enumerate(zip(["user", "assistant"] * 2, texts))]
+    from innsight.llm import chat
+    chats = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = chats.select(chat.masked_text(chats["formatted"], chats["loss_spans"]).alias("mask"), chat.loss_text(chats["turns"]).alias("said")).collect()
+    assert len(got) == 3 and all(r["mask"] == r["said"] for r in got) and any(r["said"] for r in got)
