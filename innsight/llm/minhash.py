@@ -26,11 +26,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from innsight.llm.common import map_in_arrow, quoted, stored, with_arrow
+from innsight.llm.common import map_in_arrow, quoted, slices, stored, with_arrow
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -41,6 +42,7 @@ BLOCK = 1024               # nodes of a bucket compared with another as many at
 BLOCK_BYTES = 8_000_000    # or fewer: about as many bytes of text
 HOT_PARTS = 1024           # a class of more than this part of all rows is a hot one: there are fewer such classes
 SLICE_BYTES = 4_000_000
+PART_BYTES = 1_000_000     # of texts whose shingles are made at a time
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3  # odd, so powers have inverses modulo 2^64
@@ -64,10 +66,15 @@ _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        inverse = pow(_BASE, -1, 1 << 64)
-        _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(n - 1, b, np.uint64)]) for b in (_BASE, inverse)]
-    return _POWERS[0][:n], _POWERS[1][:n]
+    """The first ``n`` powers of the base and of its inverse; those of a part of texts are kept, more only lent."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    size = max(n, PART_BYTES)
+    inverse = pow(_BASE, -1, 1 << 64)
+    made = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)]) for b in (_BASE, inverse)]
+    if size <= PART_BYTES:
+        _POWERS[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +103,18 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, count) of the distinct shingles of every text, sorted by row and hash."""
+    """(row, hash, count) of the distinct shingles of every text, sorted by row and hash; texts are read in parts, since
+    the work takes some 40 bytes a byte."""
+    made = []
+    for a, b in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), PART_BYTES):
+        row, h, count = _shingles(texts.slice(a, b - a))
+        made.append((row + a, h, count))
+    if not made:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*made))
+
+
+def _shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     row, word = word_hashes(texts)
     n = len(word)
     padded = np.r_[word, np.zeros(WORDS - 1, np.uint64)]
