@@ -97,13 +97,12 @@ def _col(c: str | Column) -> Column:
 
 def fold(c: str | Column) -> Column:
     """Case- and accent-insensitive form: lower case, accented letters plain, combining marks gone (so composed and
-    decomposed spellings are one), and letters such as ß and æ written out. One ``translate``; the letters that
-    become two are replaced only in values that hold one."""
+    decomposed spellings are one), and letters such as ß and æ written out: one ``translate``, and a replacement for
+    each letter that becomes two (a byte search where it is absent)."""
     plain = F.translate(F.lower(_col(c)), *_letter_table())
-    written = plain
     for letter, letters in LONGER.items():
-        written = F.replace(written, F.lit(letter), F.lit(letters))
-    return F.when(plain.rlike(f"[{''.join(LONGER)}]"), written).otherwise(plain)
+        plain = F.replace(plain, F.lit(letter), F.lit(letters))
+    return plain
 
 
 def fold_py(value: Any) -> Any:
