@@ -17,7 +17,8 @@ least end are taken at once, so a merge holds one decoded block per run. A task
 ``GROUP_BYTES`` of records, or ``FAN_IN`` runs of distinct pairs of one radix. A lost executor costs its tasks only.
 
 Defined results: null or empty text, and text whose tokens do not join to a space and the text, has no tokens: zeros,
-and empty groups. Repeated rows and ids each count. Special tokens' strings are plain text. The other columns are kept,
+and empty groups. Repeated rows and ids each count. Very long texts are tokenized whole (a slice of their own); a pair whose count ties with the highest of
+its B id is best as well. Special tokens' strings are plain text. The other columns are kept,
 but for ``text`` and those named like an output, which are replaced. An empty table gives an empty result.
 """
 

@@ -9,7 +9,8 @@ One pass over the texts makes the features and stores them; labels meet only tho
 most about ``FIT_ROWS`` labelled rows: beyond that bound, rows are kept by a hash of their place, with equal probability.
 Everything else covers all rows. A model is a few thousand numbers, so it goes along with the tasks.
 
-Defined results: null text = empty text; an empty text has zero features and a score like any other. Rows with null or
+Defined results: null text = empty text; an empty text has zero features and a score like any other. Very long texts are read
+whole, by work in proportion to their length. Ties: of equal gains the first feature, cut or pair in order is taken. Rows with null or
 other labels than 0 and 1 teach nothing; an id with several labels teaches each. Without labels of both kinds the tables
 stay empty and every score is the smoothed prior. Equal texts get equal scores. Repeated rows and null ids pass through; the
 other columns are kept, and those named like an output are replaced. An empty table gives an empty result.

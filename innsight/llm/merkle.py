@@ -11,7 +11,7 @@ partition): no window over a whole group. Rows equal in all of these are told ap
 
 Defined results: a null group is a group of its own and comes first; groups follow by their UTF-8 bytes. Null
 order keys come first; equal keys are ordered by leaf. A lone leaf is its group's subroot, a lone subroot the
-root. Repeated rows each have a leaf. Columns named like an output are replaced. An empty table gives no rows.
+root. Repeated rows each have a leaf. A text is hashed whole and leaves its task as a digest, whatever its length. Columns named like an output are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
